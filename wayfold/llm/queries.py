@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import quality_classifier
+from wayfold.llm import packing, quality_classifier
 from wayfold.llm._shared import read, remainder
 
 
@@ -17,5 +17,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_quality": op5_quality}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op4_packing": op4_packing, "op5_quality": op5_quality}
 ORACLE_SQL: dict[str, str] = {}
