@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import packing, quality_classifier
+from wayfold.llm import packing, quality_classifier, sharding, url_filters
 from wayfold.llm._shared import read, remainder
 
 
@@ -23,5 +23,75 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op5_quality": op5_quality}
-ORACLE_SQL: dict[str, str] = {}
+SHARD_BYTES = 1 << 20
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(read(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    return found.select(F.col("key").alias("doc_id"), F.col("bytes").alias("n_bytes"), "shard", "depth")
+
+
+OP7 = f"""
+WITH r AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents
+), n AS (
+  SELECT d, h >> (60 - d)::INT AS p, sum(n_bytes) AS b FROM r, generate_series(0, 40) AS g(d) GROUP BY ALL
+), leaf AS (
+  SELECT r.doc_id, r.n_bytes, r.h, min(n.d) AS d FROM r JOIN n ON n.p = r.h >> (60 - n.d)::INT
+  WHERE n.b <= {SHARD_BYTES} GROUP BY ALL
+)
+SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(h >> (60 - d)::INT), d::INT, '0') END AS shard, d::INT AS depth FROM leaf
+"""
+
+#: A capture's fetch time follows from its id: some minute of the year 2024.
+YEAR, MINUTES = 1704067200, 366 * 1440
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries by rule, for hosts and domains that occur: listed, removed, and some listed again."""
+    names = pages.select(url_filters.host(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    named = names.select(F.concat(F.lit("host:"), "host").alias("pattern"), F.lit("spam").alias("list")).unionAll(
+        names.select(F.concat(F.lit("domain:"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), F.lit("adult")).distinct()
+    )
+    h = F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), 1, 8), 16, 10).cast("long")
+    day = lambda n, shift=0: F.lit(YEAR) + 86400 * (h % n + shift)
+    rows = F.array(
+        F.struct(day(200).alias("at"), F.lit("add").alias("action")),
+        F.struct((day(200) + 86400 * (20 + h % 61)).alias("at"), F.lit("remove").alias("action")),
+        F.struct(day(90, 270).alias("at"), F.when(h % 2 == 0, F.lit("add")).otherwise(F.lit("remove")).alias("action")),
+    )
+    return named.where(h % 3 != 0).select("list", "pattern", F.inline(rows))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", (F.lit(YEAR) + 60 * F.pmod(F.col("page_id") * 7919, F.lit(MINUTES))).alias("fetched_at"))
+    return url_filters.evaluate(captures, list_entries(pages)).withColumnRenamed("capture_id", "page_id")
+
+
+OP8 = f"""
+WITH c AS (
+  SELECT page_id, url, {YEAR} + 60 * ((page_id * 7919) % {MINUTES}) AS fetched_at,
+    nullif(lower(regexp_extract(url, '{url_filters.HOST}', 1)), '') AS host FROM pages
+), p AS (
+  SELECT DISTINCT 'spam' AS list, 'host:' || host AS pattern FROM c WHERE host IS NOT NULL
+  UNION SELECT DISTINCT 'adult', 'domain:' || regexp_extract(host, '([^.]+\\.[^.]+)$', 1) FROM c WHERE host IS NOT NULL
+), h AS (SELECT * FROM (SELECT *, ('0x' || substr(md5(pattern), 1, 8))::BIGINT AS k FROM p) WHERE k % 3 <> 0
+), e AS (
+  SELECT list, pattern, {YEAR} + 86400 * (k % 200) AS t, 'add' AS action FROM h
+  UNION ALL SELECT list, pattern, {YEAR} + 86400 * (k % 200) + 86400 * (20 + k % 61), 'remove' FROM h
+  UNION ALL SELECT list, pattern, {YEAR} + 86400 * (k % 90 + 270), CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END FROM h
+), u AS (SELECT list, pattern, t, max(action = 'add') AS listed FROM e GROUP BY ALL
+), i AS (SELECT *, lead(t) OVER (PARTITION BY list, pattern ORDER BY t) AS until FROM u
+), m AS (
+  SELECT c.page_id, i.list FROM c JOIN i ON listed AND c.fetched_at >= i.t AND (until IS NULL OR c.fetched_at < until)
+    AND (i.pattern = 'host:' || c.host OR (starts_with(i.pattern, 'domain:') AND ('.' || c.host) LIKE '%.' || substr(i.pattern, 8)))
+), a AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM m GROUP BY page_id)
+SELECT c.page_id, c.url, c.fetched_at, c.host, coalesce(a.n, 0) AS n_entries, coalesce(a.lists, '') AS lists, a.n IS NOT NULL AS blocked
+FROM c LEFT JOIN a USING (page_id)
+"""
+
+
+QUERIES = {"op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op8_url_filters": OP8}
