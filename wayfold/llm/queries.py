@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import fingerprints, packing, quality_classifier, sharding, url_filters
+from wayfold.llm import brown_lm, fingerprints, packing, quality_classifier, sharding, url_filters
 from wayfold.llm._shared import read, remainder
 
 
@@ -17,6 +17,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2
+    model = brown_lm.train(docs.where(~held_out))
+    return brown_lm.score(docs, model, held_out.alias("held_out"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
 
@@ -97,5 +103,5 @@ FROM c LEFT JOIN a USING (page_id)
 """
 
 
-QUERIES = {"op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
 ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op8_url_filters": OP8}
