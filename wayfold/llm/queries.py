@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import brown_lm, fingerprints, packing, quality_classifier, sharding, url_filters
+from wayfold.llm import brown_lm, decontamination, fingerprints, packing, quality_classifier, sharding, url_filters
 from wayfold.llm._shared import read, remainder
 
 
@@ -103,5 +103,9 @@ FROM c LEFT JOIN a USING (page_id)
 """
 
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
 ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op8_url_filters": OP8}
