@@ -34,31 +34,57 @@ from wayfold.llm._shared import keep, small_batches
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-class WordIds(dict):
-    """Packed ids of words between white space; a memo that starts anew when it is full.
+#: Encoded between words to tell them apart: a digit is always a token of its own.
+_MARK = "0"
 
-    The vocabulary drops white space before it merges, so words are encoded independently.
+
+class WordIds:
+    """Packed ids of words between white space, in a memo of two generations of bounded size.
+
+    The vocabulary drops white space before it merges, so words are encoded independently. New
+    words are encoded many at a time in one text, with a mark between them.
     """
 
-    def __init__(self, vocabulary: str, most: int = 300_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and self.tokenizer.encode(f"a {_MARK} b", add_special_tokens=False).ids.count(mark[0]) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if _MARK not in w] if self.mark is not None else []
+        for i in range(0, len(plain), 4000):
+            some = plain[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                self.now[w] = raw[4 * start : 4 * end]
+                start = end + 1
+        other = [w for w in new if _MARK in w] if self.mark is not None else new
+        self.now.update(zip(other, self._ids(other), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self) > self.most:
-            self.clear()
+        if len(self.now) > self.most:
+            self.old, self.now = self.now, {}
         words = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({w for x in words if x for w in x}.difference(self))
-        for i in range(0, len(new), 20_000):
-            self.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
-        get = self.__getitem__
+        now, old, new = self.now, self.old, []
+        for w in set().union(*(x for x in words if x)).difference(now):
+            if w in old:
+                now[w] = old[w]
+            else:
+                new.append(w)
+        self._learn(new)
+        get = now.__getitem__
         return [self._ids([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, words, strict=True)]
 
 
