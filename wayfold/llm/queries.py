@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import brown_lm, decontamination, fingerprints, jaccard_join, packing, quality_classifier, sharding, url_filters
+from wayfold.llm import brown_lm, decontamination, fingerprints, jaccard_join, packing, quality_classifier, sharding, suffix_dedup, url_filters
 from wayfold.llm._shared import read, remainder
 
 
@@ -111,5 +111,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.removed(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
 ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op8_url_filters": OP8}
