@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import brown_lm, decontamination, fingerprints, jaccard_join, packing, quality_classifier, sharding, suffix_dedup, url_filters
+from wayfold.llm import brown_lm, decontamination, edit_counts, fingerprints, jaccard_join, packing, quality_classifier, sharding, suffix_dedup, url_filters
 from wayfold.llm._shared import read, remainder
 
 
@@ -37,6 +37,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def edits_by_rule() -> Column:
+    """Three edits a document, at places that follow from its id: a word changed, a deletion, a long insertion."""
+    n, place = F.char_length(F.coalesce("text", F.lit(""))), lambda k: F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"#{k}")))
+    at = lambda k: (place(k) % (n + 1)).cast("int")
+    one = lambda k, removed, inserted: F.struct(at(k).alias("start"), F.lit(removed).alias("removed"), F.lit(inserted).alias("inserted"))
+    return F.array(one(1, 4, "edit"), one(2, 23, ""), one(3, 0, " It's new:  2024\n\tthe text's second part, "))
+
+
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return edit_counts.counted(read(spark, sf_dir, "documents"), edits_by_rule(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 SHARD_BYTES = 1 << 20
 
 
@@ -115,5 +129,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.removed(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_edit_counts": op6_edit_counts, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
 ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op8_url_filters": OP8}
