@@ -199,3 +199,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
             out = out.unionAll(_matches(texts, block, settings, n_docs))
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     return out.groupBy("row", "doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that match no benchmark item. Rows with a null id stay."""
+    ids = matches(docs, benchmark, settings).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")

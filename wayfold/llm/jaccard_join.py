@@ -370,3 +370,15 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     least = least.select("node", "least", F.coalesce("component", "node").alias("component"))
     named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     return classes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is that of their component, one for each component and id.
+
+    Rows with a null doc_id stay unless they are linked to one that has an id.
+    """
+    found = join(docs, settings)
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionAll(kept.where("doc_id IS NULL"))

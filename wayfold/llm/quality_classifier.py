@@ -143,3 +143,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, difference double, score double, predicted int")
+
+
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is predicted good."""
+    small_batches(docs.sparkSession)
+    block, threshold, text = model.settings.block, model.settings.threshold, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = model.compressors()
+        for batch in batches:
+            kept = [model.probability(difference((t.as_py() or "").encode(), by, block)) >= threshold for t in batch.column(text)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -154,8 +154,8 @@ def repeated_windows(fragments: list[bytes], length: int) -> tuple[np.ndarray, n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    text, row = F.coalesce("text", F.lit("")), F.struct(*docs.columns)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 _DEALT = "part long, hash binary, fragment binary, key binary, low binary, high binary, known binary"
@@ -322,37 +322,69 @@ def _compared(docs: DataFrame, statuses: DataFrame, settings: Settings) -> DataF
     return found.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(more.select("key", "low", "high"))
 
 
+def _repeats(keyed: DataFrame, settings: Settings) -> DataFrame:
+    """(key, low, high): lists of the spans of repeated windows of each text that has any."""
+    statuses = _statuses(keyed, settings)
+    spans = statuses.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(_compared(keyed, statuses, settings))
+    return keep(spans.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "spans")
+
+
+def _runs(low: list[int] | None, high: list[int] | None, length: int) -> list[list[int]]:
+    """The maximal runs of bytes under the windows from low to high."""
+    runs: list[list[int]] = []
+    for a, b in sorted(zip(low or (), high or (), strict=True)):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b + length)
+        else:
+            runs.append([a, b + length])
+    return runs
+
+
+def _without(raw: bytes, runs: list[list[int]]) -> bytes:
+    edges = [0, *(x for r in runs for x in r), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
 def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, spans (start, end of each removed run) for every row of ``docs``."""
     small_batches(docs.sparkSession)
-    length = settings.length
-    keyed = _keyed(docs)
-    statuses = _statuses(keyed, settings)
-    spans = statuses.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(_compared(keyed, statuses, settings))
-    lists = keep(spans.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "spans")
+    keyed, length = _keyed(docs), settings.length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, low, high in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                raw = text.encode()
-                runs: list[list[int]] = []
-                for a, b in sorted(zip(low or (), high or (), strict=True)):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b + length)
-                    else:
-                        runs.append([a, b + length])
-                edges = [0, *(x for r in runs for x in r), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                raw, runs = text.encode(), _runs(low, high, length)
+                kept = _without(raw, runs)
                 rows.append((doc, kept, len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in runs]))
             if rows:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
 
-    both = keyed.join(lists, "key", "left").select("doc_id", "text", "low", "high")
+    both = keyed.join(_repeats(keyed, settings), "key", "left").select("doc_id", "text", "low", "high")
     return both.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>")
 
 
+def cleaned(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` with their columns; ``text`` without repeated bytes, ``n_chars``, if there, to match.
+
+    Bytes of a character that is cut in two go with it. Null texts stay null.
+    """
+    small_batches(docs.sparkSession)
+    keyed, length = _keyed(docs), settings.length
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_without(t.encode(), _runs(low, high, length)).decode(errors="ignore") for t, low, high in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "kept"])
+
+    both = keyed.join(_repeats(keyed, settings), "key", "left").select("row", "text", "low", "high")
+    shape = both.select("row").schema.add("kept", "string")
+    found = both.mapInArrow(cut, shape)
+    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.char_length("kept").cast("long")}
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
