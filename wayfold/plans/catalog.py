@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from wayfold.plans import pose_queries
+
+MODULES = (pose_queries,)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
