@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayfold.plans import pose_queries
+from wayfold.plans import pose_queries, space_queries
 
-MODULES = (pose_queries,)
+MODULES = (pose_queries, space_queries)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:
