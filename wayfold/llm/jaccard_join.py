@@ -13,8 +13,10 @@ sets' Jaccard similarity is at least ``Settings.percent`` / 100.
    still differ the members outside the largest component are compared with the members of other
    components. So no link that joins two components is lost, and a large group of
    near copies costs little more than its size where they are close to their leader.
-4. A comparison needs both sets: sets are dealt into blocks of bounded size, and documents with
-   lists of partners stream past each block; only links leave.
+4. Before sets are fetched, sizes and parity bitmaps of a bit for each shingle filter the pairs: bitmaps
+   of similar sets differ in no more bits than the sets in shingles.
+5. A comparison needs both sets (or bitmaps): these are dealt into blocks of bounded size, and documents with
+   lists of partners stream past each block; only lists of links leave.
 
 Components come from repeated star contraction. One shingle's group is held by one task as 20 bytes a document.
 
@@ -25,7 +27,7 @@ doc_id takes part, but names no component. Other columns are ignored; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +49,7 @@ class Settings:
     percent: int = 75
     postings: int = 1_500_000  #: prefix entries dealt to one task, about
     block: int = 4000  #: documents whose sets are held at a time, about
+    marks: int = 60_000  #: documents whose bitmaps are held at a time, about
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -109,6 +112,27 @@ def orders(s: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [s[np.lexsort((s, c))], s[np.lexsort((mix(s), level))], s[np.lexsort((mix(s * np.uint64(0x9FB21C651E98DF25)), level))]]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """The set's size and, for about as many bits, whether an odd number of its shingles falls on each."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ np.uint64(0x3C79AC492BA7B653)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
+    """False only for pairs whose sizes or bitmaps rule similarity out; each is (size, bits, bitmap)."""
+    if a[1] < b[1]:
+        a, b = b, a
+    if 100 * min(a[0], b[0]) < percent * max(a[0], b[0]):
+        return False
+    wide, bits = a[2], a[1]
+    while bits > b[1]:
+        bits //= 2
+        wide = (wide >> bits) ^ (wide & ((1 << bits) - 1))
+    # |a - b| + |b - a| <= (100 - p) / (100 + p) * (|a| + |b|) for similar sets
+    return (100 + percent) * (wide ^ b[2]).bit_count() <= (100 - percent) * (a[0] + b[0])
+
+
 def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
     """(doc_id, n, node) of every row."""
 
@@ -123,7 +147,7 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _heads(docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
-    """(node, central, head): how common the shingles are, and the prefix under order one."""
+    """(node, central, head, mark): how common the shingles are, the prefix under order one, and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +156,13 @@ def _heads(docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame
                 if len(s):
                     c = counts[(s >> np.uint64(44)).astype(np.int64)]
                     head = s[np.lexsort((s, c))][: prefix_size(len(s), settings.percent)]
-                    rows.append((_node(s), float(np.log2(c + 1.0).mean()), head.tobytes()))
+                    rows.append((_node(s), float(np.log2(c + 1.0).mean()), head.tobytes(), bitmap(s)))
             if rows:
-                kinds = (pa.int64(), pa.float32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "central", "head"])
+                kinds = (pa.int64(), pa.float32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "central", "head", "mark"])
 
-    made = docs.select("text").mapInArrow(run, "node long, central float, head binary")
-    return keep(made.groupBy("node").agg(F.first("central").alias("central"), F.first("head").alias("head")), "heads")
+    made = docs.select("text").mapInArrow(run, "node long, central float, head binary, mark binary")
+    return keep(made.groupBy("node").agg(F.first("central").alias("central"), F.first("head").alias("head"), F.first("mark").alias("mark")), "heads")
 
 
 def _groups(heads: DataFrame, settings: Settings) -> DataFrame:
@@ -212,7 +236,7 @@ def _unpacked(groups: DataFrame) -> DataFrame:
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, shingles) of the nodes in ``ids``. Sets that can't be wanted stop at a filter of fixed size."""
+    """(doc_id, held: the packed shingles) of the nodes in ``ids``. Sets that can't be wanted stop at a filter of fixed size."""
     spark, bits = docs.sparkSession, 1 << 26
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +263,9 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFra
                     if field[x >> 3] >> (x & 7) & 1:
                         rows.append((node, s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc_id", "held"])
 
-    made = docs.select("text").mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    made = docs.select("text").mapInArrow(run, "doc_id long, held binary").groupBy("doc_id").agg(F.first("held").alias("held"))
     return keep(made.join(ids, "doc_id", "left_semi"), "sets")
 
 
@@ -250,56 +274,83 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
-    """(a, b) of ``pairs`` (a, partners: packed ids) whose sets are similar."""
-    percent = settings.percent
-    blocks = max(1, sets.count() // settings.block + 1)
+def _matched(pairs: DataFrame, held_: DataFrame, per_block: int, prepare: Callable[[bytes], object], match: Callable[[object, object], bool]) -> DataFrame:
+    """``pairs`` (a, partners: packed ids) with the partners that ``match``, by what ``held_`` (doc_id, held) has of both."""
+    blocks = max(1, held_.count() // per_block + 1)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for a, partners in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.unique(np.frombuffer(partners, "<i8"))
                 part = (mix(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-                for p in np.unique(part):
-                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([p], pa.int64()), pa.array([ids[part == p].tobytes()])], ["doc_id", "part", "partners"])
+                rows += [(a, int(p), ids[part == p].tobytes()) for p in np.unique(part)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "part", "partners"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = (mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), batch.column(1)], ["doc_id", "part", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part), batch.column(1)], ["doc_id", "part", "held"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
-
-        def under(s: np.ndarray) -> list[np.ndarray]:
-            return [np.sort(o[: prefix_size(len(s), percent)]) for o in orders(s, counts)[1:]]
-
         for batch in batches:
             found = []
-            for part, kind, doc, shingles_, partners in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for part, kind, doc, own, partners in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if part != now:
                     now, held = part, {}
-                s = np.frombuffer(shingles_, np.uint64)
                 if kind == 0:
-                    held[doc] = (s, None)
+                    held[doc] = prepare(own)
                     continue
-                own = under(s)
-                for b in np.frombuffer(partners, "<i8").tolist():
-                    t, heads = held[b]
-                    if b == doc or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                        continue
-                    if heads is None:
-                        held[b] = (t, heads := under(t))
-                    if all(np.isin(x, y, assume_unique=True).any() for x, y in zip(own, heads, strict=True)) and similar(s, t, percent):
-                        found.append((doc, b))
+                own = prepare(own)
+                near = [b for b in np.frombuffer(partners, "<i8").tolist() if b != doc and match(own, held[b])]
+                if near:
+                    found.append((doc, np.array(near, "<i8").tobytes()))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.binary()), strict=True)], ["a", "partners"])
+
+    asks = pairs.mapInArrow(split, "doc_id long, part long, partners binary").join(held_, "doc_id").select("part", F.lit(1).alias("kind"), "doc_id", "held", "partners")
+    have = held_.mapInArrow(place, "doc_id long, part long, held binary").select("part", F.lit(0).alias("kind"), "doc_id", "held", F.lit(None).cast("binary").alias("partners"))
+    rows = have.unionAll(asks).repartition(blocks, "part").sortWithinPartitions("part", "kind")
+    return keep(rows.mapInArrow(compare, "a long, partners binary"), "matched")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, marks: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
+    """(a, b) of ``pairs`` (a, partners: packed ids) whose sets are similar."""
+    percent = settings.percent
+
+    def mark(raw: bytes) -> tuple[int, int, int]:
+        return int.from_bytes(raw[:8], "little"), 8 * (len(raw) - 8), int.from_bytes(raw[8:], "little")
+
+    def shingled(raw: bytes) -> list:
+        return [np.frombuffer(raw, np.uint64), None]
+
+    def under(x: list) -> list[np.ndarray]:
+        if x[1] is None:
+            x[1] = [np.sort(o[: prefix_size(len(x[0]), percent)]) for o in orders(x[0], counts)[1:]]
+        return x[1]
+
+    def linked(x: list, y: list) -> bool:
+        return all(np.isin(a, b, assume_unique=True).any() for a, b in zip(under(x), under(y), strict=True)) and similar(x[0], y[0], percent)
+
+    left = _matched(pairs, marks, settings.marks, mark, lambda a, b: may_be_similar(a, b, percent))
+    sets = _wanted_sets(docs, keep(_partners(left).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), settings)
+    return keep(_partners(_matched(left, sets, settings.block, shingled, linked)), "similar")
+
+
+def _partners(pairs: DataFrame) -> DataFrame:
+    """(a, b) of packed lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                some = batch.slice(i, 64)
+                lists = [np.frombuffer(b, "<i8") for b in some.column(1).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array(np.concatenate(lists))], ["a", "b"])
 
-    asks = pairs.mapInArrow(split, "doc_id long, part long, partners binary").join(sets, "doc_id").select("part", F.lit(1).alias("kind"), "doc_id", "shingles", "partners")
-    have = sets.mapInArrow(place, "doc_id long, part long, shingles binary").select("part", F.lit(0).alias("kind"), "doc_id", "shingles", F.lit(None).cast("binary").alias("partners"))
-    used = have.join(asks.select("part").distinct(), "part", "left_semi")
-    rows = used.unionAll(asks).repartition(blocks, "part").sortWithinPartitions("part", "kind")
-    return keep(rows.mapInArrow(compare, "a long, b long"), "similar")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _rest(groups: DataFrame, parts: DataFrame) -> DataFrame:
@@ -350,11 +401,10 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = _classes(docs, settings)
     counts = _counts(docs, settings.n)
-    groups = _groups(_heads(docs, counts, settings), settings)
-    members = _unpacked(groups)
-    star = keep(members.where("doc <> lead").select("doc", "lead").distinct(), "star")
-    ids = keep(star.select(F.col("doc").alias("doc_id")).unionAll(star.select("lead")).distinct(), "ids")
-    sets = _wanted_sets(docs, ids, settings)
+    heads = _heads(docs, counts, settings)
+    marks = heads.select(F.col("node").alias("doc_id"), F.col("mark").alias("held"))
+    groups = _groups(heads, settings)
+    star = _unpacked(groups).where("doc <> lead").select("doc", "lead").distinct()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,9 +412,9 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["a", "partners"])
 
     asked = star.groupBy("doc").agg(F.collect_list("lead").alias("leads")).mapInArrow(packed, "a long, partners binary")
-    near = _links(asked, sets, counts, settings)
+    near = _links(docs, asked, marks, counts, settings)
     parts = keep(components(near), "parts")
-    more = _links(_rest(groups, parts), sets, counts, settings)
+    more = _links(docs, _rest(groups, parts), marks, counts, settings)
     whole = components(near.unionAll(more)).select(F.col("id").alias("node"), "component")
     least = classes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.select("node", "least", F.coalesce("component", "node").alias("component"))
