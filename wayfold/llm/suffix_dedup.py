@@ -10,7 +10,7 @@
    than their successors are sorted directly, all others are induced by scanning the buckets in order.
    Common prefixes of neighbours show which windows repeat.
 4. A frequent anchor's fragments are spread over blocks. Windows that its block leaves alone, and one
-   of each kind that repeats there, then meet by hash.
+   of each kind that repeats there, are dealt by their own hash, packed, and meet there.
 5. Repeated windows return to their documents.
 
 Matches never cross documents. Every window is decided, on the input; the block size limits memory only.
@@ -170,10 +170,21 @@ def _spans(rows: tuple) -> pa.RecordBatch:
 
 #: Status of a span: all its windows repeat; its text is needed; its text is needed though it is known to repeat.
 REPEATS, ASKS, SHOWS = 0, 1, 2
+#: Windows on their way to others of their hash; ``asks``: whether it is open if this one repeats.
+_WINDOW = np.dtype([("hash", "<u8"), ("key", "<i8"), ("at", "<i4"), ("asks", "u1")])
 
 
-def _statuses(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Spans of windows by key: those known to repeat and those whose text has to be compared."""
+def _runs_of(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Spans of consecutive windows of a text."""
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    first = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(key) != 0))) if len(at) else order
+    last = np.append(first[1:], len(at)) - 1 if len(at) else order
+    return pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())], ["key", "low", "high", "part", "windows"])
+
+
+def _statuses(docs: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
+    """Spans of windows by key: those known to repeat and those whose text has to be compared; and the number of ranges."""
     length, gram, limit = settings.length, settings.gram, settings.fragments
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size / ((length - gram + 2) / 2) // settings.occurrences) + 1)
@@ -184,6 +195,8 @@ def _statuses(docs: DataFrame, settings: Settings) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             h, f, key, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+            if not len(h):
+                return
             order = np.lexsort((f, h))
             h, f, key, low, high = (x[order] for x in (h, f, key, low, high))
             first = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]))
@@ -256,10 +269,10 @@ def _statuses(docs: DataFrame, settings: Settings) -> DataFrame:
     dealt = docs.select("text", "key").mapInArrow(deal, _DEALT)
     # rows known in their task need no range; they are spread
     where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("key"), F.lit(ranges)))
-    return keep(dealt.repartition(ranges, where).mapInArrow(decide, _SPAN), "statuses")
+    return keep(dealt.repartition(ranges, where).mapInArrow(decide, _SPAN), "statuses"), ranges
 
 
-def _compared(docs: DataFrame, statuses: DataFrame, settings: Settings) -> DataFrame:
+def _compared(docs: DataFrame, statuses: DataFrame, ranges: int, settings: Settings) -> DataFrame:
     """(key, low, high): spans of windows that suffix arrays find repeated."""
     length = settings.length
     asked = statuses.where(F.col("status") > REPEATS)
@@ -281,28 +294,23 @@ def _compared(docs: DataFrame, statuses: DataFrame, settings: Settings) -> DataF
             owner, window, kind = repeated_windows([x[5] for x in held], length)
             key = np.array([x[0] for x in held], np.int64)
             at = np.array([x[1] for x in held], np.int64)[owner] + window
-            split = held[0][3]
             times = np.bincount(kind)[kind] if len(kind) else kind
             asks = np.array([x[4] for x in held])[owner] == ASKS
-            if split:  # lone windows and one of each kind go on, by hash
+            found = np.flatnonzero(asks & (times > 1))
+            yield _runs_of(key[owner[found]], at[found])
+            if held[0][3] and len(kind):  # lone windows and one of each kind go on, by hash
+                some = np.unique(kind, return_index=True)[1]
                 sums = prefix_hash(np.frombuffer(b"".join(x[5] for x in held), np.uint8))
-                begin = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])])[owner] + window
-                hashes = span_hash(sums, begin, begin + length).view(np.int64)
-                some = np.zeros(len(kind), bool)
-                some[np.unique(kind, return_index=True)[1]] = True
-                found = np.flatnonzero(some | (asks & (times > 1)))
-                own = some[found] & (times[found] == 1) & asks[found]
-                cols = (key[owner[found]], at[found], at[found], np.where(some[found], hashes[found], 0), some[found], np.where(own, ASKS, np.where(asks[found], REPEATS, SHOWS)))
-            else:
-                found = np.flatnonzero(asks & (times > 1))
-                order = found[np.lexsort((at[found], owner[found]))]
-                if not len(order):
-                    return
-                new = np.append(True, (np.diff(at[order]) != 1) | (np.diff(owner[order]) != 0))
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(order)) - 1
-                cols = (key[owner[order[first]]], at[order[first]], at[order[last]], np.zeros(len(first), np.int64), np.zeros(len(first), bool), np.full(len(first), REPEATS))
-            yield _spans(cols)
+                begin = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])])[owner[some]] + window[some]
+                out_ = np.zeros(len(some), _WINDOW)
+                out_["hash"], out_["key"], out_["at"], out_["asks"] = span_hash(sums, begin, begin + length), key[owner[some]], at[some], asks[some] & (times[some] == 1)
+                part = (out_["hash"] % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                bounds = np.searchsorted(part[order], np.arange(ranges + 1))
+                used = [r for r in range(ranges) if bounds[r] < bounds[r + 1]]
+                blobs = [out_[order[bounds[r] : bounds[r + 1]]].tobytes() for r in used]
+                none = pa.nulls(len(used), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), none, none, pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["key", "low", "high", "part", "windows"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -315,17 +323,28 @@ def _compared(docs: DataFrame, statuses: DataFrame, settings: Settings) -> DataF
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     fragments = texts.mapInArrow(cut, "key long, low int, block long, split boolean, status int, bytes binary")
-    found = keep(fragments.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(sort, _SPAN), "compared")
-    by_hash = found.where("split")  # ``block`` holds the window's hash
-    twice = by_hash.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    more = by_hash.where(F.col("status") == ASKS).join(twice, "block", "left_semi")
-    return found.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(more.select("key", "low", "high"))
+    shape = "key long, low int, high int, part long, windows binary"
+    found = keep(fragments.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(sort, shape), "compared")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(blob, _WINDOW))
+        for blobs in held.values():
+            w = np.concatenate(blobs)
+            _, at, times = np.unique(w["hash"], return_inverse=True, return_counts=True)
+            w = w[(times[at] > 1) & (w["asks"] == 1)]
+            yield _runs_of(w["key"], w["at"])
+
+    met = found.where("part IS NOT NULL").select("part", "windows").repartition(ranges, "part").mapInArrow(meet, shape)
+    return found.where("key IS NOT NULL").select("key", "low", "high").unionAll(met.select("key", "low", "high"))
 
 
 def _repeats(keyed: DataFrame, settings: Settings) -> DataFrame:
     """(key, low, high): lists of the spans of repeated windows of each text that has any."""
-    statuses = _statuses(keyed, settings)
-    spans = statuses.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(_compared(keyed, statuses, settings))
+    statuses, ranges = _statuses(keyed, settings)
+    spans = statuses.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(_compared(keyed, statuses, ranges, settings))
     return keep(spans.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "spans")
 
 
