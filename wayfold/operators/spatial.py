@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pairs that may be compared without finer cells.
+DIRECT = 2_000_000
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write to the folder that the cluster shares (spark.checkpoint.dir) and read back; cuts the lineage."""
     spark = df.sparkSession
@@ -26,7 +30,7 @@ def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, size
     """(id, nn, d2, rank): the ``k`` nearest of ``right`` for each row of ``left`` (id and axes); ties to the lower id.
 
     Cells are tried from small to large: a distance of at most one cell is final once all
-    neighbouring cells were seen; other rows go on with cells twice as wide.
+    neighbouring cells were seen; other rows go on with wider cells. Once few pairs are left (``DIRECT``), one cell holds all.
     """
     left, right = left.select("id", *axes), keep(right.select(F.col("id").alias("nn"), *(F.col(c).alias(f"r_{c}") for c in axes)))
     box = right.agg(F.count("*").alias("n"), *(F.min(f"r_{c}").alias(f"l_{c}") for c in axes), *(F.max(f"r_{c}").alias(f"h_{c}") for c in axes)).first()
@@ -36,6 +40,8 @@ def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, size
     wide = max(max(box[f"h_{c}"], own[f"h_{c}"]) - min(box[f"l_{c}"], own[f"l_{c}"]) for c in axes) or 1.0
     size = size or max(wide * (2.0 / box["n"]) ** (1 / len(axes)), wide * 1e-6)
     todo, out = left, None
+    if left.count() * box["n"] <= DIRECT:
+        size = wide
     while True:
         asked = todo.select("*", F.explode(cells_around(axes, size)).alias("c")).select("id", *axes, *(F.col(f"c.c_{c}").alias(f"c_{c}") for c in axes))
         placed = right.select("*", *(cell(F.col(f"r_{c}"), size).alias(f"c_{c}") for c in axes))
@@ -51,9 +57,10 @@ def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, size
         if last:
             return out
         todo = keep(todo.join(done.select("id").distinct(), "id", "left_anti"))
-        if not todo.limit(1).count():
+        rest = todo.count()
+        if not rest:
             return out
-        size *= 2
+        size = wide if rest * box["n"] <= DIRECT else size * 3
 
 
 def cells_around(axes: list[str], size: float) -> Column:
