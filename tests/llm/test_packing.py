@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from wayfold.llm import packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "Hello, World! it's 2024 0 00 a0b", " \t\n ", "É Ñ ß é İ Σας ΟΔΟΣ áb", "x" * 3000, "a\x1cb \x1f c", "der the 10.000 words, " * 700, "<|endoftext|> plain", "same", "same", " nbsp wide\u0085line"]
+TEXTS = ["", None, "Hello, World! it's 2024 0 00 a0b", " \t\n ", "É Ñ ß é İ Σας ΟΔΟΣ áb", "x" * 3000, "a\x1cb \x1f c", "der the 10.000 words, " * 700, "<|endoftext|> plain", "same", "same", " nbsp wide\u0085line", "Stop. stop, STOP., it's. 9. É. ß, µ. ... ,. a.b. İ. Σας."]
 
 
 @pytest.fixture(scope="module")

@@ -45,7 +45,7 @@ class WordIds:
     words are encoded many at a time in one text, with a mark between them.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -53,14 +53,33 @@ class WordIds:
         self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stops = {c: self._ids([c])[0] for c in ".,"}
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 and self.tokenizer.encode(f"a {_MARK} b", add_special_tokens=False).ids.count(mark[0]) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _known(self, word: str) -> bool:
+        if word not in self.now and word in self.old:
+            self.now[word] = self.old[word]
+        return word in self.now
+
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _MARK not in w] if self.mark is not None else []
+        """Ids of new words; those of Latin-1 words from their lower case without a last full stop or comma.
+
+        The vocabulary lowers letters itself, and such a stop after a letter is always a token of its own.
+        """
+        bases, todo = [], {}
+        for w in new:
+            latin = w.isascii() or max(w) <= "\xff"
+            c = w.lower() if latin else w
+            stop = latin and len(c) > 1 and c[-1] in self.stops and c[-2].isalpha()
+            base = c[:-1] if stop else c
+            bases.append((w, base, self.stops[c[-1]] if stop else b""))
+            if base not in todo and not self._known(base):
+                todo[base] = None
+        plain = [w for w in todo if _MARK not in w] if self.mark is not None else []
         for i in range(0, len(plain), 4000):
             some = plain[i : i + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -69,8 +88,10 @@ class WordIds:
             for w, end in zip(some, ends, strict=True):
                 self.now[w] = raw[4 * start : 4 * end]
                 start = end + 1
-        other = [w for w in new if _MARK in w] if self.mark is not None else new
+        other = [w for w in todo if _MARK in w] if self.mark is not None else list(todo)
         self.now.update(zip(other, self._ids(other), strict=True))
+        for w, base, stop in bases:
+            self.now[w] = self.now[base] + stop
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
