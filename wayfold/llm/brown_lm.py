@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import keep, small_batches
+from wayfold.llm._shared import keep, parts, small_batches
 from wayfold.llm._words import Words, mix, portions, words
 
 
@@ -42,7 +42,7 @@ class Settings:
     types: int = 49_151  #: words clustered one by one, at most
     endings: int = 16_384  #: types of all other words
     lexicon: int = 1 << 20  #: words whose counts are held as arrays, at most
-    ranges: int = 128  #: parts of the bigram table
+    ranges: int = 128  #: parts of the bigram table, at least
     steps: int = 12  #: exchange steps; each moves half of the types
     weight: float = 16.0  #: of the class distribution in a class's transitions
 
@@ -193,11 +193,11 @@ def _lexicon(counts: DataFrame, settings: Settings) -> Lexicon:
 
 
 def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame:
-    """Table (range, way, keys, counts): neighbours after (way 0) and before (way 1) each type of a range.
+    """Table (range, after, after_n, before, before_n): counts of neighbours after and before each type of a range.
 
     A key is type * 2^32 + neighbour; one range has what its types' neighbours can be at most, whatever the corpus.
     """
-    ranges = settings.ranges
+    ranges = max(settings.ranges, parts(train.sparkSession))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(1_500_000)
@@ -234,13 +234,13 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
                 k = np.frombuffer(keys, "<u4").reshape(-1, 2).astype(np.int64)
                 n = np.frombuffer(counts, "<i8" if len(counts) == len(keys) else "<u2").astype(np.int64)
                 held.setdefault((r, way), Tally(2_000_000)).add((k[:, 0] << 32) | k[:, 1], n)
-        for (r, way), tally in held.items():
-            k, n = tally.take()
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([way], pa.int32()), pa.array([k.astype("<i8").tobytes()]), pa.array([n.astype("<i8").tobytes()])], ["range", "way", "keys", "counts"])
+        for r in sorted({r for r, _ in held}):
+            blobs = [x.astype("<i8").tobytes() for way in (0, 1) for x in held.get((r, way), Tally(1)).take()]
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["range", "after", "after_n", "before", "before_n"])
 
     schema = "range int, way int, keys binary, counts binary"
     dealt = train.select("text").mapInArrow(count, schema).repartition(ranges, "range")
-    return keep(dealt.mapInArrow(merge, schema).repartition(ranges, "range"), "bigrams")
+    return keep(dealt.mapInArrow(merge, "range int, after binary, after_n binary, before binary, before_n binary"), "bigrams")
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -252,27 +252,20 @@ def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np
     k = settings.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ways: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
         table_ = np.zeros((k, k), np.int64)
-        for batch in batches:
-            for r, way, keys, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                key, n = np.frombuffer(keys, "<i8"), np.frombuffer(counts, "<i8")
-                if classes is None:
-                    if way == 0:
-                        cells = of_type[key >> 32] * k + of_type[key & 0xFFFFFFFF]
-                        table_ += np.bincount(cells, n, k * k).astype(np.int64).reshape(k, k)
-                else:
-                    ways.setdefault(r, {})[way] = key, n
+        ranges = (tuple(np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in range(4)) for batch in batches for i in range(len(batch)))
         if classes is None:
+            for key, n, _, _ in ranges:
+                cells = of_type[key >> 32] * k + of_type[key & 0xFFFFFFFF]
+                table_ += np.bincount(cells, n, k * k).astype(np.int64).reshape(k, k)
             a, b = np.nonzero(table_)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(table_[a, b])], ["a", "b", "n"])
             return
         margin = classes.sum(1).astype(float)
         full = classes.astype(float)
-        for both in ways.values():
+        for after_key, after_n, before_key, before_n in ranges:
             rows = []
-            for way in (0, 1):
-                key, n = both.get(way, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            for key, n in ((after_key, after_n), (before_key, before_n)):
                 t = key >> 32
                 kinds, at = np.unique(t, return_inverse=True)
                 m = np.bincount(at * k + of_type[key & 0xFFFFFFFF], n, len(kinds) * k).reshape(-1, k) if len(t) else np.zeros((0, k))
@@ -298,8 +291,7 @@ def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np
                 a, b = (np.array(x, np.int64) for x in zip(*moved, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), np.int64))], ["a", "b", "n"])
 
-    whole = table if classes is None else table.repartition(settings.ranges, "range")
-    return whole.mapInArrow(run, "a long, b long, n long")
+    return table.select("after", "after_n", "before", "before_n").mapInArrow(run, "a long, b long, n long")
 
 
 def _class_table(table: DataFrame, of_type: np.ndarray, settings: Settings) -> np.ndarray:
