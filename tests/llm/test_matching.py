@@ -141,6 +141,43 @@ def test_decontamination_against_a_plain_alignment(spark):
     assert decontamination.matches(table.limit(0), bench).count() == 0 and decontamination.matches(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "w" + str(rng.randint(0, 400))
+    items = [" ".join(word() for _ in range(n)) for n in (3, 8, 20, 21, 33, 48)]
+
+    def changed(text, share):
+        return " ".join(w if rng.random() > share else rng.choice(["", word(), f"{w} {word()}"]) for w in text.split())
+
+    every = lambda text, k, put: " ".join(put(w) if i % k == k - 1 else w for i, w in enumerate(text.split()))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    copies = [(k, every(t, 3, lambda _: "zz")) for k, t in enumerate(items)]  # no three words in a row are left
+    copies += [(k, every(t, 2, lambda w: f"{w} {word()}")) for k, t in enumerate(items)] + [(k, every(t, 1, lambda w: f"{w} {word()}")) for k, t in enumerate(items)]
+    copies += [(k, changed(items[k], share)) for share in (0.2, 0.25, 0.4) for k in (3, 4, 5) for _ in range(2)]
+    copies += [(2, changed(items[2], 0.25)) for _ in range(60)]  # many copies with their own counts
+    texts = [f"{filler(rng.randint(0, 40))} {t} {filler(rng.randint(0, 40))}" for _, t in copies] + [filler(200) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def plain(a, b):
+        last, best = [0] * (len(b) + 1), 0
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b, 1):
+                row.append(max(0, last[j - 1] + (2 if x == y else -1), last[j] - 1, row[-1] - 1))
+            last, best = row, max(best, *row)
+        return best / (2 * len(a))
+
+    scores = {(i, k): plain(t.split(), d.split()) for i, d in enumerate(texts) for k, t in enumerate(items)}
+    want = {key: pytest.approx(s) for key, s in scores.items() if s >= 0.5}
+    assert sum(0.5 <= scores[i, k] < 0.7 for i, (k, _) in enumerate(copies)) > 20
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.matches(docs, bench, decontamination.Settings(items=4)).collect()} == want
+    i = next(i for i, (k, _) in enumerate(copies) if (i, k) in want)  # a single copy in a small table
+    one = decontamination.matches(docs.where(F.col("doc_id") == i), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in one} == {key: s for key, s in want.items() if key[0] == i}
+    assert decontamination.matches(docs, bench.select("item_id", F.lit("two words").alias("text"))).count() == 0
+
+
 def test_sharding(spark):
     rows = [(i, "x" * (i * 37 % 90)) for i in range(400)] + [(None, "y"), (5, None), (6, "z" * 5000)] + [(77, "same row")] * 100
     found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), limit=300).collect()

@@ -1,11 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment of words.
 
 The benchmark is read in blocks of bounded size; each block is held by every task while all
-documents stream by, so texts are never shuffled. A first pass counts in how many documents
-each three-word sequence of the block occurs. An item's seeds are its rarer half (by that count),
-and whatever occurs in at most ``Settings.rare`` of all documents. A second pass joins documents to
-items on seeds, cuts the passage around each seed that an item could cover, and aligns
-passage and item word by word. The score is the alignment's, divided by that of an exact copy.
+documents stream by, so texts are never shuffled. A pair is two words with at most one between them.
+
+No passage at the threshold is lost. Let an alignment of an item of n words have m matches and e errors
+(mismatches and gaps), so its score is 2m - e. Of its m - 1 steps from a match to the next, one without an error
+or with one error is a pair in both texts, that begins at an own place of the item; the others have two errors or
+more. So a score of s needs pairs at (s - 2) / 2 of the item's n - 1 places or more, and of any places, one
+more than the others can miss, one has its pair in the passage. These places are the item's seeds: the ones
+whose pairs the fewest documents hold, counted in a first pass. The counts choose among sufficient sets
+of seeds, so they set the cost and not the result. A second pass joins documents to items on seeds, cuts the passage
+that an alignment through the seed can cover at most, and aligns passage and item word by word. The score is
+the alignment's, divided by that of an exact copy.
 
 Cases: null and empty texts have no words. Items with fewer than three words are not searched,
 null items are ignored, items of equal text are found alike, items with one id and different
@@ -28,44 +34,49 @@ from pyspark.sql import functions as F
 from wayfold.llm._shared import small_batches
 from wayfold.llm._words import Words, mix, portions, words
 
-GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
 @dataclass(frozen=True)
 class Settings:
-    threshold: float = 0.5  #: least share of an exact copy's score
-    rare: float = 1e-5  #: share of the documents in which a seed may always occur
+    threshold: float = 0.5  #: least share of an exact copy's score; above 1/3, so that the shortest item needs a pair
     items: int = 2000  #: in a block, about
 
 
 @dataclass
 class Block:
-    """The items of a block: their words' hashes and their three-word sequences."""
+    """The items of a block: their words' hashes and their pairs."""
 
     ids: list[int]
     words: list[np.ndarray]
-    grams: np.ndarray  #: sorted distinct sequence hashes
+    grams: np.ndarray  #: sorted distinct pair hashes
     gram: np.ndarray  #: for each (item, place) its number in ``grams``, sorted by it
     item: np.ndarray
     place: np.ndarray
 
 
-def sequences(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word's number of each three-word sequence that lies in one text."""
-    n = len(w.hash) - GRAM + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(w.text[:n] == w.text[GRAM - 1 :])
-    total = np.zeros(len(at), np.uint64)
-    for k in range(GRAM):
-        total += w.hash[at + k] * np.uint64(0x9E3779B97F4A7C15 ^ (k * 0x1234567890ABCDEF))
-    return mix(total), at
+def pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word's number of each two words of one text that have at most one word between them."""
+    found = []
+    for step in (1, 2):
+        n = max(0, len(w.hash) - step)
+        at = np.flatnonzero(w.text[:n] == w.text[step:])
+        found.append((mix(w.hash[at] * np.uint64(0x9E3779B97F4A7C15) + w.hash[at + step] * np.uint64(0xD6E8FEB86659FD93)), at))
+    h, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, at
+
+
+def least_score(n: int, threshold: float) -> int:
+    """The least score of an item of n words whose share reaches the threshold."""
+    s = max(0, math.floor(threshold * MATCH * n) - 1)
+    while s / (MATCH * n) < threshold:
+        s += 1
+    return s
 
 
 def block_of(rows: list[tuple[int, str]]) -> Block:
     w = words([t.encode() for _, t in rows])
-    h, at = sequences(w)
+    h, at = pairs(w)
     item, place = w.text[at], at - w.first[w.text[at]]
     grams, number = np.unique(h, return_inverse=True)
     order = np.argsort(number, kind="stable")
@@ -73,6 +84,16 @@ def block_of(rows: list[tuple[int, str]]) -> Block:
     return Block([i for i, _ in rows], own, grams, number[order], item[order], place[order])
 
 
+def _hits(w: Words, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word's number and number in ``grams`` of each pair that is there."""
+    h, at = pairs(w)
+    if not len(grams):
+        return at[:0], at[:0]
+    k = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+    hit = np.flatnonzero(grams[k] == h)
+    return at[hit], k[hit]
+
+
 def _document_counts(docs: DataFrame, block: Block) -> np.ndarray:
     grams = block.grams
 
@@ -81,10 +102,8 @@ def _document_counts(docs: DataFrame, block: Block) -> np.ndarray:
         for batch in batches:
             for _, some in portions(batch.column(0).to_pylist()):
                 w = words(some)
-                h, at = sequences(w)
-                k = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-                hit = grams[k] == h
-                both = np.unique(w.text[at[hit]] * np.int64(len(grams)) + k[hit])
+                at, k = _hits(w, grams)
+                both = np.unique(w.text[at] * np.int64(len(grams)) + k)
                 total += np.bincount(both % len(grams), minlength=len(grams))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
@@ -127,38 +146,47 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best // unit, np.where(best > 0, unit - 1 - best % unit, 0), end
 
 
-def _passages(w: Words, block: Block, seeds: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, end) around the seeds, neighbours merged into one."""
-    h, at = sequences(w)
-    k = np.minimum(np.searchsorted(block.grams, h), len(block.grams) - 1)
-    hit = np.flatnonzero((block.grams[k] == h) & seeds[k])
-    if not len(hit):
+def _seeds(block: Block, counts: np.ndarray, least: np.ndarray) -> Block:
+    """The block with the pairs of its items' seeds alone."""
+    size = np.array([len(x) for x in block.words])
+    first = np.concatenate([[0], np.cumsum(size)])
+    cost = np.zeros(first[-1])
+    np.add.at(cost, first[block.item] + block.place, counts[block.gram])
+    chosen = np.zeros(len(cost), bool)
+    for i in np.flatnonzero(size >= 3):
+        places = size[i] - 1
+        hit = (least[i] - 2 + 1) // 2  # places at least, of an alignment with the least score
+        chosen[first[i] + np.argsort(cost[first[i] : first[i] + places], kind="stable")[: max(0, places - hit + 1)]] = True
+    left = chosen[first[block.item] + block.place]
+    used, gram = np.unique(block.gram[left], return_inverse=True)
+    return Block(block.ids, block.words, block.grams[used], gram, block.item[left], block.place[left])
+
+
+def _passages(w: Words, seeds: Block, least: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, first word, end) of what alignments through the seeds can cover, those that begin close together in one."""
+    at, k = _hits(w, seeds.grams)
+    if not len(at):
         return []
-    lo, hi = np.searchsorted(block.gram, k[hit]), np.searchsorted(block.gram, k[hit], "right")
-    which = np.repeat(hit, hi - lo)
-    each = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
-    text, item = w.text[at[which]], block.item[each]
-    size = np.array([len(x) for x in block.words])[item]
-    start = at[which] - block.place[each]
-    lows, highs = np.maximum(start - size // 2, w.first[text]), np.minimum(start + size + size // 2, w.first[text + 1])
-    out: list[list[int]] = []
-    for i in np.lexsort((lows, item, text)):
-        t, j, a, b = int(text[i]), int(item[i]), int(lows[i]), int(highs[i])
-        if out and out[-1][:2] == [t, j] and a <= out[-1][2] + len(block.words[j]) // 4:
-            out[-1][3] = max(out[-1][3], b)
-        else:
-            out.append([t, j, a, b])
-    return [tuple(x) for x in out]
-
-
-def _matches(docs: DataFrame, block: Block, settings: Settings, n_docs: int) -> DataFrame:
-    counts = _document_counts(docs, block)
-    middle = np.zeros(len(block.ids))
-    of = np.argsort(block.item, kind="stable")
-    for own in np.split(of, np.flatnonzero(np.diff(block.item[of])) + 1):
-        middle[block.item[own[0]]] = np.median(counts[block.gram[own]]) if len(own) else 0
-    seeds = counts <= settings.rare * n_docs
-    seeds[block.gram[counts[block.gram] <= middle[block.item]]] = True
+    lo, hi = np.searchsorted(seeds.gram, k), np.searchsorted(seeds.gram, k, "right")
+    each = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+    at = np.repeat(at, hi - lo)
+    text, item, place = w.text[at], seeds.item[each], seeds.place[each]
+    size = np.array([len(x) for x in seeds.words])[item]
+    # every part of a best alignment before or after a match has a score above 0: at most two gaps for each word
+    gaps = MATCH * size - least[item]
+    lows = np.maximum(at - place - np.minimum(MATCH * place, gaps), w.first[text])
+    highs = np.minimum(at - place + size + np.minimum(MATCH * (size - place), gaps), w.first[text + 1])
+    near = lows // np.maximum(1, size // 4)
+    order = np.lexsort((near, item, text))
+    text, item, near, lows, highs = (x[order] for x in (text, item, near, lows, highs))
+    new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (near[1:] != near[:-1])))
+    columns = text[new], item[new], np.minimum.reduceat(lows, new), np.maximum.reduceat(highs, new)
+    return list(zip(*(x.tolist() for x in columns), strict=True))
+
+
+def _matches(docs: DataFrame, block: Block, settings: Settings) -> DataFrame:
+    least = np.array([least_score(max(1, len(x)), settings.threshold) for x in block.words])
+    seeds = _seeds(block, _document_counts(docs, block), least)
     names = ["row", "doc_id", "item_id", "score", "first_word", "last_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +195,10 @@ def _matches(docs: DataFrame, block: Block, settings: Settings, n_docs: int) ->
             ids, found = batch.column(0).to_pylist(), []
             for first, some in portions(batch.column(1).to_pylist()):
                 w = words(some)
-                spots = sorted(_passages(w, block, seeds), key=lambda s: s[3] - s[2])
-                for i in range(0, len(spots), 256):
-                    part = spots[i : i + 256]
+                spots = sorted(_passages(w, seeds, least), key=lambda s: s[3] - s[2])
+                many = min(256, 1 + (1 << 20) // (spots[-1][3] - spots[-1][2])) if spots else 1
+                for i in range(0, len(spots), many):
+                    part = spots[i : i + many]
                     scores, starts, ends = align([block.words[j] for _, j, _, _ in part], [w.hash[a:b] for _, _, a, b in part])
                     for (t, j, a, _), s, x, y in zip(part, scores.tolist(), starts.tolist(), ends.tolist(), strict=True):
                         share = s / (MATCH * len(block.words[j]))
@@ -186,17 +215,18 @@ def _matches(docs: DataFrame, block: Block, settings: Settings, n_docs: int) ->
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): the best passage of each document and item at the threshold."""
+    if settings.threshold <= 1 / 3:
+        raise ValueError("threshold must be above 1/3")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n_docs = texts.count()
     blocks = math.ceil(items.count() / settings.items)
     out = texts.sparkSession.createDataFrame([], "row long, doc_id long, item_id long, score double, first_word long, last_word long")
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about settings.items
         block = block_of([(r["item_id"], r["text"]) for r in rows])
         if len(block.grams):
-            out = out.unionAll(_matches(texts, block, settings, n_docs))
+            out = out.unionAll(_matches(texts, block, settings))
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     return out.groupBy("row", "doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
