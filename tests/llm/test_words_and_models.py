@@ -76,6 +76,35 @@ def test_probabilities_sum_to_one(scored):
     assert all(total <= model.size[c] for c, total in of_class.items())
 
 
+def test_words_beyond_the_types_have_classes_by_their_neighbours(spark):
+    rng = random.Random(6)
+    # two languages of four frequent words each, and rare words of one ending among them
+    word = lambda x, y: f"{y}{rng.randint(0, 40)}xend" if rng.random() < 0.25 else f"{x}{rng.randint(0, 3)}"
+    texts = [" ".join(word(*("ar" if i % 2 else "bs")) for _ in range(24)) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    models = {}
+    for lexicon in (8, 1000):  # the classes come from the table, or from the arrays
+        model = brown_lm.train(df, brown_lm.Settings(classes=5, types=8, endings=16, lexicon=lexicon, ranges=4, steps=6))
+        own = {r.h: r["class"] for r in model.counts.collect()}
+        of = lambda word: own[int(_words.words([word.encode()]).hash.view(np.int64)[0])]
+        seen = sorted({w for t in texts for w in t.split()})
+        (r, n_r), (s, n_s) = (Counter(of(w) for w in seen if w[0] == first).most_common(1)[0] for first in "rs")
+        assert len(own) == len(seen) and r != s and min(n_r, n_s) >= 36  # of 41 each
+        scores = {r.doc_id: r for r in brown_lm.score(df, model).collect()}
+        # scores and sizes against plain sums over the classes
+        tokens, uses = Counter(), Counter(w for t in texts for w in t.split())
+        for w in seen:
+            tokens[of(w)] += uses[w] + 1
+        tokens[0] = len(texts) + 1
+        assert [tokens[c] + 1 for c in range(5)] == model.size.tolist()
+        for i, t in enumerate(texts):
+            c = [0, *(of(w) for w in t.split()), 0]
+            want = sum(model.transition[a, b] - math.log10(model.size[b]) for a, b in zip(c[:-1], c[1:], strict=True)) + sum(math.log10(uses[w] + 1) for w in t.split()) + math.log10(len(texts) + 1)
+            assert scores[i].score == pytest.approx(want) and scores[i].n_known == len(c) - 1
+        models[lexicon] = model.transition
+    assert np.allclose(models[8], models[1000])
+
+
 def test_untrained_and_empty(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     model = brown_lm.train(df.limit(0), SMALL)

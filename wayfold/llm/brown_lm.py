@@ -4,14 +4,17 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)), over words and one end per
 
 * Counts of all training words are a table (hash, count). Words with the highest counts (at
   most ``Settings.lexicon``, all words of one count together) are also held as arrays.
-* Clustered are *types*: the end, the most frequent words one by one (at most
-  ``Settings.types``), and for all others one type for each hash of their last four bytes, so every word
-  has a class and the class map has a fixed size.
+* Exchanged are *types*: the end, the most frequent words one by one (at most
+  ``Settings.types``), and for all others one type for each hash of their last four bytes, so the map has a fixed size.
+* Each of the other words then gets a class of its own neighbours: the class in which the classes before and after
+  all its uses are likeliest, by the transitions between words clustered one by one. Neighbours that are
+  themselves such words count by the class of their ending. All words' classes and counts are a table.
 * Exchange needs each type's neighbours. One pass counts bigrams of types, dealt by type
   range; a range keeps the counts of both directions, so an exchange step reads its
   range and the current classes and moves its types to the class with the highest likelihood. Half
   of the types move at a time. Only class tables and the class map reach the driver.
-* Scoring finds frequent words in the arrays; the others are joined with the count table.
+* Class counts and scores find frequent words in the arrays; the others are joined with the table.
+  A word without training uses has no neighbours and takes the class of its ending.
 
 Smoothing: class transitions are interpolated with the class distribution, emissions have one
 added to each count of the class's words and one unknown word, as the base score has for all words.
@@ -24,7 +27,7 @@ together, other columns are ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,7 @@ class Lexicon:
     hash: np.ndarray
     count: np.ndarray
     type: np.ndarray
+    own: np.ndarray | None = None  #: classes
 
 
 @dataclass
@@ -66,7 +70,7 @@ class Model:
     of_type: np.ndarray  #: class of each type
     transition: np.ndarray  #: log10 P(class | class)
     size: np.ndarray  #: tokens and words of each class, and one
-    counts: DataFrame  #: (h, n) of all training words
+    counts: DataFrame  #: (h, n, class) of all training words
 
 
 def endings(w: Words, n: int) -> np.ndarray:
@@ -314,6 +318,172 @@ def exchange(table: DataFrame, settings: Settings) -> np.ndarray:
     return of_type
 
 
+def _transitions(classes: np.ndarray, weight: float) -> np.ndarray:
+    share = (classes.sum(0) + 1) / (classes.sum() + len(classes))
+    return np.log10((classes + weight * share) / (classes.sum(1, keepdims=True) + weight))
+
+
+def assigned(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, table: DataFrame, of_type: np.ndarray, settings: Settings) -> DataFrame:
+    """(h, n, class) of every training word; words not clustered one by one by their own neighbours."""
+    k, spark = settings.classes, docs.sparkSession
+    apart = _class_table(table, np.where(np.arange(len(of_type)) > settings.types, k, of_type), replace(settings, classes=k + 1))[:k, :k]
+    step = _transitions(apart, settings.weight)
+    # log likelihood of a use between two classes, for each class of the word; never the end's own
+    fit = (step[:, None, :] + step.T[None, :, :] - np.log10(apart.sum(0) + 1.0)).reshape(k * k, k)
+    fit[:, 0] = -np.inf
+    uses = counts.where(F.col("n") < _threshold(counts, settings.types)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    ranges = max(parts(spark), uses // 2_000_000 + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, cell = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part = (mix(h) % np.uint64(ranges)).astype(np.int64)
+            order = np.lexsort((h, part))
+            bounds = np.searchsorted(part[order], np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(bounds))
+            blobs = [[x[order[bounds[r] : bounds[r + 1]]].tobytes() for r in some] for x in (h, cell.astype("<u4"))]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["range", "words", "cells"])
+
+        for batch in batches:
+            for _, some in portions(batch.column(0).to_pylist()):
+                w = words(some)
+                t, ends = _with_ends(types_of(w, lexicon, settings)[0], w, 0)
+                c = of_type[t]
+                before = np.concatenate([[0], c[:-1]])
+                before[ends[:-1] + 1] = 0
+                at = np.flatnonzero(t > settings.types)
+                held.append((_with_ends(w.hash, w, 0)[0][at], before[at] * k + c[at + 1]))
+                if sum(len(x[0]) for x in held) > 2_000_000:
+                    yield flush()
+        if held:
+            yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for r, *blobs in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                held.setdefault(r, []).append([np.frombuffer(b, t) for b, t in zip(blobs, ("<u8", "<u4"), strict=True)])
+        for r in list(held):
+            h, cell = (np.concatenate(x) for x in zip(*held.pop(r), strict=True))
+            h, at, n = np.unique(h, return_inverse=True, return_counts=True)
+            key, times = np.unique(at * (k * k) + cell, return_counts=True)
+            word, cell = key // (k * k), key % (k * k)
+            first = np.searchsorted(word, np.arange(len(h) + 1))
+            best, a = np.zeros(len(h), np.int32), 0
+            while a < len(h):  # some words at a time; one has k * k cells at most
+                b = max(a + 1, int(np.searchsorted(first, first[a] + (1 << 16), "right")) - 1)
+                x, y = first[a], first[b]
+                best[a:b] = np.add.reduceat(fit[cell[x:y]] * times[x:y, None], first[a:b] - x).argmax(1)
+                a = b
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(best)], ["h", "n", "class"])
+
+    one = np.flatnonzero(lexicon.type >= 0)
+    clustered = pa.table({"h": lexicon.hash[one].view(np.int64), "n": lexicon.count[one], "class": of_type[lexicon.type[one]].astype(np.int32)})
+    schema = "h long, n long, class int"
+    dealt = docs.select("text").mapInArrow(deal, "range long, words binary, cells binary").repartition(ranges, "range")
+    return keep(dealt.mapInArrow(choose, schema).unionAll(spark.createDataFrame(clustered, schema)), "classed")
+
+
+@dataclass
+class Sequences:
+    """Classes along texts. Steps to or from a word that is not in the lexicon wait for its class."""
+
+    before: np.ndarray  #: class before each word or end
+    own: np.ndarray
+    owner: np.ndarray  #: its text
+    ready: np.ndarray  #: whether both are known
+    bounds: np.ndarray  #: of each text's words that are not in the lexicon
+    rare: np.ndarray  #: these words, in order
+    around: np.ndarray  #: class before (-1: of the rare word before), after (-1: a rare word), by the ending
+
+
+def sequences(w: Words, lexicon: Lexicon, of_type: np.ndarray, settings: Settings) -> tuple[Sequences, np.ndarray, np.ndarray]:
+    kind, at, there = types_of(w, lexicon, settings)
+    by_ending = of_type[kind]
+    c, last = _with_ends(np.where(there, lexicon.own[at], by_ending) if len(lexicon.hash) else by_ending, w, 0)
+    known, _ = _with_ends(there, w, True)
+    n = len(w.first) - 1
+    before, ready = np.concatenate([[0], c[:-1]]), np.concatenate([[True], known[:-1]])
+    before[last[:-1] + 1], ready[last[:-1] + 1] = 0, True
+    places = np.flatnonzero(~known)
+    around = np.column_stack([np.where(ready[places], before[places], -1), np.where(known[places + 1], c[places + 1], -1), by_ending[~there]]).astype("<i2")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(w.text[~there], minlength=n)[:n])]).astype(np.int64)
+    return Sequences(before, c, np.repeat(np.arange(n), np.diff(w.first) + 1), ready & known, bounds, w.hash[~there].view(np.int64), around), at, there
+
+
+def late_steps(around: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, next class) of the steps of one text that waited, given its rare words' classes."""
+    inner = around[:, 0] >= 0
+    before = np.where(inner, around[:, 0], np.concatenate([[0], own[:-1]]))
+    out = around[:, 1] >= 0
+    return np.concatenate([before, own[out]]), np.concatenate([own, around[out, 1]])
+
+
+def _with_classes(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (row, rare, ...) with ``found``: the words among ``rare`` that the table has."""
+    asked = rows.select("row", F.explode("rare").alias("h")).distinct()
+    found = asked.join(counts, "h").groupBy("row").agg(F.collect_list("h").alias("found"), F.collect_list("n").alias("found_n"), F.collect_list("class").alias("found_class"))
+    return rows.join(found, "row", "left")
+
+
+def _looked_up(rare: list[int], around: bytes, found: list[int] | None, n: list[int] | None, own: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes before and after, classes and counts of one text's rare words; a count of 0 where the table has none."""
+    h, around_ = np.array(rare, np.int64), np.frombuffer(around, "<i2").reshape(-1, 3).astype(np.int64)
+    if not found:
+        return around_, around_[:, 2], np.zeros(len(h), np.int64)
+    order = np.argsort(found)
+    at, there = _find(np.array(found, np.int64)[order], h)
+    return around_, np.where(there, np.array(own)[order][at], around_[:, 2]), np.where(there, np.array(n)[order][at], 0)
+
+
+def _class_counts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, of_type: np.ndarray, settings: Settings) -> np.ndarray:
+    """How often each class follows each in ``docs``, with every word in its own class."""
+    k = settings.classes
+
+    def cells(table: np.ndarray) -> pa.Array:
+        return pa.array([table.astype("<i8").tobytes()], pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, row = np.zeros(k * k, np.int64), TaskContext.get().partitionId() << 40
+        names = ["row", "rare", "around", "cells"]
+        for batch in batches:
+            for first, some in portions(batch.column(0).to_pylist()):
+                q = sequences(words(some), lexicon, of_type, settings)[0]
+                table += np.bincount(q.before[q.ready] * k + q.own[q.ready], minlength=k * k)
+                texts = np.flatnonzero(np.diff(q.bounds))
+                if len(texts):
+                    parts_ = [(q.rare[q.bounds[i] : q.bounds[i + 1]], q.around[q.bounds[i] : q.bounds[i + 1]].tobytes()) for i in texts]
+                    rare, around = zip(*parts_, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(row + first + texts), pa.array(rare, pa.list_(pa.int64())), pa.array(around, pa.binary()), pa.nulls(len(texts), pa.binary())], names)
+            row += len(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([b""]), cells(table)], names)
+
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for rare, around, found, n, own in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                around_, classes, _ = _looked_up(rare, around, found, n, own)
+                a, b = late_steps(around_, classes)
+                table += np.bincount(a * k + b, minlength=k * k)
+        yield pa.RecordBatch.from_arrays([cells(table)], ["cells"])
+
+    rows = keep(docs.select("text").mapInArrow(run, "row long, rare array<long>, around binary, cells binary"), "steps")
+    waited = _with_classes(rows.where("row >= 0"), counts).select("rare", "around", "found", "found_n", "found_class").mapInArrow(late, "cells binary")
+    made = rows.where("row < 0").select("cells").unionAll(waited)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sum((np.frombuffer(b, "<i8") for batch in batches for b in batch.column(0).to_pylist()), np.zeros(k * k, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(table)], ["cell", "n"])
+
+    out = np.zeros(k * k, np.int64)
+    for r in made.mapInArrow(add, "cell long, n long").where("n > 0").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes^2 at most
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
+
+
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from every row of ``docs`` (text)."""
     small_batches(docs.sparkSession)
@@ -323,18 +493,16 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     table = bigrams(docs, lexicon, settings)
     of_type = exchange(table, settings)
-    classes = _class_table(table, of_type, settings)
-    k = settings.classes
-    share = (classes.sum(0) + 1) / (classes.sum() + k)
-    transition = np.log10((classes + settings.weight * share) / (classes.sum(1, keepdims=True) + settings.weight))
-    distinct = np.zeros(k, np.int64)
-    known = np.flatnonzero(lexicon.type >= 0)
-    np.add.at(distinct, of_type[lexicon.type[known]], 1)
-    least = _threshold(counts, settings.types)
-    for r in counts.where(F.col("n") < least).groupBy("ending").agg(F.count("*").alias("v")).collect():  # settings.endings at most
-        distinct[of_type[1 + settings.types + r["ending"]]] += r["v"]
+    classed = assigned(docs, counts, lexicon, table, of_type, settings)
+    rows = classed.where(F.col("n") >= (int(lexicon.count.min()) if len(lexicon.count) else 1 << 62)).select("h", "class").toArrow()  # the lexicon's words
+    lexicon.own = rows.column("class").to_numpy().astype(np.int64)[np.argsort(rows.column("h").to_numpy().view(np.uint64))]
+    classes = _class_counts(docs, classed, lexicon, of_type, settings)
+    transition = _transitions(classes, settings.weight)
+    distinct = np.zeros(settings.classes, np.int64)
+    for r in classed.groupBy("class").agg(F.count("*").alias("v")).collect():  # settings.classes at most
+        distinct[r["class"]] += r["v"]
     distinct[0] += ends > 0
-    return Model(settings, lexicon, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends, of_type, transition, classes.sum(0) + distinct + 1, counts.select("h", "n"))
+    return Model(settings, lexicon, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends, of_type, transition, classes.sum(0) + distinct + 1, classed)
 
 
 def score(docs: DataFrame, model: Model, *extra: Column) -> DataFrame:
@@ -350,38 +518,43 @@ def score(docs: DataFrame, model: Model, *extra: Column) -> DataFrame:
             made = []
             for _, some in portions(batch.column(1).to_pylist()):
                 w = words(some)
-                kind, at, there = types_of(w, lexicon, settings)
+                q, at, there = sequences(w, lexicon, of_type, settings)
                 n = len(some)
-                c, last = _with_ends(of_type[kind], w, 0)
-                before = np.concatenate([[0], c[:-1]])
-                before[last[:-1] + 1] = 0
                 own = np.zeros(len(w.hash))
                 own[there] = known_log[at[there]]
                 logs, _ = _with_ends(own, w, np.log10(ends + 1.0))
-                owner = np.repeat(np.arange(n), np.diff(w.first) + 1)
                 # logs of counts: the same addend in both scores; rare words' are joined later
-                add = np.bincount(owner, logs, n)
-                classed = np.bincount(owner, transition[before, c] - size[c], n)
+                add = np.bincount(q.owner, logs, n)
+                classed = np.bincount(q.owner[q.ready], (transition[q.before, q.own] - size[q.own])[q.ready], n)
                 many = np.diff(w.first) + 1
                 seen = np.bincount(w.text[there], minlength=n)[:n] + (ends > 0)
-                rare = w.hash[~there].view(np.int64)
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(w.text[~there], minlength=n)[:n])]).astype(np.int32)
+                around = [q.around[a:b].tobytes() for a, b in zip(q.bounds[:-1], q.bounds[1:], strict=True)]
                 made.append(
-                    [pa.array(many), pa.array(seen.astype(np.int64)), pa.array(add - many * np.log10(tokens + distinct + 1.0)), pa.array(add + classed), pa.ListArray.from_arrays(pa.array(bounds), pa.array(rare))]
+                    [pa.array(many), pa.array(seen.astype(np.int64)), pa.array(add - many * np.log10(tokens + distinct + 1.0)), pa.array(add + classed), pa.ListArray.from_arrays(pa.array(q.bounds.astype(np.int32)), pa.array(q.rare)), pa.array(around, pa.binary())]
                 )
             if made:
                 cols = [pa.concat_arrays(x) for x in zip(*made, strict=True)]
                 row = pa.array(np.arange(nth, nth + len(batch)))
                 nth += len(batch)
-                yield pa.RecordBatch.from_arrays([row, batch.column(0), *batch.columns[2:], *cols], ["row", "doc_id", *batch.schema.names[2:], "n_tokens", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([row, batch.column(0), *batch.columns[2:], *cols], ["row", "doc_id", *batch.schema.names[2:], "n_tokens", "n_known", "base_score", "score", "rare", "around"])
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in asked.schema.fields[2:])
-    rows = keep(asked.mapInArrow(run, f"row long, doc_id long{more}, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "scored")
-    rare = rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("uses"))
-    found = rare.join(model.counts, "h").groupBy("row").agg(F.sum("uses").alias("known"), F.sum(F.col("uses") * F.log10(F.col("n") + 1.0)).alias("add"))
-    add, known = F.coalesce("add", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return rows.drop("rare").join(found, "row", "left").select(
-        "doc_id", *(f.name for f in asked.schema.fields[2:]), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"),
-    )
+    rows = keep(asked.mapInArrow(run, f"row long, doc_id long{more}, n_tokens long, n_known long, base_score double, score double, rare array<long>, around binary"), "scored")
+
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for rare, around, found, n, own in zip(*(batch.column(c).to_pylist() for c in ("rare", "around", "found", "found_n", "found_class")), strict=True):
+                around_, classes, counts = _looked_up(rare, around, found, n, own)
+                a, b = late_steps(around_, classes)
+                made.append((int((counts > 0).sum()), float(np.log10(counts + 1.0).sum()), float((transition[a, b] - size[b]).sum())))
+            if made:
+                known, add, classed = (np.array(x) for x in zip(*made, strict=True))
+                values = {"n_known": known, "base_score": add, "score": add + classed}
+                cols = [pa.array(batch.column(c).to_numpy() + values[c]) if c in values else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["doc_id", *(f.name for f in asked.schema.fields[2:]), "n_tokens", "n_known", "base_score", "score"]
+    scored = _with_classes(rows, model.counts).drop("row").mapInArrow(late, f"doc_id long{more}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(*names[:-2], F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
