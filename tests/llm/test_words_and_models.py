@@ -105,6 +105,11 @@ def test_words_beyond_the_types_have_classes_by_their_neighbours(spark):
     assert np.allclose(models[8], models[1000])
 
 
+def test_threshold_of_very_frequent_words(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([90_000, 80_000, 70_000, 70_000, 5, 1])], "h long, n long")
+    assert [brown_lm._threshold(counts, most) for most in (0, 1, 2, 3, 4, 5, 6)] == [1 << 62, 90_000, 80_000, 80_000, 70_000, 5, 1]
+
+
 def test_untrained_and_empty(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     model = brown_lm.train(df.limit(0), SMALL)
