@@ -35,7 +35,7 @@ def test_join_against_all_pairs(spark):
     texts = near_texts()
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(0, texts[5], 0), (None, texts[0], 0), (None, "alone here", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(4)
-    found = jaccard_join.join(df, jaccard_join.Settings(postings=200, block=5, marks=7)).collect()
+    found = jaccard_join.join(df, jaccard_join.Settings(postings=200, block=5, marks=7, group=4)).collect()
     sets = [shingle_set(t) for _, t, _ in rows]
     root = list(range(len(rows)))
 
@@ -54,10 +54,39 @@ def test_join_against_all_pairs(spark):
             least[find(i)] = min(least.get(find(i), doc), doc)
     want = sorted((str(doc), len(sets[i]), str(least.get(find(i)))) for i, (doc, _, _) in enumerate(rows))
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == want
+    groups = {}
+    for i, (doc, text, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append((doc is None, doc or 0, text, i))
     kept = jaccard_join.one_of_each(df)
     assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(x for x in ids if x is not None) == sorted({int(c) for d, _, c in want if d == c and d != "None"})
+    left = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    alone = [i for i, x in enumerate(sets) if not x]
+    assert len(left) == len([g for g in groups.values() if sets[g[0][3]]]) + len(alone)
+    for g in groups.values():
+        if sets[g[0][3]]:
+            least = min(x[:2] for x in g)
+            assert any((str(x[1]) if not x[0] else "None", str(x[2])) in left for x in g if x[:2] == least)
+
+
+def test_one_of_each_by_rows(spark):
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "alpha beta gamma delta epsilon zeta")
+    rows = [(2, a, 1), (5, a, 2), (5, b, 3), (None, b, 4), (None, c, 5), (None, c, 5), (7, None, 6), (7, None, 6), (None, "", 7), (9, c.upper(), 8), (9, c.upper(), 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int").withColumns({"key": F.lit(1), "node": F.lit("x"), "row": F.lit(2), "at": F.lit(3), "twins": F.lit(4)}).repartition(3)
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    found = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert found == sorted([("2", a), ("5", b), ("9", c.upper()), ("7", "None"), ("7", "None"), ("None", "")])
+    only = spark.createDataFrame([(None, c, 1), (None, c, 2)], "doc_id long, text string, n int")
+    assert jaccard_join.one_of_each(only).count() == 1
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0 and jaccard_join.join(df.limit(0)).count() == 0
+
+
+def test_join_of_very_long_texts(spark):
+    rng = random.Random(1)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120_000)]
+    near = [w if i % 100 else "other" for i, w in enumerate(base)]  # a twentieth of the shingles differ
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[:91_000])), (4, " ".join(base[:50_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
 def test_bitmaps_never_rule_out_similar_sets():

@@ -12,7 +12,7 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)), over words and one end per
 * Exchange needs each type's neighbours. One pass counts bigrams of types, dealt by type
   range; a range keeps the counts of both directions, so an exchange step reads its
   range and the current classes and moves its types to the class with the highest likelihood. Half
-  of the types move at a time. Only class tables and the class map reach the driver.
+  of the types move at a time, until the likelihood gains little. Only class tables and the class map reach the driver.
 * Class counts and scores find frequent words in the arrays; the others are joined with the table.
   A word without training uses has no neighbours and takes the class of its ending.
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import keep, parts, small_batches
+from wayfold.llm._shared import BLOB_ROWS, batches_of, keep, parts, small_batches
 from wayfold.llm._words import Words, mix, portions, words
 
 
@@ -46,7 +46,8 @@ class Settings:
     endings: int = 16_384  #: types of all other words
     lexicon: int = 1 << 20  #: words whose counts are held as arrays, at most
     ranges: int = 128  #: parts of the bigram table, at least
-    steps: int = 12  #: exchange steps; each moves half of the types
+    steps: int = 20  #: exchange steps at most; each moves half of the types
+    gain: float = 1e-3  #: share of the log likelihood above that of one class which a step must add, or exchange ends
     weight: float = 16.0  #: of the class distribution in a class's transitions
 
 
@@ -164,7 +165,7 @@ def word_counts(train: DataFrame, settings: Settings) -> DataFrame:
                 h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
                 tally.add(h, n)
                 ending.append((h, endings(w, settings.endings)[first]))
-                if tally.full() or sum(len(x[0]) for x in ending) > 3_000_000:
+                if tally.full() or sum(len(x[0]) for x in ending) > 1_000_000:
                     yield flush()
         yield flush()
 
@@ -205,7 +206,7 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
     ranges = max(settings.ranges, parts(train.sparkSession))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(1_500_000)
+        tally = Tally(600_000)
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, n = tally.take()
@@ -238,14 +239,14 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
             for r, way, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 k = np.frombuffer(keys, "<u4").reshape(-1, 2).astype(np.int64)
                 n = np.frombuffer(counts, "<i8" if len(counts) == len(keys) else "<u2").astype(np.int64)
-                held.setdefault((r, way), Tally(2_000_000)).add((k[:, 0] << 32) | k[:, 1], n)
+                held.setdefault((r, way), Tally(1_000_000)).add((k[:, 0] << 32) | k[:, 1], n)
         for r in sorted({r for r, _ in held}):
             blobs = [x.astype("<i8").tobytes() for way in (0, 1) for x in held.get((r, way), Tally(1)).take()]
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["range", "after", "after_n", "before", "before_n"])
 
     schema = "range int, way int, keys binary, counts binary"
     dealt = train.select("text").mapInArrow(count, schema).repartition(ranges, "range")
-    return keep(dealt.mapInArrow(merge, "range int, after binary, after_n binary, before binary, before_n binary"), "bigrams")
+    return keep(dealt.mapInArrow(merge, "range int, after binary, after_n binary, before binary, before_n binary"), "bigrams", BLOB_ROWS)
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -299,24 +300,48 @@ def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np
     return table.select("after", "after_n", "before", "before_n").mapInArrow(run, "a long, b long, n long")
 
 
+def _moves(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray, turn: int) -> pa.Table:
+    """The types that change their class: a row for each type at most."""
+    with batches_of(table.sparkSession, BLOB_ROWS):
+        return _step(table, of_type, settings, classes, turn).toArrow()
+
+
 def _class_table(table: DataFrame, of_type: np.ndarray, settings: Settings) -> np.ndarray:
     out = np.zeros((settings.classes, settings.classes), np.int64)
-    rows = _step(table, of_type, settings, None, 0).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
+    with batches_of(table.sparkSession, BLOB_ROWS):
+        rows = _step(table, of_type, settings, None, 0).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
     for r in rows:
         out[r["a"], r["b"]] = r["n"]
     return out
 
 
+def likelihood(classes: np.ndarray) -> float:
+    """Log likelihood of the class bigrams given the classes' own counts, from the table of class bigrams."""
+    full = classes.astype(float)
+    return float(_phi(full).sum() - _phi(full.sum(1)).sum() - _phi(full.sum(0)).sum() + _phi(full.sum()))
+
+
 def exchange(table: DataFrame, settings: Settings) -> np.ndarray:
-    """The class of each type: a start by hash, then steps that move half of the types each."""
+    """The class of each type: a start by hash, then steps that move half of the types each.
+
+    Types of one step move by the counts before it, so a step may lose: exchange ends with the likeliest
+    classes seen, once two steps in a row (all types had their turn) add less than ``settings.gain`` of the likelihood.
+    """
     n = 1 + settings.types + settings.endings
     of_type = 1 + (mix(np.arange(n, dtype=np.uint64)) % np.uint64(max(1, settings.classes - 1))).astype(np.int64)
     of_type[0] = 0
-    for turn in range(settings.steps):
+    best, most, slow = of_type.copy(), -np.inf, 0
+    for turn in range(settings.steps + 1):
         classes = _class_table(table, of_type, settings)
-        moved = _step(table, of_type, settings, classes, turn).toArrow()  # a row for each type at most
+        now = likelihood(classes)
+        slow = 0 if now > most + settings.gain * abs(now) else slow + 1
+        if now > most:
+            best, most = of_type.copy(), now
+        if slow == 2 or turn == settings.steps:
+            break
+        moved = _moves(table, of_type, settings, classes, turn)
         of_type[moved.column("a").to_numpy()] = moved.column("b").to_numpy()
-    return of_type
+    return best
 
 
 def _transitions(classes: np.ndarray, weight: float) -> np.ndarray:
@@ -357,7 +382,7 @@ def assigned(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, table: DataFr
                 before[ends[:-1] + 1] = 0
                 at = np.flatnonzero(t > settings.types)
                 held.append((_with_ends(w.hash, w, 0)[0][at], before[at] * k + c[at + 1]))
-                if sum(len(x[0]) for x in held) > 2_000_000:
+                if sum(len(x[0]) for x in held) > 1_000_000:
                     yield flush()
         if held:
             yield flush()
@@ -385,7 +410,7 @@ def assigned(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, table: DataFr
     clustered = pa.table({"h": lexicon.hash[one].view(np.int64), "n": lexicon.count[one], "class": of_type[lexicon.type[one]].astype(np.int32)})
     schema = "h long, n long, class int"
     dealt = docs.select("text").mapInArrow(deal, "range long, words binary, cells binary").repartition(ranges, "range")
-    return keep(dealt.mapInArrow(choose, schema).unionAll(spark.createDataFrame(clustered, schema)), "classed")
+    return keep(dealt.mapInArrow(choose, schema).unionAll(spark.createDataFrame(clustered, schema)), "classed", BLOB_ROWS)
 
 
 @dataclass

@@ -7,13 +7,15 @@ sets' Jaccard similarity is at least ``Settings.percent`` / 100.
 2. Under any order of all shingles, similar sets share one of their first
    n - ceil(p * n) + 1 shingles. Order one puts frequent shingles last, by a table of counts of
    hashed shingles over all documents; its prefixes, dealt by shingle, give groups of
-   documents. Two further orders (frequency class, then another hash) filter each candidate again.
+   documents. Candidates must share a prefix shingle under two further orders (frequency class, then another hash) as well;
+   these prefixes go with each document's filters, so orders are intersected before any set is read.
 3. Groups don't become all pairs. First each member is compared with the group's leader (the
    document of the most common shingles). Then components are known, and in groups where they
    still differ the members outside the largest component are compared with the members of other
-   components. So no link that joins two components is lost, and a large group of
+   components; large groups are first cut by the prefix under order two, and then into chunks.
+   So no link that joins two components is lost, and a large group of
    near copies costs little more than its size where they are close to their leader.
-4. Before sets are fetched, sizes and parity bitmaps of a bit for each shingle filter the pairs: bitmaps
+4. With the further orders, sizes and parity bitmaps of a bit for each shingle filter the pairs: bitmaps
    of similar sets differ in no more bits than the sets in shingles.
 5. A comparison needs both sets (or bitmaps): these are dealt into blocks of bounded size, and documents with
    lists of partners stream past each block; only lists of links leave.
@@ -35,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import keep, small_batches
+from wayfold.llm._shared import BLOB_ROWS, keep, parts, small_batches
 from wayfold.llm._words import mix, portions, shingles, words
 from wayfold.llm.components import components
 
 CELLS = 1 << 20  #: counts of hashed shingles
-PIECES = 16  #: parts in which counts are summed
+PIECES = 256  #: parts in which counts are summed
+MOST_BITS = 1 << 28  #: of the filter of wanted sets (32 MB)
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,8 @@ class Settings:
     percent: int = 75
     postings: int = 1_500_000  #: prefix entries dealt to one task, about
     block: int = 4000  #: documents whose sets are held at a time, about
-    marks: int = 60_000  #: documents whose bitmaps are held at a time, about
+    marks: int = 20_000  #: documents whose filters are held at a time, about
+    group: int = 256  #: members of a group compared in one row; larger groups are cut by order two, then into chunks
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -100,7 +104,7 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([total.tobytes()])], ["piece", "cells"])
 
     schema, out = "piece int, cells binary", np.zeros(CELLS, np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect():  # CELLS numbers
+    for r in docs.select("text").mapInArrow(count, schema).repartition(min(PIECES, 4 * parts(docs.sparkSession)), "piece").mapInArrow(add, schema).collect():  # CELLS numbers
         out[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(r["cells"], np.int64)
     return out
 
@@ -119,6 +123,34 @@ def bitmap(s: np.ndarray) -> bytes:
     return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def mark_of(s: np.ndarray, counts: np.ndarray, percent: int) -> bytes:
+    """What filters a pair before its sets are read: the prefixes under orders two and three, 32 bits a shingle, and the bitmap."""
+    size = prefix_size(len(s), percent)
+    heads = [np.sort((o[:size] >> np.uint64(32)).astype("<u4")).tobytes() for o in orders(s, counts)[1:]]
+    return size.to_bytes(8, "little") + b"".join(heads) + bitmap(s)
+
+
+class Mark:
+    """A document's filters, unpacked."""
+
+    __slots__ = ("heads", "rest", "known")
+
+    def __init__(self, raw: bytes) -> None:
+        size = int.from_bytes(raw[:8], "little")
+        self.heads = [np.frombuffer(raw, "<u4", size, 8 + 4 * size * k) for k in (0, 1)]
+        at = 8 + 8 * size
+        self.rest = int.from_bytes(raw[at : at + 8], "little"), 8 * (len(raw) - at - 8), int.from_bytes(raw[at + 8 :], "little")
+        self.known: list[frozenset] | None = None
+
+    def may_match(self, other: Mark, percent: int) -> bool:
+        """Whether the two share a prefix shingle under both further orders, and sizes and bitmaps allow similarity."""
+        if not may_be_similar(self.rest, other.rest, percent):
+            return False
+        if self.known is None:
+            self.known = [frozenset(h.tolist()) for h in self.heads]
+        return not any(a.isdisjoint(b.tolist()) for a, b in zip(self.known, other.heads, strict=True))
+
+
 def may_be_similar(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
     """False only for pairs whose sizes or bitmaps rule similarity out; each is (size, bits, bitmap)."""
     if a[1] < b[1]:
@@ -134,16 +166,16 @@ def may_be_similar(a: tuple[int, int, int], b: tuple[int, int, int], percent: in
 
 
 def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, n, node) of every row."""
+    """(doc_id, key, n, node) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(s), _node(s)) for s in _sets(batch.column(1).to_pylist(), settings.n)]
             if found:
                 n, node = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "key", "n", "node"])
 
-    return keep(docs.mapInArrow(run, "doc_id long, n long, node long"), "classes")
+    return keep(docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n long, node long"), "classes")
 
 
 def _heads(docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
@@ -156,7 +188,7 @@ def _heads(docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame
                 if len(s):
                     c = counts[(s >> np.uint64(44)).astype(np.int64)]
                     head = s[np.lexsort((s, c))][: prefix_size(len(s), settings.percent)]
-                    rows.append((_node(s), float(np.log2(c + 1.0).mean()), head.tobytes(), bitmap(s)))
+                    rows.append((_node(s), float(np.log2(c + 1.0).mean()), head.tobytes(), mark_of(s, counts, settings.percent)))
             if rows:
                 kinds = (pa.int64(), pa.float32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "central", "head", "mark"])
@@ -218,7 +250,7 @@ def _groups(heads: DataFrame, settings: Settings) -> DataFrame:
 
     dealt = heads.select("node", "central", "head").mapInArrow(deal, "part long, token binary, doc binary, central binary")
     made = dealt.repartition(ranges, "part").mapInArrow(group, "docs binary, lead long")
-    return keep(made.groupBy(F.md5("docs").alias("gid")).agg(F.min("docs").alias("docs"), F.min("lead").alias("lead")), "groups")
+    return keep(made.groupBy(F.md5("docs").alias("gid")).agg(F.min("docs").alias("docs"), F.min("lead").alias("lead")), "groups", BLOB_ROWS)
 
 
 def _unpacked(groups: DataFrame) -> DataFrame:
@@ -236,20 +268,37 @@ def _unpacked(groups: DataFrame) -> DataFrame:
 
 
 def _wanted_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, held: the packed shingles) of the nodes in ``ids``. Sets that can't be wanted stop at a filter of fixed size."""
-    spark, bits = docs.sparkSession, 1 << 26
+    """(doc_id, held: the packed shingles) of the nodes in ``ids``. Most sets that aren't wanted stop at a filter of 8 bits an id.
+
+    The filter is a table of bits that every task holds: from ``MOST_BITS`` on there is none, and the join alone decides.
+    """
+    spark, bits = docs.sparkSession, 1 << max(15, (8 * ids.count()).bit_length())
+    if bits > MOST_BITS:
+        return _sets_of(docs, settings).join(ids, "doc_id", "left_semi").transform(lambda df: keep(df, "sets"))
+
+    page = 4096  #: bytes of the filter that travel together
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             x = mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)
             np.bitwise_or.at(held, (x >> np.uint64(3)).astype(np.int64), np.left_shift(1, (x & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].astype(np.int64))], ["at", "bits"])
+        pages = held.reshape(-1, page)
+        some = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pages[i].tobytes() for i in some], pa.binary())], ["page", "bits"])
 
-    field = np.zeros(bits // 8, np.uint8)
-    merged = ids.repartition(8).mapInArrow(note, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # bits / 8 rows at most
-    field[merged.column("at").to_numpy()] = merged.column("bits").to_numpy()
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[i] = held.get(i, np.uint8(0)) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["page", "bits"])
+
+    noted = ids.repartition(min(parts(spark), 1 + bits // (1 << 22))).mapInArrow(note, "page long, bits binary")
+    field = np.zeros((bits // 8 // page, page), np.uint8)
+    for r in noted.repartition(parts(spark), "page").mapInArrow(merge, "page long, bits binary").collect():  # MOST_BITS / 8 bytes at most
+        field[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    field = field.ravel()
     shared = spark.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +318,18 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFra
     return keep(made.join(ids, "doc_id", "left_semi"), "sets")
 
 
+def _sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, held) of every distinct set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(_node(s), s.tobytes()) for s in _sets(batch.column(0).to_pylist(), settings.n) if len(s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc_id", "held"])
+
+    return docs.select("text").mapInArrow(run, "doc_id long, held binary").groupBy("doc_id").agg(F.first("held").alias("held"))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -316,27 +377,12 @@ def _matched(pairs: DataFrame, held_: DataFrame, per_block: int, prepare: Callab
     return keep(rows.mapInArrow(compare, "a long, partners binary"), "matched")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, marks: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
-    """(a, b) of ``pairs`` (a, partners: packed ids) whose sets are similar."""
+def _links(docs: DataFrame, pairs: DataFrame, marks: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b) of ``pairs`` (a, partners: packed ids) whose sets are similar. Filters meet first; sets are read of pairs that pass all."""
     percent = settings.percent
-
-    def mark(raw: bytes) -> tuple[int, int, int]:
-        return int.from_bytes(raw[:8], "little"), 8 * (len(raw) - 8), int.from_bytes(raw[8:], "little")
-
-    def shingled(raw: bytes) -> list:
-        return [np.frombuffer(raw, np.uint64), None]
-
-    def under(x: list) -> list[np.ndarray]:
-        if x[1] is None:
-            x[1] = [np.sort(o[: prefix_size(len(x[0]), percent)]) for o in orders(x[0], counts)[1:]]
-        return x[1]
-
-    def linked(x: list, y: list) -> bool:
-        return all(np.isin(a, b, assume_unique=True).any() for a, b in zip(under(x), under(y), strict=True)) and similar(x[0], y[0], percent)
-
-    left = _matched(pairs, marks, settings.marks, mark, lambda a, b: may_be_similar(a, b, percent))
+    left = _matched(pairs, marks, settings.marks, Mark, lambda a, b: a.may_match(b, percent))
     sets = _wanted_sets(docs, keep(_partners(left).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), settings)
-    return keep(_partners(_matched(left, sets, settings.block, shingled, linked)), "similar")
+    return keep(_partners(_matched(left, sets, settings.block, lambda raw: np.frombuffer(raw, np.uint64), lambda a, b: similar(a, b, percent))), "similar")
 
 
 def _partners(pairs: DataFrame) -> DataFrame:
@@ -353,26 +399,61 @@ def _partners(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _rest(groups: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, partners): in groups of several components, members outside the largest against the other components' members."""
+def _mixed(members: DataFrame) -> DataFrame:
+    """(gid, doc, lead, component, n, large) of groups of several components; ``large`` is the component of most members."""
+    sizes = members.groupBy("gid", "component").agg(F.count("*").alias("n"))
+    known = sizes.groupBy("gid").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("large"))
+    return members.join(known.where("kinds > 1").drop("kinds"), "gid")
+
+
+def _by_second_order(members: DataFrame, marks: DataFrame) -> DataFrame:
+    """Members of large groups, dealt anew by the group and each shingle of their prefix under order two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [Mark(raw).heads[0] for raw in batch.column(4).to_pylist()]
+            for i in range(0, len(heads), 64):
+                some = heads[i : i + 64]
+                at = pa.array(i + np.repeat(np.arange(len(some)), [len(h) for h in some]))
+                shingle = np.concatenate(some).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array(shingle)], ["gid", "doc", "lead", "component", "shingle"])
+
+    held = members.join(marks.withColumnRenamed("doc_id", "doc"), "doc").select("gid", "doc", "lead", "component", "held")
+    dealt = held.mapInArrow(run, "gid string, doc long, lead long, component long, shingle long").distinct()
+    return dealt.select(F.concat_ws("-", "gid", "shingle").alias("gid"), "doc", "lead", "component")
+
+
+def _rest(groups: DataFrame, parts: DataFrame, marks: DataFrame, dealt: int, settings: Settings) -> DataFrame:
+    """(a, partners): in groups of several components, members outside the largest against the other components' members.
+
+    Large groups are cut by the prefix under order two first. What is larger than ``settings.group`` then goes on as
+    pairs of chunks, so no task holds a group or its pairs.
+    """
     known = groups.where(F.octet_length("docs") > 16)  # of two members, one is the leader
     members = _unpacked(known).join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").select("gid", "doc", "lead", F.coalesce("component", "doc").alias("component"))
-    mixed = members.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
+    first = keep(_mixed(members), "mixed")
+    names = ["gid", "doc", "lead", "component"]
+    rows = first.where(F.col("n") <= settings.group).unionAll(_mixed(_by_second_order(first.where(F.col("n") > settings.group).select(*names), marks)))
+    chunks = F.ceil(F.col("n") / settings.group).cast("int")
+    rows = rows.where("doc <> lead").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    asks = rows.where("component <> large").select("gid", "large", F.col("own").alias("i"), other.alias("j"), F.lit(True).alias("asks"), "doc", "component")
+    have = rows.select("gid", "large", other.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"), "doc", "component")
+    one = lambda which: F.collect_list(F.when(F.col("asks") == which, F.struct("doc", "component")))
+    lists = asks.unionAll(have).groupBy("gid", "large", "i", "j").agg(one(True).alias("asks"), one(False).alias("have")).where((F.size("asks") > 0) & (F.size("have") > 0)).select("large", "asks", "have")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[int, list[np.ndarray]] = {}
-            for docs, comps, lead in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                docs, comps = np.array(docs, np.int64), np.array(comps, np.int64)
-                kinds, at, size = np.unique(comps, return_inverse=True, return_counts=True)
-                large = size.argmax()
-                for i in np.flatnonzero((at != large) & (docs != lead)):
+            found: dict[int, list[np.ndarray]] = {}
+            for large, asks, have in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                docs, comps = (np.array([x[c] for x in have], np.int64) for c in ("doc", "component"))
+                for x in asks:
                     # of two documents outside the largest component, the greater asks
-                    other = docs[(at != at[i]) & ((at == large) | (docs < docs[i])) & (docs != lead)]
-                    if len(other):
-                        rows.setdefault(int(docs[i]), []).append(other)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([np.unique(np.concatenate(x)).astype("<i8").tobytes() for x in rows.values()])], ["a", "partners"])
+                    near = docs[(comps != x["component"]) & ((comps == large) | (docs < x["doc"]))]
+                    if len(near):
+                        found.setdefault(x["doc"], []).append(near)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([np.unique(np.concatenate(x)).astype("<i8").tobytes() for x in found.values()])], ["a", "partners"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -389,16 +470,22 @@ def _rest(groups: DataFrame, parts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    lists = members.join(mixed, "gid", "left_semi").groupBy("gid").agg(F.collect_list("doc").alias("docs"), F.collect_list("component").alias("comps"), F.min("lead").alias("lead")).select("docs", "comps", "lead")
     asked = lists.mapInArrow(run, "a long, partners binary")
-    parts_ = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keep(asked.repartition(parts_, "a").sortWithinPartitions("a").mapInArrow(union, "a long, partners binary"), "rest")
+    return keep(asked.repartition(dealt, "a").sortWithinPartitions("a").mapInArrow(union, "a long, partners binary"), "rest")
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    rows = named_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("key")), settings)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def named_rows(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, key, n_shingles, component, component_id) of every row of ``docs`` (doc_id, text, key).
+
+    ``component`` is a number that linked rows share, null without words; ``component_id`` the least doc_id in it.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = _classes(docs, settings)
     counts = _counts(docs, settings.n)
     heads = _heads(docs, counts, settings)
@@ -412,23 +499,31 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["a", "partners"])
 
     asked = star.groupBy("doc").agg(F.collect_list("lead").alias("leads")).mapInArrow(packed, "a long, partners binary")
-    near = _links(docs, asked, marks, counts, settings)
-    parts = keep(components(near), "parts")
-    more = _links(docs, _rest(groups, parts), marks, counts, settings)
+    near = _links(docs, asked, marks, settings)
+    more = _links(docs, _rest(groups, keep(components(near), "parts"), marks, parts(docs.sparkSession), settings), marks, settings)
     whole = components(near.unionAll(more)).select(F.col("id").alias("node"), "component")
     least = classes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.select("node", "least", F.coalesce("component", "node").alias("component"))
-    named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    return classes.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component", "component_id")
+    return classes.join(named, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is that of their component, one for each component and id.
+    """The rows of ``docs``, all columns as they are, that stay: one of each component, and every row without words.
 
-    Rows with a null doc_id stay unless they are linked to one that has an id.
+    The row that stays is the one with the least doc_id (a null id comes after all others), of rows with
+    one doc_id the one with the least hash of its text, and of rows equal in both any one. So unrelated texts
+    with one doc_id both stay, and of copies without an id one does.
     """
-    found = join(docs, settings)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionAll(kept.where("doc_id IS NULL"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = named_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key")), settings)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    texts = rows.where("component IS NOT NULL").groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
+    chosen = texts.groupBy("component").agg(F.min_by(F.struct("doc_id", "key", "n"), first).alias("c")).select("c.doc_id", "c.key", (F.col("c.n") > 1).alias("twins"))
+    wordless = rows.where("component IS NULL").select("doc_id", "key", F.lit(False).alias("twins")).distinct()
+    decided = chosen.unionAll(wordless).select(F.struct(F.col("doc_id").alias("id"), "key").alias("of"), "twins")
+    row = F.struct(*docs.columns)
+    packed = docs.select(row.alias("row"), F.struct(F.col("doc_id").cast("long").alias("id"), key.alias("key")).alias("at"))
+    kept = packed.join(decided, F.col("at").eqNullSafe(F.col("of")))
+    once = kept.where("NOT twins").select("row").unionAll(kept.where("twins").dropDuplicates(["at"]).select("row"))
+    return once.select(*(F.col("row")[c].alias(c) for c in docs.columns))
