@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -133,6 +135,62 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """Bins, densification and low bits one by one. Spark's xxhash64 is XXH64 with seed 42, and a further column's seed is the hash so far."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda v, seed=42: xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), seed)
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.split("[ \t-\r]+", (text or "").lower()) if x]
+    if not w:
+        return None
+    hashes = []
+    for group in [w] if len(w) < 5 else [w[i : i + 5] for i in range(len(w) - 4)]:
+        h = 42
+        for x in group:
+            h = long(x, h)
+        hashes.append(signed(h))
+    least = {}
+    for h in hashes:
+        least[h >> 57] = min(h, least.get(h >> 57, h))
+    out = []
+    for b in range(-64, 64):
+        if b in least:
+            out.append(least[b] & 255)
+        else:  # the bin that is not empty and has the least hash of both numbers; its low byte
+            out.append(min((signed(long(e, long(b))) & -256) | (least[e] & 255) for e in least) & 255)
+    return out
+
+
+def plain_likeness(a, b):
+    if a is None or b is None:
+        return float(a is b)
+    return max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 256) / (1 - 1 / 256))
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randint(0, 99999)}" for _ in range(60_000))
+    same = [f"{x} words of an id that is repeated" for x in ("some", "other", "more")]
+    rows = [(i * 7 % 50, t) for i, t in enumerate(near_texts(5)[:50])] + [(200, long), (201, long + " end"), (None, "no id"), (None, None), (None, "no id"), (300, None)] + [(400, t) for t in [*same, same[0]]] + [(None, f"text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"print": F.lit(1), "next_text": F.lit("x"), "_hash": F.lit(3)}).repartition(4)
+    found = fingerprints.edited_pairs(df).collect()
+    assert len(found) == len(rows)
+    import xxhash
+
+    hashed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42)) % (1 << 64) >> 1
+    order = sorted([(d, t or "") for d, t in rows], key=lambda x: (x[0] is None, -(x[0] or 0), hashed(x[1]), x[1]))
+    want = []
+    for (doc, own), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + nxt[:half]
+        a, b, c = map(plain_fingerprint, (own, edited, nxt))
+        text = lambda p: bytes(p).hex() if p else "0" * 256
+        want.append((str(doc), len(own), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found]
+    assert sorted(got) == sorted(want)
+
+
 def test_decontamination_against_a_plain_alignment(spark):
     rng = random.Random(2)
     word = lambda: "w" + str(rng.randint(0, 3000))
@@ -145,7 +203,7 @@ def test_decontamination_against_a_plain_alignment(spark):
     docs = [f"{filler(80)} {items[0]} {filler(30)}", items[1].upper(), f"{changed(items[2], 0.15)} {filler(50)}", f"{filler(500)} {changed(items[3], 0.1)}", filler(900), "", None, "few words", f"{items[4]} {filler(100)} {items[5]}"]
     table = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate([*docs, docs[0]])], "doc_id long, text string, score double")
     bench = spark.createDataFrame([(i, t, 2.0) for i, t in enumerate(items)] + [(90, None, 0.0), (91, "too short", 0.0), (None, items[0], 0.0), (92, items[1], 0.0)], "item_id long, text string, score double")
-    found = decontamination.matches(table, bench, decontamination.Settings(items=5)).collect()
+    found = decontamination.matches(table, bench, decontamination.Settings(block=900)).collect()
 
     def plain(a, b):
         last, best = [0] * (len(b) + 1), 0
@@ -200,13 +258,42 @@ def test_decontamination_of_edited_copies(spark):
     scores = {(i, k): plain(t.split(), d.split()) for i, d in enumerate(texts) for k, t in enumerate(items)}
     want = {key: pytest.approx(s) for key, s in scores.items() if s >= 0.5}
     assert sum(0.5 <= scores[i, k] < 0.7 for i, (k, _) in enumerate(copies)) > 20
-    assert {(r.doc_id, r.item_id): r.score for r in decontamination.matches(docs, bench, decontamination.Settings(items=4)).collect()} == want
+    assert {(r.doc_id, r.item_id): r.score for r in decontamination.matches(docs, bench, decontamination.Settings(block=500)).collect()} == want
     i = next(i for i, (k, _) in enumerate(copies) if (i, k) in want)  # a single copy in a small table
     one = decontamination.matches(docs.where(F.col("doc_id") == i), bench).collect()
     assert {(r.doc_id, r.item_id): r.score for r in one} == {key: s for key, s in want.items() if key[0] == i}
     assert decontamination.matches(docs, bench.select("item_id", F.lit("two words").alias("text"))).count() == 0
 
 
+def test_clean_by_rows(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join("f" + str(rng.randint(0, 500)) for _ in range(n))
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(1, f"{filler(9)} {item}", 1), (1, "a clean text", 2), (None, item, 3), (None, "clean", 4), (2, None, 5), (2, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long").withColumns({"row": F.lit(1), "best": F.lit(2), "item_id": F.lit(3)}).repartition(2)
+    bench = spark.createDataFrame([(1, item), (1, "other words of an item with the same number"), (2, item)], "item_id long, text string")
+    for block in (30, 1 << 20):
+        left = decontamination.clean(df, bench, decontamination.Settings(block=block))
+        assert left.columns == df.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("1", "a clean text"), ("2", "None"), ("2", "None"), ("None", "clean")]
+        found = decontamination.matches(df, bench, decontamination.Settings(block=block)).collect()
+        assert sorted((str(r.doc_id), r.item_id, r.score) for r in found) == [("1", 1, 1.0), ("1", 2, 1.0), ("None", 1, 1.0), ("None", 2, 1.0)]
+
+
+def test_alignment_in_very_long_passages(spark):
+    rng = np.random.default_rng(4)
+    item = np.arange(1, 21, dtype=np.uint64)
+    text = rng.integers(100, 1 << 40, 1_053_576, dtype=np.uint64)
+    text[-20:] = item
+    score, start, end = decontamination.align([item], [text])
+    assert (score.tolist(), start.tolist(), end.tolist()) == ([40], [1_053_556], [1_053_575])
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 300_000))
+    words = " ".join(f"q{x}" for x in range(30))
+    df = spark.createDataFrame([(1, f"{long} {words}"), (2, f"{words} {long}"), (3, long), (4, f"{words} " * 3000)], "doc_id long, text string")
+    found = decontamination.matches(df, spark.createDataFrame([(7, words)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.score, r.first_word, r.last_word) for r in found) == [(1, 1.0, 300_000, 300_029), (2, 1.0, 0, 29), (4, 1.0, 0, 29)]
+
+
 def test_sharding(spark):
     rows = [(i, "x" * (i * 37 % 90)) for i in range(400)] + [(None, "y"), (5, None), (6, "z" * 5000)] + [(77, "same row")] * 100
     found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), limit=300).collect()
@@ -230,10 +317,10 @@ def test_url_filters(spark):
     names = [*(f"host:{h}" for h in hosts), *(f"domain:{h}" for h in hosts), "url:http://b.org/page"]
     entries = [(rng.choice(["spam", "adult"]), rng.choice(names), rng.choice(["add", "remove"]), rng.randrange(0, 2000, 10)) for _ in range(120)]
     captures = [(i, f"http://{rng.choice(hosts).upper()}/{rng.choice(['', 'page', 'q#f'])}", rng.randrange(-50, 2100)) for i in range(150)]
-    captures += [(500, None, 5), (501, "no url", 5), (502, "http://a.com", None), (503, "http://u:p@x.a.com:80/", 900), captures[0], captures[0]]
+    captures += [(500, None, 5), (501, "no url", 5), (502, "http://a.com", None), (503, "http://u:p@x.a.com:80/", 900), captures[0], captures[0], (504, "http://x.a.com/" + "long/" * 20_000, 700), (505, "http://a.com", 10**15), (506, "http://b.org/page", -(10**15))]
     e = spark.createDataFrame([*entries, (None, "host:a.com", "add", 0), ("spam", "host:a.com", "perhaps", 0)], "list string, pattern string, action string, at long")
     c = spark.createDataFrame([(*x, "z") for x in captures], "capture_id long, url string, fetched_at long, host string").repartition(3)
-    found = url_filters.evaluate(c, e, width=300, salts=3).collect()
+    found = url_filters.evaluate(c, e, width=300, share=7).collect()
 
     def active(pattern, which, t):
         state = [(at, a == "add") for n, p, a, at in entries if (n, p) == (which, pattern) and at <= t]

@@ -12,7 +12,7 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)), over words and one end per
 * Exchange needs each type's neighbours. One pass counts bigrams of types, dealt by type
   range; a range keeps the counts of both directions, so an exchange step reads its
   range and the current classes and moves its types to the class with the highest likelihood. Half
-  of the types move at a time, until the likelihood gains little. Only class tables and the class map reach the driver.
+  of the types, or fewer where that loses likelihood, move at a time, until it gains little. Only class tables and the class map reach the driver.
 * Class counts and scores find frequent words in the arrays; the others are joined with the table.
   A word without training uses has no neighbours and takes the class of its ending.
 
@@ -46,8 +46,8 @@ class Settings:
     endings: int = 16_384  #: types of all other words
     lexicon: int = 1 << 20  #: words whose counts are held as arrays, at most
     ranges: int = 128  #: parts of the bigram table, at least
-    steps: int = 20  #: exchange steps at most; each moves half of the types
-    gain: float = 1e-3  #: share of the log likelihood above that of one class which a step must add, or exchange ends
+    steps: int = 20  #: exchange steps at most; each moves a part of the types
+    gain: float = 1e-3  #: exchange ends when steps add less than this share of the log likelihood above that of one class
     weight: float = 16.0  #: of the class distribution in a class's transitions
 
 
@@ -253,8 +253,8 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray | None, turn: int) -> list:
-    """Without class counts: the rows of the class table. With them: (type, class) of the types whose turn it is."""
+def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray | None = None, turn: int = 0, parts_: int = 1) -> DataFrame:
+    """Without class counts: the rows of the class table. With them: (type, class) of the types of part ``turn`` of ``parts_``."""
     k = settings.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np
                 rows.append(dict(zip(kinds.tolist(), m, strict=True)))
             moved = []
             for t in rows[0].keys() | rows[1].keys():
-                if t == 0 or (t * 2654435761 >> 7) % 2 != turn % 2:
+                if t == 0 or (t * 2654435761 >> 7) % parts_ != turn:
                     continue
                 after, before = rows[0].get(t, np.zeros(k)), rows[1].get(t, np.zeros(k))
                 old, n = of_type[t], max(after.sum(), before.sum())
@@ -300,16 +300,16 @@ def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np
     return table.select("after", "after_n", "before", "before_n").mapInArrow(run, "a long, b long, n long")
 
 
-def _moves(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray, turn: int) -> pa.Table:
+def _moves(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray, turn: int, parts_: int) -> pa.Table:
     """The types that change their class: a row for each type at most."""
     with batches_of(table.sparkSession, BLOB_ROWS):
-        return _step(table, of_type, settings, classes, turn).toArrow()
+        return _step(table, of_type, settings, classes, turn, parts_).toArrow()
 
 
 def _class_table(table: DataFrame, of_type: np.ndarray, settings: Settings) -> np.ndarray:
     out = np.zeros((settings.classes, settings.classes), np.int64)
     with batches_of(table.sparkSession, BLOB_ROWS):
-        rows = _step(table, of_type, settings, None, 0).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
+        rows = _step(table, of_type, settings).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
     for r in rows:
         out[r["a"], r["b"]] = r["n"]
     return out
@@ -322,26 +322,30 @@ def likelihood(classes: np.ndarray) -> float:
 
 
 def exchange(table: DataFrame, settings: Settings) -> np.ndarray:
-    """The class of each type: a start by hash, then steps that move half of the types each.
+    """The class of each type: a start by hash, then steps that move a part of the types each, half of them at first.
 
-    Types of one step move by the counts before it, so a step may lose: exchange ends with the likeliest
-    classes seen, once two steps in a row (all types had their turn) add less than ``settings.gain`` of the likelihood.
+    Types of one step move by the counts before it, so a step may lose likelihood. Such a step is taken back and
+    the parts are halved. Exchange ends when all parts in turn add less than ``settings.gain`` of the likelihood.
     """
     n = 1 + settings.types + settings.endings
     of_type = 1 + (mix(np.arange(n, dtype=np.uint64)) % np.uint64(max(1, settings.classes - 1))).astype(np.int64)
     of_type[0] = 0
-    best, most, slow = of_type.copy(), -np.inf, 0
-    for turn in range(settings.steps + 1):
-        classes = _class_table(table, of_type, settings)
-        now = likelihood(classes)
-        slow = 0 if now > most + settings.gain * abs(now) else slow + 1
-        if now > most:
-            best, most = of_type.copy(), now
-        if slow == 2 or turn == settings.steps:
+    classes, parts_, slow = _class_table(table, of_type, settings), 2, 0
+    now = likelihood(classes)
+    for turn in range(settings.steps):
+        moved = _moves(table, of_type, settings, classes, turn % parts_, parts_)
+        tried = of_type.copy()
+        tried[moved.column("a").to_numpy()] = moved.column("b").to_numpy()
+        there = _class_table(table, tried, settings)
+        new = likelihood(there)
+        if new < now:
+            parts_, slow = 2 * parts_, 0
+            continue
+        slow = 0 if new > now + settings.gain * now else slow + 1
+        of_type, classes, now = tried, there, new
+        if slow == parts_:
             break
-        moved = _moves(table, of_type, settings, classes, turn)
-        of_type[moved.column("a").to_numpy()] = moved.column("b").to_numpy()
-    return best
+    return of_type
 
 
 def _transitions(classes: np.ndarray, weight: float) -> np.ndarray:

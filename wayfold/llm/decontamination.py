@@ -1,7 +1,7 @@
 """Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment of words.
 
-The benchmark is read in blocks of bounded size; each block is held by every task while all
-documents stream by, so texts are never shuffled. A pair is two words with at most one between them.
+The benchmark is read in blocks of bounded bytes; each block is held by every task while all
+documents stream by, so texts are never shuffled. All usual benchmarks together are one block. A pair is two words with at most one between them.
 
 No passage at the threshold is lost. Let an alignment of an item of n words have m matches and e errors
 (mismatches and gaps), so its score is 2m - e. Of its m - 1 steps from a match to the next, one without an error
@@ -15,8 +15,9 @@ the alignment's, divided by that of an exact copy.
 
 Cases: null and empty texts have no words. Items with fewer than three words are not searched,
 null items are ignored, items of equal text are found alike, items with one id and different
-texts count as one (the best score). Repeated documents each get their rows. Ties go to the earlier passage. Other columns are ignored;
-empty tables give an empty result.
+texts count as one (the best score). Every row of documents is judged by itself: repeated documents, documents of one id
+and documents without an id each get their rows. Ties go to the earlier passage. Texts of any length are aligned whole. Other columns are
+ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.5  #: least share of an exact copy's score; above 1/3, so that the shortest item needs a pair
-    items: int = 2000  #: in a block, about
+    block: int = 8 << 20  #: bytes of items in a block, about; each task holds one
 
 
 @dataclass
@@ -126,7 +127,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
         own[k, : len(a)], some[k, : len(a)] = a, True
         text[k, : len(b)], real[k, : len(b)] = b, True
     # score and (negated) start in one number: the start of the earliest best path
-    unit = np.int64(1) << 20
+    unit = np.int64(1) << 32
     slide = -GAP * unit * np.arange(wide)
     last = np.zeros((n, wide), np.int64)
     best, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -184,27 +185,60 @@ def _passages(w: Words, seeds: Block, least: np.ndarray) -> list[tuple[int, int,
     return list(zip(*(x.tolist() for x in columns), strict=True))
 
 
-def _matches(docs: DataFrame, block: Block, settings: Settings) -> DataFrame:
-    least = np.array([least_score(max(1, len(x)), settings.threshold) for x in block.words])
-    seeds = _seeds(block, _document_counts(docs, block), least)
-    names = ["row", "doc_id", "item_id", "score", "first_word", "last_word"]
+@dataclass
+class Search:
+    """What a task needs to find a block's items."""
+
+    block: Block
+    seeds: Block
+    least: np.ndarray
+    threshold: float
+
+    def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, share, first word, last word) of the passages at the threshold."""
+        block = self.block
+        for first, some in portions(texts):
+            w = words(some)
+            spots = sorted(_passages(w, self.seeds, self.least), key=lambda s: s[3] - s[2])
+            while spots:  # by width, so that few pairs of wide passages go together
+                many = min(256, len(spots))
+                while many > 1 and many * (spots[many - 1][3] - spots[many - 1][2]) > 1 << 19:
+                    many //= 2
+                part, spots = spots[:many], spots[many:]
+                scores, starts, ends = align([block.words[j] for _, j, _, _ in part], [w.hash[a:b] for _, _, a, b in part])
+                for (t, j, a, _), s, x, y in zip(part, scores.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                    share = s / (MATCH * len(block.words[j]))
+                    if share >= self.threshold:
+                        base = a - int(w.first[t])
+                        yield first + t, j, share, base + x, base + y
+
+
+def _searches(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> list[Search]:
+    """A search for each block of items; one pass over ``docs`` a block counts its pairs."""
+    if settings.threshold <= 1 / 3:
+        raise ValueError("threshold must be above 1/3")
+    small_batches(docs.sparkSession)
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, out = math.ceil(size / settings.block), []
+    for b in range(blocks):
+        # by item and text, so that many texts of one id are dealt as well
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about settings.block bytes
+        block = block_of([(r["item_id"], r["text"]) for r in rows])
+        if len(block.grams):
+            least = np.array([least_score(max(1, len(x)), settings.threshold) for x in block.words])
+            out.append(Search(block, _seeds(block, _document_counts(docs, block), least), least, settings.threshold))
+    return out
+
+
+def _matches(docs: DataFrame, search: Search) -> DataFrame:
+    names, own = ["row", "doc_id", "item_id", "score", "first_word", "last_word"], search.block.ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for first, some in portions(batch.column(1).to_pylist()):
-                w = words(some)
-                spots = sorted(_passages(w, seeds, least), key=lambda s: s[3] - s[2])
-                many = min(256, 1 + (1 << 20) // (spots[-1][3] - spots[-1][2])) if spots else 1
-                for i in range(0, len(spots), many):
-                    part = spots[i : i + many]
-                    scores, starts, ends = align([block.words[j] for _, j, _, _ in part], [w.hash[a:b] for _, _, a, b in part])
-                    for (t, j, a, _), s, x, y in zip(part, scores.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                        share = s / (MATCH * len(block.words[j]))
-                        if share >= settings.threshold:
-                            base = a - int(w.first[t])
-                            found.append((row + first + t, ids[first + t], block.ids[j], share, base + x, base + y))
+            ids = batch.column(0).to_pylist()
+            found = [(row + t, ids[t], own[j], share, x, y) for t, j, share, x, y in search.found(batch.column(1).to_pylist())]
             row += len(batch)
             if found:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -214,24 +248,25 @@ def _matches(docs: DataFrame, block: Block, settings: Settings) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, item_id, score, first_word, last_word): the best passage of each document and item at the threshold."""
-    if settings.threshold <= 1 / 3:
-        raise ValueError("threshold must be above 1/3")
-    small_batches(docs.sparkSession)
+    """(doc_id, item_id, score, first_word, last_word): the best passage of each row of ``docs`` and item at the threshold."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = math.ceil(items.count() / settings.items)
     out = texts.sparkSession.createDataFrame([], "row long, doc_id long, item_id long, score double, first_word long, last_word long")
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about settings.items
-        block = block_of([(r["item_id"], r["text"]) for r in rows])
-        if len(block.grams):
-            out = out.unionAll(_matches(texts, block, settings))
+    for search in _searches(texts, benchmark, settings):
+        out = out.unionAll(_matches(texts, search))
     best = F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"), -F.col("last_word")))
     return out.groupBy("row", "doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that match no benchmark item. Rows with a null id stay."""
-    ids = matches(docs, benchmark, settings).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    """The rows of ``docs``, all columns as they are, that hold no benchmark item. Each row is judged by its own text, whatever its id."""
+    out, text = docs, docs.columns.index("text")
+    for search in _searches(docs, benchmark, settings):
+
+        def run(batches: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                keep[[t for t, *_ in search.found(batch.column(text).to_pylist())]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

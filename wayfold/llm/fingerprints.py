@@ -8,7 +8,9 @@ share of equal bins for the 1/256 that agree by chance.
 
 Cases: null text counts as empty. Without words the fingerprint is all zeros and alike only to
 another such one; with fewer than five words the whole sequence is the one shingle. Case is
-ignored. Equal texts have equal fingerprints.
+ignored. Equal texts have equal fingerprints. Rows without an id come after all others, repeated ids and rows one after
+another (see :func:`with_next`); an only row is its own next one. Texts of any length are read whole, other columns ignored, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from wayfold.llm._shared import parts
 
 BINS, SHIFT, WORDS = 128, 57, 5
+NULL_BITS = 6  #: of the text's hash that deal rows without an id
 CHANCE = 1 / 256
 
 
@@ -77,39 +80,43 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(none == 2, 1.0).when(none == 1, 0.0).otherwise(better)
 
 
-def _bucket(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the sorted ``bounds`` are at most the id, looked up in two levels; null ids come lowest."""
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.when(doc_id.isNull(), -1).otherwise(0)
-    tops = F.array(*(F.lit(g[0]).cast("long") for g in groups))
-    lists = F.array(*(F.array(*(F.lit(x).cast("long") for x in g)) for g in groups))
+def _bucket(doc_id: Column, tops: Column, lists: Column) -> Column:
+    """How many of the sorted bounds are at most the id, looked up in two levels: the lists' first bounds, then one list."""
 
     def inner(k: Column) -> Column:
-        return F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.get(lists, k - 1), lambda x: x <= doc_id)))
+        before = F.aggregate(F.slice(F.transform(lists, lambda x: F.size(x)), 1, F.greatest(k - 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
+        return F.when(k == 0, 0).otherwise(before + F.size(F.filter(F.get(lists, k - 1), lambda x: x <= doc_id)))
 
-    return F.when(doc_id.isNull(), -1).otherwise(let(F.size(F.filter(tops, lambda x: x <= doc_id)), inner))
+    return let(F.size(F.filter(tops, lambda x: x <= doc_id)), inner)
 
 
 def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     """Each row with ``next_<column>`` of the row after it by descending doc_id; the first comes after the last.
 
     Ids are cut into ranges of about equal counts; each range is a window of its own, and the
-    first row of a range is copied to the end of the range before it. Equal ids follow their text.
+    first row of a range is copied to the end of the range before it. The ranges' bounds are a table of one row. Equal ids, and the
+    rows without an id, which come last, follow the hash of their text and their text; rows without an id are cut into ranges by that hash.
     """
     n = 4 * parts(docs.sparkSession)
-    ask = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, n))), 10 * n).alias("q")).first()["q"]
-    ranged = docs.withColumn("_range", _bucket(F.col("doc_id"), sorted({int(x) for x in ask or []})))
-    heads = ranged.groupBy("_range").agg(F.max("doc_id").alias("_head"))  # a row for each range
+    ask = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, n))), 10 * n).alias("q"))
+    step = max(1, int(n**0.5))
+    bounds = ask.select(F.array_sort(F.array_distinct(F.coalesce("q", F.array().cast("array<bigint>")))).alias("_q"))
+    count = F.ceil(F.size("_q") / step).cast("int")
+    lists = F.when(F.size("_q") > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.slice("_q", i * step + 1, step))).otherwise(F.array().cast("array<array<bigint>>"))
+    bounds = bounds.select(lists.alias("_lists")).select("_lists", F.transform("_lists", lambda x: F.get(x, F.lit(0))).alias("_tops"))
+    hashed = docs.join(F.broadcast(bounds)).withColumn("_hash", F.xxhash64("text"))  # one row
+    none = -1 - F.shiftrightunsigned("_hash", 64 - NULL_BITS)
+    ranged = hashed.withColumn("_range", F.when(F.col("doc_id").isNull(), none).otherwise(_bucket(F.col("doc_id"), F.col("_tops"), F.col("_lists"))).cast("long")).drop("_tops", "_lists")
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", (-F.shiftrightunsigned("_hash", 1)).alias("hash"), "text")  # descending, so the greatest is first
+    heads = ranged.groupBy("_range").agg(F.max(place).alias("_head"))  # a row for each range
     by_range = Window.orderBy("_range")
     goes = heads.select(F.col("_range").alias("_from"), F.col("_head"), F.lead("_range").over(by_range).alias("_up"), F.min("_range").over(by_range).alias("_low"))
-    goes = goes.select("_from", "_head", F.coalesce("_up", "_low").alias("_to"), F.col("_up").isNull().alias("_wraps"))
-    marked = ranged.join(F.broadcast(goes), (F.col("_range") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    goes = goes.select("_from", "_head", F.coalesce("_up", "_low").alias("_to"))
+    marked = ranged.withColumn("_place", place).join(F.broadcast(goes), (F.col("_range") == F.col("_from")) & F.col("_place").eqNullSafe(F.col("_head")), "left")
     own = F.struct(F.col("_range").alias("at"), F.lit(0).alias("ghost"))
     copies = F.when(F.col("_from").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_to").alias("at"), F.lit(1).alias("ghost"))))
     rows = marked.withColumn("_copy", F.explode(copies))
-    order = Window.partitionBy(F.col("_copy.at")).orderBy(F.col("_copy.ghost"), F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy(F.col("_copy.at")).orderBy(F.col("_copy.ghost"), F.col("_place.doc_id").desc_nulls_last(), F.col("_place.hash").desc(), F.desc("text"))
     out = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where(F.col("_copy.ghost") == 0)
     return out.select(*docs.columns, *(f"next_{c}" for c in columns))
 

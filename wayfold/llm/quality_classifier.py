@@ -5,8 +5,10 @@ cut into blocks; each block is compressed with either dictionary. The difference
 total sizes, divided by their sum, is the only feature. A logistic curve fitted on sampled
 rows that the dictionaries have not seen turns it into the probability of the good label.
 
-The fit reads a bounded sample (``Settings.sample`` rows a class, ``Settings.window``
-characters of each, both chosen by hash); scoring reads every whole text.
+The fit reads the whole texts of a bounded sample (``Settings.sample`` labelled rows a class, chosen by hash);
+scoring reads every whole text. ``Settings.dictionaries`` names the kind: "trained" by zstandard's trainer, or
+"content", the sample's text itself. The trainer needs more text than a few short rows have: where it refuses, the fit warns
+and uses "content", and ``Model.raw`` says so.
 
 Cases: null text counts as empty and has the feature 0. Labels that are null or neither 0 nor 1
 are ignored, repeated equal labels count once. Without a label of one class every score is the
@@ -16,6 +18,7 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,7 @@ from wayfold.llm._shared import small_batches
 @dataclass(frozen=True)
 class Settings:
     sample: int = 2000  #: labelled rows of each class that the fit reads at most
-    window: int = 4096  #: characters of each sampled row
+    dictionaries: str = "trained"  #: or "content"
     dict_bytes: int = 65536  #: size of each dictionary
     block: int = 256  #: bytes compressed at a time
     level: int = 3
@@ -73,12 +76,15 @@ def difference(text: bytes, compressors: list[zstandard.ZstdCompressor], block:
     return (bad - good) / (bad + good)
 
 
-def _dictionaries(good: list[bytes], bad: list[bytes], size: int) -> tuple[bytes, bytes, bool]:
-    """Trained dictionaries, or plain content where there is too little text to train on."""
-    try:
-        return tuple(zstandard.train_dictionary(size, x).as_bytes() for x in (good, bad)) + (False,)
-    except zstandard.ZstdError:
-        return tuple((b"\n".join(x) or b" " * 8)[-size:].rjust(8) for x in (good, bad)) + (True,)
+def _dictionaries(good: list[bytes], bad: list[bytes], settings: Settings) -> tuple[bytes, bytes, bool]:
+    """Two dictionaries and whether they are plain content."""
+    size = settings.dict_bytes
+    if settings.dictionaries == "trained":
+        try:
+            return tuple(zstandard.train_dictionary(size, x).as_bytes() for x in (good, bad)) + (False,)
+        except zstandard.ZstdError as refused:
+            warnings.warn(f"too little labelled text to train dictionaries ({refused}); its content is used", stacklevel=2)
+    return tuple((b"\n".join(x) or b" " * 8)[-size:].rjust(8) for x in (good, bad)) + (True,)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -104,20 +110,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         one = labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
         chosen = one if chosen is None else chosen.unionAll(one)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = F.char_length("text")
-    start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), n - settings.window + 1).cast("long"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(  # 2 * sample ids at most
-        "doc_id", "quality", F.substring("text", start.cast("int"), F.lit(settings.window)).alias("piece")
-    )
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # 2 * sample ids at most
     kept = {0: [], 1: []}
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "piece").limit(2 * settings.sample).collect():
-        kept[r["quality"]].append(r["piece"].encode())
+    # repeated ids may bring more rows than ids: the sample's bound holds for rows
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * settings.sample).toLocalIterator():
+        kept[r["quality"]].append(r["text"].encode())
     good, bad = kept[1], kept[0]
     if not good or not bad:
         share = (len(good) or 0.5 * (not bad)) / max(1, len(good) + len(bad))
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(b" " * 8, b" " * 8, True, float(np.log(share / (1 - share))), 0.0, settings)
-    a, b, raw = _dictionaries(good[::2], bad[::2], settings.dict_bytes)
+    a, b, raw = _dictionaries(good[::2], bad[::2], settings)
     model = Model(a, b, raw, 0.0, 0.0, settings)
     by = model.compressors()
     seen = [(difference(t, by, settings.block), q, len(x)) for q, x in ((1, good[1::2] or good), (0, bad[1::2] or bad)) for t in x]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import brown_lm, decontamination, edit_counts, fingerprints, jaccard_join, packing, quality_classifier, sharding, suffix_dedup, url_filters
-from wayfold.llm._shared import read, remainder
+from wayfold.llm._shared import keep, read, remainder
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def edits_by_rule() -> Column:
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return edit_counts.counted(read(spark, sf_dir, "documents"), edits_by_rule(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = keep(edit_counts.build(read(spark, sf_dir, "documents"), ranks, pattern), "trees")
+    return edit_counts.counted(edit_counts.apply(trees, edits_by_rule(), ranks, pattern))
 
 
 SHARD_BYTES = 1 << 20

@@ -3,7 +3,7 @@
 A row's key is hashed to 60 bits. The directory is addressed by leading bits: it starts as one
 bucket, and only buckets over the limit split on their next bit, so a shard is the shortest
 prefix whose rows fit. Byte sums are taken once at a depth a little below the expected one and
-rolled up to every shorter prefix; only buckets that are still too large there go on with more
+rolled up to every shorter prefix, some levels at a time; only buckets that are still too large there go on with more
 bits. Rows are never gathered: sums are pre-aggregated, and the directory is a table.
 
 Cases: a row over the limit is a shard of its own (its ``overflow`` is ``"row"``). Rows of one
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from wayfold.llm._shared import keep
 
 BITS = 60
+LEVELS = 6  #: of the directory that are summed from one level's sums
 
 
 def key_hash(key: Column) -> Column:
@@ -35,13 +36,22 @@ def prefix(h: Column, depth: Column) -> Column:
 
 
 def _split(cells: DataFrame, root: int, depth: int, limit: int) -> DataFrame:
-    """(cell, leaf): the first depth at which the cell's prefix fits; null where none does."""
-    nodes = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(root), F.lit(depth))).alias("depth")).select(
-        "cell", "bytes", "depth", F.call_function("shiftright", F.col("cell"), (F.lit(depth) - F.col("depth")).cast("int")).alias("prefix")
-    )
+    """(cell, leaf): the first depth at which the cell's prefix fits; null where none does.
+
+    Sums are rolled up ``LEVELS`` levels at a time: the shorter prefixes start from the sums of the last level.
+    """
+    low = max(root, depth - LEVELS)
+    shorter = lambda d: F.call_function("shiftright", F.col("cell"), (F.lit(depth) - d).cast("int"))
+    nodes = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("depth"))
+    nodes = nodes.select("cell", "bytes", "depth", shorter(F.col("depth")).alias("prefix"))
     fits = nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("depth", "prefix")
     found = nodes.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("leaf"))
-    return cells.join(found, "cell", "left").select("cell", "leaf")
+    out = cells.join(found, "cell", "left").select("cell", "leaf")
+    if low == root:
+        return out
+    coarse = cells.groupBy(shorter(F.lit(low)).alias("cell")).agg(F.sum("bytes").alias("bytes"))
+    above = _split(coarse, root, low, limit).select(F.col("cell").alias("top"), F.col("leaf").alias("higher"))
+    return out.join(above, shorter(F.lit(low)) == F.col("top")).select("cell", F.coalesce("higher", "leaf").alias("leaf"))
 
 
 def shard(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 1 << 20) -> DataFrame:
@@ -54,7 +64,7 @@ def shard(rows: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     out = big.select("key", "bytes", F.concat(F.lit("row-"), "nth").alias("shard"), F.lit(BITS).alias("depth"), F.lit("row").alias("overflow"))
     rest = sized.where(F.col("bytes") <= limit)
     total = rest.agg(F.sum("bytes")).first()[0] or 0
-    root, depth = 0, min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + 4))
+    root, depth = 0, min(BITS, max(1, math.ceil(math.log2(max(1, total / limit))) + 2))
     while True:
         cells = rest.groupBy(prefix(F.col("h"), F.lit(depth)).alias("cell")).agg(F.sum("bytes").alias("bytes"))
         leaves = keep(_split(cells, root, depth, limit), "leaves")

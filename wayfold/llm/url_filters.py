@@ -4,10 +4,11 @@ List entries are dated changes (``add`` or ``remove``) of a pattern. They become
 intervals, from an addition to the next removal. Every capture is looked up under its URL, its host and all
 parent domains; an interval applies when ``valid_from <= fetched_at < valid_to``.
 
-Time is cut into buckets: an interval is stored once for every bucket it touches, so captures
-and intervals meet by equality on (pattern, bucket) before their times are compared, and what
-one pattern has in a bucket is little however long its history. A frequent pattern is
-dealt over ``salts`` copies of its intervals; rows of one host never need to meet in one task.
+Only patterns that some list has go on from a capture. Time is cut into buckets: captures
+and intervals meet by equality on (pattern, bucket) before their times are compared, and an open interval is
+continued into a bucket only if a capture of its pattern asks there, so neither a long history nor a
+wrong year among the captures makes rows. A frequent pattern's captures are counted first and dealt over as many
+copies of its intervals as they need; rows of one host never meet in one task.
 
 Patterns: ``url:<url without fragment>``, ``host:<host>`` (that host only), ``domain:<domain>``
 (the domain and everything below it), in lower case.
@@ -43,8 +44,8 @@ def patterns(url: Column, name: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(whole, by_host), lambda p: p.isNotNull()))
 
 
-def intervals(entries: DataFrame, width: int, first: int, last: int) -> DataFrame:
-    """(list, pattern, bucket, valid_from, valid_to): within one bucket each, from bucket first to last."""
+def intervals(entries: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(list, pattern, bucket, valid_from, valid_to) within one bucket each, for the (pattern, bucket) of ``asked`` alone."""
     keys = ["list", "pattern"]
     changes = (
         entries.where(F.col("action").isin("add", "remove"))
@@ -55,39 +56,34 @@ def intervals(entries: DataFrame, width: int, first: int, last: int) -> DataFram
     )
     by_time = Window.partitionBy(*keys, "bucket").orderBy("at")
     inside = changes.select(*keys, "bucket", "on", F.col("at").alias("valid_from"), F.coalesce(F.lead("at").over(by_time), (F.col("bucket") + 1) * width).alias("valid_to"))
+    inside = inside.where("on").drop("on").join(asked, ["pattern", "bucket"], "left_semi")
+    # the state at the beginning of an asked bucket is that after the last bucket with changes before it
     ends = changes.groupBy(*keys, "bucket").agg(F.max_by("on", "at").alias("on"), F.min("at").alias("begins"))
-    by_bucket = Window.partitionBy(*keys).orderBy("bucket")
-    carried = (
-        ends.select(*keys, "on", (F.col("bucket") + 1).alias("from"), F.lead("bucket").over(by_bucket).alias("next"), F.lead("begins").over(by_bucket).alias("until"))
-        .where("on")
-        .withColumn("low", F.greatest("from", F.lit(first)))
-        .withColumn("high", F.least(F.coalesce("next", F.lit(last)), F.lit(last)))
-        .where(F.col("low") <= F.col("high"))
-        .select(*keys, "next", "until", F.explode(F.sequence("low", "high")).alias("bucket"))
-        .select(*keys, "bucket", (F.col("bucket") * width).alias("valid_from"), F.when(F.col("bucket") == F.col("next"), F.col("until")).otherwise((F.col("bucket") + 1) * width).alias("valid_to"))
-    )
-    return inside.where("on").drop("on").unionByName(carried).where(F.col("valid_from") < F.col("valid_to"))
+    lines = ends.select(*keys).distinct().join(asked, "pattern").select(*keys, "bucket", F.lit(None).cast("boolean").alias("on"), F.lit(None).cast("long").alias("begins"), F.lit(True).alias("asked"))
+    rows = ends.withColumn("asked", F.lit(False)).unionByName(lines).groupBy(*keys, "bucket").agg(F.max("on").alias("on"), F.min("begins").alias("begins"), F.max("asked").alias("asked"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.withColumn("held", F.last("on", True).over(before)).where(F.col("asked") & F.col("held"))
+    start, end = F.col("bucket") * width, (F.col("bucket") + 1) * width
+    carried = carried.select(*keys, "bucket", start.alias("valid_from"), F.coalesce("begins", end).alias("valid_to"))
+    return inside.select(*carried.columns).unionAll(carried).where(F.col("valid_from") < F.col("valid_to"))
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, width: int = 30 * 86400, salts: int = 8) -> DataFrame:
+def evaluate(captures: DataFrame, entries: DataFrame, width: int = 30 * 86400, share: int = 100_000) -> DataFrame:
     """capture_id, url, fetched_at, host, n_entries, lists, blocked for each row of ``captures``.
 
     ``captures`` has capture_id, url and fetched_at, ``entries`` has list, pattern, action and at;
-    times are seconds.
+    times are seconds. ``share``: captures of one pattern and bucket that meet a copy of its intervals, about.
     """
-    rows = captures.groupBy("capture_id", "url", F.col("fetched_at").cast("long").alias("fetched_at")).agg(F.count("*").alias("copies"))
-    span = captures.agg(F.min("fetched_at").cast("long").alias("low"), F.max("fetched_at").cast("long").alias("high")).first()
-    low, high = ((span[0] or 0) // width, (span[1] or 0) // width)
-    name = host(F.col("url"))
-    looked = rows.withColumn("host", name).withColumn("pattern", F.explode_outer(patterns(F.col("url"), F.col("host"))))
-    salt = F.pmod(F.xxhash64("capture_id", "url", "fetched_at"), F.lit(salts)).cast("int")
-    looked = looked.withColumn("bucket", F.floor(F.col("fetched_at") / width)).withColumn("salt", salt)
-    valid = intervals(entries, width, low, high).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hit = looked.join(valid, ["pattern", "bucket", "salt"], "left")
+    own = ["capture_id", "url", "fetched_at", "host"]
+    rows = captures.groupBy("capture_id", "url", F.col("fetched_at").cast("long").alias("fetched_at")).agg(F.count("*").alias("copies")).withColumn("host", host(F.col("url")))
+    listed = entries.select(F.lower("pattern").alias("pattern")).where("pattern IS NOT NULL").distinct()
+    looked = rows.select(*own, F.explode(patterns(F.col("url"), F.col("host"))).alias("pattern"), F.floor(F.col("fetched_at") / width).alias("bucket")).where("bucket IS NOT NULL")
+    looked = looked.join(listed, "pattern", "left_semi")
+    asked = looked.groupBy("pattern", "bucket").agg(F.ceil(F.count("*") / share).cast("int").alias("salts"))
+    valid = intervals(entries, asked.select("pattern", "bucket"), width).join(asked, ["pattern", "bucket"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = looked.join(asked, ["pattern", "bucket"]).withColumn("salt", F.pmod(F.xxhash64(*own), F.col("salts")).cast("int"))
     active = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("fetched_at") < F.col("valid_to"))
-    found = hit.groupBy("capture_id", "url", "fetched_at", "host", "copies").agg(
-        F.count_if(active).alias("n_entries"), F.array_join(F.sort_array(F.collect_set(F.when(active, F.col("list")))), ",").alias("lists")
-    )
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "capture_id", "url", "fetched_at", "host", "n_entries", "lists", (F.col("n_entries") > 0).alias("blocked")
-    )
+    hit = dealt.drop("salts").join(valid.drop("salts"), ["pattern", "bucket", "salt"]).where(active)
+    both = rows.select(*own, "copies", F.lit(None).cast("string").alias("list")).unionAll(hit.select(*own, F.lit(0).cast("long").alias("copies"), "list"))
+    found = both.groupBy(*own).agg(F.sum("copies").alias("copies"), F.count("list").alias("n_entries"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*own, "n_entries", "lists", (F.col("n_entries") > 0).alias("blocked"))
