@@ -3,6 +3,11 @@
 Quality: documents predicted bad go. Near copies: the least doc_id of each component stays. Repeats:
 bytes under repeated 200-byte strings go, from every place, and the document stays. Decontamination: documents
 that hold a benchmark item go. Packing: what is left becomes token sequences.
+
+Cases: every stage works by rows, never by ids. Null and empty texts are kept by all stages but quality, which scores them like
+any text, and become one end id each. Rows without a doc_id and rows that share one are judged by their own
+texts; of rows equal in id and text one stays. Extra columns pass through, whatever their names. Empty tables
+give empty results. Null benchmark items and labels are ignored.
 """
 
 from __future__ import annotations
