@@ -46,8 +46,8 @@ class Settings:
     endings: int = 16_384  #: types of all other words
     lexicon: int = 1 << 20  #: words whose counts are held as arrays, at most
     ranges: int = 128  #: parts of the bigram table, at least
-    steps: int = 20  #: exchange steps at most; each moves a part of the types
-    gain: float = 1e-3  #: exchange ends when steps add less than this share of the log likelihood above that of one class
+    steps: int = 10  #: exchange steps at most; each moves a part of the types
+    gain: float = 4e-3  #: exchange ends when steps add less than this share of the log likelihood above that of one class
     weight: float = 16.0  #: of the class distribution in a class's transitions
 
 
