@@ -8,14 +8,14 @@ sets' Jaccard similarity is at least ``Settings.percent`` / 100.
    n - ceil(p * n) + 1 shingles. Order one puts frequent shingles last, by a table of counts of
    hashed shingles over all documents; its prefixes, dealt by shingle, give groups of
    documents. Candidates must share a prefix shingle under two further orders (frequency class, then another hash) as well;
-   these prefixes go with each document's filters, so orders are intersected before any set is read.
+   these prefixes meet before sets do, so a pair is verified only if all orders have it.
 3. Groups don't become all pairs. First each member is compared with the group's leader (the
    document of the most common shingles). Then components are known, and in groups where they
    still differ the members outside the largest component are compared with the members of other
    components; large groups are first cut by the prefix under order two, and then into chunks.
    So no link that joins two components is lost, and a large group of
    near copies costs little more than its size where they are close to their leader.
-4. With the further orders, sizes and parity bitmaps of a bit for each shingle filter the pairs: bitmaps
+4. Before the further orders, sizes and parity bitmaps of a bit for each shingle filter the pairs: bitmaps
    of similar sets differ in no more bits than the sets in shingles.
 5. A comparison needs both sets (or bitmaps): these are dealt into blocks of bounded size, and documents with
    lists of partners stream past each block; only lists of links leave.
@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import BLOB_ROWS, keep, parts, small_batches
+from wayfold.llm._shared import BLOB_ROWS, keep, small_batches
+from wayfold.llm._shared import parts as dealt
 from wayfold.llm._words import mix, portions, shingles, words
 from wayfold.llm.components import components
 
@@ -52,7 +53,8 @@ class Settings:
     percent: int = 75
     postings: int = 1_500_000  #: prefix entries dealt to one task, about
     block: int = 4000  #: documents whose sets are held at a time, about
-    marks: int = 20_000  #: documents whose filters are held at a time, about
+    heads: int = 8000  #: documents whose prefixes are held at a time, about
+    marks: int = 60_000  #: documents whose bitmaps are held at a time, about
     group: int = 256  #: members of a group compared in one row; larger groups are cut by order two, then into chunks
 
 
@@ -104,7 +106,7 @@ def _counts(docs: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([total.tobytes()])], ["piece", "cells"])
 
     schema, out = "piece int, cells binary", np.zeros(CELLS, np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).repartition(min(PIECES, 4 * parts(docs.sparkSession)), "piece").mapInArrow(add, schema).collect():  # CELLS numbers
+    for r in docs.select("text").mapInArrow(count, schema).repartition(min(PIECES, 4 * dealt(docs.sparkSession)), "piece").mapInArrow(add, schema).collect():  # CELLS numbers
         out[r["piece"] * width : (r["piece"] + 1) * width] = np.frombuffer(r["cells"], np.int64)
     return out
 
@@ -123,32 +125,31 @@ def bitmap(s: np.ndarray) -> bytes:
     return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def mark_of(s: np.ndarray, counts: np.ndarray, percent: int) -> bytes:
-    """What filters a pair before its sets are read: the prefixes under orders two and three, 32 bits a shingle, and the bitmap."""
+def further_heads(s: np.ndarray, counts: np.ndarray, percent: int) -> bytes:
+    """The prefixes under orders two and three, 32 bits a shingle."""
     size = prefix_size(len(s), percent)
-    heads = [np.sort((o[:size] >> np.uint64(32)).astype("<u4")).tobytes() for o in orders(s, counts)[1:]]
-    return size.to_bytes(8, "little") + b"".join(heads) + bitmap(s)
+    return b"".join(np.sort((o[:size] >> np.uint64(32)).astype("<u4")).tobytes() for o in orders(s, counts)[1:])
 
 
-class Mark:
-    """A document's filters, unpacked."""
+class Heads:
+    """A document's prefixes under the two further orders."""
 
-    __slots__ = ("heads", "rest", "known")
+    __slots__ = ("known", "orders")
 
     def __init__(self, raw: bytes) -> None:
-        size = int.from_bytes(raw[:8], "little")
-        self.heads = [np.frombuffer(raw, "<u4", size, 8 + 4 * size * k) for k in (0, 1)]
-        at = 8 + 8 * size
-        self.rest = int.from_bytes(raw[at : at + 8], "little"), 8 * (len(raw) - at - 8), int.from_bytes(raw[at + 8 :], "little")
+        self.orders = np.frombuffer(raw, "<u4").reshape(2, -1)
         self.known: list[frozenset] | None = None
 
-    def may_match(self, other: Mark, percent: int) -> bool:
-        """Whether the two share a prefix shingle under both further orders, and sizes and bitmaps allow similarity."""
-        if not may_be_similar(self.rest, other.rest, percent):
-            return False
+    def meets(self, other: Heads) -> bool:
+        """Whether the two share a shingle under both."""
         if self.known is None:
-            self.known = [frozenset(h.tolist()) for h in self.heads]
-        return not any(a.isdisjoint(b.tolist()) for a, b in zip(self.known, other.heads, strict=True))
+            self.known = [frozenset(h.tolist()) for h in self.orders]
+        return not any(a.isdisjoint(b.tolist()) for a, b in zip(self.known, other.orders, strict=True))
+
+
+def mark(raw: bytes) -> tuple[int, int, int]:
+    """Size, bits and bitmap."""
+    return int.from_bytes(raw[:8], "little"), 8 * (len(raw) - 8), int.from_bytes(raw[8:], "little")
 
 
 def may_be_similar(a: tuple[int, int, int], b: tuple[int, int, int], percent: int) -> bool:
@@ -188,7 +189,7 @@ def _heads(docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame
                 if len(s):
                     c = counts[(s >> np.uint64(44)).astype(np.int64)]
                     head = s[np.lexsort((s, c))][: prefix_size(len(s), settings.percent)]
-                    rows.append((_node(s), float(np.log2(c + 1.0).mean()), head.tobytes(), mark_of(s, counts, settings.percent)))
+                    rows.append((_node(s), float(np.log2(c + 1.0).mean()), head.tobytes(), bitmap(s)))
             if rows:
                 kinds = (pa.int64(), pa.float32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "central", "head", "mark"])
@@ -248,8 +249,8 @@ def _groups(heads: DataFrame, settings: Settings) -> DataFrame:
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array(leads, pa.int64())], ["docs", "lead"])
 
-    dealt = heads.select("node", "central", "head").mapInArrow(deal, "part long, token binary, doc binary, central binary")
-    made = dealt.repartition(ranges, "part").mapInArrow(group, "docs binary, lead long")
+    sent = heads.select("node", "central", "head").mapInArrow(deal, "part long, token binary, doc binary, central binary")
+    made = sent.repartition(ranges, "part").mapInArrow(group, "docs binary, lead long")
     return keep(made.groupBy(F.md5("docs").alias("gid")).agg(F.min("docs").alias("docs"), F.min("lead").alias("lead")), "groups", BLOB_ROWS)
 
 
@@ -267,15 +268,36 @@ def _unpacked(groups: DataFrame) -> DataFrame:
     return groups.select("gid", "docs", "lead").mapInArrow(run, "gid string, doc long, lead long")
 
 
-def _wanted_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, held: the packed shingles) of the nodes in ``ids``. Most sets that aren't wanted stop at a filter of 8 bits an id.
+def _wanted(docs: DataFrame, ids: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
+    """(doc_id, heads, held: the packed shingles) of the nodes in ``ids``. Most others stop at a filter of 8 bits an id.
 
     The filter is a table of bits that every task holds: from ``MOST_BITS`` on there is none, and the join alone decides.
     """
     spark, bits = docs.sparkSession, 1 << max(15, (8 * ids.count()).bit_length())
-    if bits > MOST_BITS:
-        return _sets_of(docs, settings).join(ids, "doc_id", "left_semi").transform(lambda df: keep(df, "sets"))
+    field = _field(ids, bits) if bits <= MOST_BITS else None
+    shared = spark.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = shared.value
+        for batch in batches:
+            rows = []
+            for s in _sets(batch.column(0).to_pylist(), settings.n):
+                if len(s):
+                    node = _node(s)
+                    x = int(mix(np.array([node]).view(np.uint64))[0]) % bits
+                    if field is None or field[x >> 3] >> (x & 7) & 1:
+                        rows.append((node, further_heads(s, counts, settings.percent), s.tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "heads", "held"])
 
+    made = docs.select("text").mapInArrow(run, "doc_id long, heads binary, held binary").groupBy("doc_id").agg(F.first("heads").alias("heads"), F.first("held").alias("held"))
+    return keep(made.join(ids, "doc_id", "left_semi"), "sets")
+
+
+def _field(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each id, at a hash of it."""
+    spark = ids.sparkSession
     page = 4096  #: bytes of the filter that travel together
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,40 +316,11 @@ def _wanted_sets(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFra
                 held[i] = held.get(i, np.uint8(0)) | np.frombuffer(raw, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["page", "bits"])
 
-    noted = ids.repartition(min(parts(spark), 1 + bits // (1 << 22))).mapInArrow(note, "page long, bits binary")
+    noted = ids.repartition(min(dealt(spark), 1 + bits // (1 << 22))).mapInArrow(note, "page long, bits binary")
     field = np.zeros((bits // 8 // page, page), np.uint8)
-    for r in noted.repartition(parts(spark), "page").mapInArrow(merge, "page long, bits binary").collect():  # MOST_BITS / 8 bytes at most
+    for r in noted.repartition(dealt(spark), "page").mapInArrow(merge, "page long, bits binary").collect():  # MOST_BITS / 8 bytes at most
         field[r["page"]] = np.frombuffer(r["bits"], np.uint8)
-    field = field.ravel()
-    shared = spark.sparkContext.broadcast(field)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
-        for batch in batches:
-            rows = []
-            for s in _sets(batch.column(0).to_pylist(), settings.n):
-                if len(s):
-                    node = _node(s)
-                    x = int(mix(np.array([node]).view(np.uint64))[0]) % bits
-                    if field[x >> 3] >> (x & 7) & 1:
-                        rows.append((node, s.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc_id", "held"])
-
-    made = docs.select("text").mapInArrow(run, "doc_id long, held binary").groupBy("doc_id").agg(F.first("held").alias("held"))
-    return keep(made.join(ids, "doc_id", "left_semi"), "sets")
-
-
-def _sets_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, held) of every distinct set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(_node(s), s.tobytes()) for s in _sets(batch.column(0).to_pylist(), settings.n) if len(s)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["doc_id", "held"])
-
-    return docs.select("text").mapInArrow(run, "doc_id long, held binary").groupBy("doc_id").agg(F.first("held").alias("held"))
+    return field.ravel()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -377,12 +370,13 @@ def _matched(pairs: DataFrame, held_: DataFrame, per_block: int, prepare: Callab
     return keep(rows.mapInArrow(compare, "a long, partners binary"), "matched")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, marks: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b) of ``pairs`` (a, partners: packed ids) whose sets are similar. Filters meet first; sets are read of pairs that pass all."""
+def _links(docs: DataFrame, pairs: DataFrame, marks: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
+    """(a, b) of ``pairs`` (a, partners: packed ids) whose sets are similar. Sets are compared of pairs that all filters leave."""
     percent = settings.percent
-    left = _matched(pairs, marks, settings.marks, Mark, lambda a, b: a.may_match(b, percent))
-    sets = _wanted_sets(docs, keep(_partners(left).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), settings)
-    return keep(_partners(_matched(left, sets, settings.block, lambda raw: np.frombuffer(raw, np.uint64), lambda a, b: similar(a, b, percent))), "similar")
+    left = _matched(pairs, marks, settings.marks, mark, lambda a, b: may_be_similar(a, b, percent))
+    wanted = _wanted(docs, keep(_partners(left).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), counts, settings)
+    left = _matched(left, wanted.select("doc_id", F.col("heads").alias("held")), settings.heads, Heads, lambda a, b: a.meets(b))
+    return keep(_partners(_matched(left, wanted.select("doc_id", "held"), settings.block, lambda raw: np.frombuffer(raw, np.uint64), lambda a, b: similar(a, b, percent))), "similar")
 
 
 def _partners(pairs: DataFrame) -> DataFrame:
@@ -406,24 +400,25 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(known.where("kinds > 1").drop("kinds"), "gid")
 
 
-def _by_second_order(members: DataFrame, marks: DataFrame) -> DataFrame:
+def _by_second_order(members: DataFrame, docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
     """Members of large groups, dealt anew by the group and each shingle of their prefix under order two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = [Mark(raw).heads[0] for raw in batch.column(4).to_pylist()]
+            heads = [Heads(raw).orders[0] for raw in batch.column(4).to_pylist()]
             for i in range(0, len(heads), 64):
                 some = heads[i : i + 64]
                 at = pa.array(i + np.repeat(np.arange(len(some)), [len(h) for h in some]))
                 shingle = np.concatenate(some).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array(shingle)], ["gid", "doc", "lead", "component", "shingle"])
 
-    held = members.join(marks.withColumnRenamed("doc_id", "doc"), "doc").select("gid", "doc", "lead", "component", "held")
-    dealt = held.mapInArrow(run, "gid string, doc long, lead long, component long, shingle long").distinct()
-    return dealt.select(F.concat_ws("-", "gid", "shingle").alias("gid"), "doc", "lead", "component")
+    heads = _wanted(docs, keep(members.select(F.col("doc").alias("doc_id")).distinct(), "ids"), counts, settings).select(F.col("doc_id").alias("doc"), "heads")
+    held = members.join(heads, "doc").select("gid", "doc", "lead", "component", "heads")
+    anew = held.mapInArrow(run, "gid string, doc long, lead long, component long, shingle long").distinct()
+    return anew.select(F.concat_ws("-", "gid", "shingle").alias("gid"), "doc", "lead", "component")
 
 
-def _rest(groups: DataFrame, parts: DataFrame, marks: DataFrame, dealt: int, settings: Settings) -> DataFrame:
+def _rest(groups: DataFrame, parts: DataFrame, docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame:
     """(a, partners): in groups of several components, members outside the largest against the other components' members.
 
     Large groups are cut by the prefix under order two first. What is larger than ``settings.group`` then goes on as
@@ -433,7 +428,9 @@ def _rest(groups: DataFrame, parts: DataFrame, marks: DataFrame, dealt: int, set
     members = _unpacked(known).join(parts.select(F.col("id").alias("doc"), "component"), "doc", "left").select("gid", "doc", "lead", F.coalesce("component", "doc").alias("component"))
     first = keep(_mixed(members), "mixed")
     names = ["gid", "doc", "lead", "component"]
-    rows = first.where(F.col("n") <= settings.group).unionAll(_mixed(_by_second_order(first.where(F.col("n") > settings.group).select(*names), marks)))
+    rows, large = first.where(F.col("n") <= settings.group), first.where(F.col("n") > settings.group).select(*names)
+    if large.limit(1).count():
+        rows = rows.unionAll(keep(_mixed(_by_second_order(large, docs, counts, settings)), "cut"))
     chunks = F.ceil(F.col("n") / settings.group).cast("int")
     rows = rows.where("doc <> lead").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -471,7 +468,7 @@ def _rest(groups: DataFrame, parts: DataFrame, marks: DataFrame, dealt: int, set
             yield out()
 
     asked = lists.mapInArrow(run, "a long, partners binary")
-    return keep(asked.repartition(dealt, "a").sortWithinPartitions("a").mapInArrow(union, "a long, partners binary"), "rest")
+    return keep(asked.repartition(dealt(groups.sparkSession), "a").sortWithinPartitions("a").mapInArrow(union, "a long, partners binary"), "rest")
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -499,8 +496,8 @@ def named_rows(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["a", "partners"])
 
     asked = star.groupBy("doc").agg(F.collect_list("lead").alias("leads")).mapInArrow(packed, "a long, partners binary")
-    near = _links(docs, asked, marks, settings)
-    more = _links(docs, _rest(groups, keep(components(near), "parts"), marks, parts(docs.sparkSession), settings), marks, settings)
+    near = _links(docs, asked, marks, counts, settings)
+    more = _links(docs, _rest(groups, keep(components(near), "parts"), docs, counts, settings), marks, counts, settings)
     whole = components(near.unionAll(more)).select(F.col("id").alias("node"), "component")
     least = classes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.select("node", "least", F.coalesce("component", "node").alias("component"))
