@@ -1,12 +1,14 @@
 import gzip
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.sinks import exports
-from wayfold.sources import captures, ply
+from wayfold.sources import captures, ply, png
 
 
 def test_csv_by_header_in_any_order(spark, tmp_path):
@@ -18,6 +20,65 @@ def test_csv_by_header_in_any_order(spark, tmp_path):
     assert captures.observations(spark, str(tmp_path / "o.csv.gz"), ["uid"]).columns == ["uid"]
 
 
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.csv").write_text("uid,px_world,py_world,pz_world,inv_dist_std,dist_std\n1,1,2,3,0.1,0.2\n")
+    (tmp_path / "p" / "b.csv").write_text("uid,pz_world,py_world,px_world,more,dist_std,inv_dist_std\n2,3,2,1,x,0.2,0.1\n3,6,5,4,y,0.2,0.1\n")
+    rows = captures.points(spark, str(tmp_path / "p")).orderBy("uid").collect()
+    assert [tuple(r) for r in rows] == [(1, 1.0, 2.0, 3.0, 0.1, 0.2), (2, 1.0, 2.0, 3.0, 0.1, 0.2), (3, 4.0, 5.0, 6.0, 0.1, 0.2)]
+    (tmp_path / "p" / "c.csv").write_text("uid,px_world\n9,1\n")
+    with pytest.raises(ValueError, match="has no column py_world"):
+        captures.points(spark, str(tmp_path / "p"))
+    assert captures.points(spark, str(tmp_path / "p"), ["uid"]).count() == 4
+
+
+def test_png_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for n in (3, 4):
+        pixels = rng.integers(0, 256, (7, 5, n)).astype(np.uint8)
+        assert (png.decode(png.encode(pixels)) == pixels).all()
+    # every filter, made by hand
+    lines = rng.integers(0, 256, (5, 4, 3)).astype(int)
+    raw, before = b"", np.zeros((4, 3), int)
+    for how, line in enumerate(lines):
+        left = np.vstack([np.zeros((1, 3), int), line[:-1]])
+        corner = np.vstack([np.zeros((1, 3), int), before[:-1]])
+        p = left + before - corner
+        d = [abs(p - v) for v in (left, before, corner)]
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], before, corner))
+        guess = [0 * line, left, before, (left + before) // 2, paeth][how]
+        raw += bytes([how]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+        before = line
+    whole = png.encode(lines.astype(np.uint8))
+    chunk = lambda kind, part: struct.pack(">I", len(part)) + kind + part + struct.pack(">I", 0)
+    assert (png.decode(whole[:33] + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")) == lines).all()
+    rows = [("a", c, y, x, (c + 2 * y + x) / 20) for c in range(4) for y in range(3) for x in range(2)]
+    exports.images(spark.createDataFrame(rows, "img string, c int, y int, x int, v double"), str(tmp_path / "png"))
+    back = captures.images(spark, f"file://{tmp_path}/png").collect()
+    assert len(back) == 18 and all(r.img == "a.png" and abs(r.v - (r.c + 2 * r.y + r.x) / 20) < 0.003 and abs(r["mask"] - (3 + 2 * r.y + r.x) / 20) < 0.003 for r in back)
+    with pytest.raises(ValueError, match="not a PNG"):
+        png.decode(b"GIF89a")
+
+
+def test_ascii_and_filtered_ply(spark, tmp_path):
+    (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_index\nend_header\n0 0 0\n1 0 0.5\n0 1 0\n3 0 1 2\n")
+    v, f = ply.mesh(spark, f"file://{tmp_path}/a.ply")
+    assert [(r.x, r.z) for r in v.orderBy("vid").collect()] == [(0, 0), (1, 0.5), (0, 0)] and [(r.a, r.b, r.c) for r in f.collect()] == [(0, 1, 2)]
+    rows = [(i, float(i), 0.0, 0.0, 0.5, [1.0, 2.0, 3.0], [], [0.1] * 3, [1.0, 0.0, 0.0, 0.0]) for i in range(5)]
+    splats = spark.createDataFrame(rows, "gid long, x float, y float, z float, opacity float, f_dc array<float>, f_rest array<float>, scale array<float>, rot array<float>")
+    exports.splats(splats, str(tmp_path / "s.ply"), 2)
+    exports.filtered_splats(splats.where("gid % 2 = 0").select("gid"), f"file://{tmp_path}/s.ply", str(tmp_path / "t.ply"))
+    back = ply.splats(spark, f"file://{tmp_path}/t.ply").orderBy("gid").collect()
+    assert [(r.x, r.sh_degree, r.f_dc) for r in back] == [(float(i), 2, [1.0, 2.0, 3.0]) for i in (0, 2, 4)]
+
+
+def test_depth_files(spark, tmp_path):
+    points = spark.createDataFrame([("rgb", f, u, 1.0 * u, 2.0, 3.0, 0.1, 0.2) for f in (1, 2) for u in (5, 4)], "camera_label string, frame long, uid long, u double, v double, z double, inverse_std double, distance_std double")
+    frames = spark.createDataFrame([("rgb", 1), ("rgb", 2), ("rgb", 3)], "camera_label string, frame long")
+    found = {r.frame: r.sparse_depth for r in exports.depth_files(points, frames, f"file://{tmp_path}/d", ["camera_label", "frame"]).collect()}
+    assert found[3] is None and [r.uid for r in captures.sparse_depth(spark, found[2]).orderBy("uid").collect()] == [4, 5]
+
+
 def test_calibration_takes_the_first_record(spark, tmp_path):
     camera = lambda label, serial, x: {"Label": label, "SerialNumber": serial, "T_Device_Camera": {"Translation": [x, 0, 1], "UnitQuaternion": [0.5, [0.1, 0.2, 0.3]]}, "Projection": {"Params": [1.0, 2, 3]}}
     lines = [{"CameraCalibrations": [camera("slam-left", "a", 1), camera("camera-rgb", None, 2)], "ReadoutTimesSec": {"slam-left": None, "camera-rgb": 0.01}}, {"CameraCalibrations": [camera("slam-left", "a", 9)]}]
@@ -64,7 +125,7 @@ def test_ply_round_trips(spark, tmp_path):
     with pytest.raises(Exception, match="face list"):
         ply.mesh(spark, str(tmp_path / "cloud.ply"))[1].collect()
     with pytest.raises(ValueError):
-        ply.parse(b"ply\nformat ascii 1.0\nend_header\n")
+        ply.parse(b"ply\nformat binary_big_endian 1.0\nend_header\n")
     assert ply.numbered(["f_rest_10", "f_rest_2", "x"], "f_rest_") == ["f_rest_2", "f_rest_10"]
 
 

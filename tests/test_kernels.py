@@ -110,5 +110,28 @@ def test_stages_skip_check_and_stop(spark, tmp_path):
     assert list(stages.run(spark, plan, str(tmp_path / "p"), source, force=True, stop_after="double")) == ["double"]
     with pytest.raises(ValueError, match="checks failed: rows"):
         stages.run(spark, plan, str(tmp_path / "q"), {"numbers": spark.range(4)})
+    # a forced run that breaks between two stages: the later one is made anew from the new output
+    state = {"factor": 1, "broken": False}
+
+    def scaled(spark, have):
+        return have["numbers"].select((F.col("id") + state["factor"]).alias("x")).limit(1)
+
+    def tenfold(spark, have):
+        if state["broken"]:
+            raise RuntimeError("broken")
+        return have["a"].select((F.col("x") * 10).alias("y"))
+
+    pair = [stages.Stage("a", scaled, ["numbers"], lambda df: {"small": df.agg((F.max("x") < 5).alias("ok"))}), stages.Stage("b", tenfold, ["a"])]
+    run = lambda **more: stages.run(spark, pair, str(tmp_path / "s"), {"numbers": spark.range(1)}, **more)
+    assert run()["b"].first().y == 10
+    state.update(factor=2, broken=True)
+    with pytest.raises(RuntimeError):
+        run(force=True)
+    state["broken"] = False
+    assert (run()["a"].first().x, run()["b"].first().y) == (2, 20)
+    state["factor"] = 9  # fails its check: the runs before stay
+    with pytest.raises(ValueError, match="small"):
+        run(force=True)
+    assert (run()["a"].first().x, run()["b"].first().y) == (2, 20)
     with pytest.raises(ValueError, match="sum needs double"):
         stages.run(spark, plan[1:], str(tmp_path / "r"), source)

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Pairs that may be compared without finer cells.
-DIRECT = 2_000_000
-
-
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, label: str = "space") -> DataFrame:
     """Write to the folder that the cluster shares (spark.checkpoint.dir) and read back; cuts the lineage."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/wayfold"
-    path = f"{root}/space/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints/wayfold"
+    path = f"{root}/{label}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -26,47 +26,89 @@ def cell(x: Column, size: Column | float) -> Column:
     return F.floor(x / size)
 
 
-def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, size: float | None = None) -> DataFrame:
+#: Bits of a place on each axis, and points from which on a cell is split.
+BITS, FULL = 40, 64
+
+
+def _tree(right: DataFrame, axes: list[str], fan: int) -> tuple[list[DataFrame], DataFrame] | None:
+    """Cells of the points (nn, r_<axis>), level by level, and the points with their cell.
+
+    Only full cells are split, ``fan`` bits an axis a level, from the size of their own points on, so far outliers
+    make neither crowded cells nor levels. A level's table has
+    (path, up, n, low and high of its points, leaf).
+    """
+    box = right.agg(F.count("*").alias("n"), *(f(f"r_{c}").alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "l"), (F.max, "h")))).first()
+    if not box["n"]:
+        return None
+    wide = max(box[f"h_{c}"] - box[f"l_{c}"] for c in axes) or 1.0
+    place = lambda c: F.least(F.floor((F.col(f"r_{c}") - F.lit(box[f"l_{c}"])) / F.lit(wide) * float(1 << BITS)).cast("long"), F.lit((1 << BITS) - 1))
+    open_, levels, placed, before, shift = keep(right.withColumns({f"_{c}": place(c) for c in axes})), [], None, BITS, BITS - fan
+    at = lambda shift: F.concat_ws(",", F.lit(str(shift)), *(F.shiftright(F.col(f"_{c}"), shift).cast("string") for c in axes))
+    while True:
+        path, up = at(shift), at(before)
+        keyed = open_.withColumn("path", path)
+        cells = keyed.groupBy("path", up.alias("up")).agg(F.count("*").alias("n"), *(f(f"r_{c}").alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "low"), (F.max, "high"))))
+        level = keep(cells.withColumn("leaf", (F.col("n") <= FULL) | F.lit(shift == 0)))
+        levels.append(level)
+        leaves = keyed.join(level.where("leaf").select("path"), "path", "left_semi").select("path", "nn", *(f"r_{c}" for c in axes))
+        placed = leaves if placed is None else placed.unionAll(leaves)
+        full = level.where("NOT leaf")
+        extent = full.agg(F.max(F.greatest(*(F.col(f"high_{c}") - F.col(f"low_{c}") for c in axes), F.lit(0.0)))).first()[0]
+        if extent is None:
+            return levels, placed
+        open_ = keyed.join(full.select("path"), "path", "left_semi").drop("path")
+        # levels at which the points of every full cell stay together are left out
+        before, shift = shift, max(0, min(shift, int(extent / wide * (1 << BITS)).bit_length()) - fan)
+
+
+def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, digits: int | None = None, apart: bool = False) -> DataFrame:
     """(id, nn, d2, rank): the ``k`` nearest of ``right`` for each row of ``left`` (id and axes); ties to the lower id.
 
-    Cells are tried from small to large: a distance of at most one cell is final once all
-    neighbouring cells were seen; other rows go on with wider cells. Once few pairs are left (``DIRECT``), one cell holds all.
+    The right side's cells form a tree that is split where it is crowded. Each left row walks down the tree: of a level's cells it
+    keeps those that can hold one of its k nearest, by the nearest and the farthest point of each cell's bounds. So a row
+    meets the points of a few small cells however points are spread, and nothing compares all pairs. Of right rows at one place
+    only k are kept. ``digits`` rounds squared distances before ties are decided; ``apart`` leaves out the row of the same id.
     """
-    left, right = left.select("id", *axes), keep(right.select(F.col("id").alias("nn"), *(F.col(c).alias(f"r_{c}") for c in axes)))
-    box = right.agg(F.count("*").alias("n"), *(F.min(f"r_{c}").alias(f"l_{c}") for c in axes), *(F.max(f"r_{c}").alias(f"h_{c}") for c in axes)).first()
-    own = left.agg(*(F.min(c).alias(f"l_{c}") for c in axes), *(F.max(c).alias(f"h_{c}") for c in axes)).first()
-    if not box["n"] or own[f"l_{axes[0]}"] is None:
+    fan = 2 if len(axes) <= 3 else 1
+    left = left.select("id", *axes).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in axes))
+    right = right.select(F.col("id").alias("nn"), *(F.col(c).cast("double").alias(f"r_{c}") for c in axes)).where(" AND ".join(f"r_{c} IS NOT NULL AND NOT isnan(r_{c})" for c in axes))
+    wanted, here = k + apart, [f"r_{c}" for c in axes]
+    if wanted == 1:
+        right = right.groupBy(*here).agg(F.min("nn").alias("nn"))
+    else:
+        right = right.withColumn("_k", F.row_number().over(Window.partitionBy(*here).orderBy("nn"))).where(F.col("_k") <= wanted).drop("_k")
+    tree = _tree(right, axes, fan)
+    if tree is None:
         return left.select("id", F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
-    wide = max(max(box[f"h_{c}"], own[f"h_{c}"]) - min(box[f"l_{c}"], own[f"l_{c}"]) for c in axes) or 1.0
-    size = size or max(wide * (2.0 / box["n"]) ** (1 / len(axes)), wide * 1e-6)
-    todo, out = left, None
-    if left.count() * box["n"] <= DIRECT:
-        size = wide
-    while True:
-        asked = todo.select("*", F.explode(cells_around(axes, size)).alias("c")).select("id", *axes, *(F.col(f"c.c_{c}").alias(f"c_{c}") for c in axes))
-        placed = right.select("*", *(cell(F.col(f"r_{c}"), size).alias(f"c_{c}") for c in axes))
-        d2 = sum(((F.col(c) - F.col(f"r_{c}")) ** 2 for c in axes[1:]), (F.col(axes[0]) - F.col(f"r_{axes[0]}")) ** 2)
-        pairs = asked.join(placed, [f"c_{c}" for c in axes]).select("id", "nn", d2.alias("d2"))
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nn"))).where(F.col("rank") <= k)
-        last = size >= wide
-        done = ranked.withColumn("n", F.max(F.struct("rank", "d2")).over(Window.partitionBy("id")))
-        if not last:
-            done = done.where((F.col("n.rank") == k) & (F.col("n.d2") <= size * size))
-        done = keep(done.select("id", "nn", "d2", "rank"))
-        out = done if out is None else out.unionAll(done)
-        if last:
-            return out
-        todo = keep(todo.join(done.select("id").distinct(), "id", "left_anti"))
-        rest = todo.count()
-        if not rest:
-            return out
-        size = wide if rest * box["n"] <= DIRECT else size * 3
-
-
-def cells_around(axes: list[str], size: float) -> Column:
-    """A row's cell and all that touch it."""
-    steps = product((-1, 0, 1), repeat=len(axes))
-    return F.array(*(F.struct(*((cell(F.col(c), size) + o).alias(f"c_{c}") for c, o in zip(axes, step, strict=True))) for step in steps))
+    levels, placed = tree
+    gap = lambda c: F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0))
+    far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"low_{c}")), F.abs(F.col(c) - F.col(f"high_{c}")))
+    square = lambda v: sum((x * x for x in v[1:]), v[0] * v[0])
+    have = ["id", *axes, "path", "n", "leaf", "dmin", "dmax"]
+    measured = lambda df: df.withColumn("dmin", square([gap(c) for c in axes])).withColumn("dmax", square([far(c) for c in axes])).select(*have)
+    spread = Window.partitionBy("id").orderBy("dmax", "path").rowsBetween(Window.unboundedPreceding, 0)
+
+    def pruned(df: DataFrame) -> DataFrame:
+        reach = F.min(F.when(F.col("_held") >= wanted, F.col("dmax"))).over(Window.partitionBy("id"))
+        slack = 1 + 1e-9
+        return df.withColumn("_held", F.sum("n").over(spread)).withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("dmin") <= F.col("_reach") * slack + (10.0**-digits if digits else 0.0))).select(*have)
+
+    top = levels[0].drop("up").collect()  # the first level has at most 2^(fan * axes) cells
+    first = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in levels[0].columns if c != "up")) for r in top))
+    found = pruned(measured(left.select("id", *axes, F.inline(first))))
+    for i, level in enumerate(levels[1:]):
+        inner = found.where("NOT leaf").select("id", *axes, F.col("path").alias("up")).join(level, "up")
+        found = pruned(found.where("leaf").unionAll(measured(inner)))
+        if i % 4 == 3:
+            found = keep(found)
+    d2 = square([F.col(c) - F.col(f"r_{c}") for c in axes])
+    pairs = found.select("id", *axes, "path").join(placed, "path")
+    if apart:
+        pairs = pairs.where("id <> nn")
+    pairs = pairs.select("id", "nn", (d2 if digits is None else F.round(d2, digits)).alias("d2"))
+    if k == 1:
+        return pairs.groupBy("id").agg(F.min(F.struct("d2", "nn")).alias("m")).select("id", "m.nn", "m.d2", F.lit(1).alias("rank"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nn"))).where(F.col("rank") <= k)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,9 +20,14 @@ class Stage:
     checks: Callable[[DataFrame], dict[str, DataFrame]] | None = None  #: rules that its output must keep
 
 
+MANIFEST = "stage string, version string, inputs map<string,string>, finished timestamp"
+
+
 def run(spark: SparkSession, stages: list[Stage], folder: str, sources: dict[str, DataFrame], force: bool = False, stop_after: str | None = None) -> dict[str, DataFrame]:
-    """The outputs by name. Each is a table in ``folder``; the manifest table there names the finished ones.
+    """The outputs by name. A run of a stage writes a table of its own in ``folder``; the manifest table there names the finished runs.
 
+    A run is used again only if it took the versions of its inputs that are used now, so what lies downstream of a new
+    output is made anew, also after a break. A stage whose checks fail leaves no row, and its earlier runs stay as they are.
     Inputs that no stage makes and no source has are an error before anything runs.
     """
     known = set(sources)
@@ -30,25 +36,29 @@ def run(spark: SparkSession, stages: list[Stage], folder: str, sources: dict[str
             raise ValueError(f"{s.name} needs {', '.join(sorted(missing))}")
         known.add(s.name)
     manifest = f"{folder}/_manifest"
-    done = set() if force else {r["stage"] for r in finished(spark, manifest).select("stage").collect()}  # a row for each stage
-    have, fresh = dict(sources), False
+    last = finished(spark, manifest).groupBy("stage").agg(F.max_by(F.struct("version", "inputs"), F.struct("finished", "version")).alias("r")).select("stage", "r.*").collect()  # a row for each stage
+    done = {} if force else {r["stage"]: (r["version"], r["inputs"]) for r in last}
+    have, versions = dict(sources), dict.fromkeys(sources, "source")
     for s in stages:
-        path = f"{folder}/{s.name}"
-        if s.name not in done or fresh:
-            s.make(spark, {k: have[k] for k in s.inputs}).write.mode("overwrite").parquet(path)
-            fresh = True
+        inputs = {k: versions[k] for k in s.inputs}
+        version, taken = done.get(s.name, (None, None))
+        if version is None or taken != inputs:
+            version = uuid.uuid4().hex
+            path = f"{folder}/{s.name}/{version}"
+            s.make(spark, {k: have[k] for k in s.inputs}).write.parquet(path)
             if s.checks:
                 quality.require(quality.checked(s.checks(spark.read.parquet(path))))
-            spark.range(1).select(F.lit(s.name).alias("stage"), F.current_timestamp().alias("finished")).write.mode("append").parquet(manifest)
-        have[s.name] = spark.read.parquet(path)
+            row = spark.createDataFrame([(s.name, version, inputs)], "stage string, version string, inputs map<string,string>").withColumn("finished", F.current_timestamp())
+            row.write.mode("append").parquet(manifest)
+        have[s.name], versions[s.name] = spark.read.parquet(f"{folder}/{s.name}/{version}"), version
         if s.name == stop_after:
             break
     return {k: v for k, v in have.items() if k not in sources}
 
 
 def finished(spark: SparkSession, manifest: str) -> DataFrame:
-    """(stage, finished), empty before the first run."""
+    """(stage, version, inputs, finished), empty before the first run."""
     path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "stage string, finished timestamp")
-    return spark.read.schema("stage string, finished timestamp").parquet(manifest)
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(manifest)

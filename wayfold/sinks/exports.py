@@ -1,21 +1,23 @@
-"""Writers for other tools: text models, JSON sets, reports, PLY and visibility files.
+"""Writers for other tools: text models, JSON sets, reports, PLY, PNG and visibility files.
 
 Tables of any size are written as parquet. What other tools read is one file with a header; it is written by one
-task of the cluster through Spark's own writers where the format is text, and by
-streaming partitions in order through the driver where it is binary.
+task of the cluster through Spark's own writers where the format is text. Binary files are packed by the executors
+and joined by the driver, which holds one packed batch of rows at a time.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.sources import ply
+from wayfold.sources import ply, png
 
 
 def frame_set(frames: DataFrame, path: str, header: list[str]) -> None:
@@ -38,6 +40,18 @@ def depth_arrays(points: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *(F.col("p")[a].alias(b) for a, b in names.items()))
 
 
+def depth_files(points: DataFrame, frames: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """A JSON file of parallel arrays for each frame, in a folder of its own below ``path``; ``frames`` with the folder as ``sparse_depth``.
+
+    Executors write the files; frames without points have none and get null.
+    """
+    rows = depth_arrays(points, keys)
+    inner = [c for c in rows.columns if c not in keys]
+    rows.select(*keys, F.to_json(F.struct(*inner)).alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+    there = rows.select(*keys, F.concat_ws("/", F.lit(path), *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys)).alias("sparse_depth"))
+    return frames.join(there, keys, "left")
+
+
 def cameras_by_split(cameras: DataFrame, path: str) -> None:
     """{split: [camera, ...]} ordered by id."""
     inner = [c for c in cameras.columns if c != "split"]
@@ -95,47 +109,106 @@ def _whole(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
-def _columns(df: DataFrame, order: list[str], names: list[str]) -> dict[str, np.ndarray]:
-    table = df.orderBy(*order).select(*names).toArrow()
-    return {n: table.column(n).to_numpy() for n in names}
+def _packed(df: DataFrame, order: list[str], pack: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[bytes]:
+    """The rows in order, packed by the executors, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pack(batch).tobytes()], pa.binary())], ["raw"])
+
+    for r in df.orderBy(*order).mapInArrow(run, "raw binary").toLocalIterator():
+        yield r["raw"]
+
+
+def _ply(path: str, elements: list[tuple[str, list[tuple], int, Iterator[bytes]]]) -> None:
+    """A file of elements (name, numpy fields, rows, packed rows); it is there whole or not at all."""
+    part = Path(f"{path}.partial")
+    with part.open("wb") as out:
+        out.write(ply.header([(name, np.dtype(fields), n) for name, fields, n, _ in elements]))
+        for _, _, _, blobs in elements:
+            for raw in blobs:
+                out.write(raw)
+    os.replace(part, path)
+
+
+def _filled(batch: pa.RecordBatch, fields: list[tuple], **columns: np.ndarray) -> np.ndarray:
+    rows = np.zeros(len(batch), fields)
+    for name, values in columns.items():
+        rows[name] = values
+    return rows
 
 
 def cloud(df: DataFrame, path: str) -> None:
-    """x, y, z, normals of zero and colours (0 to 1) as bytes; the file is assembled on the driver."""
-    c = _columns(df, ["id"], ["x", "y", "z", "r", "g", "b"])
-    rows = np.zeros(len(c["x"]), [(n, "<f4") for n in ("x", "y", "z", "nx", "ny", "nz")] + [(n, "u1") for n in ("red", "green", "blue")])
-    for n in "xyz":
-        rows[n] = c[n]
-    for a, b in (("r", "red"), ("g", "green"), ("b", "blue")):
-        rows[b] = np.clip(np.rint(c[a] * 255), 0, 255)
-    _whole(path, ply.encode({"vertex": rows}))
+    """x, y, z, normals of zero and colours (0 to 1) as bytes."""
+    fields = [(n, "<f4") for n in ("x", "y", "z", "nx", "ny", "nz")] + [(n, "u1") for n in ("red", "green", "blue")]
+
+    def pack(batch: pa.RecordBatch) -> np.ndarray:
+        c = {n: batch.column(n).to_numpy() for n in batch.schema.names}
+        colours = {b: np.clip(np.rint(c[a] * 255), 0, 255) for a, b in (("r", "red"), ("g", "green"), ("b", "blue"))}
+        return _filled(batch, fields, **{n: c[n] for n in "xyz"}, **colours)
+
+    df = df.select("id", "x", "y", "z", "r", "g", "b")
+    _ply(path, [("vertex", fields, df.count(), _packed(df, ["id"], pack))])
 
 
 def splats(df: DataFrame, path: str, sh_degree: int = 3) -> None:
     """Splats with their lists spread into numbered columns, and one metadata row."""
-    table = df.orderBy("gid").select("x", "y", "z", "opacity", "f_dc", "f_rest", "scale", "rot").toArrow()
-    n = table.num_rows
-    lists = {p: np.array(table.column(p).to_pylist(), np.float32).reshape(n, -1) for p in ("f_dc", "f_rest", "scale", "rot")}
-    names = ["x", "y", "z", "nx", "ny", "nz", *(f"{p}_{i}" for p in ("f_dc", "f_rest") for i in range(lists[p].shape[1])), "opacity", *(f"{p}_{i}" for p in ("scale", "rot") for i in range(lists[p].shape[1]))]
-    rows = np.zeros(n, [(x, "<f4") for x in names])
-    for c in ("x", "y", "z", "opacity"):
-        rows[c] = table.column(c).to_numpy()
-    for p, values in lists.items():
-        for i in range(values.shape[1]):
-            rows[f"{p}_{i}"] = values[:, i]
+    lists = ("f_dc", "f_rest", "scale", "rot")
+    sizes = df.agg(*(F.coalesce(F.max(F.size(p)), F.lit(0)).alias(p) for p in lists), F.count("*").alias("n")).first()
+    of = {p: [f"{p}_{i}" for i in range(sizes[p])] for p in lists}
+    fields = [(n, "<f4") for n in ("x", "y", "z", "nx", "ny", "nz", *of["f_dc"], *of["f_rest"], "opacity", *of["scale"], *of["rot"])]
+
+    def pack(batch: pa.RecordBatch) -> np.ndarray:
+        rows = _filled(batch, fields, **{c: batch.column(c).to_numpy() for c in ("x", "y", "z", "opacity")})
+        for p, names in of.items():
+            values = batch.column(p).flatten().to_numpy().reshape(len(batch), -1)
+            for i, n in enumerate(names):
+                rows[n] = values[:, i]
+        return rows
+
     meta = np.zeros(1, [("color_format", "u1"), ("color_channel", "u1"), ("sh_degree", "u1")])
     meta["color_channel"], meta["sh_degree"] = 3, sh_degree
-    _whole(path, ply.encode({"vertex": rows, "metadata": meta}))
+    df = df.select("gid", "x", "y", "z", "opacity", *lists)
+    _ply(path, [("vertex", fields, sizes["n"], _packed(df, ["gid"], pack)), ("metadata", meta.dtype.descr, 1, iter([meta.tobytes()]))])
+
+
+def filtered_splats(kept: DataFrame, source: str, path: str) -> None:
+    """The splat file ``source`` with only the rows ``kept`` (gid), its other elements and properties as they are. One file is parsed by one task."""
+    spark = kept.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([ply.filtered(data, "vertex", np.sort(np.array(ids, np.int64)))], pa.binary())], ["raw"])
+
+    file = spark.read.format("binaryFile").load(source).select("content", F.lit(0).alias("k"))
+    ids = kept.groupBy(F.lit(0).alias("k")).agg(F.collect_list("gid").alias("ids"))
+    both = file.join(ids, "k", "left").select("content", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    _whole(path, both.mapInArrow(run, "raw binary").first()["raw"])
 
 
 def mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
-    v, f = _columns(vertices, ["vid"], ["x", "y", "z"]), _columns(faces, ["fid"], ["a", "b", "c"])
-    corner = np.zeros(len(v["x"]), [(n, "<f4") for n in "xyz"])
-    for n in "xyz":
-        corner[n] = v[n]
-    face = np.zeros(len(f["a"]), [("vertex_indices", "<i4", (3,))])
-    face["vertex_indices"] = np.column_stack([f[k] for k in "abc"])
-    _whole(path, ply.encode({"vertex": corner, "face": face}))
+    corner, face = [(n, "<f4") for n in "xyz"], [("vertex_indices", "<i4", (3,))]
+    v, f = vertices.select("vid", "x", "y", "z"), faces.select("fid", "a", "b", "c")
+    listed = [("n", "u1"), ("vertex_indices", "<i4", (3,))]
+
+    def corners(batch: pa.RecordBatch) -> np.ndarray:
+        return _filled(batch, corner, **{n: batch.column(n).to_numpy() for n in "xyz"})
+
+    def triangles(batch: pa.RecordBatch) -> np.ndarray:
+        return _filled(batch, listed, n=3, vertex_indices=np.column_stack([batch.column(k).to_numpy() for k in "abc"]))
+
+    _ply(path, [("vertex", corner, v.count(), _packed(v, ["vid"], corners)), ("face", face, f.count(), _packed(f, ["fid"], triangles))])
+
+
+def images(pixels: DataFrame, folder: str) -> DataFrame:
+    """(img, path): a PNG file in ``folder`` for each image of (img, c, y, x, v from 0 to 1); files pass through the driver one at a time."""
+    rows = []
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for r in png.files(pixels).toLocalIterator():
+        _whole(f"{folder}/{r['img']}.png", r["content"])
+        rows.append((r["img"], f"{folder}/{r['img']}.png"))
+    return pixels.sparkSession.createDataFrame(rows, "img string, path string")
 
 
 def visibility(lists: DataFrame, path: str, n_views: int) -> None:

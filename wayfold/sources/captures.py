@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRAJECTORY = "tracking_timestamp_us LONG, tx_world_device DOUBLE, ty_world_device DOUBLE, tz_world_device DOUBLE, qx_world_device DOUBLE, qy_world_device DOUBLE, qz_world_device DOUBLE, qw_world_device DOUBLE"
@@ -15,13 +17,31 @@ DEPTH = "u ARRAY<DOUBLE>, v ARRAY<DOUBLE>, z ARRAY<DOUBLE>, inverseDistanceStd A
 CAMERAS = f"id INT, width INT, height INT, img_name STRING, camera_name STRING, camera_modality STRING, c2w {MATRIX}, fov_x DOUBLE, fov_y DOUBLE, fx DOUBLE, fy DOUBLE, exposure_multiplier DOUBLE, radiance_weight DOUBLE"
 
 
+def _first_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line): the first line of each file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.where("block = 0").withColumn("nth", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "nth").alias("line"))
+
+
 def _by_header(spark: SparkSession, path: str | list[str], schema: str, keep: list[str] | None) -> DataFrame:
-    """CSV by column names, so files may have other columns and another order."""
+    """CSV by column names: each file is read by its own first line, so files may differ in their columns' order and extras.
+
+    A file without one of the schema's columns is an error. Files of one header are read together.
+    """
     from pyspark.sql.types import _parse_datatype_string
 
-    fields = _parse_datatype_string(schema).fields
-    raw = spark.read.csv(path, header=True)
-    out = raw.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+    fields = [f for f in _parse_datatype_string(schema).fields if keep is None or f.name in keep]
+    headers: dict[str, list[str]] = {}
+    for r in _first_lines(spark, path).orderBy("file").toLocalIterator():
+        headers.setdefault(r["line"].rstrip("\r"), []).append(r["file"])
+    parts = []
+    for header, files in headers.items():
+        names = [n.strip().strip('"') for n in header.split(",")]
+        if missing := [f.name for f in fields if f.name not in names]:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        raw = spark.read.schema(", ".join(f"`{n}` STRING" for n in names)).csv(path if len(headers) == 1 else files, header=True)
+        parts.append(raw.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields)))
+    out = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
     return out.select(*keep) if keep else out
 
 
@@ -43,9 +63,11 @@ def calibration(spark: SparkSession, path: str, every_record: bool = False) -> D
 
     record, label, serial, tx, ty, tz, qw, qx, qy, qz, params, readout_s; the quaternion is [w, [x, y, z]].
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("record", "line")).where(F.trim("line") != "")
-    if not every_record:
-        lines = lines.groupBy().agg(F.min_by("line", "record").alias("line"), F.min("record").alias("record")).where("line IS NOT NULL")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")).alias("at")).where(F.trim("value") != "")
+    if every_record:
+        lines = lines.select(F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("record"), F.col("value").alias("line")).withColumn("record", F.col("record") - 1)
+    else:
+        lines = lines.groupBy().agg(F.min_by("value", F.struct("file", "at")).alias("line"), F.lit(0).alias("record")).where("line IS NOT NULL")
     v = lines.select("record", F.parse_json("line").alias("v"))
     cameras = v.select("record", F.explode(F.expr("variant_get(v, '$.CameraCalibrations', 'array<variant>')")).alias("c"), F.expr("try_variant_get(v, '$.ReadoutTimesSec', 'map<string,double>')").alias("readout"))
     get = lambda p, t: F.expr(f"try_variant_get(c, '$.{p}', '{t}')")
@@ -65,7 +87,9 @@ def tracking_cameras(cameras: DataFrame) -> DataFrame:
 def frames(spark: SparkSession, path, rectified: bool = True) -> DataFrame:
     """A row for each frame of the frame sets, with its own file's header. ``uid`` numbers them by path and time within a file."""
     sets = spark.read.schema(RECTIFIED_FRAMES if rectified else RAW_FRAMES).json(path, multiLine=True).withColumn("source", F.input_file_name())
-    return sets.select("source", "camera_model", "camera_label", F.posexplode("frames").alias("uid", "frame")).select("source", "camera_model", "camera_label", "uid", "frame.*")
+    place = "image_path" if rectified else "file_path"
+    ordered = F.array_sort(F.transform("frames", lambda f: F.struct(f[place].alias("p"), f["timestamp"].alias("t"), f.alias("f"))), lambda x, y: F.when(x["p"].eqNullSafe(y["p"]), F.when(x["t"] < y["t"], -1).when(x["t"] > y["t"], 1).otherwise(0)).when(y["p"].isNull() | (x["p"] < y["p"]), -1).otherwise(1))
+    return sets.select("source", "camera_model", "camera_label", F.posexplode(ordered).alias("uid", "o")).select("source", "camera_model", "camera_label", "uid", "o.f.*")
 
 
 def sparse_depth(spark: SparkSession, path) -> DataFrame:
@@ -88,6 +112,23 @@ def keyframe_span(spark: SparkSession, path) -> DataFrame:
     return k.select(F.explode("keyframe_timestamps_ns").alias("t")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
 
 
+def images(spark: SparkSession, path: str, masks: DataFrame | None = None) -> DataFrame:
+    """(path, img, c, y, x, v, mask): the pixels of PNG files, from 0 to 1, channel by channel.
+
+    A fourth channel is the mask; else ``masks`` (img, y, x, mask) gives it, or it is 1. ``img`` is the file's name. Other
+    image formats need decoders that are not here and are errors.
+    """
+    from wayfold.sources import png
+
+    pixels = png.read(spark, path)
+    alpha = pixels.where("c = 3").select("path", "y", "x", F.col("v").alias("alpha"))
+    rows = pixels.where("c < 3").withColumn("img", F.substring_index("path", "/", -1)).join(alpha, ["path", "y", "x"], "left")
+    if masks is not None:
+        rows = rows.join(masks.withColumnRenamed("mask", "given"), ["img", "y", "x"], "left")
+    given = F.col("given").cast("double") if masks is not None else F.lit(None).cast("double")
+    return rows.select("path", "img", "c", "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v"))).alias("v"), F.coalesce("alpha", given, F.lit(1.0)).alias("mask"))
+
+
 def recordings(paths: str) -> list[str]:
     """The folders of ``dir/a+b+c``."""
     root, _, names = paths.rpartition("/")

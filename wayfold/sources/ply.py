@@ -1,4 +1,4 @@
-"""Binary little-endian PLY files, parsed from Spark's binaryFile source."""
+"""PLY files, binary little-endian or ASCII, parsed from Spark's binaryFile source."""
 
 from __future__ import annotations
 
@@ -15,10 +15,13 @@ TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2
 
 def parse(data: bytes) -> dict[str, np.ndarray]:
     """Elements by name, as structured arrays; lists must have the same length in all rows (triangles do)."""
-    head, _, body = data.partition(b"end_header\n")
+    head, mark, body = data.partition(b"end_header\n")
+    if not mark:
+        head, _, body = data.partition(b"end_header\r\n")
     lines = head.decode("ascii", "replace").splitlines()
-    if not lines or lines[0] != "ply" or "format binary_little_endian 1.0" not in lines:
-        raise ValueError("not a binary little-endian PLY file")
+    plain = "format ascii 1.0" in lines
+    if not lines or lines[0] != "ply" or not (plain or "format binary_little_endian 1.0" in lines):
+        raise ValueError("not an ASCII or binary little-endian PLY file")
     elements: list[tuple[str, int, list]] = []
     for line in lines:
         word = line.split()
@@ -28,6 +31,8 @@ def parse(data: bytes) -> dict[str, np.ndarray]:
             elements[-1][2].append((word[4], TYPES[word[2]], TYPES[word[3]]))
         elif word[:1] == ["property"]:
             elements[-1][2].append((word[2], TYPES[word[1]]))
+    if plain:
+        return _plain(elements, body)
     out, at = {}, 0
     for name, n, fields in elements:
         shape = []
@@ -48,28 +53,70 @@ def parse(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _plain(elements: list[tuple[str, int, list]], body: bytes) -> dict[str, np.ndarray]:
+    """Elements of an ASCII body: a line for each row, a list as its length and its values."""
+    lines, at, out = body.decode("ascii").splitlines(), 0, {}
+    for name, n, fields in elements:
+        rows, shape = [x.split() for x in lines[at : at + n]], []
+        at += n
+        place = 0
+        for f in fields:
+            if len(f) == 3:
+                size = int(rows[0][place]) if n else 3
+                shape += [(f"{f[0]}_n", f[1]), (f[0], f[2], (size,))]
+                place += 1 + size
+            else:
+                shape.append(f)
+                place += 1
+        if any(len(r) != place for r in rows):
+            raise ValueError(f"rows of {name} differ in length")
+        made = np.zeros(n, shape)
+        place = 0
+        for f in np.dtype(shape).names:
+            size = int(np.prod(made.dtype[f].shape, dtype=int))
+            values = np.array([r[place : place + size] for r in rows], float).reshape(made[f].shape)
+            made[f] = values.astype(made.dtype[f].base)
+            place += size
+        out[name] = made
+    return out
+
+
+def filtered(data: bytes, element: str, kept: np.ndarray) -> bytes:
+    """The file with only the rows ``kept`` of one element; all other elements and all properties stay."""
+    rows = {}
+    for name, e in parse(data).items():
+        e = e[kept] if name == element else e
+        rows[name] = e[[f for f in e.dtype.names if not (f.endswith("_n") and f[:-2] in e.dtype.names)]]
+    return encode(rows)
+
+
+def header(elements: list[tuple[str, np.dtype, int]]) -> bytes:
+    """The lines before the rows; a field with a shape is a list."""
+    names = {"i1": "char", "u1": "uchar", "i2": "short", "u2": "ushort", "i4": "int", "u4": "uint", "f4": "float", "f8": "double"}
+    lines = ["ply", "format binary_little_endian 1.0"]
+    for name, fields, n in elements:
+        lines.append(f"element {name} {n}")
+        for f in fields.names:
+            kind = fields[f]
+            lines.append(f"property list uchar {names[kind.base.str[1:]]} {f}" if kind.shape else f"property {names[kind.str[1:]]} {f}")
+    return "\n".join([*lines, "end_header\n"]).encode()
+
+
 def encode(elements: dict[str, np.ndarray]) -> bytes:
     """The file of structured arrays; a field with a shape becomes a list."""
-    names = {"i1": "char", "u1": "uchar", "i2": "short", "u2": "ushort", "i4": "int", "u4": "uint", "f4": "float", "f8": "double"}
-    lines, blobs = ["ply", "format binary_little_endian 1.0"], []
-    for name, rows in elements.items():
-        lines.append(f"element {name} {len(rows)}")
+    blobs = []
+    for rows in elements.values():
         shape = []
         for f in rows.dtype.names:
             kind = rows.dtype[f]
-            if kind.shape:
-                lines.append(f"property list uchar {names[kind.base.str[1:]]} {f}")
-                shape += [(f"{f}_n", "u1"), (f, kind.base.newbyteorder("<"), kind.shape)]
-            else:
-                lines.append(f"property {names[kind.str[1:]]} {f}")
-                shape.append((f, kind.newbyteorder("<")))
+            shape += [(f"{f}_n", "u1"), (f, kind.base.newbyteorder("<"), kind.shape)] if kind.shape else [(f, kind.newbyteorder("<"))]
         packed = np.zeros(len(rows), shape)
         for f in rows.dtype.names:
             packed[f] = rows[f]
             if rows.dtype[f].shape:
                 packed[f"{f}_n"] = rows.dtype[f].shape[0]
         blobs.append(packed.tobytes())
-    return "\n".join([*lines, "end_header\n"]).encode() + b"".join(blobs)
+    return header([(name, rows.dtype, len(rows)) for name, rows in elements.items()]) + b"".join(blobs)
 
 
 def numbered(names: list[str], prefix: str) -> list[str]:
