@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def to_sh(c: Column) -> Column:
     return (c - 0.5) / SH_DC
 
 
+def depth_filter(depth: Column, focal: Column, kernel: float = 0.2) -> Column:
+    """The filter's width at the least depth that a camera of this focal length sees."""
+    return depth / focal * math.sqrt(kernel)
+
+
 def smoothed_scales(scales: list[Column], filter_: Column) -> list[Column]:
     return [F.sqrt(s * s + filter_ * filter_) for s in scales]
 

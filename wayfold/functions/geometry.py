@@ -117,6 +117,11 @@ def lerp(a: Column, b: Column, w: Column) -> Column:
     return a + (b - a) * w
 
 
+def interpolated(values: dict[str, tuple[Column, Column]], ratio: Column) -> dict[str, Column]:
+    """Each value between its two ends; null where the ratio is not from 0 to 1."""
+    return {n: F.when((ratio >= 0) & (ratio <= 1), lerp(a, b, ratio)) for n, (a, b) in values.items()}
+
+
 def smallest_rotation(a: list[float], b: list[float]) -> list[float]:
     """Nine numbers that turn direction a into b; the identity where they are parallel, in either sense."""
     a, b = ([x / math.sqrt(sum(y * y for y in v)) for x in v] for v in (a, b))
@@ -174,6 +179,43 @@ def equidistant(x: Column, y: Column, k: list[float]) -> tuple[Column, Column]:
     return x * scale, y * scale
 
 
+def fisheye_map(x: Column, y: Column, params: list[float], shrink: int = 1) -> tuple[Column, Column]:
+    """Where a pixel of an equidistant picture lies in the distorted one: f x (1 + k1 r^2 + ... + k4 r^8) + c, with r the distance from the centre in focal lengths.
+
+    ``params`` are fx, fy, cx, cy, k1..k4; the first four are divided by ``shrink`` without remainder.
+    """
+    fx, fy, cx, cy = (p // shrink for p in params[:4])
+    u, v = (x - cx) / fx, (y - cy) / fy
+    r2, k = u * u + v * v, params[4:]
+    bent = 1 + r2 * (k[0] + r2 * (k[1] + r2 * (k[2] + r2 * k[3])))
+    return fx * u * bent + cx, fy * v * bent + cy
+
+
+def pinhole_map(x: Column, y: Column, camera: list[float], k: list[float]) -> tuple[Column, Column]:
+    """Where a pixel of an undistorted picture lies in the distorted one: two radial (k[0], k[1]) and two tangential (k[2], k[3]) terms."""
+    fx, fy, cx, cy = camera
+    u, v = (x - cx) / fx, (y - cy) / fy
+    r2 = u * u + v * v
+    radial = 1 + r2 * (k[0] + r2 * k[1])
+    return fx * (u * radial + 2 * k[2] * u * v + k[3] * (r2 + 2 * u * u)) + cx, fy * (v * radial + k[2] * (r2 + 2 * v * v) + 2 * k[3] * u * v) + cy
+
+
+def rotation_between(a: Vector, b: Vector) -> Vector:
+    """Nine numbers that turn the unit vector a into b by the smallest angle; the identity where they are parallel, in either sense."""
+    v = cross(a, b)
+    s2, c = dot(v, v), dot(a, b)
+    k = (1 - c) / F.when(s2 >= 1e-24, s2)
+    zero = F.lit(0.0)
+    skew = [zero, -v[2], v[1], v[2], zero, -v[0], -v[1], v[0], zero]
+    out = []
+    for i in range(3):
+        for j in range(3):
+            square = v[i] * v[j] - (s2 if i == j else zero)
+            eye = 1.0 if i == j else 0.0
+            out.append(F.coalesce(eye + skew[3 * i + j] + k * square, F.lit(eye)))
+    return out
+
+
 def longest_edge(a: Vector, b: Vector, c: Vector) -> Column:
     return F.greatest(norm(minus(a, b)), norm(minus(b, c)), norm(minus(c, a)))
 

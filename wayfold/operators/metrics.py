@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C1, C2 = 1e-4, 9e-4  # fixed values: the stabilisers of structural similarity on [0, 1]
@@ -58,6 +58,88 @@ def scores(distances: DataFrame, thresholds: list[float], sigma: float) -> DataF
     return both.select("tau", "precision", "recall", f.alias("f"), (F.col("tau") >= 2 * sigma).alias("trustworthy"))
 
 
-def distance_summary(d: Column) -> list[Column]:
-    """count, mean, median and 95th percentile in cm, shares below 5 and 10 cm."""
-    return [F.count(d).alias("n"), F.round(100 * F.avg(d), 4).alias("mean_cm"), F.round(100 * F.percentile(d, F.lit(0.5)), 4).alias("median_cm"), F.round(100 * F.percentile(d, F.lit(0.95)), 4).alias("p95_cm"), F.round(F.avg((d < 0.05).cast("double")), 6).alias("below_5cm"), F.round(F.avg((d < 0.10).cast("double")), 6).alias("below_10cm")]
+def distance_summary(d: Column, median: float, p95: float) -> list[Column]:
+    """count, mean, the given median and 95th percentile in cm, shares below 5 and 10 cm."""
+    return [F.count(d).alias("n"), F.round(100 * F.avg(d), 4).alias("mean_cm"), F.round(F.lit(100 * median), 4).alias("median_cm"), F.round(F.lit(100 * p95), 4).alias("p95_cm"), F.round(F.avg((d < 0.05).cast("double")), 6).alias("below_5cm"), F.round(F.avg((d < 0.10).cast("double")), 6).alias("below_10cm")]
+
+
+def eroded(df: DataFrame, keys: list[str], mask: str = "mask", by: int = 2) -> DataFrame:
+    """``df`` (keys, y, x, ...) with the least mask within ``by`` pixels on either axis; nothing counts beyond the border."""
+    low = lambda group, axis: F.min(mask).over(Window.partitionBy(*group).orderBy(axis).rangeBetween(-by, by))
+    return df.withColumn(mask, low([*keys, "y"], "x")).withColumn(mask, low([*keys, "x"], "y"))
+
+
+def squared_mask(df: DataFrame, keys: list[str], width: int, side: int) -> DataFrame:
+    """Masks (keys, y, x, mask) of ``width`` columns and ``side`` rows, resampled linearly to squares and cut at a half."""
+    at = (F.col("x") + 0.5) * width / side - 0.5
+    base = F.floor(at).cast("int")
+    inside = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(width - 1))
+    wanted = df.select(*keys, "y").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+    taps = F.array(F.struct(inside(base).alias("from"), (1 - (at - base)).alias("w")), F.struct(inside(base + 1).alias("from"), (at - base).alias("w")))
+    asked = wanted.select(*keys, "y", "x", F.inline(taps))
+    have = df.select(*keys, "y", F.col("x").alias("from"), "mask")
+    return asked.join(have, [*keys, "y", "from"]).groupBy(*keys, "y", "x").agg((F.sum(F.col("w") * F.col("mask")) > 0.5).cast("int").alias("mask"))
+
+
+def remapped(image: DataFrame, asked: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, id, value): linear samples of ``image`` (keys, y, x, value) at ``asked`` (keys, id, u, v); zero beyond the border."""
+    a, b = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
+    corner = lambda i, j: F.struct((F.floor("u") + i).alias("x"), (F.floor("v") + j).alias("y"), ((a if i else 1 - a) * (b if j else 1 - b)).alias("w"))
+    taps = asked.select(*keys, "id", F.inline(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))))
+    found = taps.join(image.select(*keys, "y", "x", value), [*keys, "y", "x"], "left")
+    return found.groupBy(*keys, "id").agg(F.sum(F.col("w") * F.coalesce(value, F.lit(0.0))).alias(value))
+
+
+def scale_invariant(df: DataFrame, image: list[str]) -> DataFrame:
+    """(image, scale, error) of depths gt and pred under the eroded mask: the scale and the squared error are of masked pixels alone; a prediction of zeros counts as ones."""
+    rows = eroded(df, image)
+    m = F.col("mask")
+    zero = rows.groupBy(*image).agg((F.sum(F.col("pred") ** 2 * m) <= 1e-6).alias("_zero"))
+    rows = rows.join(zero, image).withColumn("pred", F.when(F.col("_zero"), 1.0).otherwise(F.col("pred")))
+    p, t = F.col("pred"), F.col("gt")
+    # the error of the best scale follows from three sums
+    sums = rows.groupBy(*image).agg(F.sum(m).alias("n"), F.sum(t * p * m).alias("tp"), F.sum(p * p * m).alias("pp"), F.sum(t * t * m).alias("tt"))
+    s = F.col("tp") / F.col("pp")
+    return sums.select(*image, s.alias("scale"), ((s * s * F.col("pp") - 2 * s * F.col("tp") + F.col("tt")) / F.col("n")).alias("error"))
+
+
+def inverse_depth_losses(error: Column, std: Column, delta: float = 0.1) -> dict[str, Column]:
+    """Mean L1, Huber and L2 losses of an inverse-depth error, plain and weighted by 1 / std (L2: 1 / std^2)."""
+    return {
+        "l1": F.avg(F.abs(error)), "huber": F.avg(huber(error, delta)), "l2": F.avg(error * error),
+        "l1_weighted": F.avg(F.abs(error) / std), "huber_weighted": F.avg(huber(error, delta) / std), "l2_weighted": F.avg(error * error / (std * std)),
+    }
+
+
+def bernoulli_kl(rho: float, mean: Column) -> Column:
+    """Divergence of a Bernoulli mean from ``rho``."""
+    return rho * F.log(F.lit(rho) / (mean + 1e-5)) + (1 - rho) * F.log(F.lit(1 - rho) / (1 - mean + 1e-5))
+
+
+#: The 5 x 5 gradient along x; along y it is transposed.
+GRADIENT = [[-1, -2, 0, 2, 1], [-2, -4, 0, 4, 2], [-3, -6, 0, 6, 3], [-2, -4, 0, 4, 2], [-1, -2, 0, 2, 1]]
+
+
+def gradient_l1(df: DataFrame, image: list[str], value: str) -> DataFrame:
+    """(image, l1): absolute x and y gradients of the difference ``value`` (image, y, x, mask), summed under the mask over its pixels; zero beyond the border."""
+    taps = F.array(*(F.struct(F.lit(2 - i).alias("dy"), F.lit(2 - j).alias("dx"), F.lit(float(GRADIENT[i][j])).alias("wx"), F.lit(float(GRADIENT[j][i])).alias("wy")) for i in range(5) for j in range(5)))
+    sent = df.select(*image, "y", "x", value, F.inline(taps)).select(*image, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col(value) * F.col("wx")).alias("gx"), (F.col(value) * F.col("wy")).alias("gy"))
+    grads = sent.groupBy(*image, "y", "x").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy")).join(df.select(*image, "y", "x", "mask"), [*image, "y", "x"])
+    return grads.groupBy(*image).agg((F.sum((F.abs("gx") + F.abs("gy")) * F.col("mask")) / F.sum("mask")).alias("l1"))
+
+
+def matched(predictions: DataFrame, truth: DataFrame, key: str, order: str) -> DataFrame:
+    """Predictions with their truth by ``key``: the last of several truths by ``order``; a prediction without one is an error."""
+    last = truth.groupBy(key).agg(F.max_by(F.struct(*truth.columns), order).alias("truth"))
+    both = predictions.join(last, key, "left")
+    return both.withColumn("truth", F.when(F.col("truth").isNull(), F.raise_error(F.concat(F.lit("no truth for "), F.coalesce(key, F.lit("null")))).cast(both.schema["truth"].dataType)).otherwise(F.col("truth")))
+
+
+def histogram_mode(df: DataFrame, value: str, low: Column, high: Column, bins: int) -> DataFrame:
+    """One row (bin, n, middle): the fullest of ``bins`` equal bins, the last one closed; ties to the lowest."""
+    x = F.col(value)
+    at = F.least(F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))
+    ends = df.agg(low.alias("_low"), high.alias("_high"))
+    rows = df.join(F.broadcast(ends)).where((x >= F.col("_low")) & (x <= F.col("_high"))).groupBy("_low", "_high", at.alias("bin")).agg(F.count("*").alias("n"))
+    best = rows.agg(F.max_by(F.struct("bin", "n", "_low", "_high"), F.struct("n", -F.col("bin"))).alias("b"))
+    return best.select("b.bin", "b.n", (F.col("b._low") + (F.col("b.bin") + 0.5) * (F.col("b._high") - F.col("b._low")) / bins).alias("middle"))

@@ -15,6 +15,26 @@ def camera_kind(label: Column) -> Column:
     return F.when(tracking, "tracking").when(rgb, "rgb").otherwise(F.raise_error(F.concat(F.lit("unknown camera label: "), F.coalesce(label, F.lit("null")))))
 
 
+def valid(channels: list[Column], least: float) -> Column:
+    """No channel is NaN or infinite, and some channel's size is below ``least``."""
+    sound = [~F.isnan(c) & (F.abs(c) != float("inf")) for c in channels]
+    return F.coalesce(reduce(lambda a, b: a & b, sound) & reduce(lambda a, b: a | b, [F.abs(c) < least for c in channels]), F.lit(False))
+
+
+def flattened(df: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """(keys, path, digest): a row for each leaf and list of a JSON column, objects opened to any depth; lists are hashed whole."""
+    level = df.select(*keys, F.lit("").alias("path"), F.parse_json(json).alias("v"))
+    out = None
+    while True:
+        kind = F.expr("schema_of_variant(v)")
+        opened = level.where(kind.startswith("OBJECT"))
+        leaves = level.where(~kind.startswith("OBJECT")).select(*keys, "path", F.sha2(F.to_json("v"), 256).alias("digest"))
+        out = leaves if out is None else out.unionAll(leaves)
+        if not opened.limit(1).count():
+            return out
+        level = opened.select(*keys, "path", F.explode(F.expr("variant_get(v, '$', 'map<string,variant>')")).alias("k", "v")).select(*keys, F.concat("path", F.lit("/"), "k").alias("path"), "v")
+
+
 def difference(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with status added, removed, changed or same; rows compare by a hash of their other columns."""
     others = [c for c in old.columns if c not in keys]

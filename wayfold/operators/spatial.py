@@ -5,19 +5,24 @@ from __future__ import annotations
 import uuid
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def keep(df: DataFrame, label: str = "space") -> DataFrame:
-    """Write to the folder that the cluster shares (spark.checkpoint.dir) and read back; cuts the lineage."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); only on one machine, a local one stands in."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints/wayfold"
-    path = f"{root}/{label}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return root
+
+
+def keep(df: DataFrame, label: str = "space") -> DataFrame:
+    """Write to the shared folder and read back; cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{label}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -111,6 +116,23 @@ def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, digi
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nn"))).where(F.col("rank") <= k)
 
 
+def grid_extremes(cells: DataFrame, value: str, by: int, border: float) -> DataFrame:
+    """(i, j, least, most, n): the least and greatest ``value`` within ``by`` cells, and how many there are; absent cells count as ``border``."""
+    steps = range(-by, by + 1)
+    sent = cells.select(value, F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in steps for b in steps))).alias("c"))
+    found = sent.groupBy("c.i", "c.j").agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n")).join(cells.select("i", "j"), ["i", "j"])
+    beyond = F.when(F.col("n") < len(steps) ** 2, border)
+    return found.select("i", "j", F.least("least", beyond).alias("least"), F.greatest("most", beyond).alias("most"), "n")
+
+
+def dilated(cells: DataFrame, times: int) -> DataFrame:
+    """The cells (i, j) and all that touch them, again and again."""
+    out = cells
+    for _ in range(times):
+        out = out.select(F.inline(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))).distinct()
+    return out
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component) of every node: the least id it reaches over ``edges`` (a, b).
 
@@ -156,3 +178,12 @@ def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     first = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row for each range
     within = Window.partitionBy("_part").orderBy(*order)
     return ranged.withColumn("_rn", F.row_number().over(within)).join(F.broadcast(first), "_part").select(*df.columns, (F.col("_first") + F.col("_rn") - 1).alias(name))
+
+
+def offsets(df: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """(key, name): the sum of ``n`` over all lower keys, by sums of sorted ranges, not in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(df.select(key, n).repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    first = ranged.groupBy("_part").agg(F.sum(n).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row for each range
+    own = F.coalesce(F.sum(n).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_own", own).join(F.broadcast(first), "_part").select(key, (F.col("_first") + F.col("_own")).alias(name))

@@ -61,17 +61,23 @@ def A19_psnr(spark, d):
 GAUSS = "k as (select i - 5 as o, exp(-((i-5)**2)/4.5)/(select sum(exp(-((i-5)**2)/4.5)) from range(11) t(i)) as w from range(11) t(i))"
 
 
-@query(f"@{GAUSS}, s as (select img, c, y, x, pred as p, gt as t, pred*pred as pp, gt*gt as tt, pred*gt as pt from px_img), bx as (select img, c, y, x + o as x, sum(w*p) as p, sum(w*t) as t, sum(w*pp) as pp, sum(w*tt) as tt, sum(w*pt) as pt from s, k where x + o between 0 and 31 group by all), b as (select img, c, y + o as y, x, sum(w*p) as p, sum(w*t) as t, sum(w*pp) as pp, sum(w*tt) as tt, sum(w*pt) as pt from bx, k where y + o between 0 and 31 group by all) select img, round(avg((2*p*t+1e-4)*(2*(pt-p*t)+9e-4)/((p*p+t*t+1e-4)*(pp-p*p+tt-t*t+9e-4))), 5) as ssim, round(1 - avg((2*p*t+1e-4)*(2*(pt-p*t)+9e-4)/((p*p+t*t+1e-4)*(pp-p*p+tt-t*t+9e-4))), 5) as dssim from b group by img", "px_img")
+SSIM = f"{GAUSS}, s as (select img, c, y, x, pred as p, gt as t, pred*pred as pp, gt*gt as tt, pred*gt as pt from px_img), bx as (select img, c, y, x + o as x, sum(w*p) as p, sum(w*t) as t, sum(w*pp) as pp, sum(w*tt) as tt, sum(w*pt) as pt from s, k where x + o between 0 and 31 group by all), b as (select img, c, y + o as y, x, sum(w*p) as p, sum(w*t) as t, sum(w*pp) as pp, sum(w*tt) as tt, sum(w*pt) as pt from bx, k where y + o between 0 and 31 group by all)"
+INDEX = "avg((2*p*t+1e-4)*(2*(pt-p*t)+9e-4)/((p*p+t*t+1e-4)*(pp-p*p+tt-t*t+9e-4)))"
+
+
+@query(f"@{SSIM} select img, round({INDEX}, 5) as ssim, round(1 - {INDEX}, 5) as dssim from b group by img", "px_img")
 def A21_ssim(spark, d):
     return metrics.ssim(px.images(spark, d), ["img"]).select("img", F.round("ssim", 5).alias("ssim"), F.round(1 - F.col("ssim"), 5).alias("dssim"))
 
 
-@query("@s as (select img, sum(gt*pred)/sum(pred*pred) as s from px_img where c = 0 group by img) select img, round(s, 6) as scale, round(sum((s*pred-gt)**2*mask)/sum(mask), 8) as error from px_img join s using (img) where c = 0 group by img, s", "px_img")
+#: The mask eroded by two pixels.
+ERODED = "er as (select a.img, a.y, a.x, min(b.mask) as mask from (select distinct img, y, x from px_img) a join (select distinct img, y, x, mask from px_img) b on a.img=b.img and abs(a.y-b.y) <= 2 and abs(a.x-b.x) <= 2 group by all)"
+
+
+@query(f"@{ERODED}, r as (select i.img, gt, case when i.img % 3 = 2 then 0 else pred end as p, er.mask from px_img i join er using (img, y, x) where c = 0), z as (select img, sum(p*p*mask) <= 1e-6 as zero from r group by img), q as (select r.img, gt, mask, case when zero then 1 else p end as p from r join z using (img)), s as (select img, sum(gt*p*mask)/sum(p*p*mask) as s from q group by img) select img, round(s, 6) as scale, round(sum((s*p-gt)**2*mask)/sum(mask), 8) as error from q join s using (img) group by img, s", "px_img")
 def A24_scale_invariant_depth(spark, d):
-    rows = px.images(spark, d).where("c = 0")
-    scale = rows.groupBy("img").agg(F.coalesce(F.try_divide(F.sum(gt() * pred()), F.sum(pred() * pred())), F.lit(1.0)).alias("s"))
-    both = rows.join(scale, "img")
-    return both.groupBy("img").agg(F.round(F.first("s"), 6).alias("scale"), F.round(F.sum((F.col("s") * pred() - gt()) ** 2 * mask()) / F.sum("mask"), 8).alias("error"))
+    rows = px.images(spark, d).where("c = 0").withColumn("pred", F.when(F.col("img") % 3 == 2, 0.0).otherwise(F.col("pred")))
+    return metrics.scale_invariant(rows, ["img"]).select("img", F.round("scale", 6).alias("scale"), F.round("error", 8).alias("error"))
 
 
 WIDE = "w as (select img, y, x, mask, max(gt) filter (c=0) g0, max(gt) filter (c=1) g1, max(gt) filter (c=2) g2, max(pred) filter (c=0) p0, max(pred) filter (c=1) p1, max(pred) filter (c=2) p2 from px_img group by all)"
@@ -83,11 +89,11 @@ def wide(spark, d) -> DataFrame:
     return px.images(spark, d).groupBy("img", "y", "x", "mask").agg(*(pick(v, c).alias(f"{n}{c}") for v, n in (("gt", "g"), ("pred", "p")) for c in range(3)))
 
 
-@query(f"@{WIDE} select img, round(sum((1 - (g0*p0+g1*p1+g2*p2)/(greatest(sqrt(g0**2+g1**2+g2**2),1e-9)*greatest(sqrt(p0**2+p1**2+p2**2),1e-9)))*mask)/sum(mask), 7) + 0.0 as distance from w group by img", "px_img")
+@query(f"@{WIDE}, {ERODED} select img, round(sum((1 - (g0*p0+g1*p1+g2*p2))*er.mask)/sum(er.mask), 7) + 0.0 as distance from w join er using (img, y, x) group by img", "px_img")
 def A25_normal_cosine(spark, d):
     a, b = ([F.col(f"{n}{c}") for c in range(3)] for n in "gp")
-    cosine = g.dot(a, b) / (F.greatest(g.norm(a), F.lit(1e-9)) * F.greatest(g.norm(b), F.lit(1e-9)))
-    return wide(spark, d).groupBy("img").agg(r(F.sum((1 - cosine) * mask()) / F.sum("mask"), 7).alias("distance"))
+    rows = metrics.eroded(wide(spark, d), ["img"])
+    return rows.groupBy("img").agg(r(F.sum((1 - g.dot(a, b)) * mask()) / F.sum("mask"), 7).alias("distance"))
 
 
 @query("select case when grouping(img) = 1 then -1 else img end as img, round(avg(m), 7) as l1 from (select img, avg(abs(pred-gt)) as m from px_img group by img) group by rollup(img)", "px_img")
@@ -96,15 +102,29 @@ def A26_frame_and_overall(spark, d):
     return per.rollup("img").agg(F.round(F.avg("m"), 7).alias("l1"), F.grouping("img").alias("g")).select(F.when(F.col("g") == 1, -1).otherwise(F.col("img")).alias("img"), "l1")
 
 
-@query("select img, round(avg(abs(case when gt>0.1 then 1/gt else 0 end - case when pred>0.1 then 1/pred else 0 end)), 5) as l1, round(avg(abs(case when gt>0.1 then 1/gt else 0 end - case when pred>0.1 then 1/pred else 0 end)/(0.1+y/100.0)), 4) as weighted from px_img where c = 0 group by img", "px_img")
+INVERSE = "e as (select img, case when gt>0.1 then 1/gt else 0 end - case when pred>0.1 then 1/pred else 0 end as e, 0.1+y/100.0 as std from px_img where c = 0), h as (select *, case when abs(e) <= 0.1 then 0.5*e*e else 0.1*(abs(e)-0.05) end as hu from e)"
+
+
+@query(f"@{INVERSE} select img, round(avg(abs(e)), 5) as l1, round(avg(hu), 5) as huber, round(avg(e*e), 4) as l2, round(avg(abs(e)/std), 4) as l1_weighted, round(avg(hu/std), 4) as huber_weighted, round(avg(e*e/(std*std)), 3) as l2_weighted from h group by img", "px_img")
 def P13_A27_inverse_depth_loss(spark, d):
-    e = F.abs(g.inverse_depth(gt()) - g.inverse_depth(pred()))
-    return px.images(spark, d).where("c = 0").groupBy("img").agg(F.round(F.avg(e), 5).alias("l1"), F.round(F.avg(e / (0.1 + F.col("y") / 100.0)), 4).alias("weighted"))
+    losses = metrics.inverse_depth_losses(g.inverse_depth(gt()) - g.inverse_depth(pred()), 0.1 + F.col("y") / 100.0)
+    digits = {"l1": 5, "huber": 5, "l2": 4, "l1_weighted": 4, "huber_weighted": 4, "l2_weighted": 3}
+    return px.images(spark, d).where("c = 0").groupBy("img").agg(*(F.round(v, digits[n]).alias(n) for n, v in losses.items()))
+
+
+@query("@m as (select c, avg(1/(1+exp(-4*(pred-0.8)))) as rho, avg((pred-gt)**2) as mse from px_img group by c) select round(avg(0.05*ln(0.05/(rho+1e-5)) + 0.95*ln(0.95/(1-rho+1e-5))), 6) as kl, round(max(mse), 7) as worst_mse from m", "px_img")
+def A36_bernoulli_kl(spark, d):
+    per = px.images(spark, d).groupBy("c").agg(F.avg(color.sigmoid(4 * (pred() - 0.8))).alias("rho"), F.avg(err() * err()).alias("mse"))
+    return per.agg(F.round(F.avg(metrics.bernoulli_kl(0.05, F.col("rho"))), 6).alias("kl"), F.round(F.max("mse"), 7).alias("worst_mse"))
 
 
-@query("select 'cam' || (img % 2) as camera, round(avg(abs(pred-gt)), 6) as l1, round(avg((pred-gt)**2), 7) as mse from px_img group by 1", "px_img")
-def A36_A37_validation_means(spark, d):
-    return px.images(spark, d).groupBy(F.concat(F.lit("cam"), F.col("img") % 2).alias("camera")).agg(F.round(F.avg(F.abs(err())), 6).alias("l1"), F.round(F.avg(err() * err()), 7).alias("mse"))
+@query(f"@{SSIM}, q as (select img, {INDEX} as ssim from b group by img), {INVERSE}, i as (select img, avg(abs(e)) as inv from e group by img), m as (select img, avg(abs(pred-gt)) as l1, avg((pred-gt)**2) as mse from px_img group by img) select 'cam' || (img % 2) as camera, round(avg(l1), 6) as l1, round(avg(ssim), 5) as ssim, round(avg(20*log10(1/sqrt(mse))), 4) as psnr, round(avg(inv), 5) as inverse_depth_l1 from m join q using (img) join i using (img) group by 1", "px_img")
+def A37_validation_means(spark, d):
+    """Means over a camera's frames of each frame's scores."""
+    rows = px.images(spark, d)
+    per = rows.groupBy("img").agg(F.avg(F.abs(err())).alias("l1"), metrics.psnr(F.avg(err() * err())).alias("psnr"), F.avg(F.when(F.col("c") == 0, F.abs(g.inverse_depth(gt()) - g.inverse_depth(pred())))).alias("inverse"))
+    both = per.join(metrics.ssim(rows, ["img"]), "img")
+    return both.groupBy(F.concat(F.lit("cam"), F.col("img") % 2).alias("camera")).agg(F.round(F.avg("l1"), 6).alias("l1"), F.round(F.avg("ssim"), 5).alias("ssim"), F.round(F.avg("psnr"), 4).alias("psnr"), F.round(F.avg("inverse"), 5).alias("inverse_depth_l1"))
 
 
 @query(f"@{WIDE} select img, y, x, round(0.299*g0+0.587*g1+0.114*g2, 6) as luma, round(-0.168736*g0-0.331264*g1+0.5*g2+0.5, 6) as cb, round(0.5*g0-0.418688*g1-0.081312*g2+0.5, 6) as cr from w", "px_img")
@@ -132,23 +152,39 @@ def P25_palette_index(spark, d):
     return px.images(spark, d).select("img", "c", "y", "x", color.palette_index(gt()).alias("i"))
 
 
-@query("@a as (select *, (x-15.5)/20 as u, (y-15.5)/20 as v from (select distinct y, x from px_img)), b as (select *, sqrt(u*u+v*v) as rr from a), t as (select *, atan(rr) as th from b) select y, x, round(u*th*(1+0.1*th**2-0.02*th**4+0.003*th**6-0.0004*th**8)/rr, 6) + 0.0 as u, round(v*th*(1+0.1*th**2-0.02*th**4+0.003*th**6-0.0004*th**8)/rr, 6) + 0.0 as v from t", "px_img")
+#: Fisheye parameters of a camera; a picture of half the size divides the first four and drops what is left over.
+FISHEYE = [41.0, 43.0, 31.0, 32.0, 0.1, -0.02, 0.003, -0.0004]
+TAPS = "f as (select img, y, x, floor(u) as x0, floor(v) as y0, u - floor(u) as a, v - floor(v) as b, u, v from t), k as (select img, y, x, u, v, x0 + dx as sx, y0 + dy as sy, (case when dx=1 then a else 1-a end)*(case when dy=1 then b else 1-b end) as w from f, range(2) q(dx), range(2) z(dy)) select k.img, k.y, k.x, round(min(k.u), 5) + 0.0 as u, round(min(k.v), 5) + 0.0 as v, round(sum(w*coalesce(i.gt, 0)), 6) as value from k left join px_img i on i.c = 0 and i.img = k.img and i.x = k.sx and i.y = k.sy group by all"
+
+
+def resampled(spark, d, u: Column, v: Column) -> DataFrame:
+    rows = px.images(spark, d).where("c = 0")
+    asked = rows.select("img", F.struct("y", "x").alias("id"), u.alias("u"), v.alias("v"))
+    found = metrics.remapped(rows, asked, ["img"], "gt").join(asked, ["img", "id"])
+    return found.select("img", "id.y", "id.x", r(F.col("u"), 5).alias("u"), r(F.col("v"), 5).alias("v"), F.round("gt", 6).alias("value"))
+
+
+@query(f"@p as (select img, y, x, (x-15)/20.0 as px, (y-16)/21.0 as py from px_img where c = 0), q as (select *, sqrt(px*px+py*py) as th from p), s as (select *, 1+0.1*th**2-0.02*th**4+0.003*th**6-0.0004*th**8 as k from q), t as (select img, y, x, 20*px*k + 15 as u, 21*py*k + 16 as v from s), {TAPS}", "px_img")
 def P26_fisheye_map(spark, d):
-    at = px.images(spark, d).select("y", "x").distinct()
-    u, v = g.equidistant((F.col("x") - 15.5) / 20, (F.col("y") - 15.5) / 20, [0.1, -0.02, 0.003, -0.0004])
-    return at.select("y", "x", r(u).alias("u"), r(v).alias("v"))
+    return resampled(spark, d, *g.fisheye_map(F.col("x"), F.col("y"), FISHEYE, 2))
 
 
-@query("@d as (select img, y, x, 1 + gt as z, (1+gt)*(x-15.5)/30 as wx, (1+gt)*(y-15.5)/30 as wy from px_img where c = 0), n as (select d.*, (rx.wx-lx.wx) as ax, (rx.wy-lx.wy) as ay, (rx.z-lx.z) as az, (ry.wx-ly.wx) as bx, (ry.wy-ly.wy) as by_, (ry.z-ly.z) as bz from d join d rx on rx.img=d.img and rx.y=d.y and rx.x=d.x+1 join d lx on lx.img=d.img and lx.y=d.y and lx.x=d.x-1 join d ry on ry.img=d.img and ry.x=d.x and ry.y=d.y+1 join d ly on ly.img=d.img and ly.x=d.x and ly.y=d.y-1), c as (select img, y, x, ay*bz-az*by_ as nx, az*bx-ax*bz as ny, ax*by_-ay*bx as nz from n) select img, y, x, round(nx/sqrt(nx*nx+ny*ny+nz*nz), 5) + 0.0 as nx, round(ny/sqrt(nx*nx+ny*ny+nz*nz), 5) + 0.0 as ny, round(nz/sqrt(nx*nx+ny*ny+nz*nz), 5) + 0.0 as nz from c", "px_img")
+@query(f"@p as (select img, y, x, (x-15.5)/20.0 as px, (y-15.5)/21.0 as py from px_img where c = 0), q as (select *, px*px+py*py as r2 from p), t as (select img, y, x, 20*(px*(1+0.1*r2-0.02*r2*r2) + 2*0.003*px*py + -0.0004*(r2+2*px*px)) + 15.5 as u, 21*(py*(1+0.1*r2-0.02*r2*r2) + 0.003*(r2+2*py*py) + 2*-0.0004*px*py) + 15.5 as v from q), {TAPS}", "px_img")
+def P26_pinhole_map(spark, d):
+    return resampled(spark, d, *g.pinhole_map(F.col("x"), F.col("y"), [20.0, 21.0, 15.5, 15.5], [0.1, -0.02, 0.003, -0.0004]))
+
+
+@query("@d as (select img, y, x, 1 + gt as z, (1+gt)*(x-15.5)/30 as wx, (1+gt)*(y-15.5)/30 as wy from px_img where c = 0), n as (select d.*, (ry.wx-ly.wx) as ax, (ry.wy-ly.wy) as ay, (ry.z-ly.z) as az, (rx.wx-lx.wx) as bx, (rx.wy-lx.wy) as by_, (rx.z-lx.z) as bz from d left join d rx on rx.img=d.img and rx.y=d.y and rx.x=d.x+1 left join d lx on lx.img=d.img and lx.y=d.y and lx.x=d.x-1 left join d ry on ry.img=d.img and ry.x=d.x and ry.y=d.y+1 left join d ly on ly.img=d.img and ly.x=d.x and ly.y=d.y-1), c as (select img, y, x, ay*bz-az*by_ as nx, az*bx-ax*bz as ny, ax*by_-ay*bx as nz from n) select img, y, x, coalesce(round(nx/sqrt(nx*nx+ny*ny+nz*nz), 5), 0) + 0.0 as nx, coalesce(round(ny/sqrt(nx*nx+ny*ny+nz*nz), 5), 0) + 0.0 as ny, coalesce(round(nz/sqrt(nx*nx+ny*ny+nz*nz), 5), 0) + 0.0 as nz from c", "px_img")
 def P24_W11_depth_to_normal(spark, d):
     z = 1 + gt()
     p = px.images(spark, d).where("c = 0").select("img", "y", "x", (z * (F.col("x") - 15.5) / 30).alias("wx"), (z * (F.col("y") - 15.5) / 30).alias("wy"), z.alias("wz"))
     by_x, by_y = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
     step = lambda w: [(F.lead(c).over(w) - F.lag(c).over(w)) for c in ("wx", "wy", "wz")]
-    rows = p.select("img", "y", "x", *(c.alias(f"a{i}") for i, c in enumerate(step(by_x))), *(c.alias(f"b{i}") for i, c in enumerate(step(by_y)))).where("a0 IS NOT NULL AND b0 IS NOT NULL")
+    rows = p.select("img", "y", "x", *(c.alias(f"a{i}") for i, c in enumerate(step(by_y))), *(c.alias(f"b{i}") for i, c in enumerate(step(by_x))))
+    # from row to row, then from column to column; the border has no normal and is zero
     n = g.cross([F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)])
     size = g.norm(n)
-    return rows.select("img", "y", "x", *(r(c / size, 5).alias(k) for c, k in zip(n, ("nx", "ny", "nz"), strict=True)))
+    return rows.select("img", "y", "x", *(r(F.coalesce(c / size, F.lit(0.0)), 5).alias(k) for c, k in zip(n, ("nx", "ny", "nz"), strict=True)))
 
 
 @query("@q as (select p_partkey as id, (p_partkey % 310)/10.0::double as u, (p_size % 31)*1.0::double + 0.25 as v from part where p_size % 31 < 31), f as (select *, floor(u)::bigint as x0, floor(v)::bigint as y0, u - floor(u) as a, v - floor(v) as b from q), k as (select id, x0 + dx as x, y0 + dy as y, (case when dx=1 then a else 1-a end)*(case when dy=1 then b else 1-b end) as w from f, range(2) s(dx), range(2) t(dy)) select id, round(sum(w*gt), 6) as depth from k join px_img i on i.img = 0 and i.c = 0 and i.x = k.x and i.y = k.y group by id", "px_img")
@@ -174,15 +210,33 @@ def A33_W07_exposure_mean(spark, d):
     return px.images(spark, d).groupBy(F.floor(F.col("img") / 2).alias("rs"), "c", "y", "x").agg(F.round(F.avg("pred"), 7).alias("v"))
 
 
-@query("select a.img, a.y, a.x, min(b.mask) as mask from (select distinct img, y, x from px_img) a join (select distinct img, y, x, case when (x*y) % 50 = 7 then 0 else 1 end as mask from px_img) b on a.img=b.img and abs(a.y-b.y) <= 2 and abs(a.x-b.x) <= 2 group by all", "px_img")
+@query("@m as (select i.img, y, x, case when (x*y + img) % 50 = 7 then 0 else 1 end as mask from (select distinct img from px_img) i, range(32) a(y), range(48) b(x)), e as (select a.img, a.y, a.x, min(b.mask) as mask from m a join m b on a.img=b.img and abs(a.y-b.y) <= 2 and abs(a.x-b.x) <= 2 group by all), t as (select img, y, x, (x + 0.5)*48/32 - 0.5 as fx from (select distinct img, y from e) q, range(32) b(x)), k as (select img, y, x, greatest(0, least(47, floor(fx) + o)) as sx, case when o = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end as w from t, range(2) r(o)) select k.img, k.y, k.x, (sum(w*e.mask) > 0.5)::int as mask from k join e on e.img = k.img and e.y = k.y and e.x = k.sx group by all", "px_img")
 def K12_mask_erosion(spark, d):
-    rows = px.images(spark, d).where("c = 0").select("img", "y", "x", F.when(F.col("x") * F.col("y") % 50 == 7, 0).otherwise(1).alias("mask"))
-    low = lambda keys, axis: F.min("mask").over(Window.partitionBy(*keys).orderBy(axis).rangeBetween(-2, 2))
-    return rows.withColumn("mask", low(("img", "y"), "x")).withColumn("mask", low(("img", "x"), "y"))
+    """Masks of 48 x 32 pixels, eroded and resampled to squares of their height."""
+    n = F.col("n")
+    cells = px.image_ids(spark, d).select("img", F.explode(F.sequence(F.lit(0), F.lit(32 * 48 - 1))).alias("n")).select("img", F.floor(n / 48).cast("int").alias("y"), (n % 48).cast("int").alias("x"))
+    rows = cells.withColumn("mask", F.when((F.col("x") * F.col("y") + F.col("img")) % 50 == 7, 0).otherwise(1))
+    return metrics.squared_mask(metrics.eroded(rows, ["img"]), ["img"], 48, 32)
+
 
+TRUTH = "truth as (select 'frame_' || (p_partkey // 100) || '.png' as name, p_partkey as nth, p_size*1.0::double as value from part)"
 
-@query("select img, avg(pred)::decimal(10,6)::double as mean_pred, regexp_extract(path, '([^/]+)$', 1) as name from (select *, '/runs/' || img || '/frame_' || img || '.png' as path from px_img) group by img, path", "px_img")
+
+@query(f"@{TRUTH}, last as (select name, arg_max(value, nth) as value from truth group by name), runs as (select img, 'frame_' || img || '.png' as name, avg(pred) as pred from px_img group by img) select img, name, round(pred, 6) as mean_pred, value as truth from runs join last using (name)", "px_img")
 def J15_join_by_basename(spark, d):
-    runs = px.images(spark, d).withColumn("path", F.concat(F.lit("/runs/"), "img", F.lit("/frame_"), "img", F.lit(".png"))).withColumn("name", F.substring_index("path", "/", -1))
-    truth = px.images(spark, d).select(F.concat(F.lit("frame_"), "img", F.lit(".png")).alias("name")).distinct()
-    return runs.join(truth, "name").groupBy("img", "name").agg(F.avg("pred").cast("decimal(10,6)").cast("double").alias("mean_pred")).select("img", "mean_pred", "name")
+    """Predictions by the last part of their path; of several truths of one name the last one counts."""
+    path = F.concat(F.lit("/runs/"), "img", F.lit("/frame_"), "img", F.lit(".png"))
+    runs = px.images(spark, d).groupBy("img").agg(F.avg("pred").alias("pred")).withColumn("name", F.substring_index(path, "/", -1))
+    part = spark.read.parquet(f"{d}/part.parquet")
+    truth = part.select(F.concat(F.lit("frame_"), F.floor(F.col("p_partkey") / 100), F.lit(".png")).alias("name"), F.col("p_partkey").alias("nth"), F.col("p_size").cast("double").alias("value"))
+    return metrics.matched(runs, truth, "name", "nth").select("img", "name", F.round("pred", 6).alias("mean_pred"), F.col("truth.value").alias("truth"))
+
+
+LUMA = "l as (select img, y, x, max(mask) as mask, sum((pred-gt)*case c when 0 then 0.299 when 1 then 0.587 else 0.114 end) as e from px_img group by all)"
+
+
+@query(f"@{LUMA}, w as (select i, j, [[-1,-2,0,2,1],[-2,-4,0,4,2],[-3,-6,0,6,3],[-2,-4,0,4,2],[-1,-2,0,2,1]][(i+1)::int][(j+1)::int] as wx, [[-1,-2,0,2,1],[-2,-4,0,4,2],[-3,-6,0,6,3],[-2,-4,0,4,2],[-1,-2,0,2,1]][(j+1)::int][(i+1)::int] as wy from range(5) a(i), range(5) b(j)), g as (select l.img, l.y, l.x, l.mask, sum(n.e*wx) as gx, sum(n.e*wy) as gy from l, w join l n on n.img = l.img and n.y = l.y + w.i - 2 and n.x = l.x + w.j - 2 group by all) select img, round(sum((abs(gx)+abs(gy))*mask)/sum(mask), 5) as l1 from g group by img", "px_img")
+def A22_gradient_l1(spark, d):
+    weight = F.when(F.col("c") == 0, 0.299).when(F.col("c") == 1, 0.587).otherwise(0.114)
+    rows = px.images(spark, d).groupBy("img", "y", "x").agg(F.max("mask").alias("mask"), F.sum(err() * weight).alias("e"))
+    return metrics.gradient_l1(rows, ["img"], "e").select("img", F.round("l1", 5).alias("l1"))

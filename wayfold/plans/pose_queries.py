@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +73,11 @@ def A04_views_per_camera(spark, d):
 
 @query(f"@{VIEWS}, o as (select distinct o.uid, v.view_idx from px_obs o join v using (t_us, camera_serial)), n as (select uid, count(*) as n from o group by uid), s as (select uid, sum(n) over (order by uid) - n as first from n) select o.uid, o.view_idx, row_number() over (partition by o.uid order by view_idx) - 1 as rank, (s.first + row_number() over (partition by o.uid order by view_idx) - 1)::bigint as place from o join s using (uid)", "px_obs")
 def A06_visibility_lists(spark, d):
-    seen = px.observations(spark, d).distinct().join(views(spark, d), ["t_us", "camera_serial"]).select("uid", "view_idx").distinct()
-    placed = spatial.dense_ids(seen, ["uid", "view_idx"], "place")
-    first = placed.groupBy("uid").agg(F.min("place").alias("first"))
-    return placed.join(first, "uid").select("uid", "view_idx", (F.col("place") - F.col("first")).alias("rank"), "place")
+    # a view is one pair of time and camera, so rows stay distinct; one exchange by point serves ranks and counts
+    seen = px.observations(spark, d).distinct().join(views(spark, d), ["t_us", "camera_serial"]).select("uid", "view_idx")
+    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy("view_idx")) - 1)
+    first = spatial.offsets(seen.groupBy("uid").agg(F.count("*").alias("n")), "uid", "n", "first")
+    return ranked.join(first, "uid").select("uid", "view_idx", "rank", (F.col("first") + F.col("rank")).alias("place"))
 
 
 @query("select distinct camera_serial from (select 'cam' || (l_suppkey % 6) as camera_serial from lineitem) o anti join px_calib using (camera_serial)", "px_calib")
@@ -158,66 +161,114 @@ def pose(prefix: str = "") -> tuple[list[Column], list[Column]]:
     return g.quaternion_to_matrix([F.col(prefix + c) for c in Q]), [F.col(prefix + c) for c in T]
 
 
-YAW = "1 - 2*qz*qz/(qw*qw + qz*qz)"
-SINE = "2*qz*qw/(qw*qw + qz*qz)"
+#: Rotation matrix of a pose and the numbers of its rows, in SQL; quaternions are of length one.
+MATRIX = {"m00": "1 - 2*(qy*qy + qz*qz)", "m01": "2*(qx*qy - qw*qz)", "m02": "2*(qx*qz + qw*qy)", "m10": "2*(qx*qy + qw*qz)", "m11": "1 - 2*(qx*qx + qz*qz)", "m12": "2*(qy*qz - qw*qx)", "m20": "2*(qx*qz - qw*qy)", "m21": "2*(qy*qz + qw*qx)", "m22": "1 - 2*(qx*qx + qy*qy)"}
+ROTATED = "m as (select *, " + ", ".join(f"{v} as {k}" for k, v in MATRIX.items()) + " from px_pose)"
 
 
-@query(f"select sample_id, round({YAW}, 6) + 0.0 as m00, round(-({SINE}), 6) + 0.0 as m01, 0.0 as m02, round({SINE}, 6) + 0.0 as m10, round({YAW}, 6) + 0.0 as m11, 1.0 as m22 from px_traj", "px_traj")
+@query("select sample_id, " + ", ".join(f"round({v}, 6) + 0.0 as {k}" for k, v in MATRIX.items()) + " from px_pose", "px_pose")
 def P01_quaternion_to_matrix(spark, d):
-    m, _ = pose()
-    return px.trajectory(spark, d).select("sample_id", *(r(m[i]).alias(n) for i, n in ((0, "m00"), (1, "m01"), (2, "m02"), (3, "m10"), (4, "m11"), (8, "m22"))))
+    # of twice the length: the function normalises first
+    m = g.quaternion_to_matrix([2 * F.col(c) for c in Q])
+    return px.poses(spark, d).select("sample_id", *(r(x).alias(n) for x, n in zip(m, MATRIX, strict=True)))
+
+
+@query("select sample_id, " + ", ".join(f"round(case when qw < 0 then -{c} else {c} end, 5) + 0.0 as {c}" for c in ("qw", "qx", "qy", "qz")) + " from px_pose", "px_pose")
+def P02_matrix_to_quaternion(spark, d):
+    q = g.matrix_to_quaternion(pose()[0])
+    return px.poses(spark, d).select("sample_id", *(r(x, 5).alias(n) for x, n in zip(q, Q, strict=True)))
+
 
+#: By the largest of trace and diagonal; the number taken from it is positive, so the sign of qw follows from the branch.
+LARGEST = "case when m00 + m11 + m22 > 0 then sign(qw) when m00 > m11 and m00 > m22 then sign(qx) when m11 > m22 then sign(qy) else sign(qz) end"
 
-@query("select sample_id, round(abs(qw), 5) as qw, round(case when qw < 0 then -qz else qz end, 5) + 0.0 as qz, round(sign(qw)*qw*sign(qw)*sign(qw), 5) as w2 from px_traj", "px_traj")
-def P02_P03_matrix_to_quaternion(spark, d):
-    m, _ = pose()
-    a, b = g.matrix_to_quaternion(m), g.matrix_to_quaternion_by_largest(m)
-    return px.trajectory(spark, d).select("sample_id", r(a[0], 5).alias("qw"), r(a[3], 5).alias("qz"), r(F.abs(b[0]), 5).alias("w2"))
 
+@query(f"@{ROTATED} select sample_id, " + ", ".join(f"round({c}*{LARGEST}, 5) + 0.0 as {c}" for c in ("qw", "qx", "qy", "qz")) + " from m", "px_pose")
+def P03_matrix_to_quaternion_by_largest(spark, d):
+    q = g.matrix_to_quaternion_by_largest(pose()[0])
+    return px.poses(spark, d).select("sample_id", *(r(x, 5).alias(n) for x, n in zip(q, Q, strict=True)))
 
-@query(f"@m as (select *, {YAW} as c, {SINE} as s from px_traj) select sample_id, round(-(c*tx + s*ty), 5) + 0.0 as x, round(s*tx - c*ty, 5) + 0.0 as y, round(-tz, 5) + 0.0 as z from m", "px_traj")
+
+@query(f"@{ROTATED} select sample_id, round(-(m00*tx + m10*ty + m20*tz), 5) + 0.0 as x, round(-(m01*tx + m11*ty + m21*tz), 5) + 0.0 as y, round(-(m02*tx + m12*ty + m22*tz), 5) + 0.0 as z, round(m10, 5) + 0.0 as m01 from m", "px_pose")
 def P04_pose_inverse(spark, d):
-    _, t = g.inverse(*pose())
-    return px.trajectory(spark, d).select("sample_id", *(r(c, 5).alias(n) for c, n in zip(t, "xyz", strict=True)))
+    m, t = g.inverse(*pose())
+    return px.poses(spark, d).select("sample_id", *(r(c, 5).alias(n) for c, n in zip(t, "xyz", strict=True)), r(m[1], 5).alias("m01"))
+
 
+@query(f"@{ROTATED} select sample_id, round(m00*1.5 - m01*0.25 + m02*2 + tx, 5) + 0.0 as x, round(m10*1.5 - m11*0.25 + m12*2 + ty, 5) + 0.0 as y, round(m20*1.5 - m21*0.25 + m22*2 + tz, 5) + 0.0 as z from m", "px_pose")
+def P05_point_transform(spark, d):
+    moved = g.transform(*pose(), [F.lit(1.5), F.lit(-0.25), F.lit(2.0)])
+    return px.poses(spark, d).select("sample_id", *(r(c, 5).alias(n) for c, n in zip(moved, "xyz", strict=True)))
 
-@query(f"@m as (select *, {YAW} as c, {SINE} as s from px_traj) select m.sample_id, k.camera_serial, round(c*cam_tx + tx, 5) + 0.0 as x, round(s*cam_tx + ty, 5) + 0.0 as y, round(c, 5) + 0.0 as m00 from m, px_calib k", "px_traj", "px_calib")
+
+@query(f"@{ROTATED} select m.sample_id, k.camera_serial, round(m00*cam_tx + tx, 5) + 0.0 as x, round(m10*cam_tx + ty, 5) + 0.0 as y, round(m20*cam_tx + tz, 5) + 0.0 as z, round(m00, 5) + 0.0 as m00 from m, px_calib k", "px_pose", "px_calib")
 def P04_J16_camera_poses(spark, d):
     eye = [F.lit(float(i % 4 == 0)) for i in range(9)]
     m, t = g.compose(pose(), (eye, [F.col("cam_tx"), F.lit(0.0), F.lit(0.0)]))
-    cameras = F.array(*(F.struct(F.lit(f"cam{i}").alias("camera_serial"), F.lit(0.01 * i).alias("cam_tx")) for i in range(4)))
-    return px.trajectory(spark, d).select("*", F.inline(cameras)).select("sample_id", "camera_serial", r(t[0], 5).alias("x"), r(t[1], 5).alias("y"), r(m[0], 5).alias("m00"))
+    both = every_camera(px.poses(spark, d), px.calibration(spark, d))
+    return both.select("sample_id", "camera_serial", *(r(c, 5).alias(n) for c, n in zip(t, "xyz", strict=True)), r(m[0], 5).alias("m00"))
+
 
+def every_camera(rows: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Each row with each camera of the calibration, which has a handful: they travel as one broadcast list."""
+    names = [c for c in cameras.columns if c not in rows.columns]
+    listed = cameras.agg(F.collect_list(F.struct(*names)).alias("_cameras"))
+    return rows.join(F.broadcast(listed)).select(*rows.columns, F.inline("_cameras"))
 
-STEPS = "s as (select *, lag(sample_id) over w as p_id, lag(t_us) over w as p_t, lag(qw) over w as p_qw, lag(qz) over w as p_qz, lag(tx) over w as p_tx, lag(ty) over w as p_ty, lag(tz) over w as p_tz from px_traj window w as (partition by rec_id order by t_us, sample_id))"
+
+@query(f"@{ROTATED} select sample_id, round(m00, 6) + 0.0 as m00, round(-m01, 6) + 0.0 as m01, round(-m02, 6) + 0.0 as m02, round(m10, 6) + 0.0 as m10, round(-m11, 6) + 0.0 as m11, round(-m22, 6) + 0.0 as m22 from m", "px_pose")
+def P22_axis_flip(spark, d):
+    m = g.flipped(pose()[0])
+    return px.poses(spark, d).select("sample_id", *(r(m[i]).alias(n) for i, n in ((0, "m00"), (1, "m01"), (2, "m02"), (3, "m10"), (4, "m11"), (8, "m22"))))
+
+
+STEPS = "s as (select *, " + ", ".join(f"lag({c}) over w as p_{n}" for c, n in (("sample_id", "id"), ("t_us", "t"), *((c, c) for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")))) + " from px_pose window w as (partition by rec_id order by t_us, sample_id))"
 
 
 def steps(spark, d) -> DataFrame:
     w = Window.partitionBy("rec_id").orderBy("t_us", "sample_id")
-    return px.trajectory(spark, d).select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("sample_id", "t_us", *Q, *T))).where("p_sample_id IS NOT NULL")
+    return px.poses(spark, d).select("*", *(F.lag(c).over(w).alias(f"p_{c}") for c in ("sample_id", "t_us", *Q, *T))).where("p_sample_id IS NOT NULL")
+
 
+DOT = "qw*p_qw + qx*p_qx + qy*p_qy + qz*p_qz"
 
-@query(f"@{STEPS} select sample_id, t_us - p_t as dt, round(degrees(acos(greatest(-1, least(1, (2*(({YAW})*(1 - 2*p_qz*p_qz) + ({SINE})*(2*p_qz*p_qw)) + 1 - 1)/2)))), 3) + 0.0 as angle from s where p_id is not null", "px_traj")
+
+# the trace of R_a^T R_b is 4 (q_a . q_b)^2 - 1
+@query(f"@{STEPS} select sample_id, t_us - p_t as dt, round(degrees(acos(greatest(-1, least(1, 2*({DOT})**2 - 1)))), 3) + 0.0 as angle from s where p_id is not null", "px_pose")
 def P09_W04_step_angles(spark, d):
     a, _ = pose()
     b, _ = pose("p_")
     return steps(spark, d).select("sample_id", (F.col("t_us") - F.col("p_t_us")).alias("dt"), r(g.rotation_angle(a, b), 3).alias("angle"))
 
 
-@query(f"@{STEPS}, u as (select *, qw*p_qw + qz*p_qz as d from s where p_id is not null), h as (select *, case when d < 0 then -1 else 1 end as sg, least(abs(d), 1.0) as c from u), k as (select *, case when c > 0.9995 then 0.5 else sin(0.5*acos(c))/sin(acos(c)) end as f from h), b as (select *, f*(p_qw + sg*qw) as x, f*(p_qz + sg*qz) as y from k) select sample_id, round(x/sqrt(x*x + y*y), 5) + 0.0 as qw, round(y/sqrt(x*x + y*y), 5) + 0.0 as qz, round((tx + p_tx)/2, 6) + 0.0 as tx from b", "px_traj")
+BLEND = ", ".join(f"f*(p_{c} + sg*{c}) as b{c}" for c in ("qw", "qx", "qy", "qz"))
+LENGTH = "sqrt(bqw*bqw + bqx*bqx + bqy*bqy + bqz*bqz)"
+
+
+@query(f"@{STEPS}, u as (select *, {DOT} as d from s where p_id is not null), h as (select *, case when d < 0 then -1 else 1 end as sg, least(abs(d), 1.0) as c from u), k as (select *, case when c > 0.9995 then 0.5 else sin(0.5*acos(c))/sin(acos(c)) end as f from h where abs(d) > 1e-6), b as (select *, {BLEND} from k) select sample_id, " + ", ".join(f"round(b{c}/{LENGTH}, 5) + 0.0 as {c}" for c in ("qw", "qx", "qy", "qz")) + ", round((tx + p_tx)/2, 6) + 0.0 as tx from b", "px_pose")
 def P11_slerp_midpoints(spark, d):
     half = F.lit(0.5)
-    q = g.slerp([F.col(f"p_{c}") for c in Q], [F.col(c) for c in Q], half)
-    return steps(spark, d).select("sample_id", r(q[0], 5).alias("qw"), r(q[3], 5).alias("qz"), r(g.lerp(F.col("p_tx"), F.col("tx"), half)).alias("tx"))
+    a, b = [F.col(f"p_{c}") for c in Q], [F.col(c) for c in Q]
+    q = g.slerp(a, b, half)
+    rows = steps(spark, d).where(F.abs(g.dot(a, b)) > 1e-6)  # at right angles either way round is as short
+    return rows.select("sample_id", *(r(x, 5).alias(n) for x, n in zip(q, Q, strict=True)), r(g.lerp(F.col("p_tx"), F.col("tx"), half)).alias("tx"))
+
+
+@query("@o as (select *, lead(t_us) over w as n_t, lead(tx) over w as n_tx, lead(ty) over w as n_ty, lead(tz) over w as n_tz, lead(quality) over w as n_q from px_traj window w as (partition by rec_id order by t_us, sample_id)), k as (select *, ((sample_id % 5) - 0.5)/3.0::double as ratio from o where n_t > t_us) select sample_id, round(ratio, 6) + 0.0 as ratio, ratio between 0 and 1 as ok, " + ", ".join(f"round(case when ratio between 0 and 1 then {c} + ({n} - {c})*ratio end, 6) + 0.0 as {c}" for c, n in (("tx", "n_tx"), ("ty", "n_ty"), ("tz", "n_tz"), ("quality", "n_q"))) + ", round(case when ratio between 0 and 1 then (n_tx - tx)/((n_t - t_us)/1e6)*ratio end, 9) + 0.0 as vx from k", "px_traj")
+def P12_pose_quality_velocity(spark, d):
+    w = Window.partitionBy("rec_id").orderBy("t_us", "sample_id")
+    names = ("t_us", "tx", "ty", "tz", "quality")
+    rows = px.trajectory(spark, d).select("*", *(F.lead(c).over(w).alias(f"n_{c}") for c in names)).where("n_t_us > t_us").withColumn("ratio", (F.col("sample_id") % 5 - 0.5) / 3.0)
+    moved = g.interpolated({c: (F.col(c), F.col(f"n_{c}")) for c in ("tx", "ty", "tz", "quality")} | {"vx": (F.lit(0.0), (F.col("n_tx") - F.col("tx")) / ((F.col("n_t_us") - F.col("t_us")) / 1e6))}, F.col("ratio"))
+    return rows.select("sample_id", r(F.col("ratio")).alias("ratio"), F.col("ratio").between(0, 1).alias("ok"), *(r(v, 9 if n == "vx" else 6).alias(n) for n, v in moved.items()))
 
 
 CAMS = "k as (select camera_serial, cam_tx, f, cx, cy, 5.0 + 100*cam_tx as ox from px_calib), p as (select k.*, uid, px - ox as x, py - 5.0 as y, pz - 1.0 as z from px_points, k), q as (select *, case when z > 0 then f*x/z + cx end as u, case when z > 0 then f*y/z + cy end as v from p)"
 
 
 def projected(spark, d) -> DataFrame:
-    """Every point in four cameras that look up from below, side by side."""
-    cameras = F.array(*(F.struct(F.lit(f"cam{i}").alias("camera_serial"), F.lit(0.01 * i).alias("cam_tx")) for i in range(4)))
-    rows = px.points(spark, d).select("*", F.inline(cameras)).select("camera_serial", "uid", (F.col("px") - (5.0 + 100 * F.col("cam_tx"))).alias("x"), (F.col("py") - 5.0).alias("y"), (F.col("pz") - 1.0).alias("z"))
+    """Every point in each of the calibration's cameras, which look up from below, side by side."""
+    rows = every_camera(px.points(spark, d), px.calibration(spark, d)).select("camera_serial", "uid", (F.col("px") - (5.0 + 100 * F.col("cam_tx"))).alias("x"), (F.col("py") - 5.0).alias("y"), (F.col("pz") - 1.0).alias("z"))
     u, v, _ = g.project([F.col(c) for c in "xyz"], [F.lit(300.0)] * 2, [F.lit(256.0)] * 2)
     return rows.withColumns({"u": u, "v": v})
 
@@ -275,12 +326,6 @@ def F01_F02_F03_confidence(spark, d):
     return px.points(spark, d).agg(c(0.005, 0.01).alias("meshing"), c(0.01, 0.02).alias("training"), c(0.001, 0.15).alias("preview"))
 
 
-@query(f"@m as (select *, {YAW} as c, {SINE} as s from px_traj) select sample_id, round(c, 6) + 0.0 as m00, round(s, 6) + 0.0 as m01, round(s, 6) + 0.0 as m10, round(-c, 6) + 0.0 as m11, -1.0 as m22 from m", "px_traj")
-def P22_axis_flip(spark, d):
-    m = g.flipped(pose()[0])
-    return px.trajectory(spark, d).select("sample_id", *(r(m[i]).alias(n) for i, n in ((0, "m00"), (1, "m01"), (3, "m10"), (4, "m11"), (8, "m22"))))
-
-
 @query("select p_partkey as id, trunc((480 + p_size)/1512*2016)::int as w, round(600.0*(480 + p_size)/1512, 4) as focal from part")
 def P23_P28_resize(spark, d):
     h = 480 + F.col("p_size")
@@ -340,24 +385,31 @@ def A09_P30_exposure_norm(spark, d):
     return f.join(m, "rec_id").select("frame_id", F.round("x", 8).alias("multiplier"), F.round(1 / F.col("m"), 5).alias("radiance_weight"), F.round(F.col("x") / F.col("m"), 6).alias("relative"))
 
 
-@query("@b as (select frame_id, t_ns, greatest(1, least(8, trunc(exposure_s*1e9*3/2e6)))::int as q, exposure_s*1e9*3 as readout from px_frames) select frame_id, i::int as bucket, q, (t_ns - readout/2 + (i + 0.5)*readout/q)::decimal(38,0)::bigint - t_ns as shift from b, range(8) r(i) where i < q", "px_frames")
-def W06_shutter_buckets(spark, d):
-    return sequence.shutter_buckets(px.frames(spark, d).withColumn("readout", F.col("exposure_s") * 1e9 * 3), 2e6, 8).select("frame_id", "bucket", "q", "shift")
+READOUT = "b as (select frame_id, exposure_s*1e9*3 as readout, exposure_s*3*1000/2*(1 + frame_id % 3) as wanted from px_frames), k as (select *, greatest(1, least(8, trunc(wanted)))::int as q from b)"
 
 
-del ORACLE_SQL["W06_shutter_buckets"]
+@query(f"@{READOUT} select frame_id, i::int as bucket, q, floor(-readout/2 + (i + 0.5)*readout/q)::bigint as shift from k, range(8) r(i) where i < q and abs(-readout/2 + (i + 0.5)*readout/q - round(-readout/2 + (i + 0.5)*readout/q)) > 1e-3", "px_frames")
+def W06_shutter_buckets(spark, d):
+    rows = px.frames(spark, d).withColumns({"readout": F.col("exposure_s") * 1e9 * 3, "motion": 1 + F.col("frame_id") % 3})
+    found = sequence.shutter_buckets(rows, 2e6, 8).withColumn("exact", F.col("centre"))
+    # the whole nanosecond below, where the centre is not one itself: there two engines' last digits decide
+    return found.where(F.abs(F.col("exact") - F.round("exact")) > 1e-3).select("frame_id", "bucket", "q", F.floor("exact").alias("shift"))
 
 
-@query(f"@o as (select rec_id, sample_id, t_us, tx, lead(t_us) over w as n_t, lead(tx) over w as n_tx from px_traj window w as (partition by rec_id order by t_us, sample_id)), k as (select *, ceil((n_t - t_us)/{6 * 3600 * 1_000_000}.0)::bigint as k from o where n_t is not null) select sample_id, i as step, t_us + i*{6 * 3600 * 1_000_000} as t_us, round(tx + (n_tx - tx)*(i*{6 * 3600 * 1_000_000})/(n_t - t_us), 6) + 0.0 as tx from k, lateral (select unnest(range(greatest(k, 1))) as i)", "px_traj")
+@query("@o as (select rec_id, sample_id, t_us, tx, ty, lead(t_us) over w as n_t, lead(tx) over w as n_tx, lead(ty) over w as n_ty, row_number() over w as rn from px_traj window w as (partition by rec_id order by t_us, sample_id)), f as (select rec_id, (n_t - t_us)/2.0::double as dt from o where rn = 1 and n_t is not null), k as (select o.*, f.dt, case when dt > 0 then greatest(1, ceil((n_t - t_us)/dt))::bigint else 1 end as k from o join f using (rec_id) where n_t is not null), x as (select *, case when n_t = t_us then 0 else i*dt/(n_t - t_us) end as w from k, lateral (select unnest(range(k)) as i)) select sample_id, i as step, round(i*dt, 3) as dt, round(tx + (n_tx - tx)*w, 5) + 0.0 as tx, round(ty + (n_ty - ty)*w, 5) + 0.0 as ty from x", "px_traj")
 def W08_densify(spark, d):
-    return sequence.densify(px.trajectory(spark, d), ["rec_id"], "t_us", "sample_id", "tx", 6 * 3600 * 1_000_000)
+    found = sequence.densify(px.trajectory(spark, d), ["rec_id"], "t_us", "sample_id", per_gap=2)
+    return found.select("sample_id", "step", F.round("dt", 3).alias("dt"), r(F.col("tx"), 5).alias("tx"), r(F.col("ty"), 5).alias("ty"))
 
 
-@query("select frame_id, round_even(t_ns - exposure_s*1e9/2, 0)::bigint - t_ns as c_start, round_even(t_ns + exposure_s*1e9/2, 0)::bigint - t_ns as c_end from px_frames", "px_frames")
+@query("@f as (select *, exposure_s*1e9/2 as half from px_frames) select frame_id, 'center' as mode, round_even(t_ns - half, 0)::bigint - t_ns as begins, 0::bigint as middle, round_even(t_ns + half, 0)::bigint - t_ns as ends from f union all select frame_id, 'readout_start', 0::bigint, round_even(t_ns + half, 0)::bigint - t_ns, round_even(t_ns + 2*half, 0)::bigint - t_ns from f", "px_frames")
 def P27_P29_readout_brackets(spark, d):
-    f = px.frames(spark, d)
-    half, t = F.col("exposure_s") * 1e9 / 2, F.col("t_ns")
-    return f.select("frame_id", (F.rint(t - half).cast("long") - t).alias("c_start"), (F.rint(t + half).cast("long") - t).alias("c_end"))
+    f, t = px.frames(spark, d), F.col("t_ns")
+    parts = []
+    for mode in ("center", "readout_start"):
+        at = sequence.readout_bracket(t, F.col("exposure_s") * 1e9, mode)
+        parts.append(f.select("frame_id", F.lit(mode).alias("mode"), *((c - t).alias(n) for c, n in zip(at, ("begins", "middle", "ends"), strict=True))))
+    return parts[0].unionAll(parts[1])
 
 
 @query("select camera_serial, readout is null as global_shutter, coalesce(readout, 0.0)*1e9 as readout_ns from (select camera_serial, case when camera_serial = 'cam2' then null else 0.01*(1 + 100*cam_tx) end as readout from px_calib)", "px_calib")
@@ -374,19 +426,44 @@ def A10_scene_scale(spark, d):
     return t.join(mean, "rec_id").groupBy("rec_id").agg(F.round(F.max(away), 5).alias("scale"))
 
 
-@query(f"@{STEPS} select rec_id, round(quantile_cont(m, 0.25), 7) as p25, round(quantile_cont(m, 0.5), 7) as p50, round(quantile_cont(m, 0.75), 7) as p75 from (select rec_id, greatest(abs(tx - p_tx), abs(ty - p_ty)) as m from s where p_id is not null) group by rec_id", "px_traj")
+#: Points in camera axes at a sample and at the one before, in SQL: R^T (p - t).
+CAMERA = lambda p: ", ".join(f"({m0})*(x - {p}tx) + ({m1})*(y - {p}ty) + ({m2})*(z - {p}tz) as {p}c{i}" for i, (m0, m1, m2) in enumerate(((MATRIX[f"m0{i}"], MATRIX[f"m1{i}"], MATRIX[f"m2{i}"]) for i in range(3))))
+
+
+def camera_sql(p: str) -> str:
+    text = CAMERA("")
+    return text if not p else re.sub(r"\b(q[wxyz]|t[xyz]|c\d)\b", lambda m: p + m[1], text)
+
+
+MOVED = f"pts as (select uid % 50 as k, uid, px as x, py as y, pz + 6 as z from px_points), j as (select s.rec_id, s.sample_id, {camera_sql('')}, {camera_sql('p_')} from s join pts on pts.k = s.sample_id % 50 where p_id is not null), uv as (select rec_id, sample_id, greatest(abs(300*c0/c2 - 300*p_c0/p_c2), abs(300*c1/c2 - 300*p_c1/p_c2)) as m from j where c2 > 0.5 and p_c2 > 0.5)"
+
+
+@query(f"@{STEPS}, {MOVED} select sample_id, count(*) as n, round(quantile_cont(m, 0.25), 4) as p25, round(quantile_cont(m, 0.5), 4) as p50, round(quantile_cont(m, 0.75), 4) as p75 from uv group by sample_id", "px_pose", "px_points")
 def A07_A32_A34_motion_percentiles(spark, d):
+    """How far points move in the image between a sample's pose and the one before: each sample sees the points of its residue."""
+    points = px.points(spark, d).select((F.col("uid") % 50).alias("k"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("pz") + 6).alias("z"))
+    rows = steps(spark, d).withColumn("k", F.col("sample_id") % 50).join(points, "k")
+    p = [F.col(c) for c in "xyz"]
+    now, before = ([F.col(f"{n}{i}") for i in range(3)] for n in ("c", "b"))
+    rows = rows.select("sample_id", *(c.alias(f"{n}{i}") for n, q in (("c", ""), ("b", "p_")) for i, c in enumerate(g.transform(*g.inverse(*pose(q)), p)))).where("c2 > 0.5 AND b2 > 0.5")
+    focal, centre = [F.lit(300.0)] * 2, [F.lit(0.0)] * 2
+    (u, v, _), (s, t, _) = g.project(now, focal, centre), g.project(before, focal, centre)
+    found = rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.percentile(F.greatest(F.abs(u - s), F.abs(v - t)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    return found.select("sample_id", "n", *(F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))))
+
+
+@query(f"@{STEPS} select rec_id, round(quantile_cont(m, 0.25), 7) as p25, round(quantile_cont(m, 0.5), 7) as p50, round(quantile_cont(m, 0.75), 7) as p75 from (select rec_id, greatest(abs(tx - p_tx), abs(ty - p_ty)) as m from s where p_id is not null) group by rec_id", "px_pose")
+def A07_step_percentiles(spark, d):
     m = F.greatest(F.abs(F.col("tx") - F.col("p_tx")), F.abs(F.col("ty") - F.col("p_ty")))
     rows = steps(spark, d).select("rec_id", m.alias("m")).groupBy("rec_id").agg(F.percentile("m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
     return rows.select("rec_id", *(F.round(F.col("p")[i], 7).alias(n) for i, n in enumerate(("p25", "p50", "p75"))))
 
 
-@query("@q as (select sample_id as id, tx, ty, tz, 1 - 2*qz*qz as c, 2*qz*qw as s from px_traj where sample_id % 100 = 0), p as (select sample_id, tx, ty, tz, 1 - 2*qz*qz as c, 2*qz*qw as s from px_traj) select q.id, arg_min(p.sample_id, struct_pack(d := round(2*(q.c - p.c)**2 + 2*(q.s - p.s)**2 + (q.tx - p.tx)**2 + (q.ty - p.ty)**2 + (q.tz - p.tz)**2, 9), i := p.sample_id)) as nearest from q join p on p.sample_id <> q.id group by q.id", "px_traj")
+@query("@p as (select sample_id as id, tx, ty, tz, 1 - 2*qz*qz as c, 2*qz*qw as s from px_traj), d as (select q.id, round(2*(q.c - p.c)**2 + 2*(q.s - p.s)**2 + (q.tx - p.tx)**2 + (q.ty - p.ty)**2 + (q.tz - p.tz)**2, 9) as d2, p.id as other from p q, p where p.id <> q.id) select id, round(sqrt(min(d2)), 5) as distance from d group by id", "px_traj")
 def J19_O08_nearest_pose(spark, d):
     c, s = 1 - 2 * F.col("qz") * F.col("qz"), 2 * F.col("qz") * F.col("qw")
-    poses = px.trajectory(spark, d).select(F.col("sample_id").alias("id"), F.struct(c.alias("c"), s.alias("s"), *T).alias("p"))
-    asked = poses.where(F.col("id") % 100 == 0)
-    return sequence.nearest_pose(asked, poses)
+    poses = px.trajectory(spark, d).select(F.col("sample_id").alias("id"), c.alias("c"), s.alias("s"), *T)
+    return sequence.nearest_pose(poses, poses).select("id", F.round("distance", 5).alias("distance"))
 
 
 @query("@f as (select frame_id, rec_id, t_ns, case when frame_id % 2 = 0 then t_ns // 10 else t_ns end as legacy from px_frames) select frame_id, row_number() over (partition by rec_id order by 'camera-rgb_' || legacy::varchar || '.png', frame_id) - 1 as by_path, row_number() over (partition by rec_id order by t_ns, frame_id) - 1 as by_time from f", "px_frames")

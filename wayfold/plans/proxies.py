@@ -11,13 +11,14 @@ SQL = {
     "px_obs": "select l_orderkey as uid, epoch_us(l_shipdate) as t_us, 'cam' || (l_suppkey % 4) as camera_serial from lineitem",
     "px_calib": "select 'cam' || i as camera_serial, 'slam-' || i as label, 0.01::double*i as cam_tx, 300.0::double as f, 256.0::double as cx, 256.0::double as cy from range(4) as t(i)",
     "px_traj": "select user_id as rec_id, event_id as sample_id, epoch_us(ts) as t_us, value/100 as tx, (event_id % 1000)/100.0::double as ty, 1.6683::double + (event_id % 7)*0.01::double as tz, cos(radians((event_id % 360)/2.0::double)) as qw, 0.0::double as qx, 0.0::double as qy, sin(radians((event_id % 360)/2.0::double)) as qz, 0.9::double + (event_id % 10)*0.01::double as quality from events where event_type <> 'purchase'",
+    "px_pose": "select rec_id, sample_id, t_us, tx, ty, tz, a/n as qw, b/n as qx, c/n as qy, e/n as qz from (select *, sqrt(a*a + b*b + c*c + e*e) as n from (select user_id as rec_id, event_id as sample_id, epoch_us(ts) as t_us, value/100 as tx, (event_id % 1000)/100.0::double as ty, 1.6683::double + (event_id % 7)*0.01::double as tz, ((event_id*7 + 3) % 17 - 8)/8.0::double + 0.01 as a, ((event_id*5 + 1) % 13 - 6)/6.0::double as b, ((event_id*3 + 2) % 11 - 5)/5.0::double as c, ((event_id*11 + 4) % 19 - 9)/9.0::double as e from events where event_type <> 'purchase'))",
     "px_frames": "select user_id as rec_id, event_id as frame_id, epoch_us(ts)*1000 + event_id % 1000 as t_ns, value/100000 as exposure_s, 1.0::double + event_id % 4 as gain, 'camera-rgb' as camera_label from events where event_type = 'purchase'",
     "px_track": "select distinct epoch_us(o_orderdate) as t_us from orders",
     "px_cloud": "select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, label from embeddings",
     "px_splat": "select p_partkey as gid, (p_partkey % 50)/10.0::double as x, ((p_partkey // 50) % 40)/10.0::double as y, case when p_partkey % 97 = 0 then 1000.0::double else 0.0::double end as z, (p_size - 25)/5.0::double as opacity_logit, ln(0.01::double + p_size/100.0::double) as s0, ln(0.02::double + (p_partkey % 7)/50.0::double) as s1, ln(0.015::double) as s2 from part",
     "px_vertex": "select i*41 + j as vid, i*0.1::double as x, j*0.1::double as y, ((3*i + 5*j) % 7)/100.0::double as z from range(41) a(i), range(41) b(j) union all select 1681 + k, 10.0::double*(k % 2), 0.3::double*k, 0.0::double from range(9) s(k)",
     "px_face": "select 2*(i*40 + j) + h as fid, i*41 + j as a, case when h = 0 then (i+1)*41 + j else (i+1)*41 + j + 1 end as b, case when h = 0 then (i+1)*41 + j + 1 else i*41 + j + 1 end as c from range(40) a(i), range(40) b(j), range(2) c(h) where (i*j) % 11 <> 0 union all select 3200 + k, 1681 + 3*k, 1682 + 3*k, 1683 + 3*k from range(3) s(k)",
-    "px_img": "select i as img, c, y, x, ((7*x + 13*y + 29*i + 53*c) % 256)/255.0::double as gt, ((7*x + 13*y + 29*i + 53*c + (x*y) % 5) % 256)/255.0::double as pred, case when (x + y) % 9 <> 0 then 1 else 0 end as mask from range(4) a(i), range(3) b(c), range(32) d(y), range(32) e(x)",
+    "px_img": "select i as img, c, y, x, ((7*x + 13*y + 29*i + 53*c) % 256)/255.0::double as gt, ((7*x + 13*y + 29*i + 53*c + (x*y) % 5) % 256)/255.0::double as pred, case when (x + y) % 9 <> 0 then 1 else 0 end as mask from (select p_partkey // 100 as i from part group by 1) a, range(3) b(c), range(32) d(y), range(32) e(x)",
 }
 
 
@@ -60,6 +61,17 @@ def trajectory(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def poses(spark: SparkSession, d: str) -> DataFrame:
+    """Trajectory samples with rotations about every axis."""
+    e = F.col("event_id")
+    raw = _read(spark, d, "events").where("event_type <> 'purchase'").select(
+        F.col("user_id").alias("rec_id"), e.alias("sample_id"), _micros("ts").alias("t_us"), (F.col("value") / 100).alias("tx"), ((e % 1000) / 100.0).alias("ty"), (1.6683 + (e % 7) * 0.01).alias("tz"),
+        (((e * 7 + 3) % 17 - 8) / 8.0 + 0.01).alias("a"), (((e * 5 + 1) % 13 - 6) / 6.0).alias("b"), (((e * 3 + 2) % 11 - 5) / 5.0).alias("c"), (((e * 11 + 4) % 19 - 9) / 9.0).alias("e"),
+    )
+    n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c") + F.col("e") * F.col("e"))
+    return raw.select("rec_id", "sample_id", "t_us", "tx", "ty", "tz", *((F.col(v) / n).alias(q) for v, q in zip("abce", ("qw", "qx", "qy", "qz"), strict=True)))
+
+
 def frames(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     return _read(spark, d, "events").where("event_type = 'purchase'").select(
@@ -99,8 +111,14 @@ def faces(spark: SparkSession, d: str) -> DataFrame:
     return field.unionAll(spark.range(3).select(3200 + k, 1681 + 3 * k, 1682 + 3 * k, 1683 + 3 * k))
 
 
+def image_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(img): one image for each hundred parts."""
+    return _read(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("img")).distinct()
+
+
 def images(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("id")
-    x, y, c, i = n % 32, F.floor(n / 32) % 32, F.floor(n / 1024) % 3, F.floor(n / 3072)
-    base = 7 * x + 13 * y + 29 * i + 53 * c
-    return spark.range(4 * 3 * 32 * 32).select(i.alias("img"), c.alias("c"), y.alias("y"), x.alias("x"), (base % 256 / 255.0).alias("gt"), ((base + (x * y) % 5) % 256 / 255.0).alias("pred"), F.when((x + y) % 9 != 0, 1).otherwise(0).alias("mask"))
+    rows = image_ids(spark, d).select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3 * 32 * 32 - 1).cast("long"))).alias("n"))
+    n, i = F.col("n"), F.col("img")
+    rows = rows.select("img", F.floor(n / 1024).alias("c"), (F.floor(n / 32) % 32).alias("y"), (n % 32).alias("x"))
+    base = 7 * F.col("x") + 13 * F.col("y") + 29 * i + 53 * F.col("c")
+    return rows.select("img", "c", "y", "x", (base % 256 / 255.0).alias("gt"), ((base + (F.col("x") * F.col("y")) % 5) % 256 / 255.0).alias("pred"), F.when((F.col("x") + F.col("y")) % 9 != 0, 1).otherwise(0).alias("mask"))

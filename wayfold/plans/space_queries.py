@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import color
 from wayfold.functions import geometry as g
-from wayfold.operators import metrics, spatial
+from wayfold.operators import metrics, quality, quantiles, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -36,9 +36,9 @@ def xyz(prefix: str = "") -> list[Column]:
 @query("@m as (select median(x) mx, median(y) my, median(z) mz from px_splat) select count(*) as n, count(*) filter (sqrt((x-mx)**2+(y-my)**2+(z-mz)**2) <= 50) as kept, min(z) filter (sqrt((x-mx)**2+(y-my)**2+(z-mz)**2) <= 50) as z_low, max(z) filter (sqrt((x-mx)**2+(y-my)**2+(z-mz)**2) <= 50) as z_high, max(z) as z_before from px_splat, m", "px_splat")
 def F11_A08_radius_filter(spark, d):
     rows = px.splats(spark, d)
-    centre = rows.agg(*(F.percentile(c, F.lit(0.5)).alias(f"m{c}") for c in "xyz"))
-    near = g.norm(g.minus(xyz(), xyz("m"))) <= 50
-    return rows.join(F.broadcast(centre)).agg(F.count("*").alias("n"), F.count_if(near).alias("kept"), F.min(F.when(near, F.col("z"))).alias("z_low"), F.max(F.when(near, F.col("z"))).alias("z_high"), F.max("z").alias("z_before"))
+    centre = [F.lit(quantiles.exact(rows, c, [0.5])[0]) for c in "xyz"]
+    near = g.norm(g.minus(xyz(), centre)) <= 50
+    return rows.agg(F.count("*").alias("n"), F.count_if(near).alias("kept"), F.min(F.when(near, F.col("z"))).alias("z_low"), F.max(F.when(near, F.col("z"))).alias("z_high"), F.max("z").alias("z_before"))
 
 
 @query("select count(*) filter (z < 500) as in_radius, count(*) filter (z < 500 and 1/(1+exp(-opacity_logit)) < 0.1) as dropped, count(*) filter (z < 500 and 1/(1+exp(-opacity_logit)) >= 0.1) as kept from px_splat", "px_splat")
@@ -58,10 +58,17 @@ def P16_sh_dc(spark, d):
     return px.splats(spark, d).select("gid", r(color.to_sh(F.col("x") / 10)).alias("dc"))
 
 
-@query("select gid, round(sqrt(exp(s0)**2 + 0.0004), 6) as s0, round(1/(1+exp(-opacity_logit))*sqrt((exp(s0)**2*exp(s1)**2*exp(s2)**2)/((exp(s0)**2+0.0004)*(exp(s1)**2+0.0004)*(exp(s2)**2+0.0004)) + 1e-7), 6) as opacity from px_splat", "px_splat")
+FILTER = "f as (select max((0.02 + cam_tx)/f*sqrt(0.2::double)) as f from px_calib), a as (select gid, exp(s0)**2 as a, exp(s1)**2 as b, exp(s2)**2 as c, 1/(1+exp(-opacity_logit)) as o, (40*f.f)**2 as q from px_splat, f)"
+
+
+@query(f"@{FILTER} select gid, round(sqrt(a + q), 6) as s0, round(sqrt(c + q), 6) as s2, round(o*sqrt(a*b*c/((a+q)*(b+q)*(c+q)) + 1e-7), 6) as opacity from a", "px_splat", "px_calib")
 def P17_smoothing_filter(spark, d):
+    """The widest filter over all cameras, from their least depth and focal length (lengths here are 40 times larger)."""
+    widest = px.calibration(spark, d).agg((40 * F.max(color.depth_filter(0.02 + F.col("cam_tx"), F.col("f")))).alias("f"))
     s = [F.exp(f"s{i}") for i in range(3)]
-    return px.splats(spark, d).select("gid", F.round(color.smoothed_scales(s, F.lit(0.02))[0], 6).alias("s0"), F.round(color.smoothed_opacity(color.sigmoid(F.col("opacity_logit")), s, F.lit(0.02)), 6).alias("opacity"))
+    rows = px.splats(spark, d).join(F.broadcast(widest))
+    scales = color.smoothed_scales(s, F.col("f"))
+    return rows.select("gid", F.round(scales[0], 6).alias("s0"), F.round(scales[2], 6).alias("s2"), F.round(color.smoothed_opacity(color.sigmoid(F.col("opacity_logit")), s, F.col("f")), 6).alias("opacity"))
 
 
 @query("select gid, i::int as i, ((i % 3)*15 + i // 3)*1.0::double + gid as v from px_splat, range(45) t(i)", "px_splat")
@@ -90,13 +97,15 @@ def F17_height_bands(spark, d):
     return c.join(F.broadcast(low)).agg(F.count_if((z > ground + 0.1) & (z < ground + 0.2)).alias("band"), F.count_if(z.between(ground - 1, F.col("t") + 0.3)).alias("footprint"), F.count_if(z <= ground + 0.3).alias("contact"))
 
 
-@query("select id, kind from (select p_partkey as id, case p_partkey % 5 when 0 then 'nan' when 1 then 'inf' when 2 then 'small' else 'ok' end as kind from part) where kind = 'ok'")
+TWO = "v as (select p_partkey as id, case p_partkey % 5 when 0 then 'nan'::double when 1 then '-inf'::double when 2 then 1e-9 when 3 then -0.5 else 7.0 end as a, p_size/25.0::double as b from part)"
+
+
+@query(f"@{TWO} select id, not (isnan(a) or isnan(b) or isinf(a) or isinf(b)) and (abs(a) < 1 or abs(b) < 1) as valid from v", "px_points")
 def F18_valid_values(spark, d):
     k = F.col("p_partkey") % 5
-    v = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, 1e-9).otherwise(1.0)
-    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), v.alias("v"))
-    valid = ~F.isnan("v") & (F.abs("v") != float("inf")) & ~(F.abs("v") < 1e-6)
-    return rows.where(valid).select("id", F.lit("ok").alias("kind"))
+    a = F.when(k == 0, float("nan")).when(k == 1, float("-inf")).when(k == 2, 1e-9).when(k == 3, -0.5).otherwise(7.0)
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), a.alias("a"), (F.col("p_size") / 25.0).alias("b"))
+    return rows.select("id", quality.valid([F.col("a"), F.col("b")], 1.0).alias("valid"))
 
 
 NN = "e as (select * from px_cloud where id % 2 = 0), o as (select * from px_cloud where id % 2 = 1), w as (select 'p' as way, e.id, min(sqrt((e.x-o.x)**2+(e.y-o.y)**2+(e.z-o.z)**2)) as d from e, o group by e.id union all select 'r', o.id, min(sqrt((e.x-o.x)**2+(e.y-o.y)**2+(e.z-o.z)**2)) from e, o group by o.id)"
@@ -125,14 +134,21 @@ def A15_precision_recall(spark, d):
 
 @query(f"@{NN} select way, count(*) as n, round(100*avg(d), 4) as mean_cm, round(100*quantile_cont(d, 0.5), 4) as median_cm, round(100*quantile_cont(d, 0.95), 4) as p95_cm, round(avg((d<0.05)::int::double), 6) as below_5cm, round(avg((d<0.10)::int::double), 6) as below_10cm from w group by way", "px_cloud")
 def A11_distance_summary(spark, d):
-    return both_ways(spark, d).groupBy("way").agg(*metrics.distance_summary(F.col("d")))
+    w = spatial.keep(both_ways(spark, d))
+    parts = []
+    for way in ("p", "r"):
+        one = w.where(F.col("way") == way)
+        median, p95 = quantiles.exact(one, "d", [0.5, 0.95])
+        parts.append(one.agg(F.lit(way).alias("way"), *metrics.distance_summary(F.col("d"), median, p95)))
+    return parts[0].unionAll(parts[1])
 
 
 @query(f"@{NN} select round(sqrt(avg(d*d) filter (d < 0.2)), 6) as inlier_rmse, round(avg((d<0.2)::int::double), 6) as fitness, round(median(d), 6) as median, round(sqrt(0.03**2 + avg(d*d)), 6) as budget from w where way = 'p'", "px_cloud")
 def A16_A31_registration_fitness(spark, d):
     x = F.col("d")
-    w = both_ways(spark, d).where("way = 'p'")
-    return w.agg(F.round(F.sqrt(F.avg(F.when(x < 0.2, x * x))), 6).alias("inlier_rmse"), F.round(F.avg((x < 0.2).cast("double")), 6).alias("fitness"), F.round(F.percentile(x, F.lit(0.5)), 6).alias("median"), F.round(F.hypot(F.lit(0.03), F.sqrt(F.avg(x * x))), 6).alias("budget"))
+    w = spatial.keep(both_ways(spark, d).where("way = 'p'"))
+    median = quantiles.exact(w, "d", [0.5])[0]
+    return w.agg(F.round(F.sqrt(F.avg(F.when(x < 0.2, x * x))), 6).alias("inlier_rmse"), F.round(F.avg((x < 0.2).cast("double")), 6).alias("fitness"), F.round(F.lit(median), 6).alias("median"), F.round(F.hypot(F.lit(0.03), F.sqrt(F.avg(x * x))), 6).alias("budget"))
 
 
 @query("@p as (select a.id, (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 as d2, b.id as nn from px_cloud a, px_cloud b), k as (select *, row_number() over (partition by id order by d2, nn) as rank from p) select id, round(sqrt(sum(d2)/3), 6) as scale from k where rank between 2 and 4 group by id", "px_cloud")
@@ -151,11 +167,17 @@ def A14_cell_quantiles(spark, d):
 CELLS = "c as (select floor(x/0.05)::bigint as i, floor(y/0.05)::bigint as j, min(z) as low from px_cloud group by all)"
 
 
-@query(f"@{CELLS} select a.i, a.j, round(min(b.low), 6) + 0.0 as low, round(max(b.low), 6) + 0.0 as high, count(*) as n from c a join c b on abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1 group by all", "px_cloud")
+@query(f"@{CELLS} select a.i, a.j, round(least(min(b.low), case when count(*) < 25 then 0 end), 6) + 0.0 as low, round(greatest(max(b.low), case when count(*) < 25 then 0 end), 6) + 0.0 as high, count(*) as n from c a join c b on abs(a.i-b.i) <= 2 and abs(a.j-b.j) <= 2 group by all", "px_cloud")
 def W09_grid_filter(spark, d):
+    """Least and greatest value within two cells of each cell; cells that are not there count as 0."""
     c = px.cloud(spark, d).groupBy(spatial.cell(F.col("x"), 0.05).alias("i"), spatial.cell(F.col("y"), 0.05).alias("j")).agg(F.min("z").alias("low"))
-    sent = c.select("low", F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("c")).groupBy("c.i", "c.j").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.count("*").alias("n"))
-    return c.select("i", "j").join(sent, ["i", "j"]).select("i", "j", r(F.col("low")).alias("low"), r(F.col("high")).alias("high"), "n")
+    return spatial.grid_extremes(c, "low", 2, 0.0).select("i", "j", r(F.col("least")).alias("low"), r(F.col("most")).alias("high"), "n")
+
+
+@query(f"@{CELLS}, k as (select i, j from c where low > 0.1), g as (select distinct k.i + a.o as i, k.j + b.o as j from k, (select unnest(range(-3, 4)) as o) a, (select unnest(range(-3, 4)) as o) b) select i, j from g", "px_cloud")
+def W09_dilation(spark, d):
+    c = px.cloud(spark, d).groupBy(spatial.cell(F.col("x"), 0.05).alias("i"), spatial.cell(F.col("y"), 0.05).alias("j")).agg(F.min("z").alias("low"))
+    return spatial.dilated(c.where("low > 0.1").select("i", "j"), 3)
 
 
 @query(f"@{CELLS} select p.id, c.low is not null as inside, round(p.z - c.low, 6) + 0.0 as above from px_cloud p left join c on floor((p.x+0.05)/0.05) = c.i and floor(p.y/0.05) = c.j", "px_cloud")
@@ -178,10 +200,15 @@ def O12_voxel_downsample(spark, d):
     return px.cloud(spark, d).groupBy(*keys).agg(F.count("*").alias("n"), *(r(F.avg(c)).alias(c) for c in "xyz"))
 
 
-@query("select floor(pz/0.2)::bigint as bin, count(*) as n from px_points group by 1 order by n desc, bin limit 1", "px_points")
+@query("@e as (select min(pz) as lo, max(pz) as hi from px_points), b as (select least(floor((pz - lo)/(hi - lo)*60)::bigint, 59) as bin, lo, hi, count(*) as n from px_points, e group by all) select bin, n, round(lo + (bin + 0.5)*(hi - lo)/60, 6) as middle from b order by n desc, bin limit 1", "px_points")
 def A17_histogram_mode(spark, d):
-    bins = px.points(spark, d).groupBy(spatial.cell(F.col("pz"), 0.2).alias("bin")).agg(F.count("*").alias("n"))
-    return bins.agg(F.max_by(F.struct("bin", "n"), F.struct("n", -F.col("bin"))).alias("best")).select("best.*")
+    return metrics.histogram_mode(px.points(spark, d), "pz", F.min("pz"), F.max("pz"), 60).select("bin", "n", F.round("middle", 6).alias("middle"))
+
+
+@query("@b as (select least(floor((z + 0.31)/(0.98)*49)::bigint, 48) as bin, count(*) as n from px_cloud where z >= -0.31 and z <= -0.31 + 0.98 group by all) select bin, n, round(-0.31 + (bin + 0.5)*0.98/49, 6) + 0.0 as middle from b order by n desc, bin limit 1", "px_cloud")
+def A17_two_centimetre_mode(spark, d):
+    found = metrics.histogram_mode(px.cloud(spark, d), "z", F.lit(-0.31), F.lit(-0.31 + 0.98), 49)
+    return found.select("bin", "n", r(F.col("middle")).alias("middle"))
 
 
 PATH = "path as (select sample_id as pid, tx*20 as x, ty as y from px_traj)"
@@ -285,10 +312,13 @@ c as (select id, min(root) as component from w group by id), s as (select compon
 select count(*) as n_holes, coalesce(max(n), 0) as largest from s"""
 
 
-@query(f"@{PATH}, n as (select p.uid, p.pz, min((p.px*2-h.x)**2+(p.py-h.y)**2) as d2 from px_points p, path h group by all) select count(*) filter (sqrt(d2) <= 0.75 and pz < 0.15) as floor_band, count(*) filter (sqrt(d2) <= 0.75 and pz >= 0.15) as above, count(*) filter (sqrt(d2) > 0.75) as far, round(count(*) filter (sqrt(d2) <= 0.75 and pz >= 0.15)/greatest(1, count(*) filter (sqrt(d2) <= 0.75 and pz < 0.15))::double, 6) as ratio from n", "px_points", "px_traj")
+@query(f"@{PATH}, n as (select p.uid, floor(p.px*2/0.1) as i, floor(p.py/0.1) as j, p.pz, sqrt(min((p.px*2-h.x)**2+(p.py-h.y)**2)) as d from px_points p, path h group by all), c as (select count(*) filter (d <= 0.75 and pz < 0.15) as floor_band, count(*) filter (d <= 0.75 and pz >= 0.15) as above, count(*) filter (d > 0.75) as far, count(distinct (i, j)) filter (d <= 0.75) as cells from n) select floor_band, above, far, round(floor_band/greatest(1, floor_band + above)::double, 6) as share, round(floor_band/greatest(0.01, cells*0.01), 5) as per_m2 from c", "px_points", "px_traj")
 def A18_floor_band(spark, d):
+    """Points by the path in the floor's band and above, points far from it, the band's share, and its points per square metre of cells of 10 cm."""
     near = J08_F15_F16_path_distance(spark, d).select("uid", "near")
     rows = px.points(spark, d).join(near, "uid")
+    cells = rows.where("near").select(spatial.cell(F.col("px") * 2, 0.1).alias("i"), spatial.cell(F.col("py"), 0.1).alias("j")).distinct().agg(F.count("*").alias("cells"))
     low = F.col("pz") < 0.15
-    floor, above = F.count_if(F.col("near") & low), F.count_if(F.col("near") & ~low)
-    return rows.agg(floor.alias("floor_band"), above.alias("above"), F.count_if(~F.col("near")).alias("far"), F.round(above / F.greatest(F.lit(1), floor).cast("double"), 6).alias("ratio"))
+    counts = rows.agg(F.count_if(F.col("near") & low).alias("floor_band"), F.count_if(F.col("near") & ~low).alias("above"), F.count_if(~F.col("near")).alias("far"))
+    band, above = F.col("floor_band"), F.col("above")
+    return counts.join(F.broadcast(cells)).select("floor_band", "above", "far", F.round(band / F.greatest(F.lit(1), band + above).cast("double"), 6).alias("share"), F.round(band / F.greatest(F.lit(0.01), F.col("cells") * 0.01), 5).alias("per_m2"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import quality, spatial
+from wayfold.operators import quality, sequence, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -29,13 +27,16 @@ def events(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-@query("select event_type as source, count(*) as n, min(epoch_us(ts)) as first, max(epoch_us(ts)) as last from events group by event_type")
+@query("with a as (select 'walk' as scene, count(*) as frames, 'points' as source from events where event_type = 'view'), b as (select 'return', count(*), 'points' from events where event_type = 'click'), c as (select 'yard', count(*), 'cloud' from events where event_type = 'purchase'), f as (select * from a union all select * from b union all select * from c), p as (select 'points' as source, count(*) as n, sum(o_orderkey)::bigint as ids from orders union all select 'cloud', count(*), sum(vec_id)::bigint from embeddings) select f.scene, f.frames, f.source, p.n, p.ids from f join p using (source)")
 def S01_S02_O03_union(spark, d):
+    """Scenes side by side; a point cloud that several of them use is taken once."""
     e = events(spark, d)
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
-    parts = [e.where(F.col("event_type") == k).select(F.lit(k).alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t")) for k in kinds]
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.groupBy("source").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    one = lambda kind: e.where(F.col("event_type") == kind).select("event_id")
+    points = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    cloud = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    frames, clouds = sequence.union_scenes([("walk", one("view"), "points", points), ("return", one("click"), "points", points), ("yard", one("purchase"), "cloud", cloud)])
+    per = frames.groupBy("scene", "source").agg(F.count("*").alias("frames"))
+    return per.join(clouds.groupBy("source").agg(F.count("*").alias("n"), F.sum("id").alias("ids")), "source").select("scene", "frames", "source", "n", "ids")
 
 
 @query("with k as (select event_type, count(*) as n from events group by 1), o as (select event_type, (sum(n) over (order by event_type) - n)::bigint as first from k) select e.event_id, (o.first + row_number() over (partition by e.event_type order by e.event_id) - 1)::bigint as place from events e join o using (event_type)")
@@ -70,9 +71,10 @@ def ORC5_dataset_diff(spark, d):
     return quality.difference(o, m, ["k"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"select 'frames' as rule, count(*) > 0 as ok from px_frames union all select 'one intrinsics', count(distinct f) = 1 from px_calib union all select 'unique frames', count(*) = count(distinct (rec_id, frame_id)) from px_frames union all select 'known serials', count(*) = 0 from px_obs anti join px_calib using (camera_serial) union all select 'exposure', count(*) filter (exposure_s <= 0) = 0 from px_frames", "px_frames", "px_calib", "px_obs")
+@query(f"@g as (select max(gap) as gap from (select t_us - lag(t_us) over (partition by rec_id order by t_us) as gap from px_traj)) select 'frames' as rule, count(*) > 0 as ok from px_frames union all select 'one intrinsics', count(distinct f) = 1 from px_calib union all select 'unique frames', count(*) = count(distinct (rec_id, frame_id)) from px_frames union all select 'known serials', count(*) = 0 from px_obs anti join px_calib using (camera_serial) union all select 'exposure', count(*) filter (exposure_s <= 0) = 0 from px_frames union all select 'camera model', count(*) filter (camera_label <> 'camera-rgb') = 0 from px_frames union all select 'time gap', gap <= 5000 from g union all select 'readout', count(*) filter (f is null) = 0 from px_calib", "px_frames", "px_calib", "px_obs", "px_traj")
 def F21_ORC3_checks(spark, d):
-    f, c, o = px.frames(spark, d), px.calibration(spark, d), px.observations(spark, d)
+    f, c, o, t = px.frames(spark, d), px.calibration(spark, d), px.observations(spark, d), px.trajectory(spark, d)
+    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("rec_id").orderBy("t_us"))
     return quality.checked(
         {
             "frames": f.agg((F.count("*") > 0).alias("ok")),
@@ -80,10 +82,26 @@ def F21_ORC3_checks(spark, d):
             "unique frames": f.agg((F.count("*") == F.count_distinct("rec_id", "frame_id")).alias("ok")),
             "known serials": o.join(c, "camera_serial", "left_anti").agg((F.count("*") == 0).alias("ok")),
             "exposure": f.agg((F.count_if(F.col("exposure_s") <= 0) == 0).alias("ok")),
+            "camera model": f.agg((F.count_if(F.col("camera_label") != "camera-rgb") == 0).alias("ok")),
+            "time gap": t.select(gap.alias("gap")).agg((F.max("gap") <= 5000).alias("ok")),
+            "readout": c.agg((F.count_if(F.col("f").isNull()) == 0).alias("ok")),
         }
     )
 
 
+@query("@ids as (select o_orderkey as id, o_custkey as c, o_orderkey % 7 as a from orders), o as (select id, unnest(['/meta/c', '/meta/deep/a', '/values']) as path, unnest([c::varchar, a::varchar, '[' || a || ',' || c || ']']) as v from ids), n as (select id, unnest(case when id % 11 = 0 then ['/meta/c', '/meta/deep/b', '/values'] else ['/meta/c', '/meta/deep/a', '/values'] end) as path, unnest([c::varchar, a::varchar, '[' || case when id % 5 = 0 then a + 1 else a end || ',' || c || ']']) as v from ids where id % 13 <> 0) select path, case when n.v is null then 'removed' when o.v is null then 'added' when o.v <> n.v then 'changed' else 'same' end as status, count(*) as n from o full join n using (id, path) group by all", "px_points")
+def ORC5_package_diff(spark, d):
+    """Two packages of nested entries, opened to any depth and compared by digests of their leaves and arrays."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), c.alias("c"), (k % 7).alias("a"))
+    nested = lambda name, a: F.to_json(F.struct(F.struct("c", F.struct(F.col("a").alias(name)).alias("deep")).alias("meta"), F.array(a, F.col("c")).alias("values")))
+    old = rows.select("id", nested("a", F.col("a")).alias("j"))
+    shifted = F.when(F.col("id") % 5 == 0, F.col("a") + 1).otherwise(F.col("a"))
+    new = rows.where(F.col("id") % 13 != 0).select("id", F.when(F.col("id") % 11 == 0, nested("b", shifted)).otherwise(nested("a", shifted)).alias("j"))
+    found = quality.difference(quality.flattened(old, ["id"], "j"), quality.flattened(new, ["id"], "j"), ["id", "path"])
+    return found.groupBy("path", "status").agg(F.count("*").alias("n"))
+
+
 @query("select frame_id, rec_id, 'rec' || rec_id || '/' || camera_label as source, 300.0::double as fl, [0.1, 0.2, 0.3, 0.4][1 + (frame_id % 4)::int]::double as k, 512 as w from px_frames", "px_frames")
 def P37_frame_flatten(spark, d):
     params = F.array(*(F.lit(x) for x in (300.0, 256.0, 256.0, 0.1, 0.2, 0.3, 0.4)))

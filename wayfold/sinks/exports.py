@@ -14,18 +14,18 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.sources import ply, png
 
 
 def frame_set(frames: DataFrame, path: str, header: list[str]) -> None:
-    """JSON documents, one for each combination of the header columns, with their frames by timestamp."""
+    """JSON files, one for each combination of the header columns, with their frames by timestamp."""
     inner = [c for c in frames.columns if c not in header]
     order = F.array_sort(F.collect_list(F.struct(F.col("timestamp").alias("_t"), F.struct(*inner).alias("f"))))
     sets = frames.groupBy(*header).agg(F.transform(order, lambda x: x["f"]).alias("frames"))
-    sets.select(F.to_json(F.struct(*header, "frames"), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
+    sets.select(F.to_json(F.struct(*header, "frames"), {"pretty": "true"}).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def sparse_depth(points: DataFrame, path: str) -> None:
@@ -222,8 +222,27 @@ def visibility(lists: DataFrame, path: str, n_views: int) -> None:
     os.replace(part, path)
 
 
+def visibility_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(place, n, views: their sum, first, list, points: of the file) of every point of the files; one file is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                _, lists = _lists(data)
+                for i in range(0, len(lists), 10_000):
+                    some = lists[i : i + 10_000]
+                    cols = [np.arange(i, i + len(some)), [len(x) for x in some], [sum(x) for x in some], [x[0] if x else None for x in some], np.full(len(some), len(lists))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(some, pa.list_(pa.int64()))], ["place", "n", "views", "first", "points", "list"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "place long, n long, views long, first long, points long, list array<long>")
+
+
 def read_visibility(path: str) -> tuple[int, list[list[int]]]:
-    data = Path(path).read_bytes()
+    return _lists(Path(path).read_bytes())
+
+
+def _lists(data: bytes) -> tuple[int, list[list[int]]]:
     n_views, n = np.frombuffer(data, "<u8", 2).tolist()
     rest, at, out = np.frombuffer(data, "<u4", offset=16), 0, []
     for _ in range(n):
