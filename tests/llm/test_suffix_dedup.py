@@ -67,6 +67,18 @@ def test_cleaned_keeps_columns_and_whole_characters(spark):
     assert found[1].n_chars == 6 and list(found[1].asDict()) == df.columns
 
 
+def test_many_copies_and_very_long_texts(spark):
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passage, long = word(300), word(60_000)
+    rows = [f"{word(50)}{passage}{word(50)}" for _ in range(40)] + [passage] * 30 + [long, word(10) + long[20_000:21_000], word(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(0, rows[0])] * 3, "doc_id long, text string").repartition(4)
+    for fragments in (4, 500):
+        found = suffix_dedup.digest(suffix_dedup.removed(df, Settings(length=60, gram=20, fragments=fragments))).collect()
+        want = expected([*rows, *[rows[0]] * 3], 60)
+        assert sorted(tuple(r) for r in found) == sorted((i, *w) for i, w in zip([*range(len(rows)), 0, 0, 0], want, strict=True))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.removed(df).count() == 0

@@ -3,19 +3,19 @@
 1. Each window of ``length`` bytes belongs to one anchor, the least hash among the 64-byte strings in it, so equal
    windows have equal anchors at equal places. The windows of one anchor occurrence
    are consecutive; the text under them is a fragment of less than twice ``length`` bytes.
-2. Anchor occurrences are dealt by anchor hash, as one of each equal fragment for each task. Fragments that
-   occur twice consist of repeated windows. Only fragments that differ from all others of their anchor
-   need their text, with one of each kind they are compared with.
-3. These are put into blocks, and each block is sorted as one suffix array in two stages: suffixes smaller
+2. Anchor occurrences are dealt by anchor hash. An anchor that occurs once has windows that occur once. Of all others,
+   each different fragment is compared, with two of its occurrences if it has them: further ones follow (two 64-bit
+   hashes, of the anchor and of the whole fragment, tell equal fragments), and get what is decided for these two.
+3. Fragments are put into blocks, and each block is sorted as one suffix array in two stages: suffixes smaller
    than their successors are sorted directly, all others are induced by scanning the buckets in order.
    Common prefixes of neighbours show which windows repeat.
 4. A frequent anchor's fragments are spread over blocks. Windows that its block leaves alone, and one
-   of each kind that repeats there, are dealt by their own hash, packed, and meet there.
+   of each kind that repeats there, are dealt by two 64-bit hashes of their own, packed, and meet there.
 5. Repeated windows return to their documents.
 
 Matches never cross documents. Every window is decided, on the input; the block size limits memory only.
 
-Cases: null text counts as empty. Texts shorter than ``length`` bytes lose nothing. Repeated rows are occurrences
+Cases: null text counts as empty. Texts of any length are cut whole. Texts shorter than ``length`` bytes lose nothing. Repeated rows are occurrences
 of their own and lose everything (from ``length`` bytes on). Null ids are kept. Other
 columns are ignored; an empty table gives an empty result.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import keep, small_batches
+from wayfold.llm._shared import BLOB_ROWS, keep, small_batches
 from wayfold.llm._words import mix, portions, prefix_hash, span_hash
 
 
@@ -38,7 +38,7 @@ from wayfold.llm._words import mix, portions, prefix_hash, span_hash
 class Settings:
     length: int = 200
     gram: int = 64  #: bytes of an anchor, less than ``length``
-    fragments: int = 800  #: in one suffix array, about
+    fragments: int = 500  #: in one suffix array, about
     occurrences: int = 1_000_000  #: dealt to one task, about
 
 
@@ -154,24 +154,30 @@ def repeated_windows(fragments: list[bytes], length: int) -> tuple[np.ndarray, n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text, row = F.coalesce("text", F.lit("")), F.struct(*docs.columns)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row")).withColumn("key", F.xxhash64("doc_id", "text"))
+    """doc_id, text, none (it is null), row (the other columns), key."""
+    text, row = F.coalesce("text", F.lit("")), F.struct(*(c for c in docs.columns if c != "text"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("text").isNull().alias("none"), row.alias("row"))
+    return found.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-_DEALT = "part long, hash binary, fragment binary, key binary, low binary, high binary, known binary"
-_KINDS = ("<u8", "<u8", "<i8", "<i4", "<i4", "u1")
-_SPAN = "key long, low int, high int, block long, split boolean, status int"
+_DEALT = "part long, hash binary, fragment binary, key binary, low binary, high binary"
+_KINDS = ("<u8", "<u8", "<i8", "<i4", "<i4")
+_SPAN = "key long, low int, high int, hash long, fragment long, block long, split boolean, led boolean"
 
 
-def _spans(rows: tuple) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["key", "low", "high", "block", "split", "status"])
+def _spans(key: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray, f: np.ndarray, block: np.ndarray | None = None, split: np.ndarray | None = None, led: np.ndarray | None = None) -> pa.RecordBatch:
+    """Fragments whose text is compared in ``block``, ``led``: for others too; without a block, those that follow."""
+    n = len(key)
+    rest = [pa.nulls(n, k) if x is None else pa.array(x, k) for x, k in ((block, pa.int64()), (split, pa.bool_()), (led, pa.bool_()))]
+    known = [pa.array(x, k) for x, k in ((key, pa.int64()), (low, pa.int32()), (high, pa.int32()), (h.view(np.int64), pa.int64()), (f.view(np.int64), pa.int64()))]
+    return pa.RecordBatch.from_arrays([*known, *rest], ["key", "low", "high", "hash", "fragment", "block", "split", "led"])
 
 
-#: Status of a span: all its windows repeat; its text is needed; its text is needed though it is known to repeat.
-REPEATS, ASKS, SHOWS = 0, 1, 2
 #: Windows on their way to others of their hash; ``asks``: whether it is open if this one repeats.
-_WINDOW = np.dtype([("hash", "<u8"), ("key", "<i8"), ("at", "<i4"), ("asks", "u1")])
+_WINDOW = np.dtype([("hash", "<u8"), ("more", "<u8"), ("key", "<i8"), ("at", "<i4"), ("asks", "u1")])
+
+
+_FOUND = ["key", "low", "high", "part", "windows", "hash", "fragment"]
 
 
 def _runs_of(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -180,11 +186,11 @@ def _runs_of(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     key, at = key[order], at[order]
     first = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(key) != 0))) if len(at) else order
     last = np.append(first[1:], len(at)) - 1 if len(at) else order
-    return pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())], ["key", "low", "high", "part", "windows"])
+    return pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), *(pa.nulls(len(first), k) for k in (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], _FOUND)
 
 
 def _statuses(docs: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
-    """Spans of windows by key: those known to repeat and those whose text has to be compared; and the number of ranges."""
+    """Fragments whose text has to be compared and those that follow; and the number of ranges."""
     length, gram, limit = settings.length, settings.gram, settings.fragments
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size / ((length - gram + 2) / 2) // settings.occurrences) + 1)
@@ -198,23 +204,19 @@ def _statuses(docs: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
             if not len(h):
                 return
             order = np.lexsort((f, h))
-            h, f, key, low, high = (x[order] for x in (h, f, key, low, high))
-            first = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]))
-            at = np.flatnonzero(first)
-            many = np.diff(np.append(at, len(h))) > 1
-            twice = np.repeat(many, np.diff(np.append(at, len(h))))
-            part = (h[at] % np.uint64(ranges)).astype(np.int64)
+            h, f, key, low, high = (x[order] for x in (h, f, key, low.astype("<i4"), high.astype("<i4")))
+            nth = _nth(h, f)
+            sent = np.flatnonzero(nth < 2)
+            part = (h[sent] % np.uint64(ranges)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[by], np.arange(ranges + 1))
-            cols = [x[at] for x in (h, f, key, low.astype("<i4"), high.astype("<i4"))] + [many.astype(np.uint8)]
             used = [r for r in range(ranges) if bounds[r] < bounds[r + 1]]
-            blobs = [[c[by[bounds[r] : bounds[r + 1]]].tobytes() for r in used] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["part", "hash", "fragment", "key", "low", "high", "known"])
-            # repeated within this task: known here
-            t = np.flatnonzero(twice)
-            if len(t):
-                blobs = [h[:0], f[:0], key[t], low[t].astype("<i4"), high[t].astype("<i4"), np.ones(len(t), np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["part", "hash", "fragment", "key", "low", "high", "known"])
+            blobs = [[x[sent[by[bounds[r] : bounds[r + 1]]]].tobytes() for r in used] for x in (h, f, key, low, high)]
+            names = ["part", "hash", "fragment", "key", "low", "high"]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names)
+            rest = np.flatnonzero(nth >= 2)
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([x[rest].tobytes()], pa.binary()) for x in (h, f, key, low, high))], names)
 
         for batch in batches:
             keys = batch.column(1).to_numpy()
@@ -222,7 +224,7 @@ def _statuses(docs: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
                 a = anchors(some, length, gram)
                 held.append((a.hash, a.fragment, keys[first + a.text], a.low, a.high))
                 count += len(a.hash)
-            if count > 1_500_000:
+            if count > 1_000_000:
                 yield from out()
                 held, count = [], 0
         if held:
@@ -231,89 +233,107 @@ def _statuses(docs: DataFrame, settings: Settings) -> tuple[DataFrame, int]:
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for r, *blobs in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                cols = [np.frombuffer(b, t) for b, t in zip(blobs, _KINDS, strict=True)]
+            for r, *blobs in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                h, f, key, low, high = cols = [np.frombuffer(b, t) for b, t in zip(blobs, _KINDS, strict=True)]
                 if r < 0:
-                    n = len(cols[2])
-                    yield _spans((cols[2], cols[3], cols[4], np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, REPEATS, np.int32)))
+                    yield _spans(key, low, high, h, f)
                 else:
                     held.setdefault(r, []).append(cols)
         for r, parts in held.items():
-            h, f, key, low, high, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, f, key, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             order = np.lexsort((f, h))
-            h, f, key, low, high, known = (x[order] for x in (h, f, key, low, high, known))
+            h, f, key, low, high = (x[order] for x in (h, f, key, low, high))
+            nth = _nth(h, f)
+            rest = np.flatnonzero(nth >= 2)
+            yield _spans(key[rest], low[rest], high[rest], h[rest], f[rest])
+            # an anchor that occurs once has nothing to compare
             new_h = np.append(True, h[1:] != h[:-1])
-            new = new_h | np.append(True, f[1:] != f[:-1])
-            pair, group = np.cumsum(new) - 1, np.cumsum(new_h) - 1
-            times = np.bincount(pair, 1 + known)
-            repeats = times[pair] > 1
-            alone = np.bincount(group, ~repeats)
-            kinds = np.bincount(group[new])
-            done = np.flatnonzero(repeats & (known == 0))
-            asked = np.flatnonzero(new & (kinds[group] > 1) & (alone[group] > 0))
-            n = len(done)
-            yield _spans((key[done], low[done], high[done], np.zeros(n, np.int64), np.zeros(n, bool), np.full(n, REPEATS, np.int32)))
+            group = np.cumsum(new_h) - 1
+            asked = np.flatnonzero((nth < 2) & (np.bincount(group)[group] > 1))
             if len(asked):
-                g = np.unique(group[asked], return_inverse=True)[1]
-                sizes = np.bincount(g)
-                firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                # both occurrences of a fragment go into one block
+                kind = np.cumsum(nth[asked] == 0) - 1
+                first = np.flatnonzero(np.append(True, np.diff(group[asked]) != 0))
+                g = np.cumsum(np.append(False, np.diff(group[asked]) != 0))
+                sizes = np.diff(np.append(first, len(asked)))
                 wide = sizes > limit  # a frequent anchor has blocks of its own
-                within = np.arange(len(asked)) - firsts[g]
-                blocks_of = np.where(wide, -(-sizes // limit), 0)
+                within = kind - kind[first][g]
+                blocks_of = np.where(wide, -(-2 * np.maximum.reduceat(within + 1, first) // limit), 0)
                 small = np.cumsum(np.where(wide, 0, sizes)) // limit
                 base = small.max(initial=0) + 1 + np.concatenate([[0], np.cumsum(blocks_of)[:-1]])
-                block = np.where(wide[g], base[g] + within // limit, small[g])
-                yield _spans((key[asked], low[asked], high[asked], (r << 32) + block, wide[g], np.where(repeats[asked], SHOWS, ASKS).astype(np.int32)))
+                block = np.where(wide[g], base[g] + 2 * within // limit, small[g])
+                # others follow where a task sent two: there may be more
+                twice = np.append(nth[1:] == 1, False) | (nth == 1)
+                yield _spans(key[asked], low[asked], high[asked], h[asked], f[asked], (r << 32) + block, wide[g], twice[asked])
 
     dealt = docs.select("text", "key").mapInArrow(deal, _DEALT)
-    # rows known in their task need no range; they are spread
+    # fragments that follow need no range; they are spread
     where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("key"), F.lit(ranges)))
-    return keep(dealt.repartition(ranges, where).mapInArrow(decide, _SPAN), "statuses"), ranges
+    return keep(dealt.repartition(ranges, where).mapInArrow(decide, _SPAN), "statuses", BLOB_ROWS), ranges
+
+
+def _nth(h: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """0, 1, ... along each run of equal pairs."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    new = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]))
+    at = np.arange(len(h))
+    return at - at[new][np.cumsum(new) - 1]
 
 
 def _compared(docs: DataFrame, statuses: DataFrame, ranges: int, settings: Settings) -> DataFrame:
-    """(key, low, high): spans of windows that suffix arrays find repeated."""
+    """(key, low, high): spans of windows that suffix arrays find repeated, and of the fragments that follow them."""
     length = settings.length
-    asked = statuses.where(F.col("status") > REPEATS)
-    lists = asked.groupBy("key").agg(F.collect_set(F.struct("low", "high", "block", "split", "status")).alias("spans"))
+    asked = statuses.where("block IS NOT NULL")
+    # a list, not a set: equal rows have one key, and a fragment of both is compared twice
+    lists = asked.groupBy("key").agg(F.collect_list(F.struct("low", "high", "block", "split", "hash", "fragment", "led")).alias("spans"))
     texts = docs.select("key", "text").dropDuplicates(["key"]).join(lists, "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = text.encode()
-                cols = list(zip(*((key, s["low"], s["block"], s["split"], s["status"], raw[s["low"] : s["high"] + length]) for s in spans), strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "low", "block", "split", "status", "bytes"])
+                for i in range(0, len(spans), 5000):
+                    cols = list(zip(*((key, s["low"], s["block"], s["split"], s["hash"], s["fragment"], s["led"], raw[s["low"] : s["high"] + length]) for s in spans[i : i + 5000]), strict=True))
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "low", "block", "split", "hash", "fragment", "led", "bytes"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            owner, window, kind = repeated_windows([x[5] for x in held], length)
+            owner, window, kind = repeated_windows([x[7] for x in held], length)
             key = np.array([x[0] for x in held], np.int64)
             at = np.array([x[1] for x in held], np.int64)[owner] + window
             times = np.bincount(kind)[kind] if len(kind) else kind
-            asks = np.array([x[4] for x in held])[owner] == ASKS
-            found = np.flatnonzero(asks & (times > 1))
+            found = np.flatnonzero(times > 1)
             yield _runs_of(key[owner[found]], at[found])
+            # fragments of which every window repeats decide for those that follow
+            whole = np.bincount(owner, times > 1, len(held)) == np.bincount(owner, minlength=len(held))
+            led = [i for i in np.flatnonzero(whole).tolist() if held[i][6]]
+            if led:
+                none = [pa.nulls(len(led), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, *(pa.array([held[i][c] for i in led], pa.int64()) for c in (4, 5))], _FOUND)
             if held[0][3] and len(kind):  # lone windows and one of each kind go on, by hash
                 some = np.unique(kind, return_index=True)[1]
-                sums = prefix_hash(np.frombuffer(b"".join(x[5] for x in held), np.uint8))
-                begin = np.concatenate([[0], np.cumsum([len(x[5]) for x in held])])[owner[some]] + window[some]
+                joined = np.frombuffer(b"".join(x[7] for x in held), np.uint8)
+                sums, other = prefix_hash(joined), prefix_hash(joined ^ np.uint8(0x5A))
+                begin = np.concatenate([[0], np.cumsum([len(x[7]) for x in held])])[owner[some]] + window[some]
                 out_ = np.zeros(len(some), _WINDOW)
-                out_["hash"], out_["key"], out_["at"], out_["asks"] = span_hash(sums, begin, begin + length), key[owner[some]], at[some], asks[some] & (times[some] == 1)
+                out_["hash"], out_["more"] = span_hash(sums, begin, begin + length), span_hash(other, begin, begin + length)
+                out_["key"], out_["at"], out_["asks"] = key[owner[some]], at[some], times[some] == 1
                 part = (out_["hash"] % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[order], np.arange(ranges + 1))
                 used = [r for r in range(ranges) if bounds[r] < bounds[r + 1]]
                 blobs = [out_[order[bounds[r] : bounds[r + 1]]].tobytes() for r in used]
-                none = pa.nulls(len(used), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), none, none, pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], ["key", "low", "high", "part", "windows"])
+                none = [pa.nulls(len(used), k) for k in (pa.int64(), pa.int32(), pa.int32())]
+                more = [pa.nulls(len(used), pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int64()), pa.array(blobs, pa.binary()), *more], _FOUND)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if held and row[2] != held[0][2]:
                     yield from out()
                     held = []
@@ -322,8 +342,8 @@ def _compared(docs: DataFrame, statuses: DataFrame, ranges: int, settings: Setti
             yield from out()
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    fragments = texts.mapInArrow(cut, "key long, low int, block long, split boolean, status int, bytes binary")
-    shape = "key long, low int, high int, part long, windows binary"
+    fragments = texts.mapInArrow(cut, "key long, low int, block long, split boolean, hash long, fragment long, led boolean, bytes binary")
+    shape = "key long, low int, high int, part long, windows binary, hash long, fragment long"
     found = keep(fragments.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(sort, shape), "compared")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,18 +353,23 @@ def _compared(docs: DataFrame, statuses: DataFrame, ranges: int, settings: Setti
                 held.setdefault(part, []).append(np.frombuffer(blob, _WINDOW))
         for blobs in held.values():
             w = np.concatenate(blobs)
-            _, at, times = np.unique(w["hash"], return_inverse=True, return_counts=True)
-            w = w[(times[at] > 1) & (w["asks"] == 1)]
+            w = w[np.lexsort((w["more"], w["hash"]))]
+            new = np.append(True, (w["hash"][1:] != w["hash"][:-1]) | (w["more"][1:] != w["more"][:-1]))
+            at = np.cumsum(new) - 1
+            w = w[(np.bincount(at)[at] > 1) & (w["asks"] == 1)]
             yield _runs_of(w["key"], w["at"])
 
     met = found.where("part IS NOT NULL").select("part", "windows").repartition(ranges, "part").mapInArrow(meet, shape)
-    return found.where("key IS NOT NULL").select("key", "low", "high").unionAll(met.select("key", "low", "high"))
+    decided = found.where("hash IS NOT NULL").select("hash", "fragment").distinct()
+    following = statuses.where("block IS NULL").join(decided, ["hash", "fragment"])
+    spans = [df.select("key", "low", "high") for df in (found.where("key IS NOT NULL"), met, following)]
+    return spans[0].unionAll(spans[1]).unionAll(spans[2])
 
 
 def _repeats(keyed: DataFrame, settings: Settings) -> DataFrame:
     """(key, low, high): lists of the spans of repeated windows of each text that has any."""
     statuses, ranges = _statuses(keyed, settings)
-    spans = statuses.where(F.col("status") == REPEATS).select("key", "low", "high").unionAll(_compared(keyed, statuses, ranges, settings))
+    spans = _compared(keyed, statuses, ranges, settings)
     return keep(spans.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")), "spans")
 
 
@@ -394,14 +419,14 @@ def cleaned(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_without(t.encode(), _runs(low, high, length)).decode(errors="ignore") for t, low, high in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "kept"])
+            texts = [_without(t.encode(), _runs(low, high, length)).decode(errors="ignore") for t, low, high in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["row", "none", "kept"])
 
-    both = keyed.join(_repeats(keyed, settings), "key", "left").select("row", "text", "low", "high")
-    shape = both.select("row").schema.add("kept", "string")
+    both = keyed.join(_repeats(keyed, settings), "key", "left").select("row", "none", "text", "low", "high")
+    shape = both.select("row", "none").schema.add("kept", "string")
     found = both.mapInArrow(cut, shape)
-    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("kept")), "n_chars": F.char_length("kept").cast("long")}
-    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    new = {"text": F.when(~F.col("none"), F.col("kept")), "n_chars": F.char_length("kept").cast("long")}
+    return found.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:
