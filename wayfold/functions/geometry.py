@@ -169,6 +169,20 @@ def rescaled(width: Column, old_height: Column, new_height: Column) -> Column:
     return (new_height / old_height * width).cast("int")
 
 
+def fitting(side: int, aspect: Column) -> tuple[Column, Column]:
+    """(width, height) of the largest picture of that aspect within a square, cut to whole numbers."""
+    wide = aspect > 1
+    return F.when(wide, side).otherwise((side * aspect).cast("int")), F.when(wide, (side / aspect).cast("int")).otherwise(side)
+
+
+def affordable(side: int, aspect: Column, rays_per_second: Column, frames_per_second: float) -> tuple[Column, Column]:
+    """(width, height) of a picture whose pixels the ray budget allows: the height in tens, from 30 to ``side``, and no side longer than that."""
+    tens = (F.rint(F.sqrt(rays_per_second / frames_per_second / aspect) / 10) * 10).cast("int")
+    height = F.greatest(F.least(F.lit(side), tens), F.lit(30))
+    width = (height * aspect).cast("int")
+    return F.least(width, F.lit(side)), F.when(width > side, (side / aspect).cast("int")).otherwise(height)
+
+
 def equidistant(x: Column, y: Column, k: list[float]) -> tuple[Column, Column]:
     """Fisheye coordinates of a pinhole direction: r = angle * (1 + k1 angle^2 + ... + k4 angle^8)."""
     radius = F.sqrt(x * x + y * y)

@@ -11,12 +11,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import spatial
+from wayfold.functions import geometry as g
+from wayfold.operators import quality, sequence, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans import stages
 from wayfold.plans.proxies import with_views
 from wayfold.sinks import exports
-from wayfold.sources import captures, ply
+from wayfold.sources import captures, package, ply
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -284,3 +285,82 @@ def ORC1_ORC2_SNK13_stages(spark, d):
     count = lambda df, name, done: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows").join(F.broadcast(done.agg(F.count("*").cast("int").alias("runs"))))
     parts = [count(made[n], n, runs.where(F.col("stage") == n)) for n in ("confident", "heights")]
     return parts[0].unionAll(parts[1]).unionAll(count(forced["confident"], "forced", again))
+
+
+@query("select 'train.steps' as name, '30000' as value union all select 'train.loss.l1', '0.5' union all select 'window.start', null union all select 'window.end', '12' union all select 'scene', '\"yard\"'")
+def SRC16_settings(spark, d):
+    """A settings file with overrides; a time of -1 is unset."""
+    path = folder(spark)
+    spark.createDataFrame([('{"train": {"steps": 1000, "loss": {"l1": 0.8}}, "window": {"start": -1, "end": -1}, "scene": "walk"}',)], "value string").coalesce(1).write.text(path)
+    return captures.settings(spark, path, ["train.steps=30000", "train.loss.l1=0.5", "window.end=12", 'scene="yard"'])
+
+
+@query("select row_number() over (order by gid) - 1 as row, round(s0, 2) as scale, true as exact, 'root.usda,volume.bin' as names, true as same from px_splat", "px_splat")
+def SRC17_SNK09_volume_package(spark, d):
+    """A scene package written twice: equal bytes, its entries in order, its payload in half floats."""
+    path = folder(spark)
+    lists = lambda *c: F.array(*(F.col(x).cast("float") if isinstance(x, str) else F.lit(x).cast("float") for x in c))
+    rows = px.splats(spark, d).select("gid", *(F.col(c).cast("float").alias(c) for c in "xyz"), F.col("opacity_logit").cast("float").alias("opacity"), lists("s0", "s1", "s2").alias("scale"), lists(1.0, 0.0, 0.0, 0.0).alias("rot"), lists(0.5, 0.5, 0.5).alias("f_dc"))
+    for n in ("a", "b"):
+        exports.volume(rows, local(f"{path}/{n}.zip"), b"#usda 1.0")
+    e = package.entries(spark, f"{path}/*.zip")
+    whole = e.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",").alias("names"), F.max(F.when(F.col("name") == "volume.bin", F.col("sha256"))).alias("sha")).agg(F.first("names").alias("names"), (F.count_distinct("sha") == 1).alias("same"))
+    numbered = spatial.dense_ids(px.splats(spark, d).select("gid", "s0"), ["gid"], "row")
+    scales = package.values(spark, f"{path}/a.zip", "volume.bin").where("field = 'scales'").join(numbered, "row")
+    return scales.join(F.broadcast(whole)).select("row", F.round("s0", 2).alias("scale"), (F.abs(F.col("value")[0] - F.col("s0")) <= 0.001 * F.abs("s0") + 1e-3).alias("exact"), "names", "same")
+
+
+FACTS = "f as (select rec_id, count(*) as frames, (max(t_ns) - min(t_ns))/1e9 as seconds from px_frames group by rec_id)"
+
+
+@query(f"@{FACTS} select rec_id, frames, round(seconds, 3) as seconds, round(case when seconds > 0 then (frames - 1)/seconds end, 9) as per_second, 4 as cameras, 1 as global_shutter, case when rec_id % 3 = 0 then 'points.csv.gz' else '' end as missing, 1008.0::double as focal from f", "px_frames")
+def ORC4_recording_facts(spark, d):
+    cameras = px.calibration(spark, d).select(F.when(F.col("camera_serial") != "cam2", 0.01).alias("readout"))
+    frames = px.frames(spark, d)
+    names = F.when(F.col("rec_id") % 3 == 0, F.array(F.lit("trajectory.csv"))).otherwise(F.array(F.lit("trajectory.csv"), F.lit("points.csv.gz")))
+    files = frames.select("rec_id").distinct().select("rec_id", F.explode(names).alias("name"))
+    found = quality.recording_facts(frames, cameras, files, ["trajectory.csv", "points.csv.gz"], 2016, 90)
+    return found.select("rec_id", "frames", F.round("seconds", 3).alias("seconds"), F.round("per_second", 9).alias("per_second"), F.col("cameras").cast("int").alias("cameras"), F.col("global_shutter").cast("int").alias("global_shutter"), "missing", "focal")
+
+
+@query("select p_partkey as id, case p_partkey % 4 when 0 then 'rewritten' when 1 then 'already' else 'refused' end as status, case p_partkey % 4 when 0 then 1.0 when 1 then 1.0 else 2.0 end::double as first from part")
+def ORC6_frame_fix(spark, d):
+    """A transform is rewritten only where it is the known one."""
+    known, eye = [-1.0, 0, 0, 0, 0, 0, -1, 0, 0, -1, 0, 0, 0, 0, 0, 1], [float(i % 5 == 0) for i in range(16)]
+    k = F.col("p_partkey") % 4
+    array = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    rows = part(spark, d).select(F.col("p_partkey").alias("id"), F.when(k == 0, array(known)).when(k == 1, array(eye)).otherwise(array([2.0, *eye[1:]])).alias("m"))
+    return quality.rewritten(rows, "m", known, eye).select("id", "status", F.col("m")[0].alias("first"))
+
+
+KEYS = "o as (select rec_id, tx + cos(sample_id)/10 as tx, 0.5 + sin(sample_id)/20 as fov, row_number() over w - 1 as k, count(*) over (partition by rec_id) as n from px_traj window w as (partition by rec_id order by t_us, sample_id)), v as (select *, lead(tx) over w as tx1, lead(fov) over w as fov1, 0.4*(lead(tx) over w - lag(tx) over w) as mx, 0.4*(lead(fov) over w - lag(fov) over w) as mf from o where n > 2 window w as (partition by rec_id order by k)), s as (select *, lead(mx) over w as ex, lead(mf) over w as ef from v window w as (partition by rec_id order by k)), q as (select rec_id, k, n, tx, fov, tx1, fov1, case when k = 0 then 1.5*(tx1-tx) - 0.5*ex else mx end as bx, case when k = 0 then 1.5*(fov1-fov) - 0.5*ef else mf end as bf, case when k = n-2 then 1.5*(tx1-tx) - 0.5*mx else ex end as ex, case when k = n-2 then 1.5*(fov1-fov) - 0.5*mf else ef end as ef from s where k < n-1), i as (select q.*, i, (n-1)*i/(2*n)::double as t from q, lateral (select unnest(range(ceil(k*2*n/(n-1)::double)::bigint, ceil((k+1)*2*n/(n-1)::double)::bigint)) as i)), u as (select *, t - k as h from i)"
+BLEND = lambda a, b: f"(2*h*h*h - 3*h*h + 1)*{a} + (h*h*h - 2*h*h + h)*b{b} + (3*h*h - 2*h*h*h)*{a}1 + (h*h*h - h*h)*e{b}"
+
+
+def sampled(spark, d) -> DataFrame:
+    """Twice as many frames as key frames along each recording's trajectory."""
+    keys = px.trajectory(spark, d).withColumns({"tx": F.col("tx") + F.cos("sample_id") / 10, "fov": 0.5 + F.sin("sample_id") / 20}).withColumn("at", F.struct("t_us", "sample_id"))
+    n = keys.groupBy("rec_id").agg((2 * F.count("*")).alias("frames")).where("frames > 4")
+    return sequence.spline(keys.join(n, "rec_id"), ["rec_id"], "at", ["tx", "fov"], "frames", tension=0.2)
+
+
+@query(f"@{KEYS} select rec_id, i, round(t, 5) as t, round({BLEND('tx', 'x')}, 4) + 0.0 as tx, round({BLEND('fov', 'f')}, 5) + 0.0 as fov from u", "px_traj")
+def P34_spline(spark, d):
+    return sampled(spark, d).select("rec_id", "i", F.round("t", 5).alias("t"), r(F.col("tx"), 4).alias("tx"), r(F.col("fov"), 5).alias("fov"))
+
+
+@query(f"@{KEYS} select rec_id, 30 as fps, count(*) as frames, round(sum({BLEND('fov', 'f')}), 3) as fov from u group by rec_id", "px_traj")
+def SNK12_camera_paths(spark, d):
+    """A file for each camera path, read back."""
+    path = folder(spark)
+    exports.camera_paths(sampled(spark, d).drop("t"), path, ["rec_id"], {"camera_type": "perspective", "fps": 30, "render_width": 1920})
+    back = spark.read.schema("rec_id LONG, fps INT, camera_path ARRAY<STRUCT<i: LONG, tx: DOUBLE, fov: DOUBLE>>").json(path, multiLine=True)
+    return back.select("rec_id", "fps", F.explode("camera_path").alias("c")).groupBy("rec_id", "fps").agg(F.count("*").alias("frames"), F.round(F.sum("c.fov"), 3).alias("fov"))
+
+
+@query("@a as (select p_partkey as id, (20 + p_size)/40.0::double as aspect, 1e6*(1 + p_partkey % 30) as rays from part), h as (select *, greatest(least(1024, (round_even(sqrt(rays/30/aspect)/10, 0)*10)::int), 30) as h from a) select id, case when aspect > 1 then 1024 else trunc(1024*aspect)::int end as width, case when aspect > 1 then trunc(1024/aspect)::int else 1024 end as height, least(trunc(h*aspect)::int, 1024) as moving_width, case when trunc(h*aspect)::int > 1024 then trunc(1024/aspect)::int else h end as moving_height from h", "px_points")
+def P35_picture_sizes(spark, d):
+    """Sizes of a still picture, and of one that a budget of rays allows at 30 frames a second."""
+    rows = part(spark, d).select(F.col("p_partkey").alias("id"), ((20 + F.col("p_size")) / 40.0).alias("aspect"), (1e6 * (1 + F.col("p_partkey") % 30)).alias("rays"))
+    (a, b), (c, e) = g.fitting(1024, F.col("aspect")), g.affordable(1024, F.col("aspect"), F.col("rays"), 30.0)
+    return rows.select("id", a.alias("width"), b.alias("height"), c.alias("moving_width"), e.alias("moving_height"))

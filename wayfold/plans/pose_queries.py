@@ -435,14 +435,14 @@ def camera_sql(p: str) -> str:
     return text if not p else re.sub(r"\b(q[wxyz]|t[xyz]|c\d)\b", lambda m: p + m[1], text)
 
 
-MOVED = f"pts as (select uid % 50 as k, uid, px as x, py as y, pz + 6 as z from px_points), j as (select s.rec_id, s.sample_id, {camera_sql('')}, {camera_sql('p_')} from s join pts on pts.k = s.sample_id % 50 where p_id is not null), uv as (select rec_id, sample_id, greatest(abs(300*c0/c2 - 300*p_c0/p_c2), abs(300*c1/c2 - 300*p_c1/p_c2)) as m from j where c2 > 0.5 and p_c2 > 0.5)"
+MOVED = f"pts as (select uid % 500 as k, uid, px as x, py as y, pz + 6 as z from px_points), j as (select s.rec_id, s.sample_id, {camera_sql('')}, {camera_sql('p_')} from s join pts on pts.k = s.sample_id % 500 where p_id is not null), uv as (select rec_id, sample_id, greatest(abs(300*c0/c2 - 300*p_c0/p_c2), abs(300*c1/c2 - 300*p_c1/p_c2)) as m from j where c2 > 0.5 and p_c2 > 0.5)"
 
 
 @query(f"@{STEPS}, {MOVED} select sample_id, count(*) as n, round(quantile_cont(m, 0.25), 4) as p25, round(quantile_cont(m, 0.5), 4) as p50, round(quantile_cont(m, 0.75), 4) as p75 from uv group by sample_id", "px_pose", "px_points")
 def A07_A32_A34_motion_percentiles(spark, d):
     """How far points move in the image between a sample's pose and the one before: each sample sees the points of its residue."""
-    points = px.points(spark, d).select((F.col("uid") % 50).alias("k"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("pz") + 6).alias("z"))
-    rows = steps(spark, d).withColumn("k", F.col("sample_id") % 50).join(points, "k")
+    points = px.points(spark, d).select((F.col("uid") % 500).alias("k"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("pz") + 6).alias("z"))
+    rows = steps(spark, d).withColumn("k", F.col("sample_id") % 500).join(points, "k")
     p = [F.col(c) for c in "xyz"]
     now, before = ([F.col(f"{n}{i}") for i in range(3)] for n in ("c", "b"))
     rows = rows.select("sample_id", *(c.alias(f"{n}{i}") for n, q in (("c", ""), ("b", "p_")) for i, c in enumerate(g.transform(*g.inverse(*pose(q)), p)))).where("c2 > 0.5 AND b2 > 0.5")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.sources import ply, png
+from wayfold.sources import package, ply, png
 
 
 def frame_set(frames: DataFrame, path: str, header: list[str]) -> None:
@@ -172,6 +172,34 @@ def splats(df: DataFrame, path: str, sh_degree: int = 3) -> None:
     _ply(path, [("vertex", fields, sizes["n"], _packed(df, ["gid"], pack)), ("metadata", meta.dtype.descr, 1, iter([meta.tobytes()]))])
 
 
+def volume(df: DataFrame, path: str, root: bytes) -> None:
+    """A scene package of a root layer and a payload of half floats: positions, opacities, scales, rotations, colours, in that order.
+
+    One payload is one piece, so its rows pass one task and the driver: for clouds that a viewer can load.
+    """
+    names = {"positions": ("x", "y", "z"), "opacities": ("opacity",), "scales": "scale", "rotations": "rot", "colours": "f_dc"}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {n: [] for n in names}
+        for batch in batches:
+            for n, columns in names.items():
+                flat = batch.column(columns).flatten().to_numpy().reshape(len(batch), -1) if isinstance(columns, str) else np.column_stack([batch.column(c).to_numpy() for c in columns])
+                held[n].append(flat.astype("<f2"))
+        if held["positions"]:
+            yield pa.RecordBatch.from_arrays([pa.array([package.payload({"version": 1} | {n: np.concatenate(x) for n, x in held.items()})], pa.binary())], ["raw"])
+
+    rows = df.select("gid", "x", "y", "z", "opacity", "scale", "rot", "f_dc").coalesce(1).sortWithinPartitions("gid").mapInArrow(pack, "raw binary").first()
+    _whole(path, package.zipped({"root.usda": root, "volume.bin": rows["raw"] if rows else package.payload({"version": 1})}))
+
+
+def camera_paths(frames: DataFrame, path: str, by: list[str], header: dict[str, object]) -> None:
+    """A JSON file for each path: the header's fields and its frames by ``i``."""
+    inner = [c for c in frames.columns if c not in by]
+    lists = frames.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", *(c for c in inner if c != "i")))).alias("camera_path"))
+    fixed = [F.lit(v).alias(k) for k, v in header.items()]
+    lists.select(F.to_json(F.struct(*by, *fixed, "camera_path"), {"pretty": "true"}).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def filtered_splats(kept: DataFrame, source: str, path: str) -> None:
     """The splat file ``source`` with only the rows ``kept`` (gid), its other elements and properties as they are. One file is parsed by one task."""
     spark = kept.sparkSession

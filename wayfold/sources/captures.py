@@ -129,6 +129,25 @@ def images(spark: SparkSession, path: str, masks: DataFrame | None = None) -> Da
     return rows.select("path", "img", "c", "y", "x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v"))).alias("v"), F.coalesce("alpha", given, F.lit(1.0)).alias("mask"))
 
 
+def settings(spark: SparkSession, path: str, overrides: list[str] | None = None, unset: float = -1) -> DataFrame:
+    """(name, value as JSON) of a settings file of nested objects; ``a.b=value`` overrides a leaf, and numbers equal to ``unset`` are null.
+
+    An override of a leaf that the file doesn't have is an error.
+    """
+    from wayfold.operators import quality
+
+    text = spark.read.text(path, wholetext=True).select(F.lit(0).alias("k"), F.col("value").alias("j"))
+    leaves = quality.flattened(text, ["k"], "j", digest=False).select(F.translate(F.substring("path", 2, 1000), "/", ".").alias("name"), "value")
+    given = dict(x.split("=", 1) for x in overrides or [])
+    known = {r["name"] for r in leaves.select("name").collect()}  # the leaves of one settings file
+    if unknown := sorted(set(given) - known):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    value = F.col("value")
+    for name, v in given.items():
+        value = F.when(F.col("name") == name, F.lit(v)).otherwise(value)
+    return leaves.select("name", F.when(value.try_cast("double") == unset, None).otherwise(value).alias("value"))
+
+
 def recordings(paths: str) -> list[str]:
     """The folders of ``dir/a+b+c``."""
     root, _, names = paths.rpartition("/")
