@@ -32,7 +32,7 @@ def cell(x: Column, size: Column | float) -> Column:
 
 
 #: Bits of a place on each axis, and points from which on a cell is split.
-BITS, FULL = 40, 64
+BITS, FULL = 40, 32
 
 
 def _tree(right: DataFrame, axes: list[str], fan: int) -> tuple[list[DataFrame], DataFrame] | None:
@@ -89,30 +89,37 @@ def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, digi
     gap = lambda c: F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0))
     far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"low_{c}")), F.abs(F.col(c) - F.col(f"high_{c}")))
     square = lambda v: sum((x * x for x in v[1:]), v[0] * v[0])
-    have = ["id", *axes, "path", "n", "leaf", "dmin", "dmax"]
-    measured = lambda df: df.withColumn("dmin", square([gap(c) for c in axes])).withColumn("dmax", square([far(c) for c in axes])).select(*have)
-    spread = Window.partitionBy("id").orderBy("dmax", "path").rowsBetween(Window.unboundedPreceding, 0)
+    have = ["id", *axes, "path", "n", "leaf", "dmin", "dmax", "reach"]
+    slack = lambda reach: reach * (1 + 1e-9) + (10.0**-digits if digits else 0.0)
+    # what the level above has shown to be within reach already rules out most cells of this one
+    measured = lambda df: df.withColumn("dmin", square([gap(c) for c in axes])).where(F.col("dmin") <= slack(F.col("reach"))).withColumn("dmax", square([far(c) for c in axes])).select(*have)
+    spread = Window.partitionBy("id").orderBy("dmax").rowsBetween(Window.unboundedPreceding, 0)
 
     def pruned(df: DataFrame) -> DataFrame:
-        reach = F.min(F.when(F.col("_held") >= wanted, F.col("dmax"))).over(Window.partitionBy("id"))
-        slack = 1 + 1e-9
-        return df.withColumn("_held", F.sum("n").over(spread)).withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("dmin") <= F.col("_reach") * slack + (10.0**-digits if digits else 0.0))).select(*have)
+        enough = F.col("dmax")
+        if wanted > 1:
+            df, enough = df.withColumn("_held", F.sum("n").over(spread)), F.when(F.col("_held") >= wanted, F.col("dmax"))
+        df = df.withColumn("reach", F.least("reach", F.min(enough).over(Window.partitionBy("id"))))
+        return df.where(F.col("dmin") <= slack(F.col("reach"))).select(*have)
 
     top = levels[0].drop("up").collect()  # the first level has at most 2^(fan * axes) cells
     first = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in levels[0].columns if c != "up")) for r in top))
-    found = pruned(measured(left.select("id", *axes, F.inline(first))))
+    found = pruned(measured(left.select("id", *axes, F.lit(float("inf")).alias("reach"), F.inline(first))))
     for i, level in enumerate(levels[1:]):
-        inner = found.where("NOT leaf").select("id", *axes, F.col("path").alias("up")).join(level, "up")
+        inner = found.where("NOT leaf").select("id", *axes, "reach", F.col("path").alias("up")).join(level, "up")
         found = pruned(found.where("leaf").unionAll(measured(inner)))
         if i % 4 == 3:
             found = keep(found)
-    d2 = square([F.col(c) - F.col(f"r_{c}") for c in axes])
-    pairs = found.select("id", *axes, "path").join(placed, "path")
-    if apart:
-        pairs = pairs.where("id <> nn")
-    pairs = pairs.select("id", "nn", (d2 if digits is None else F.round(d2, digits)).alias("d2"))
+    # a leaf's points travel as one list, so a row and a leaf give one row, with the k best of it
+    lists = placed.groupBy("path").agg(F.collect_list(F.struct("nn", *here)).alias("points"))
+    met = found.select("id", *axes, "path").join(lists, "path")
+    points = F.filter("points", lambda p: p["nn"] != F.col("id")) if apart else F.col("points")
+    d2 = lambda p: square([F.col(c) - p[f"r_{c}"] for c in axes])
+    near = F.transform(points, lambda p: F.struct((d2(p) if digits is None else F.round(d2(p), digits)).alias("d2"), p["nn"].alias("nn")))
     if k == 1:
-        return pairs.groupBy("id").agg(F.min(F.struct("d2", "nn")).alias("m")).select("id", "m.nn", "m.d2", F.lit(1).alias("rank"))
+        best = met.select("id", F.array_min(near).alias("m")).where("m IS NOT NULL")
+        return best.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.nn", "m.d2", F.lit(1).alias("rank"))
+    pairs = met.select("id", F.inline(F.slice(F.array_sort(near), 1, k))).select("id", "nn", "d2")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nn"))).where(F.col("rank") <= k)
 
 
