@@ -37,7 +37,7 @@ def test_join_against_all_pairs(spark):
     texts = near_texts()
     rows = [(i, t, 0) for i, t in enumerate(texts)] + [(0, texts[5], 0), (None, texts[0], 0), (None, "alone here", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int").repartition(4)
-    found = jaccard_join.join(df, jaccard_join.Settings(postings=200, block=5, heads=6, marks=7, group=4)).collect()
+    found = jaccard_join.join(df, jaccard_join.Settings(postings=200, block=5, heads=6, marks=7)).collect()
     sets = [shingle_set(t) for _, t, _ in rows]
     root = list(range(len(rows)))
 
