@@ -36,7 +36,7 @@ SMALL = brown_lm.Settings(classes=4, types=30, endings=16, lexicon=50, ranges=4,
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    texts = [*corpus(60), "", None, "unseen words", "A0 a0 A0", corpus(1)[0]]
+    texts = [*corpus(60), "", None, "unseen words", "A0 a0 A0", corpus(1)[0], "a1 b2 unseen " * 60_000]
     df = spark.createDataFrame([(i, t, i % 3 == 0, 1.0) for i, t in enumerate(texts)] + [(None, "a1", False, 1.0)], "doc_id long, text string, held boolean, score double").repartition(3)
     model = brown_lm.train(df.where("NOT held"), SMALL)
     return df, model, brown_lm.score(df, model, F.col("held")).collect()
