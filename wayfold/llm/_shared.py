@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators import spatial
+
 #: Rows in one Arrow batch: a batch of the longest texts must still fit a worker; and where rows are packed blobs.
 ARROW_ROWS, BLOB_ROWS = 256, 16
 
@@ -36,24 +38,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_ROWS, before)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see. Only on one machine, a local folder stands in where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file:///tmp/checkpoints/wayfold"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def keep(df: DataFrame, label: str, rows: int = ARROW_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Arrow batches of the job have ``rows`` rows at most; tables of packed blobs, of about a megabyte a row, ask for few.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{spatial.shared(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     with batches_of(spark, rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
