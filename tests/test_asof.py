@@ -69,3 +69,8 @@ def test_quaternions_survive_matrices(spark):
     r = df.select(*(c.alias(f"m{i}") for i, c in enumerate(whole)), *(c.alias(f"t{i}") for i, c in enumerate(zero))).collect()
     for row in r:
         assert list(row) == pytest.approx([1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0], abs=1e-12)
+
+
+def test_width_follows_the_densest_key(spark):
+    df = spark.createDataFrame([("a", t) for t in range(1000)] + [("b", 10**9), ("b", 0), ("c", None)], "k string, t long")
+    assert asof.width(df, ["k"], "t", rows=10) == 10 and asof.width(df.limit(0), ["k"], "t") == 1

@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def width(df: DataFrame, by: list[str], time: str, rows: int = 100_000) -> int:
+    """A bucket's width at which the densest key has about ``rows`` rows in one: from the counts and spans of all keys."""
+    per = df.where(F.col(time).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), (F.max(time) - F.min(time) + 1).alias("span"))
+    return max(1, int(per.agg(F.min(F.col("span") * float(rows) / F.col("n"))).first()[0] or 1))
+
+
 def neighbours(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tie: str, width: int) -> DataFrame:
     """``left`` with structs ``before`` (last row of ``right`` at or before) and ``after`` (first one later).
 

@@ -15,7 +15,7 @@ from wayfold.plans.proxies import with_views
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-TOLERANCE, DAY, WIDTH = 20 * 60 * 1_000_000, 86_400_000_000, 30 * 86_400_000_000
+TOLERANCE, DAY = 20 * 60 * 1_000_000, 86_400_000_000
 
 
 def query(sql: str, *views: str):
@@ -92,8 +92,8 @@ BOTH = "b as (select f.rec_id, f.frame_id, f.t_ns, f.q, t.t_us as bt, t.tx as bt
 
 
 def around(spark, d) -> DataFrame:
-    f = px.frames(spark, d).withColumn("q", F.floor(F.col("t_ns") / 1000))
-    return asof.neighbours(f, px.trajectory(spark, d), ["rec_id"], "q", "t_us", "sample_id", WIDTH)
+    f, t = px.frames(spark, d).withColumn("q", F.floor(F.col("t_ns") / 1000)), px.trajectory(spark, d)
+    return asof.neighbours(f, t, ["rec_id"], "q", "t_us", "sample_id", asof.width(t, ["rec_id"], "t_us"))
 
 
 @query(f"@{BOTH}, w as (select *, case when bt = q then 0.0::double else (q - bt)/(nt - bt)::double end as w from n where bt is not null and (bt = q or nt is not null)), s as (select *, case when bt = q then 1.0::double else bw*aw + bz*az end as d from w), u as (select *, least(abs(d), 1.0) as c, case when d < 0 then -1 else 1 end as g from s), h as (select *, acos(c) as a from u), m as (select *, case when c > 0.9995 then 1 - w else sin((1 - w)*a)/sin(a) end as u1, case when c > 0.9995 then w else sin(w*a)/sin(a) end as u2 from h) select frame_id, round(w, 6) + 0.0 as w, round(btx + (coalesce(atx, btx) - btx)*w, 6) + 0.0 as tx, round(btz + (coalesce(atz, btz) - btz)*w, 6) + 0.0 as tz, round((u1*bw + u2*g*coalesce(aw, bw))/sqrt((u1*bw + u2*g*coalesce(aw, bw))**2 + (u1*bz + u2*g*coalesce(az, bz))**2), 5) + 0.0 as qw from m", "px_frames", "px_traj")
@@ -117,7 +117,7 @@ def J02_nearest_tolerance(spark, d):
 def J03_nearest_clamped(spark, d):
     q = px.observations(spark, d).select(F.col("t_us").alias("q"), F.lit(0).alias("k")).distinct()
     track = px.track(spark, d).select("t_us", F.lit(0).alias("k"), F.lit(0).alias("one"))
-    near = asof.neighbours(q, track, ["k"], "q", "t_us", "one", WIDTH)
+    near = asof.neighbours(q, track, ["k"], "q", "t_us", "one", asof.width(q, ["k"], "q"))
     return near.select("q", asof.nearest(F.col("q"))["t"].alias("t"))
 
 
@@ -140,7 +140,7 @@ DAILY = f"cal as (select rec_id, t_us // {DAY} as day, min(t_us) as t_us, arg_mi
 def J06_calibration_asof(spark, d):
     daily = px.trajectory(spark, d).groupBy("rec_id", F.floor(F.col("t_us") / DAY).alias("day")).agg(F.min("t_us").alias("t_us"), F.min_by("quality", "t_us").alias("quality"))
     f = px.frames(spark, d).select("rec_id", "frame_id", F.floor(F.col("t_ns") / 1000).alias("q"))
-    near = asof.neighbours(f, daily, ["rec_id"], "q", "t_us", "day", WIDTH)
+    near = asof.neighbours(f, daily, ["rec_id"], "q", "t_us", "day", asof.width(f, ["rec_id"], "q"))
     return near.select("frame_id", asof.nearest(F.col("q"))["quality"].alias("quality"))
 
 
