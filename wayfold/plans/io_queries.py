@@ -131,7 +131,7 @@ def SRC08_SNK02_depth_files(spark, d):
     return sums.join(frames.select("frame", F.substring_index("sparse_depth", "/", -1).alias("place")), "frame")
 
 
-@query("select gid, round(x, 4) as x, round(opacity_logit::float, 4) + 0.0 as opacity, round(s0::float, 4) + 0.0 as scale, 7.0::double as tenth, 2 as sh_degree from px_splat", "px_splat")
+@query("select gid, round(x, 4) as x, round(opacity_logit::float::double, 4) + 0.0 as opacity, round(s0::float::double, 4) + 0.0 as scale, 7.0::double as tenth, 2 as sh_degree from px_splat", "px_splat")
 def SRC09_SNK03_splats(spark, d):
     path = folder(spark)
     rest = F.array(*(F.lit(float(i)).cast("float") for i in range(24)))
@@ -142,7 +142,7 @@ def SRC09_SNK03_splats(spark, d):
     return back.select("gid", F.round(F.col("x").cast("double"), 4).alias("x"), r(F.col("opacity").cast("double"), 4).alias("opacity"), r(F.col("scale")[0].cast("double"), 4).alias("scale"), F.col("f_rest")[7].cast("double").alias("tenth"), "sh_degree")
 
 
-@query("select gid, round(x::float, 4) as x, 2 as sh_degree from px_splat where gid % 3 = 0", "px_splat")
+@query("select gid, round(x::float::double, 4) as x, 2 as sh_degree from px_splat where gid % 3 = 0", "px_splat")
 def SNK03_filtered_splats(spark, d):
     """A splat file with some rows only; its metadata and properties stay."""
     path = folder(spark)
@@ -155,7 +155,7 @@ def SNK03_filtered_splats(spark, d):
     return ply.splats(spark, f"{path}/t.ply").join(again, "gid").select(F.col("own").alias("gid"), F.round(F.col("x").cast("double"), 4).alias("x"), "sh_degree")
 
 
-@query("select f.fid, a.vid as a, round(a.x::float, 4) as ax, round(c.z::float, 4) + 0.0 as cz from (select *, row_number() over (order by fid) - 1 as place from px_face) f join px_vertex a on a.vid = f.a join px_vertex c on c.vid = f.c", "px_vertex", "px_face")
+@query("select f.fid, a.vid as a, round(a.x::float::double, 4) as ax, round(c.z::float::double, 4) + 0.0 as cz from (select *, row_number() over (order by fid) - 1 as place from px_face) f join px_vertex a on a.vid = f.a join px_vertex c on c.vid = f.c", "px_vertex", "px_face")
 def SRC10_SNK03_mesh(spark, d):
     path, f = folder(spark), px.faces(spark, d)
     exports.mesh(px.vertices(spark, d), f, local(f"{path}/m.ply"))
@@ -166,7 +166,7 @@ def SRC10_SNK03_mesh(spark, d):
     return rows.select(F.col("own").alias("fid"), "a", F.round("ax", 4).alias("ax"), r(F.col("cz"), 4).alias("cz"))
 
 
-@query("select place as id, round(x::float, 4) + 0.0 as x, round(round(least(1, greatest(0, z + 0.5))*255)/255, 4) as r from (select *, row_number() over (order by id) - 1 as place from px_cloud) where place % 3 = 0 and abs((least(1, greatest(0, z + 0.5))*255) % 1 - 0.5) > 1e-6", "px_cloud")
+@query("select place as id, round(x::float::double, 4) + 0.0 as x, round(round(least(1, greatest(0, z + 0.5))*255)/255, 4) as r from (select *, row_number() over (order by id) - 1 as place from px_cloud) where place % 3 = 0 and abs((least(1, greatest(0, z + 0.5))*255) % 1 - 0.5) > 1e-6", "px_cloud")
 def SRC11_SNK03_cloud(spark, d):
     """Every third point of a coloured cloud; a colour half between two bytes is left out of the comparison."""
     path = folder(spark)
