@@ -364,3 +364,15 @@ def P35_picture_sizes(spark, d):
     rows = part(spark, d).select(F.col("p_partkey").alias("id"), ((20 + F.col("p_size")) / 40.0).alias("aspect"), (1e6 * (1 + F.col("p_partkey") % 30)).alias("rays"))
     (a, b), (c, e) = g.fitting(1024, F.col("aspect")), g.affordable(1024, F.col("aspect"), F.col("rays"), 30.0)
     return rows.select("id", a.alias("width"), b.alias("height"), c.alias("moving_width"), e.alias("moving_height"))
+
+
+@query("@f as (select *, row_number() over (order by fid) - 1 as place from px_face) select place, corner, case corner when 0 then a when 1 then b else c end as vid, true as aligned, 'root.usda,mesh.usda' as names from f, range(3) t(corner)", "px_vertex", "px_face")
+def SNK10_mesh_package(spark, d):
+    """A package of layers: the root first, all data at multiples of 64 bytes; the mesh layer's faces are read back."""
+    path = folder(spark)
+    exports.usd_mesh(px.vertices(spark, d), px.faces(spark, d), local(f"{path}/m.usdz"))
+    e = package.entries(spark, f"{path}/m.usdz")
+    whole = e.agg(F.bool_and(F.col("at") % 64 == 0).alias("aligned"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",").alias("names"))
+    listed = F.split(F.regexp_extract(F.col("content").cast("string"), r"faceVertexIndices = \[([^\]]*)\]", 1), ", ")
+    rows = e.where("name = 'mesh.usda'").select(F.posexplode(listed).alias("n", "v")).join(F.broadcast(whole))
+    return rows.select(F.floor(F.col("n") / 3).alias("place"), (F.col("n") % 3).cast("long").alias("corner"), F.col("v").cast("long").alias("vid"), "aligned", "names")

@@ -192,6 +192,18 @@ def volume(df: DataFrame, path: str, root: bytes) -> None:
     _whole(path, package.zipped({"root.usda": root, "volume.bin": rows["raw"] if rows else package.payload({"version": 1})}))
 
 
+def usd_mesh(vertices: DataFrame, faces: DataFrame, path: str) -> None:
+    """A package of a root layer, first, and the mesh as a layer of text, each at a multiple of 64 bytes. The mesh is one piece."""
+    number = lambda c: F.format_string("%.6g", F.col(c).cast("double"))
+    joined = lambda df, order, text: ", ".join(r["t"] for r in df.orderBy(order).select(text.alias("t")).toLocalIterator())
+    points = joined(vertices, "vid", F.concat(F.lit("("), number("x"), F.lit(", "), number("y"), F.lit(", "), number("z"), F.lit(")")))
+    corners = joined(faces, "fid", F.concat_ws(", ", "a", "b", "c"))
+    counts = ", ".join(["3"] * faces.count())
+    root = '#usda 1.0\n(\n    defaultPrim = "World"\n    metersPerUnit = 1\n    upAxis = "Z"\n)\n\ndef Xform "World" (\n    prepend references = @mesh.usda@\n)\n{\n}\n'
+    layer = f'#usda 1.0\n(\n    defaultPrim = "Mesh"\n)\n\ndef Mesh "Mesh"\n{{\n    point3f[] points = [{points}]\n    int[] faceVertexCounts = [{counts}]\n    int[] faceVertexIndices = [{corners}]\n    uniform token subdivisionScheme = "none"\n}}\n'
+    _whole(path, package.zipped({"root.usda": root.encode(), "mesh.usda": layer.encode()}))
+
+
 def camera_paths(frames: DataFrame, path: str, by: list[str], header: dict[str, object]) -> None:
     """A JSON file for each path: the header's fields and its frames by ``i``."""
     inner = [c for c in frames.columns if c not in by]

@@ -104,7 +104,7 @@ def zipped(entries: dict[str, bytes]) -> bytes:
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """(source, place, name, size, sha256, content) of every entry of the packages, in their order; one package is opened by one task."""
+    """(source, place, name, at, size, sha256, content) of every entry of the packages, in their order; ``at`` is where its data begins. One package is opened by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,10 +112,12 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
                     for place, info in enumerate(z.infolist()):
                         raw = z.read(info)
-                        yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([place], pa.int32()), pa.array([info.filename]), pa.array([len(raw)], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw], pa.binary())], ["source", "place", "name", "size", "sha256", "content"])
+                        names, extra = struct.unpack("<HH", data[info.header_offset + 26 : info.header_offset + 30])
+                        at = info.header_offset + 30 + names + extra
+                        yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([place], pa.int32()), pa.array([info.filename]), pa.array([at], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw], pa.binary())], ["source", "place", "name", "at", "size", "sha256", "content"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "source string, place int, name string, size long, sha256 string, content binary")
+    return files.mapInArrow(run, "source string, place int, name string, at long, size long, sha256 string, content binary")
 
 
 def values(spark: SparkSession, path: str, entry: str) -> DataFrame:
