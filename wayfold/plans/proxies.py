@@ -16,8 +16,8 @@ SQL = {
     "px_track": "select distinct epoch_us(o_orderdate) as t_us from orders",
     "px_cloud": "select vec_id as id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, label from embeddings",
     "px_splat": "select p_partkey as gid, (p_partkey % 50)/10.0::double as x, ((p_partkey // 50) % 40)/10.0::double as y, case when p_partkey % 97 = 0 then 1000.0::double else 0.0::double end as z, (p_size - 25)/5.0::double as opacity_logit, ln(0.01::double + p_size/100.0::double) as s0, ln(0.02::double + (p_partkey % 7)/50.0::double) as s1, ln(0.015::double) as s2 from part",
-    "px_vertex": "select i*41 + j as vid, i*0.1::double as x, j*0.1::double as y, ((3*i + 5*j) % 7)/100.0::double as z from range(41) a(i), range(41) b(j) union all select 1681 + k, 10.0::double*(k % 2), 0.3::double*k, 0.0::double from range(9) s(k)",
-    "px_face": "select 2*(i*40 + j) + h as fid, i*41 + j as a, case when h = 0 then (i+1)*41 + j else (i+1)*41 + j + 1 end as b, case when h = 0 then (i+1)*41 + j + 1 else i*41 + j + 1 end as c from range(40) a(i), range(40) b(j), range(2) c(h) where (i*j) % 11 <> 0 union all select 3200 + k, 1681 + 3*k, 1682 + 3*k, 1683 + 3*k from range(3) s(k)",
+    "px_vertex": "select 1690*k + i*41 + j as vid, 20.0::double*k + i*0.1::double as x, j*0.1::double as y, ((3*i + 5*j) % 7)/100.0::double as z from (select p_partkey // 1000 as k from part group by 1) q, range(41) a(i), range(41) b(j) union all select 1690*k + 1681 + n, 20.0::double*k + 10.0::double*(n % 2), 0.3::double*n, 0.0::double from (select p_partkey // 1000 as k from part group by 1) q, range(9) s(n)",
+    "px_face": "select 3300*k + 2*(i*40 + j) + h as fid, 1690*k + i*41 + j as a, 1690*k + case when h = 0 then (i+1)*41 + j else (i+1)*41 + j + 1 end as b, 1690*k + case when h = 0 then (i+1)*41 + j + 1 else i*41 + j + 1 end as c from (select p_partkey // 1000 as k from part group by 1) q, range(40) a(i), range(40) b(j), range(2) c(h) where (i*j) % 11 <> 0 union all select 3300*k + 3200 + n, 1690*k + 1681 + 3*n, 1690*k + 1682 + 3*n, 1690*k + 1683 + 3*n from (select p_partkey // 1000 as k from part group by 1) q, range(3) s(n)",
     "px_img": "select i as img, c, y, x, ((7*x + 13*y + 29*i + 53*c) % 256)/255.0::double as gt, ((7*x + 13*y + 29*i + 53*c + (x*y) % 5) % 256)/255.0::double as pred, case when (x + y) % 9 <> 0 then 1 else 0 end as mask from (select p_partkey // 100 as i from part group by 1) a, range(3) b(c), range(32) d(y), range(32) e(x)",
 }
 
@@ -96,19 +96,32 @@ def splats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    """(k): one piece of the mesh for each thousand parts."""
+    return _read(spark, d, "part").select(F.floor(F.col("p_partkey") / 1000).alias("k")).distinct()
+
+
+def of_tiles(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """(k, n): n numbers for each tile."""
+    return tiles(spark, d).select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("n"))
+
+
 def vertices(spark: SparkSession, d: str) -> DataFrame:
-    i, j, k = F.floor(F.col("id") / 41), F.col("id") % 41, F.col("id")
-    field = spark.range(41 * 41).select(k.alias("vid"), (i * 0.1).alias("x"), (j * 0.1).alias("y"), ((3 * i + 5 * j) % 7 / 100.0).alias("z"))
-    return field.unionAll(spark.range(9).select(1681 + k, 10.0 * (k % 2), 0.3 * k, F.lit(0.0)))
+    k, n = F.col("k"), F.col("n")
+    i, j, s = F.floor(n / 41), n % 41, n - 1681
+    flat = n < 1681
+    x, y, z = F.when(flat, i * 0.1).otherwise(10.0 * (s % 2)), F.when(flat, j * 0.1).otherwise(0.3 * s), F.when(flat, (3 * i + 5 * j) % 7 / 100.0).otherwise(0.0)
+    return of_tiles(spark, d, 1690).select((1690 * k + n).alias("vid"), (20.0 * k + x).alias("x"), y.alias("y"), z.alias("z"))
 
 
 def faces(spark: SparkSession, d: str) -> DataFrame:
-    cell = F.floor(F.col("id") / 2)
-    i, j, h = F.floor(cell / 40), cell % 40, F.col("id") % 2
-    a = i * 41 + j
-    field = spark.range(3200).where((i * j) % 11 != 0).select(F.col("id").alias("fid"), a.alias("a"), F.when(h == 0, a + 41).otherwise(a + 42).alias("b"), F.when(h == 0, a + 42).otherwise(a + 1).alias("c"))
-    k = F.col("id")
-    return field.unionAll(spark.range(3).select(3200 + k, 1681 + 3 * k, 1682 + 3 * k, 1683 + 3 * k))
+    k, n = F.col("k"), F.col("n")
+    cell = F.floor(n / 2)
+    i, j, h, s = F.floor(cell / 40), cell % 40, n % 2, n - 3200
+    flat, a = n < 3200, i * 41 + j
+    corners = (F.when(flat, a).otherwise(1681 + 3 * s), F.when(flat, F.when(h == 0, a + 41).otherwise(a + 42)).otherwise(1682 + 3 * s), F.when(flat, F.when(h == 0, a + 42).otherwise(a + 1)).otherwise(1683 + 3 * s))
+    rows = of_tiles(spark, d, 3203).where(~flat | ((i * j) % 11 != 0))
+    return rows.select((3300 * k + n).alias("fid"), *((1690 * k + c).alias(name) for c, name in zip(corners, "abc", strict=True)))
 
 
 def image_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -262,26 +262,26 @@ def A29_A30_mesh_hygiene(spark, d):
 ORACLE_SQL["A29_A30_mesh_hygiene"] = f"""with recursive px_vertex as ({px.SQL['px_vertex']}), px_face as ({px.SQL['px_face']}), {TRI},
 e as (select a, b from px_face union select b, c from px_face union select c, a from px_face),
 b as (select a, b from e union select b, a from e),
-reach as (select distinct a as id, a as root from b where a in (0, 1681, 1684, 1687) or a not in (select b from b where b < a)
+reach as (select distinct a as id, a as root from b where a % 1690 in (0, 1681, 1684, 1687) or a not in (select b from b where b < a)
   union select b.b, reach.root from reach join b on b.a = reach.id),
 part as (select id, min(root) as component from reach group by id),
 s as (select component, sum(area) as area from l join px_face f using (fid) join part on part.id = f.a group by component)
 select count(*) as n_components, round(coalesce(sum(area) filter (area < 0.1), 0), 5) as small_area, round(max(area), 5) as largest, round(sum(area), 5) as total from s"""
 
 
-GRID = "g as (select i*40 + j as id, i*0.1::double + 0.03 as x, j*0.1::double + 0.04 as y from range(40) a(i), range(40) b(j))"
+GRID = "g as (select 1600*k + i*40 + j as id, 20.0::double*k + i*0.1::double + 0.03 as x, j*0.1::double + 0.04 as y from (select p_partkey // 1000 as k from part group by 1) q, range(40) a(i), range(40) b(j))"
 
 
-def grid(spark) -> DataFrame:
-    k = F.col("id")
-    return spark.range(1600).select(k.alias("id"), (F.floor(k / 40) * 0.1 + 0.03).alias("x"), (k % 40 * 0.1 + 0.04).alias("y"))
+def grid(spark, d) -> DataFrame:
+    k, n = F.col("k"), F.col("n")
+    return px.of_tiles(spark, d, 1600).select((1600 * k + n).alias("id"), (20.0 * k + F.floor(n / 40) * 0.1 + 0.03).alias("x"), (n % 40 * 0.1 + 0.04).alias("y"))
 
 
 HITS = f"{TRI}, {GRID}, q as (select g.id, az, bz, cz, ((by_-cy)*(x-cx)+(cx-bx)*(y-cy))/((by_-cy)*(ax-cx)+(cx-bx)*(ay-cy)) as u, ((cy-ay)*(x-cx)+(ax-cx)*(y-cy))/((by_-cy)*(ax-cx)+(cx-bx)*(ay-cy)) as v from g join l on x between least(ax,bx,cx) - 1e-9 and greatest(ax,bx,cx) + 1e-9 and y between least(ay,by_,cy) - 1e-9 and greatest(ay,by_,cy) + 1e-9 where edge <= 2.0 and (by_-cy)*(ax-cx)+(cx-bx)*(ay-cy) <> 0), h as (select id, max(u*az+v*bz+(1-u-v)*cz) as z from q where u >= -1e-9 and v >= -1e-9 and u+v <= 1+1e-9 and u*az+v*bz+(1-u-v)*cz <= 0.5 group by id)"
 
 
 def hits(spark, d) -> DataFrame:
-    return spatial.ray_down(grid(spark).withColumn("top", F.lit(0.5)), triangles(spark, d).where("edge <= 2.0"), 0.2)
+    return spatial.ray_down(grid(spark, d).withColumn("top", F.lit(0.5)), triangles(spark, d).where("edge <= 2.0"), 0.2)
 
 
 @query(f"@{HITS} select id, round(z, 6) + 0.0 as z from h", "px_vertex", "px_face")
@@ -292,13 +292,13 @@ def K01_vertical_rays(spark, d):
 @query(f"@{HITS} select count(*) as n_cells, count(h.id) filter (abs(z - 0.03) <= 0.15) as covered, round(count(h.id) filter (abs(z - 0.03) <= 0.15)/count(*)::double, 6) as coverage, round(count(*)*0.01, 4) as area from g left join h using (id)", "px_vertex", "px_face")
 def A12_F14_floor_coverage(spark, d):
     hit = F.coalesce(F.abs(F.col("z") - 0.03) <= 0.15, F.lit(False))
-    rows = grid(spark).join(hits(spark, d), "id", "left")
+    rows = grid(spark, d).join(hits(spark, d), "id", "left")
     return rows.agg(F.count("*").alias("n_cells"), F.count_if(hit).alias("covered"), F.round(F.avg(hit.cast("double")), 6).alias("coverage"), F.round(F.count("*") * 0.01, 4).alias("area"))
 
 
 @query(None)
 def A13_largest_hole(spark, d):
-    missing = grid(spark).join(hits(spark, d), "id", "left_anti").select("id").withColumn("i", F.floor(F.col("id") / 40)).withColumn("j", F.col("id") % 40)
+    missing = grid(spark, d).join(hits(spark, d), "id", "left_anti").select("id").withColumn("i", F.floor(F.col("id") / 40)).withColumn("j", F.col("id") % 40)
     beside = F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a, b in ((0, 1), (1, 0))))
     edges = missing.select(F.col("id").alias("a"), F.explode(beside).alias("n")).join(missing.select(F.col("id").alias("b"), "i", "j"), (F.col("n.i") == F.col("i")) & (F.col("n.j") == F.col("j"))).select("a", "b")
     sizes = spatial.components(edges, missing.select("id")).groupBy("component").agg(F.count("*").alias("n"))
