@@ -107,7 +107,7 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     hashed = docs.join(F.broadcast(bounds)).withColumn("_hash", F.xxhash64("text"))  # one row
     none = -1 - F.shiftrightunsigned("_hash", 64 - NULL_BITS)
     ranged = hashed.withColumn("_range", F.when(F.col("doc_id").isNull(), none).otherwise(_bucket(F.col("doc_id"), F.col("_tops"), F.col("_lists"))).cast("long")).drop("_tops", "_lists")
-    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", (-F.shiftrightunsigned("_hash", 1)).alias("hash"), "text")  # descending, so the greatest is first
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", (-F.shiftrightunsigned("_hash", 1)).alias("hash"))  # descending, so the greatest is first; no text, it is broadcast
     heads = ranged.groupBy("_range").agg(F.max(place).alias("_head"))  # a row for each range
     by_range = Window.orderBy("_range")
     goes = heads.select(F.col("_range").alias("_from"), F.col("_head"), F.lead("_range").over(by_range).alias("_up"), F.min("_range").over(by_range).alias("_low"))
