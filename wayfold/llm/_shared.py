@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_ROWS, before)
 
 
+def released() -> None:
+    """Give memory that a Python worker no longer uses back to the system: idle workers stay, and count for their executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def keep(df: DataFrame, label: str, rows: int = ARROW_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 

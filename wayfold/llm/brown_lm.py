@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import BLOB_ROWS, batches_of, keep, parts, small_batches
+from wayfold.llm._shared import BLOB_ROWS, batches_of, keep, parts, released, small_batches
 from wayfold.llm._words import Words, mix, portions, words
 
 
@@ -168,6 +168,7 @@ def word_counts(train: DataFrame, settings: Settings) -> DataFrame:
                 if tally.full() or sum(len(x[0]) for x in ending) > 1_000_000:
                     yield flush()
         yield flush()
+        released()
 
     made = train.select("text").mapInArrow(run, "h long, ending int, n long")
     return keep(made.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "words")
@@ -232,6 +233,7 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
                 if tally.full():
                     yield from flush()
         yield from flush()
+        released()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], Tally] = {}
@@ -243,6 +245,8 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
         for r in sorted({r for r, _ in held}):
             blobs = [x.astype("<i8").tobytes() for way in (0, 1) for x in held.get((r, way), Tally(1)).take()]
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], ["range", "after", "after_n", "before", "before_n"])
+        held.clear()
+        released()
 
     schema = "range int, way int, keys binary, counts binary"
     dealt = train.select("text").mapInArrow(count, schema).repartition(ranges, "range")
@@ -266,6 +270,7 @@ def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np
                 table_ += np.bincount(cells, n, k * k).astype(np.int64).reshape(k, k)
             a, b = np.nonzero(table_)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(table_[a, b])], ["a", "b", "n"])
+            released()
             return
         margin = classes.sum(1).astype(float)
         full = classes.astype(float)
@@ -390,6 +395,7 @@ def assigned(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, table: DataFr
                     yield flush()
         if held:
             yield flush()
+        released()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -409,6 +415,7 @@ def assigned(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, table: DataFr
                 best[a:b] = np.add.reduceat(fit[cell[x:y]] * times[x:y, None], first[a:b] - x).argmax(1)
                 a = b
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(best)], ["h", "n", "class"])
+        released()
 
     one = np.flatnonzero(lexicon.type >= 0)
     clustered = pa.table({"h": lexicon.hash[one].view(np.int64), "n": lexicon.count[one], "class": of_type[lexicon.type[one]].astype(np.int32)})
