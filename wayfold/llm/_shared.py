@@ -47,13 +47,18 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder, which all executors reach."""
+    return f"{spatial.shared(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, label: str, rows: int = ARROW_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Arrow batches of the job have ``rows`` rows at most; tables of packed blobs, of about a megabyte a row, ask for few.
     """
     spark = df.sparkSession
-    path = f"{spatial.shared(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     with batches_of(spark, rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

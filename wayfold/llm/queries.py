@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import brown_lm, decontamination, edit_counts, fingerprints, jaccard_join, packing, quality_classifier, sharding, suffix_dedup, url_filters
-from wayfold.llm._shared import keep, read, remainder
+from wayfold.llm import brown_lm, decontamination, edit_counts, fingerprints, jaccard_join, packing, quality_classifier, sharding, suffix_dedup, token_files, url_filters
+from wayfold.llm._shared import keep, read, remainder, shared_path
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,5 +131,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.removed(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_edit_counts": op6_edit_counts, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_path(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op13_token_files": op13_token_files, "op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_edit_counts": op6_edit_counts, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
 ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op8_url_filters": OP8}
