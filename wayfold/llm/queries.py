@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import brown_lm, decontamination, edit_counts, fingerprints, jaccard_join, packing, quality_classifier, sharding, source_divergence, suffix_dedup, token_files, url_filters
+from wayfold.llm import brown_lm, decontamination, edit_counts, fingerprints, jaccard_join, packing, quality_classifier, sharding, source_divergence, suffix_dedup, token_alignment, token_files, url_filters
 from wayfold.llm._shared import keep, read, remainder, shared_path
 
 
@@ -131,6 +131,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.removed(read(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -169,5 +175,5 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 200
 """
 
 
-QUERIES = {"op11_source_divergence": op11_source_divergence, "op13_token_files": op13_token_files, "op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_edit_counts": op6_edit_counts, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
+QUERIES = {"op12_token_alignment": op12_token_alignment, "op11_source_divergence": op11_source_divergence, "op13_token_files": op13_token_files, "op10_suffix_dedup": op10_suffix_dedup, "op9_decontamination": op9_decontamination, "op1_brown_lm": op1_brown_lm, "op2_jaccard_join": op2_jaccard_join, "op3_fingerprints": op3_fingerprints, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_edit_counts": op6_edit_counts, "op7_sharding": op7_sharding, "op8_url_filters": op8_url_filters}
 ORACLE_SQL: dict[str, str] = {"op7_sharding": OP7, "op11_source_divergence": OP11, "op8_url_filters": OP8}
