@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators import tiles
+
 C1, C2 = 1e-4, 9e-4  # fixed values: the stabilisers of structural similarity on [0, 1]
 
 
 def psnr(mse: Column) -> Column:
-    return 20 * F.log10(1 / F.sqrt(mse))
+    """Infinite for images without an error."""
+    return F.when(mse == 0, F.lit(float("inf"))).otherwise(20 * F.log10(F.try_divide(F.lit(1.0), F.sqrt(mse))))
+
+
+def masked_mean(value: Column, mask: Column) -> Column:
+    """The mean under the mask; null where nothing is under it, so that means over frames leave such a frame out."""
+    return F.try_divide(F.sum(value * mask), F.sum(mask))
 
 
 def huber(error: Column, delta: float) -> Column:
@@ -24,29 +33,17 @@ def gaussian(size: int = 11, sigma: float = 1.5) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def blurred(df: DataFrame, keys: list[str], axis: str, values: list[str], size: int = 11, sigma: float = 1.5) -> DataFrame:
-    """A Gaussian sum of ``values`` along one axis; outside of the image is zero.
-
-    Each pixel is sent to the places that need it, so a row of pixels is never held as one group.
-    """
-    half = size // 2
-    taps = F.array(*(F.struct(F.lit(i - half).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(gaussian(size, sigma))))
-    there = df.select(*keys, axis)
-    sent = df.select(*keys, axis, *values, F.inline(taps)).select(*keys, (F.col(axis) + F.col("o")).alias(axis), *((F.col(v) * F.col("w")).alias(v) for v in values))
-    return sent.groupBy(*keys, axis).agg(*(F.sum(v).alias(v) for v in values)).join(there, [*keys, axis], "left_semi")
+def _index(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    w = gaussian()
+    p, t = g["pred"], g["gt"]
+    mp, mt = tiles.separable(p, w), tiles.separable(t, w)
+    pp, tt, pt = tiles.separable(p * p, w) - mp * mp, tiles.separable(t * t, w) - mt * mt, tiles.separable(p * t, w) - mp * mt
+    return {"total": (2 * mp * mt + C1) * (2 * pt + C2) / ((mp * mp + mt * mt + C1) * (pp + tt + C2))}
 
 
 def ssim(df: DataFrame, image: list[str]) -> DataFrame:
-    """Mean structural similarity of ``gt`` and ``pred`` for each image; pixels have c, y and x."""
-    p, t = F.col("pred"), F.col("gt")
-    rows = df.select(*image, "c", "y", "x", p.alias("p"), t.alias("t"), (p * p).alias("pp"), (t * t).alias("tt"), (p * t).alias("pt"))
-    v = ["p", "t", "pp", "tt", "pt"]
-    by_x = blurred(rows, [*image, "c", "y"], "x", v)
-    b = blurred(by_x, [*image, "c", "x"], "y", v)
-    mp, mt = F.col("p"), F.col("t")
-    top = (2 * mp * mt + C1) * (2 * (F.col("pt") - mp * mt) + C2)
-    low = (mp * mp + mt * mt + C1) * (F.col("pp") - mp * mp + F.col("tt") - mt * mt + C2)
-    return b.groupBy(*image).agg(F.avg(top / low).alias("ssim"))
+    """Mean structural similarity of ``gt`` and ``pred`` for each image; pixels have c, y and x. Beyond the border is zero."""
+    return tiles.sums(df, image, ["pred", "gt"], 5, _index, ["total"], "c").select(*image, (F.col("total") / F.col("n")).alias("ssim"))
 
 
 def scores(distances: DataFrame, thresholds: list[float], sigma: float) -> DataFrame:
@@ -91,7 +88,7 @@ def remapped(image: DataFrame, asked: DataFrame, keys: list[str], value: str) ->
 
 
 def scale_invariant(df: DataFrame, image: list[str]) -> DataFrame:
-    """(image, scale, error) of depths gt and pred under the eroded mask: the scale and the squared error are of masked pixels alone; a prediction of zeros counts as ones."""
+    """(image, scale, error) of depths gt and pred under the eroded mask: the scale and the squared error are of masked pixels alone; a prediction of zeros counts as ones. Null where nothing is masked."""
     rows = eroded(df, image)
     m = F.col("mask")
     zero = rows.groupBy(*image).agg((F.sum(F.col("pred") ** 2 * m) <= 1e-6).alias("_zero"))
@@ -99,8 +96,8 @@ def scale_invariant(df: DataFrame, image: list[str]) -> DataFrame:
     p, t = F.col("pred"), F.col("gt")
     # the error of the best scale follows from three sums
     sums = rows.groupBy(*image).agg(F.sum(m).alias("n"), F.sum(t * p * m).alias("tp"), F.sum(p * p * m).alias("pp"), F.sum(t * t * m).alias("tt"))
-    s = F.col("tp") / F.col("pp")
-    return sums.select(*image, s.alias("scale"), ((s * s * F.col("pp") - 2 * s * F.col("tp") + F.col("tt")) / F.col("n")).alias("error"))
+    s = F.try_divide(F.col("tp"), F.col("pp"))
+    return sums.select(*image, s.alias("scale"), F.try_divide(s * s * F.col("pp") - 2 * s * F.col("tp") + F.col("tt"), F.col("n")).alias("error"))
 
 
 def inverse_depth_losses(error: Column, std: Column, delta: float = 0.1) -> dict[str, Column]:
@@ -120,12 +117,34 @@ def bernoulli_kl(rho: float, mean: Column) -> Column:
 GRADIENT = [[-1, -2, 0, 2, 1], [-2, -4, 0, 4, 2], [-3, -6, 0, 6, 3], [-2, -4, 0, 4, 2], [-1, -2, 0, 2, 1]]
 
 
+def _gradients(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    e = g["_value"]
+    both = np.abs(tiles.weighted(e, GRADIENT)) + np.abs(tiles.weighted(e, [list(r) for r in zip(*GRADIENT, strict=True)]))
+    m = g["mask"][2:-2, 2:-2]
+    return {"total": both * m, "masked": m}
+
+
 def gradient_l1(df: DataFrame, image: list[str], value: str) -> DataFrame:
-    """(image, l1): absolute x and y gradients of the difference ``value`` (image, y, x, mask), summed under the mask over its pixels; zero beyond the border."""
-    taps = F.array(*(F.struct(F.lit(2 - i).alias("dy"), F.lit(2 - j).alias("dx"), F.lit(float(GRADIENT[i][j])).alias("wx"), F.lit(float(GRADIENT[j][i])).alias("wy")) for i in range(5) for j in range(5)))
-    sent = df.select(*image, "y", "x", value, F.inline(taps)).select(*image, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (F.col(value) * F.col("wx")).alias("gx"), (F.col(value) * F.col("wy")).alias("gy"))
-    grads = sent.groupBy(*image, "y", "x").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy")).join(df.select(*image, "y", "x", "mask"), [*image, "y", "x"])
-    return grads.groupBy(*image).agg((F.sum((F.abs("gx") + F.abs("gy")) * F.col("mask")) / F.sum("mask")).alias("l1"))
+    """(image, l1): absolute x and y gradients of the difference ``value`` (image, y, x, mask), summed under the mask over its pixels; zero beyond the border, null where nothing is masked."""
+    found = tiles.sums(df.withColumn("_value", F.col(value)), image, ["_value", "mask"], 2, _gradients, ["total", "masked"])
+    return found.select(*image, F.try_divide("total", "masked").alias("l1"))
+
+
+def _normal(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    p = np.stack([g["wx"], g["wy"], g["wz"]], axis=-1)
+    n = np.cross(p[2:, 1:-1] - p[:-2, 1:-1], p[1:-1, 2:] - p[1:-1, :-2])
+    size = np.linalg.norm(n, axis=-1)
+    beside = g["there"][2:, 1:-1] * g["there"][:-2, 1:-1] * g["there"][1:-1, 2:] * g["there"][1:-1, :-2]
+    n = np.where((beside * size > 0)[..., None], n / np.where(size > 0, size, 1)[..., None], 0.0)
+    return {"nx": n[..., 0], "ny": n[..., 1], "nz": n[..., 2]}
+
+
+def surface_normals(df: DataFrame, image: list[str]) -> DataFrame:
+    """(image, y, x, nx, ny, nz): unit normals of points (wx, wy, wz) by central differences, from row to row and from column to column.
+
+    Zero at the border, beside missing pixels, and where the differences span nothing.
+    """
+    return tiles.pixels(df.withColumn("there", F.lit(1.0)), image, ["wx", "wy", "wz", "there"], 1, _normal, ["nx", "ny", "nz"])
 
 
 def matched(predictions: DataFrame, truth: DataFrame, key: str, order: str) -> DataFrame:

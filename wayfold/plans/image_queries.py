@@ -47,13 +47,13 @@ def err() -> Column:
 
 @query("select img, round(avg(abs(pred-gt)), 6) as l1, round(avg((pred-gt)**2), 6) as l2, round(avg(case when abs(pred-gt) <= 0.1 then 0.5*(pred-gt)**2 else 0.1*(abs(pred-gt)-0.05) end), 6) as huber, round(sum(abs(pred-gt)*mask)/sum(mask), 6) as l1_masked from px_img group by img", "px_img")
 def A20_pixel_losses(spark, d):
-    return px.images(spark, d).groupBy("img").agg(F.round(F.avg(F.abs(err())), 6).alias("l1"), F.round(F.avg(err() * err()), 6).alias("l2"), F.round(F.avg(metrics.huber(err(), 0.1)), 6).alias("huber"), F.round(F.sum(F.abs(err()) * mask()) / F.sum("mask"), 6).alias("l1_masked"))
+    return px.images(spark, d).groupBy("img").agg(F.round(F.avg(F.abs(err())), 6).alias("l1"), F.round(F.avg(err() * err()), 6).alias("l2"), F.round(F.avg(metrics.huber(err(), 0.1)), 6).alias("huber"), F.round(metrics.masked_mean(F.abs(err()), mask()), 6).alias("l1_masked"))
 
 
 @query("@m as (select img, sum((pred-gt)**2*mask)/sum(mask) as mse from px_img group by img), c as (select img, c, avg((pred-gt)**2) as mse from px_img group by img, c), p as (select img, avg(20*log10(1/sqrt(mse))) as p from c group by img) select img, round(20*log10(1/sqrt(m.mse)), 5) as masked, round(p.p, 5) as by_channel from m join p using (img)", "px_img")
 def A19_psnr(spark, d):
     rows = px.images(spark, d)
-    masked = rows.groupBy("img").agg((F.sum(err() * err() * mask()) / F.sum("mask")).alias("mse")).select("img", F.round(metrics.psnr(F.col("mse")), 5).alias("masked"))
+    masked = rows.groupBy("img").agg(metrics.masked_mean(err() * err(), mask()).alias("mse")).select("img", F.round(metrics.psnr(F.col("mse")), 5).alias("masked"))
     by_channel = rows.groupBy("img", "c").agg(F.avg(err() * err()).alias("mse")).groupBy("img").agg(F.round(F.avg(metrics.psnr(F.col("mse"))), 5).alias("by_channel"))
     return masked.join(by_channel, "img")
 
@@ -93,7 +93,7 @@ def wide(spark, d) -> DataFrame:
 def A25_normal_cosine(spark, d):
     a, b = ([F.col(f"{n}{c}") for c in range(3)] for n in "gp")
     rows = metrics.eroded(wide(spark, d), ["img"])
-    return rows.groupBy("img").agg(r(F.sum((1 - g.dot(a, b)) * mask()) / F.sum("mask"), 7).alias("distance"))
+    return rows.groupBy("img").agg(r(metrics.masked_mean(1 - g.dot(a, b), mask()), 7).alias("distance"))
 
 
 @query("select case when grouping(img) = 1 then -1 else img end as img, round(avg(m), 7) as l1 from (select img, avg(abs(pred-gt)) as m from px_img group by img) group by rollup(img)", "px_img")
@@ -178,31 +178,27 @@ def P26_pinhole_map(spark, d):
 def P24_W11_depth_to_normal(spark, d):
     z = 1 + gt()
     p = px.images(spark, d).where("c = 0").select("img", "y", "x", (z * (F.col("x") - 15.5) / 30).alias("wx"), (z * (F.col("y") - 15.5) / 30).alias("wy"), z.alias("wz"))
-    by_x, by_y = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
-    step = lambda w: [(F.lead(c).over(w) - F.lag(c).over(w)) for c in ("wx", "wy", "wz")]
-    rows = p.select("img", "y", "x", *(c.alias(f"a{i}") for i, c in enumerate(step(by_y))), *(c.alias(f"b{i}") for i, c in enumerate(step(by_x))))
-    # from row to row, then from column to column; the border has no normal and is zero
-    n = g.cross([F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)])
-    size = g.norm(n)
-    return rows.select("img", "y", "x", *(r(F.coalesce(c / size, F.lit(0.0)), 5).alias(k) for c, k in zip(n, ("nx", "ny", "nz"), strict=True)))
+    return metrics.surface_normals(p, ["img"]).select("img", "y", "x", *(r(F.col(k), 5).alias(k) for k in ("nx", "ny", "nz")))
 
 
-@query("@q as (select p_partkey as id, (p_partkey % 310)/10.0::double as u, (p_size % 31)*1.0::double + 0.25 as v from part where p_size % 31 < 31), f as (select *, floor(u)::bigint as x0, floor(v)::bigint as y0, u - floor(u) as a, v - floor(v) as b from q), k as (select id, x0 + dx as x, y0 + dy as y, (case when dx=1 then a else 1-a end)*(case when dy=1 then b else 1-b end) as w from f, range(2) s(dx), range(2) t(dy)) select id, round(sum(w*gt), 6) as depth from k join px_img i on i.img = 0 and i.c = 0 and i.x = k.x and i.y = k.y group by id", "px_img")
+@query("@q as (select p_partkey as id, p_partkey // 100 as img, (p_partkey % 310)/10.0::double as u, (p_size % 31)*1.0::double + 0.25 as v from part), f as (select *, floor(u)::bigint as x0, floor(v)::bigint as y0, u - floor(u) as a, v - floor(v) as b from q), k as (select id, img, x0 + dx as x, y0 + dy as y, (case when dx=1 then a else 1-a end)*(case when dy=1 then b else 1-b end) as w from f, range(2) s(dx), range(2) t(dy)) select id, round(sum(w*gt), 6) as depth from k join px_img i on i.img = k.img and i.c = 0 and i.x = k.x and i.y = k.y group by id", "px_img")
 def J23_bilinear(spark, d):
+    """A depth at a place of each part's own image."""
     p = spark.read.parquet(f"{d}/part.parquet")
     u, v = (F.col("p_partkey") % 310) / 10.0, (F.col("p_size") % 31) * 1.0 + 0.25
-    q = p.select(F.col("p_partkey").alias("id"), F.floor(u).alias("x0"), F.floor(v).alias("y0"), (u - F.floor(u)).alias("a"), (v - F.floor(v)).alias("b"))
+    q = p.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 100).alias("img"), F.floor(u).alias("x0"), F.floor(v).alias("y0"), (u - F.floor(u)).alias("a"), (v - F.floor(v)).alias("b"))
     corner = lambda i, j: F.struct((F.col("x0") + i).alias("x"), (F.col("y0") + j).alias("y"), ((F.col("a") if i else 1 - F.col("a")) * (F.col("b") if j else 1 - F.col("b"))).alias("w"))
-    k = q.select("id", F.inline(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))))
-    raster = px.images(spark, d).where("img = 0 AND c = 0").select("x", "y", "gt")
-    return k.join(raster, ["x", "y"]).groupBy("id").agg(F.round(F.sum(F.col("w") * gt()), 6).alias("depth"))
+    k = q.select("id", "img", F.inline(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))))
+    raster = px.images(spark, d).where("c = 0").select("img", "x", "y", "gt")
+    return k.join(raster, ["img", "x", "y"]).groupBy("id").agg(F.round(F.sum(F.col("w") * gt()), 6).alias("depth"))
 
 
-@query("@m as (select y, x, round_even(y/31.0*3, 0)::bigint as rs from range(32) a(y), range(32) b(x)) select i.c, i.y, i.x, m.rs, round(i.pred, 6) as v from px_img i join m on m.y = i.y and m.x = i.x and i.img = m.rs", "px_img")
+@query("select img // 4 as frame, c, y, x, img % 4 as rs, round(pred, 6) as v from px_img where img % 4 = round_even(y/31.0*3, 0)::bigint", "px_img")
 def J22_P31_shutter_gather(spark, d):
-    k = F.col("id")
-    index = spark.range(1024).select(F.floor(k / 32).alias("y"), (k % 32).alias("x"), F.rint(F.floor(k / 32) / 31.0 * 3).cast("long").alias("img"))
-    return px.images(spark, d).join(index, ["y", "x", "img"]).select("c", "y", "x", F.col("img").alias("rs"), F.round(pred(), 6).alias("v"))
+    """Of a frame's four samples, each pixel comes from the one that its row was read out in."""
+    sample = F.col("img") % 4
+    rows = px.images(spark, d).where(sample == F.rint(F.col("y") / 31.0 * 3).cast("long"))
+    return rows.select(F.floor(F.col("img") / 4).alias("frame"), "c", "y", "x", sample.alias("rs"), F.round(pred(), 6).alias("v"))
 
 
 @query("select img // 2 as rs, c, y, x, round(avg(pred), 7) as v from px_img group by 1, 2, 3, 4", "px_img")
