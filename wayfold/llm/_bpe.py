@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: New chunks that are encoded together as one text.
-TOGETHER = 4000
+TOGETHER = 1000
 
 
 def odd(part: str) -> bool:
@@ -60,23 +60,26 @@ def lengths(tokens: list[bytes]) -> np.ndarray:
     return np.array([len(t) for t in tokens], np.int64)
 
 
-def encode_chunks(found: list[str], encode: Callable[[str], list[int]], sizes: np.ndarray) -> list[np.ndarray | None]:
-    """Ids of each chunk behind a space, many encoded as one text; None where its tokens don't end with the chunk.
+def encode_chunks(found: list[str], encode: Callable[[str], list[int]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the chunks, each behind a space, and where each chunk's begin, with the end; many are encoded as one text.
 
-    ``sizes`` has the bytes of each id; ``encode`` gets the text with its first space.
+    ``sizes`` has the bytes of each id; ``encode`` gets the text with its first space. A chunk has no ids if
+    its tokens don't end with it.
     """
-    out: list[np.ndarray | None] = []
-    for i in range(0, len(found), TOGETHER):
-        some = found[i : i + TOGETHER]
-        ids = np.array(encode(f" {' '.join(some)}"), np.uint32)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    if len(found) > TOGETHER:
+        made = [encode_chunks(found[i : i + TOGETHER], encode, sizes) for i in range(0, len(found), TOGETHER)]
+    else:
+        ids = np.array(encode(f" {' '.join(found)}"), np.int64)
         ends = np.cumsum(sizes[ids])
-        want = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in some])
+        want = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in found])
         at = np.searchsorted(ends, want)
         if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
-            out += np.split(ids, at[:-1] + 1)
-        elif len(some) == 1:
-            out.append(None)
-        else:  # a chunk that a tokenizer doesn't give back byte by byte: find it
-            half = len(some) // 2
-            out += encode_chunks(some[:half], encode, sizes) + encode_chunks(some[half:], encode, sizes)
-    return out
+            return ids, np.append(0, at + 1)
+        if len(found) == 1:
+            return np.zeros(0, np.int64), np.zeros(2, np.int64)
+        half = len(found) // 2  # find the one that its tokens don't give back
+        made = [encode_chunks(some, encode, sizes) for some in (found[:half], found[half:])]
+    before = np.cumsum([0, *(len(x) for x, _ in made)])
+    return np.concatenate([x for x, _ in made]), np.concatenate([[0], *(b[1:] + n for (_, b), n in zip(made, before, strict=False))])

@@ -113,24 +113,26 @@ class Aligned:
             self.pair, self.times = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pair, self.times))
 
     def learn(self, found: list[str]) -> None:
-        for lo in range(0, len(found), _bpe.TOGETHER):
-            some = found[lo : lo + _bpe.TOGETHER]
+        for lo in range(0, len(found), 8 * _bpe.TOGETHER):
+            some = found[lo : lo + 8 * _bpe.TOGETHER]
             a, b = _bpe.encode_chunks(some, self._a, self.sizes_a), _bpe.encode_chunks(some, self._b, self.sizes_b)
-            if any(x is None for x in (*a, *b)) or not self._same(some, a, self.tokens_a) or not self._same(some, b, self.tokens_b):
-                good = [i for i, w in enumerate(some) if a[i] is not None and b[i] is not None and self._same([w], [a[i]], self.tokens_a) and self._same([w], [b[i]], self.tokens_b)]
-                self.number |= dict.fromkeys(some, -1)
-                some, a, b = ([x[i] for i in good] for x in (some, a, b))
-            if some:
-                self._add(some, a, b)
+            if not self._same(some, a[0], self.tokens_a) or not self._same(some, b[0], self.tokens_b):
+                own = lambda ids, at, i: ids[at[i] : at[i + 1]]
+                bad = {w for i, w in enumerate(some) if not self._same([w], own(*a, i), self.tokens_a) or not self._same([w], own(*b, i), self.tokens_b)}
+                self.number |= dict.fromkeys(bad, -1)
+                self.learn([w for w in some if w not in bad])
+            else:
+                self._add(some, *a, *b)
 
     @staticmethod
-    def _same(found: list[str], ids: list[np.ndarray], tokens: list[bytes]) -> bool:
-        return b"".join(map(tokens.__getitem__, np.concatenate(ids).tolist())) == f" {' '.join(found)}".encode()
+    def _same(found: list[str], ids: np.ndarray, tokens: list[bytes]) -> bool:
+        return b"".join(map(tokens.__getitem__, ids.tolist())) == "".join([f" {w}" for w in found]).encode()
 
-    def _add(self, found: list[str], a: list[np.ndarray], b: list[np.ndarray]) -> None:
+    def _add(self, found: list[str], ids_a: np.ndarray, at_a: np.ndarray, ids_b: np.ndarray, at_b: np.ndarray) -> None:
         n, base = len(found), len(self.text)
-        of_a, of_b = np.repeat(np.arange(n), [len(x) for x in a]), np.repeat(np.arange(n), [len(x) for x in b])
-        ids_a, ids_b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+        if not n:
+            return
+        of_a, of_b = np.repeat(np.arange(n), np.diff(at_a)), np.repeat(np.arange(n), np.diff(at_b))
         in_a, in_b, n_groups = groups(np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
         m_a, m_b = np.bincount(in_a, minlength=n_groups), np.bincount(in_b, minlength=n_groups)
         chunk = np.zeros(n_groups, np.int64)  # no group reaches over two chunks

@@ -25,6 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ TRAILER, MAGIC = struct.Struct("<QQQQ8s"), b"WAYS8B01"
 _COUNT = np.array([c for c, _ in SELECTORS])
 _LIMITS = np.array([1 << w for _, w in SELECTORS[1:]], np.uint64)
 _MOST = int(_COUNT.max())
+_LEVEL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.int8)
 _FOUR = np.uint64(60)
 
 
@@ -54,18 +56,30 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not blocks:
         return np.zeros(0, "<u8"), np.zeros(1, np.int64)
     held = np.zeros((blocks, BLOCK + _MOST), np.uint64)  # what a word lacks at a block's end is zeros
-    padded = np.zeros(blocks * BLOCK, np.uint64)
-    padded[:n] = values
-    held[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    level = np.searchsorted(_LIMITS, held, "right").astype(np.int8)  # the first selector, less one, whose width holds it
-    place = np.arange(held.shape[1], dtype=np.int16)
-    chosen = np.zeros((blocks, BLOCK), np.int8)
-    for s in range(len(SELECTORS) - 1, 0, -1):  # the last that fits is the one with the most ids
-        if s < len(SELECTORS) - 1 and not (level[:, :BLOCK] <= s - 1).any():
-            continue
-        beyond = np.where(level > s - 1, place, np.int16(held.shape[1]))
+    whole = n // BLOCK
+    held[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
+    held[whole:, : n - whole * BLOCK] = values[whole * BLOCK :]
+    # the first selector, less one, whose width holds it
+    level = np.zeros(held.shape, np.int8)
+    level[:, :BLOCK] = _LEVEL[held[:, :BLOCK]] if held.max() < len(_LEVEL) else np.searchsorted(_LIMITS, held[:, :BLOCK], "right")
+    # a selector that fits has more ids than all later ones, and these fit as well: only blocks where one fits need the one before it
+    place, last = np.arange(held.shape[1], dtype=np.int16), len(SELECTORS) - 1
+    chosen = np.where(level[:, :BLOCK] < last, np.int8(last), np.int8(0))
+    every = min(last, int(level.max()) + 1)
+    if every < last:
+        chosen[:] = every
+    some = np.arange(blocks)
+    for s in range(every - 1, 0, -1):
+        over = level[some] > s - 1
+        beyond = np.where(over, place, np.int16(held.shape[1]))
         beyond = np.minimum.accumulate(beyond[:, ::-1], axis=1)[:, ::-1][:, :BLOCK]
-        chosen[beyond - place[:BLOCK] >= _COUNT[s]] = s
+        fits = beyond - place[:BLOCK] >= _COUNT[s]
+        own = chosen[some]
+        own[fits] = s
+        chosen[some] = own
+        some = some[fits.any(axis=1)]
+        if not len(some):
+            break
     # all blocks take their next word together
     live, at, steps = np.arange(blocks), np.zeros(blocks, np.int64), []
     while len(live):
@@ -128,14 +142,23 @@ class Texts:
         self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stops = dict(zip(".,", self._whole([".", ","]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, found: list[str]) -> None:
-        ids = _bpe.encode_chunks(found, lambda t: self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.sizes)
-        for w, x in zip(found, ids, strict=True):
-            self.now[w] = self._whole([f" {w}"])[0] if x is None else x.astype("<u4").tobytes()
+        """Ids of new chunks; a full stop or comma behind a letter is a token of its own."""
+        base = [w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in found]
+        new = list({w for w in base if w not in self.now})
+        raw, bounds = _bpe.encode_chunks(new, lambda t: self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.sizes)
+        bounds = (4 * bounds).tolist()
+        raw = raw.astype("<u4").tobytes()
+        for w, s, e in zip(new, bounds, bounds[1:], strict=False):
+            self.now[w] = raw[s:e]
+        for w, b in zip(found, base, strict=True):
+            if len(w) != len(b):
+                self.now[w] = self.now[b] + self.stops[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -158,6 +181,12 @@ class Texts:
         return [head + b"".join(map(get, x[1:])) for head, x in zip(self._whole([x[0] for x in cut]), cut, strict=True)]
 
 
+@lru_cache(1)
+def texts_of(vocabulary: str) -> Texts:
+    """One for each worker process, so that a task knows what earlier ones have learned."""
+    return Texts(vocabulary)
+
+
 class _Writer:
     """One file: ids come in, whole blocks go out once a million ids are held."""
 
@@ -216,10 +245,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, files: int
         part, name = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.s8b"
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            texts, out = texts or Texts(vocabulary), out or _Writer(path, name)
+            texts, out = texts or texts_of(vocabulary), out or _Writer(path, name)
             ids, found = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(found), 32):
-                for doc_id, own in zip(ids[lo : lo + 32], texts.encode([t or "" for t in found[lo : lo + 32].to_pylist()]), strict=True):
+            for lo in range(0, len(found), 128):
+                for doc_id, own in zip(ids[lo : lo + 128], texts.encode([t or "" for t in found[lo : lo + 128].to_pylist()]), strict=True):
                     out.add(doc_id, own + tail)
         if out is not None:
             n_docs, n_ids = out.close()
