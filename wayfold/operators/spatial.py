@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators import neighbours
+
 
 def shared(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); only on one machine, a local one stands in."""
@@ -31,96 +32,13 @@ def cell(x: Column, size: Column | float) -> Column:
     return F.floor(x / size)
 
 
-#: Bits of a place on each axis, and points from which on a cell is split.
-BITS, FULL = 40, 32
-
-
-def _tree(right: DataFrame, axes: list[str], fan: int) -> tuple[list[DataFrame], DataFrame] | None:
-    """Cells of the points (nn, r_<axis>), level by level, and the points with their cell.
-
-    Only full cells are split, ``fan`` bits an axis a level, from the size of their own points on, so far outliers
-    make neither crowded cells nor levels. A level's table has
-    (path, up, n, low and high of its points, leaf).
-    """
-    box = right.agg(F.count("*").alias("n"), *(f(f"r_{c}").alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "l"), (F.max, "h")))).first()
-    if not box["n"]:
-        return None
-    wide = max(box[f"h_{c}"] - box[f"l_{c}"] for c in axes) or 1.0
-    place = lambda c: F.least(F.floor((F.col(f"r_{c}") - F.lit(box[f"l_{c}"])) / F.lit(wide) * float(1 << BITS)).cast("long"), F.lit((1 << BITS) - 1))
-    open_, levels, placed, before, shift = keep(right.withColumns({f"_{c}": place(c) for c in axes})), [], None, BITS, BITS - fan
-    at = lambda shift: F.concat_ws(",", F.lit(str(shift)), *(F.shiftright(F.col(f"_{c}"), shift).cast("string") for c in axes))
-    while True:
-        path, up = at(shift), at(before)
-        keyed = open_.withColumn("path", path)
-        cells = keyed.groupBy("path", up.alias("up")).agg(F.count("*").alias("n"), *(f(f"r_{c}").alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "low"), (F.max, "high"))))
-        level = keep(cells.withColumn("leaf", (F.col("n") <= FULL) | F.lit(shift == 0)))
-        levels.append(level)
-        leaves = keyed.join(level.where("leaf").select("path"), "path", "left_semi").select("path", "nn", *(f"r_{c}" for c in axes))
-        placed = leaves if placed is None else placed.unionAll(leaves)
-        full = level.where("NOT leaf")
-        extent = full.agg(F.max(F.greatest(*(F.col(f"high_{c}") - F.col(f"low_{c}") for c in axes), F.lit(0.0)))).first()[0]
-        if extent is None:
-            return levels, placed
-        open_ = keyed.join(full.select("path"), "path", "left_semi").drop("path")
-        # levels at which the points of every full cell stay together are left out
-        before, shift = shift, max(0, min(shift, int(extent / wide * (1 << BITS)).bit_length()) - fan)
-
-
 def nearest(left: DataFrame, right: DataFrame, axes: list[str], k: int = 1, digits: int | None = None, apart: bool = False) -> DataFrame:
     """(id, nn, d2, rank): the ``k`` nearest of ``right`` for each row of ``left`` (id and axes); ties to the lower id.
 
-    The right side's cells form a tree that is split where it is crowded. Each left row walks down the tree: of a level's cells it
-    keeps those that can hold one of its k nearest, by the nearest and the farthest point of each cell's bounds. So a row
-    meets the points of a few small cells however points are spread, and nothing compares all pairs. Of right rows at one place
-    only k are kept. ``digits`` rounds squared distances before ties are decided; ``apart`` leaves out the row of the same id.
+    ``digits`` rounds squared distances before ties are decided; ``apart`` leaves out the row of the same id. To ask the same rows
+    again and again, build a ``neighbours.Index`` once.
     """
-    fan = 2 if len(axes) <= 3 else 1
-    left = left.select("id", *axes).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in axes))
-    right = right.select(F.col("id").alias("nn"), *(F.col(c).cast("double").alias(f"r_{c}") for c in axes)).where(" AND ".join(f"r_{c} IS NOT NULL AND NOT isnan(r_{c})" for c in axes))
-    wanted, here = k + apart, [f"r_{c}" for c in axes]
-    if wanted == 1:
-        right = right.groupBy(*here).agg(F.min("nn").alias("nn"))
-    else:
-        right = right.withColumn("_k", F.row_number().over(Window.partitionBy(*here).orderBy("nn"))).where(F.col("_k") <= wanted).drop("_k")
-    tree = _tree(right, axes, fan)
-    if tree is None:
-        return left.select("id", F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
-    levels, placed = tree
-    gap = lambda c: F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0))
-    far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"low_{c}")), F.abs(F.col(c) - F.col(f"high_{c}")))
-    square = lambda v: sum((x * x for x in v[1:]), v[0] * v[0])
-    have = ["id", *axes, "path", "n", "leaf", "dmin", "dmax", "reach"]
-    slack = lambda reach: reach * (1 + 1e-9) + (10.0**-digits if digits else 0.0)
-    # what the level above has shown to be within reach already rules out most cells of this one
-    measured = lambda df: df.withColumn("dmin", square([gap(c) for c in axes])).where(F.col("dmin") <= slack(F.col("reach"))).withColumn("dmax", square([far(c) for c in axes])).select(*have)
-    spread = Window.partitionBy("id").orderBy("dmax").rowsBetween(Window.unboundedPreceding, 0)
-
-    def pruned(df: DataFrame) -> DataFrame:
-        enough = F.col("dmax")
-        if wanted > 1:
-            df, enough = df.withColumn("_held", F.sum("n").over(spread)), F.when(F.col("_held") >= wanted, F.col("dmax"))
-        df = df.withColumn("reach", F.least("reach", F.min(enough).over(Window.partitionBy("id"))))
-        return df.where(F.col("dmin") <= slack(F.col("reach"))).select(*have)
-
-    top = levels[0].drop("up").collect()  # the first level has at most 2^(fan * axes) cells
-    first = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in levels[0].columns if c != "up")) for r in top))
-    found = pruned(measured(left.select("id", *axes, F.lit(float("inf")).alias("reach"), F.inline(first))))
-    for i, level in enumerate(levels[1:]):
-        inner = found.where("NOT leaf").select("id", *axes, "reach", F.col("path").alias("up")).join(level, "up")
-        found = pruned(found.where("leaf").unionAll(measured(inner)))
-        if i % 4 == 3:
-            found = keep(found)
-    # a leaf's points travel as one list, so a row and a leaf give one row, with the k best of it
-    lists = placed.groupBy("path").agg(F.collect_list(F.struct("nn", *here)).alias("points"))
-    met = found.select("id", *axes, "path").join(lists, "path")
-    points = F.filter("points", lambda p: p["nn"] != F.col("id")) if apart else F.col("points")
-    d2 = lambda p: square([F.col(c) - p[f"r_{c}"] for c in axes])
-    near = F.transform(points, lambda p: F.struct((d2(p) if digits is None else F.round(d2(p), digits)).alias("d2"), p["nn"].alias("nn")))
-    if k == 1:
-        best = met.select("id", F.array_min(near).alias("m")).where("m IS NOT NULL")
-        return best.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.nn", "m.d2", F.lit(1).alias("rank"))
-    pairs = met.select("id", F.inline(F.slice(F.array_sort(near), 1, k))).select("id", "nn", "d2")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nn"))).where(F.col("rank") <= k)
+    return neighbours.Index(right, neighbours.Points(axes), same=k + apart).nearest(left, k, digits=digits, apart=apart).select("id", "nn", "d2", "rank")
 
 
 def grid_extremes(cells: DataFrame, value: str, by: int, border: float) -> DataFrame:
