@@ -30,7 +30,9 @@ def test_plane_and_peel(spark):
     points = frame(spark, np.vstack([floor, wall]))
     normal, offset, n = kernels.plane(points, 0.02, upright=0.9)
     assert normal == pytest.approx([0, 0, 1], abs=0.01) and offset == pytest.approx(1, abs=0.01) and n >= 300
-    assert [abs(round(float(p[0][0]))) for p in kernels.peel(points, 0.02, most=2)] == [0, 1]
+    normal, centre, rms, n, peel = kernels.peeled(points, 0.02, horizontal=False)
+    assert peel == 2 and abs(normal[0]) == pytest.approx(1, abs=1e-3) and centre[0] == pytest.approx(2, abs=1e-3) and rms < 0.01 and n >= 100
+    assert kernels.peeled(points, 0.02, horizontal=True)[4] == 1 and kernels.peeled(points.where("z < 1.1"), 0.02, horizontal=False) is None
     assert kernels.plane(points.limit(0), 0.02) is None
 
 
@@ -43,23 +45,6 @@ def test_similarity_recovers_a_transform(spark):
     assert found == pytest.approx(t, abs=1e-9) and scale == pytest.approx(1.25)
 
 
-def test_icp_and_normals(spark):
-    grid = np.array([(x / 5, y / 5, 0.3 * math.sin(x / 3) + 0.2 * math.cos(y / 2)) for x in range(20) for y in range(20)])
-    target = frame(spark, grid)
-    target = target.join(kernels.normals(target, 8), "id")
-    t = turn(2, [0.03, -0.02, 0.04])
-    source = frame(spark, (grid - t[:3, 3]) @ t[:3, :3])
-    found = kernels.icp(source, spatial.keep(target), [0.5, 0.1], rounds=4)
-    assert found == pytest.approx(t, abs=5e-3)
-
-
-def test_yaw_sweep(spark):
-    p = np.column_stack([RNG.uniform(-3, 3, 200), RNG.uniform(-1, 1, 200), np.zeros(200)])
-    t = turn(90, [0.6, -0.4, 0])
-    best = kernels.yaw_sweep(frame(spark, p), frame(spark, p @ t[:3, :3].T + t[:3, 3]), 0.2, 64, 30).orderBy(F.desc("score")).first()
-    assert best.deg == 90 and (best.dx, best.dy) == pytest.approx((0.6, -0.4), abs=0.21)
-
-
 def test_mesh_distance_and_samples(spark):
     tri = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.5)], "fid long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, area double")
     found = {r.id: r.d for r in kernels.mesh_distance(frame(spark, [(0.2, 0.2, 0.3), (-0.3, 0.0, 0.4), (5, 5, 5), (0.6, 0.6, 0)]), tri).collect()}
