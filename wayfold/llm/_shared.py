@@ -52,15 +52,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{spatial.shared(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str, rows: int = ARROW_ROWS) -> DataFrame:
+def keep(df: DataFrame, label: str, rows: int = ARROW_ROWS, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     Arrow batches of the job have ``rows`` rows at most; tables of packed blobs, of about a megabyte a row, ask for few.
+    With ``by``, the table's last column, rows of different values lie apart, and filters on it leave out whole files.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
     with batches_of(spark, rows):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,9 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)), over words and one end per
   themselves such words count by the class of their ending. All words' classes and counts are a table.
 * Exchange needs each type's neighbours. One pass counts bigrams of types, dealt by type
   range; a range keeps the counts of both directions, so an exchange step reads its
-  range and the current classes and moves its types to the class with the highest likelihood. Half
-  of the types, or fewer where that loses likelihood, move at a time, until it gains little. Only class tables and the class map reach the driver.
+  range and the current classes and moves its types, one after another, to the class with the highest likelihood. The types of a quarter
+  of the ranges, or of fewer where that loses likelihood, move at a time, until a turn of all types hardly adds likelihood. A step
+  reads the ranges that move and no others: the new class table is the old one and what their bigrams change. Only class tables and the class map reach the driver.
 * Class counts and scores find frequent words in the arrays; the others are joined with the table.
   A word without training uses has no neighbours and takes the class of its ending.
 
@@ -39,17 +40,25 @@ from wayfold.llm._shared import BLOB_ROWS, batches_of, keep, parts, released, sm
 from wayfold.llm._words import Words, mix, portions, words
 
 
+#: Parts of the bigram table that lie apart in storage.
+PARTS = 16
+
+
 @dataclass(frozen=True)
 class Settings:
     classes: int = 64
     types: int = 49_151  #: words clustered one by one, at most
     endings: int = 16_384  #: types of all other words
     lexicon: int = 1 << 20  #: words whose counts are held as arrays, at most
-    ranges: int = 128  #: parts of the bigram table, at least
-    steps: int = 10  #: exchange steps at most; each moves a part of the types
-    gain: float = 4e-3  #: exchange ends when steps add less than this share of the log likelihood above that of one class
+    ranges: int = 128  #: parts of the bigram table, rounded up to a power of two
+    gain: float = 1e-3  #: exchange ends when a turn of all types adds less than this share of the log likelihood above that of one class
     weight: float = 16.0  #: of the class distribution in a class's transitions
 
+    @property
+    def ranges_(self) -> int:
+        """Parts of the bigram table: a multiple of the parts that are left out whole, and a power of two."""
+        return 1 << max(0, self.ranges - 1).bit_length()
+
 
 @dataclass
 class Lexicon:
@@ -204,7 +213,7 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
 
     A key is type * 2^32 + neighbour; one range has what its types' neighbours can be at most, whatever the corpus.
     """
-    ranges = max(settings.ranges, parts(train.sparkSession))
+    ranges = settings.ranges_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(600_000)
@@ -250,71 +259,117 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
 
     schema = "range int, way int, keys binary, counts binary"
     dealt = train.select("text").mapInArrow(count, schema).repartition(ranges, "range")
-    return keep(dealt.mapInArrow(merge, "range int, after binary, after_n binary, before binary, before_n binary"), "bigrams", BLOB_ROWS)
+    made = dealt.mapInArrow(merge, "range int, after binary, after_n binary, before binary, before_n binary")
+    return keep(made.withColumn("part", F.col("range") % PARTS), "bigrams", BLOB_ROWS, by="part")
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def _step(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray | None = None, turn: int = 0, parts_: int = 1) -> DataFrame:
-    """Without class counts: the rows of the class table. With them: (type, class) of the types of part ``turn`` of ``parts_``."""
+def _rows(key: np.ndarray, n: np.ndarray, of_type: np.ndarray, k: int) -> dict[int, np.ndarray]:
+    """For each type of a range how often its neighbours are of each class."""
+    if not len(key):
+        return {}
+    t = key >> 32
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    m = np.bincount(at * k + of_type[key & 0xFFFFFFFF], n, len(first) * k).reshape(-1, k)
+    return dict(zip(t[first].tolist(), m, strict=True))
+
+
+def _moves(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray, turn: int, parts_: int) -> pa.Table:
+    """(type, class) of the types that change their class, in every ``parts_``-th range from ``turn``: a row for each type at most."""
     k = settings.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.zeros((k, k), np.int64)
-        ranges = (tuple(np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in range(4)) for batch in batches for i in range(len(batch)))
-        if classes is None:
-            for key, n, _, _ in ranges:
-                cells = of_type[key >> 32] * k + of_type[key & 0xFFFFFFFF]
-                table_ += np.bincount(cells, n, k * k).astype(np.int64).reshape(k, k)
-            a, b = np.nonzero(table_)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(table_[a, b])], ["a", "b", "n"])
-            released()
-            return
-        margin = classes.sum(1).astype(float)
-        full = classes.astype(float)
-        for after_key, after_n, before_key, before_n in ranges:
-            rows = []
-            for key, n in ((after_key, after_n), (before_key, before_n)):
-                t = key >> 32
-                kinds, at = np.unique(t, return_inverse=True)
-                m = np.bincount(at * k + of_type[key & 0xFFFFFFFF], n, len(kinds) * k).reshape(-1, k) if len(t) else np.zeros((0, k))
-                rows.append(dict(zip(kinds.tolist(), m, strict=True)))
-            moved = []
-            for t in rows[0].keys() | rows[1].keys():
-                if t == 0 or (t * 2654435761 >> 7) % parts_ != turn:
-                    continue
-                after, before = rows[0].get(t, np.zeros(k)), rows[1].get(t, np.zeros(k))
-                old, n = of_type[t], max(after.sum(), before.sum())
-                g, m = full.copy(), margin.copy()
-                g[old] = np.maximum(g[old] - after, 0)
-                g[:, old] = np.maximum(g[:, old] - before, 0)
-                m[old] = max(m[old] - n, 0)
-                has_after, has_before = np.flatnonzero(after), np.flatnonzero(before)
-                rows_, cols = g[:, has_after], g[has_before].T
-                gain = (_phi(rows_ + after[has_after]) - _phi(rows_)).sum(1) + (_phi(cols + before[has_before]) - _phi(cols)).sum(1) - 2 * (_phi(m + n) - _phi(m))
-                gain[0] = -np.inf  # the end's own class
-                best = int(np.argmax(gain))
-                if best != old and gain[best] > gain[old] + 1e-9:
-                    moved.append((t, best))
-            if moved:
-                a, b = (np.array(x, np.int64) for x in zip(*moved, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), np.int64))], ["a", "b", "n"])
-
-    return table.select("after", "after_n", "before", "before_n").mapInArrow(run, "a long, b long, n long")
+        for batch in batches:
+            for i in range(len(batch)):
+                after_key, after_n, before_key, before_n = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in range(4))
+                g, m, moved = classes.astype(float), classes.sum(1).astype(float), []
+                phi, phi_m = _phi(g), _phi(m)
+                rows = _rows(after_key, after_n, of_type, k), _rows(before_key, before_n, of_type, k)
+                none = np.zeros(k)
+                often = {t: max(rows[0].get(t, none).sum(), rows[1].get(t, none).sum()) for t in rows[0].keys() | rows[1].keys() if t}
+                for t, n in sorted(often.items(), key=lambda x: (-x[1], x[0])):  # the most frequent settle first
+                    after, before, old = rows[0].get(t, none), rows[1].get(t, none), of_type[t]
+                    held = g[old].copy(), g[:, old].copy(), m[old], phi[old].copy(), phi[:, old].copy(), phi_m[old]
+                    g[old] = np.maximum(g[old] - after, 0)
+                    g[:, old] = np.maximum(g[:, old] - before, 0)
+                    m[old] = max(m[old] - n, 0)
+                    phi[old], phi[:, old], phi_m[old] = _phi(g[old]), _phi(g[:, old]), _phi(m[old])
+                    has_after, has_before = np.flatnonzero(after), np.flatnonzero(before)
+                    gain = (_phi(g[:, has_after] + after[has_after]) - phi[:, has_after]).sum(1) + (_phi(g[has_before].T + before[has_before]) - phi[has_before].T).sum(1) - 2 * (_phi(m + n) - phi_m)
+                    gain[0] = -np.inf  # the end's own class
+                    best = int(np.argmax(gain))
+                    if best != old and gain[best] > gain[old] + 1e-9:
+                        moved.append((t, best))  # what moves later in this range sees it there
+                        g[best] += after
+                        g[:, best] += before
+                        m[best] += n
+                        phi[best], phi[:, best], phi_m[best] = _phi(g[best]), _phi(g[:, best]), _phi(m[best])
+                    else:
+                        g[old], g[:, old], m[old], phi[old], phi[:, old], phi_m[old] = held
+                if moved:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*moved, strict=True)], ["a", "b"])
 
+    with batches_of(table.sparkSession, BLOB_ROWS):
+        return _of_turn(table, turn, parts_).select("after", "after_n", "before", "before_n").mapInArrow(run, "a long, b long").toArrow()
 
-def _moves(table: DataFrame, of_type: np.ndarray, settings: Settings, classes: np.ndarray, turn: int, parts_: int) -> pa.Table:
-    """The types that change their class: a row for each type at most."""
+
+def _of_turn(table: DataFrame, turn: int, parts_: int) -> DataFrame:
+    """The ranges of a turn; whole parts of the table are left out before they are read."""
+    if parts_ <= PARTS:
+        return table.where(F.col("part").isin([p for p in range(PARTS) if p % parts_ == turn]))
+    return table.where((F.col("part") == turn % PARTS) & (F.col("range") % parts_ == turn))
+
+
+def _changed(table: DataFrame, before: np.ndarray, after: np.ndarray, settings: Settings, turn: int, parts_: int) -> np.ndarray:
+    """What the class table gains and loses when the types of a turn's ranges change their classes, from these ranges alone."""
+    k, ranges = settings.classes, settings.ranges_
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(k * k, np.int64)
+
+        def add(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+            for of_type, sign in ((after, 1), (before, -1)):
+                found[:] += sign * np.bincount(of_type[a] * k + of_type[b], n, k * k).astype(np.int64)
+
+        for batch in batches:
+            for i in range(len(batch)):
+                after_key, after_n, before_key, before_n = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in range(4))
+                add(after_key >> 32, after_key & 0xFFFFFFFF, after_n)
+                a = before_key & 0xFFFFFFFF
+                other = a % ranges % parts_ != turn  # a pair of two moving types has been counted from its first
+                add(a[other], before_key[other] >> 32, before_n[other])
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["cell", "n"])
+        released()
+
+    out = np.zeros(k * k, np.int64)
     with batches_of(table.sparkSession, BLOB_ROWS):
-        return _step(table, of_type, settings, classes, turn, parts_).toArrow()
+        rows = _of_turn(table, turn, parts_).select("after", "after_n", "before", "before_n").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
+    for r in rows:
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
 
 
 def _class_table(table: DataFrame, of_type: np.ndarray, settings: Settings) -> np.ndarray:
-    out = np.zeros((settings.classes, settings.classes), np.int64)
+    """How often each class follows each."""
+    k, out = settings.classes, np.zeros((settings.classes, settings.classes), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((k, k), np.int64)
+        for batch in batches:
+            for i in range(len(batch)):
+                key, n = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in range(2))
+                found += np.bincount(of_type[key >> 32] * k + of_type[key & 0xFFFFFFFF], n, k * k).astype(np.int64).reshape(k, k)
+        a, b = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(found[a, b])], ["a", "b", "n"])
+        released()
+
     with batches_of(table.sparkSession, BLOB_ROWS):
-        rows = _step(table, of_type, settings).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
+        rows = table.select("after", "after_n").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # classes^2 at most
     for r in rows:
         out[r["a"], r["b"]] = r["n"]
     return out
@@ -326,31 +381,36 @@ def likelihood(classes: np.ndarray) -> float:
     return float(_phi(full).sum() - _phi(full.sum(1)).sum() - _phi(full.sum(0)).sum() + _phi(full.sum()))
 
 
-def exchange(table: DataFrame, settings: Settings) -> np.ndarray:
-    """The class of each type: a start by hash, then steps that move a part of the types each, half of them at first.
+def exchange(table: DataFrame, lexicon: Lexicon, settings: Settings) -> np.ndarray:
+    """The class of each type: a start that deals words by their frequency and endings by hash, then steps that move the types of a part of the ranges each, a quarter of them at first.
 
-    Types of one step move by the counts before it, so a step may lose likelihood. Such a step is taken back and
-    the parts are halved. Exchange ends when all parts in turn add less than ``settings.gain`` of the likelihood.
+    Ranges of one step move by the counts before it, so a step may lose likelihood. Such a step is taken back; where most steps of a
+    turn are, the parts are halved, down to single ranges. Exchange ends when a turn of all parts adds less than ``settings.gain`` of the likelihood.
     """
     n = 1 + settings.types + settings.endings
     of_type = 1 + (mix(np.arange(n, dtype=np.uint64)) % np.uint64(max(1, settings.classes - 1))).astype(np.int64)
+    one = lexicon.type >= 0
+    of_type[lexicon.type[one]] = 1 + np.argsort(np.argsort(-lexicon.count[one], kind="stable"), kind="stable") % max(1, settings.classes - 1)
     of_type[0] = 0
-    classes, parts_, slow = _class_table(table, of_type, settings), 2, 0
+    classes, parts_ = _class_table(table, of_type, settings), min(4, settings.ranges_)
     now = likelihood(classes)
-    for turn in range(settings.steps):
-        moved = _moves(table, of_type, settings, classes, turn % parts_, parts_)
-        tried = of_type.copy()
-        tried[moved.column("a").to_numpy()] = moved.column("b").to_numpy()
-        there = _class_table(table, tried, settings)
-        new = likelihood(there)
-        if new < now:
-            parts_, slow = 2 * parts_, 0
-            continue
-        slow = 0 if new > now + settings.gain * now else slow + 1
-        of_type, classes, now = tried, there, new
-        if slow == parts_:
-            break
-    return of_type
+    while True:
+        first, refused = now, 0
+        for turn in range(parts_):
+            moved = _moves(table, of_type, settings, classes, turn, parts_)
+            if moved.num_rows:
+                tried = of_type.copy()
+                tried[moved.column("a").to_numpy()] = moved.column("b").to_numpy()
+                there = classes + _changed(table, of_type, tried, settings, turn, parts_)
+                new = likelihood(there)
+                if new >= now:
+                    of_type, classes, now = tried, there, new
+                else:
+                    refused += 1
+        if 2 * refused >= parts_ and 2 * parts_ <= settings.ranges_:
+            parts_ *= 2
+        elif now <= first + settings.gain * now:
+            return of_type
 
 
 def _transitions(classes: np.ndarray, weight: float) -> np.ndarray:
@@ -529,7 +589,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     lexicon = _lexicon(counts, settings)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     table = bigrams(docs, lexicon, settings)
-    of_type = exchange(table, settings)
+    of_type = exchange(table, lexicon, settings)
     classed = assigned(docs, counts, lexicon, table, of_type, settings)
     rows = classed.where(F.col("n") >= (int(lexicon.count.min()) if len(lexicon.count) else 1 << 62)).select("h", "class").toArrow()  # the lexicon's words
     lexicon.own = rows.column("class").to_numpy().astype(np.int64)[np.argsort(rows.column("h").to_numpy().view(np.uint64))]
