@@ -388,12 +388,10 @@ def A09_P30_exposure_norm(spark, d):
 READOUT = "b as (select frame_id, exposure_s*1e9*3 as readout, exposure_s*3*1000/2*(1 + frame_id % 3) as wanted from px_frames), k as (select *, greatest(1, least(8, trunc(wanted)))::int as q from b)"
 
 
-@query(f"@{READOUT} select frame_id, i::int as bucket, q, floor(-readout/2 + (i + 0.5)*readout/q)::bigint as shift from k, range(8) r(i) where i < q and abs(-readout/2 + (i + 0.5)*readout/q - round(-readout/2 + (i + 0.5)*readout/q)) > 1e-3", "px_frames")
+@query(f"@{READOUT} select frame_id, i::int as bucket, q, round_even(-readout/2 + (i + 0.5)*readout/q, 0)::bigint as shift from k, range(8) r(i) where i < q", "px_frames")
 def W06_shutter_buckets(spark, d):
     rows = px.frames(spark, d).withColumns({"readout": F.col("exposure_s") * 1e9 * 3, "motion": 1 + F.col("frame_id") % 3})
-    found = sequence.shutter_buckets(rows, 2e6, 8).withColumn("exact", F.col("centre"))
-    # the whole nanosecond below, where the centre is not one itself: there two engines' last digits decide
-    return found.where(F.abs(F.col("exact") - F.round("exact")) > 1e-3).select("frame_id", "bucket", "q", F.floor("exact").alias("shift"))
+    return sequence.shutter_buckets(rows, 2e6, 8).select("frame_id", "bucket", "q", "shift")
 
 
 @query("@o as (select rec_id, sample_id, t_us, tx, ty, lead(t_us) over w as n_t, lead(tx) over w as n_tx, lead(ty) over w as n_ty, row_number() over w as rn from px_traj window w as (partition by rec_id order by t_us, sample_id)), f as (select rec_id, (n_t - t_us)/2.0::double as dt from o where rn = 1 and n_t is not null), k as (select o.*, f.dt, case when dt > 0 then greatest(1, ceil((n_t - t_us)/dt))::bigint else 1 end as k from o join f using (rec_id) where n_t is not null), x as (select *, case when n_t = t_us then 0 else i*dt/(n_t - t_us) end as w from k, lateral (select unnest(range(k)) as i)) select sample_id, i as step, round(i*dt, 3) as dt, round(tx + (n_tx - tx)*w, 5) + 0.0 as tx, round(ty + (n_ty - ty)*w, 5) + 0.0 as ty from x", "px_traj")
@@ -488,7 +486,8 @@ def O07_O09_top_distinct(spark, d):
     return best.withColumn("rank", rank).where("rank <= 4").select("rec_id", "a", "b", "rank", F.round("score", 4).alias("score"))
 
 
-@query("select step::bigint as step, least(step // 1000, 3)::bigint as degree, round(0.01**(step/5000.0), 8) as decay from range(5000) t(step)")
+@query("select o_orderkey as step, least(o_orderkey // 1000, 3)::bigint as degree, round(0.01**(least(o_orderkey, 30000)/30000.0), 8) as decay from orders")
 def W10_schedules(spark, d):
-    s = F.col("id")
-    return spark.range(5000).select(s.alias("step"), F.least(F.floor(s / 1000), F.lit(3)).alias("degree"), F.round(F.pow(F.lit(0.01), s / 5000.0), 8).alias("decay"))
+    """For every step that the table has: the degree warms up, the rate decays to a hundredth and stays there."""
+    s = F.col("o_orderkey")
+    return spark.read.parquet(f"{d}/orders.parquet").select(s.alias("step"), F.least(F.floor(s / 1000), F.lit(3)).alias("degree"), F.round(F.pow(F.lit(0.01), F.least(s, F.lit(30000)) / 30000.0), 8).alias("decay"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SQL = {
     "px_points": "select o_orderkey as uid, (o_orderkey % 100)/10.0::double as px, ((o_orderkey // 100) % 100)/10.0::double as py, (o_custkey % 30)/10.0::double as pz, ((o_orderkey*7919) % 1009)/100000.0::double as inv_dist_std, ((o_orderkey*104729) % 2003)/100000.0::double as dist_std from orders",
     "px_obs": "select l_orderkey as uid, epoch_us(l_shipdate) as t_us, 'cam' || (l_suppkey % 4) as camera_serial from lineitem",
-    "px_calib": "select 'cam' || i as camera_serial, 'slam-' || i as label, 0.01::double*i as cam_tx, 300.0::double as f, 256.0::double as cx, 256.0::double as cy from range(4) as t(i)",
+    "px_calib": "select 'cam' || i as camera_serial, 'slam-' || i as label, 0.01::double*i as cam_tx, 300.0::double as f, 256.0::double as cx, 256.0::double as cy from (select distinct s_suppkey % 4 from supplier) as t(i)",
     "px_traj": "select user_id as rec_id, event_id as sample_id, epoch_us(ts) as t_us, value/100 as tx, (event_id % 1000)/100.0::double as ty, 1.6683::double + (event_id % 7)*0.01::double as tz, cos(radians((event_id % 360)/2.0::double)) as qw, 0.0::double as qx, 0.0::double as qy, sin(radians((event_id % 360)/2.0::double)) as qz, 0.9::double + (event_id % 10)*0.01::double as quality from events where event_type <> 'purchase'",
     "px_pose": "select rec_id, sample_id, t_us, tx, ty, tz, a/n as qw, b/n as qx, c/n as qy, e/n as qz from (select *, sqrt(a*a + b*b + c*c + e*e) as n from (select user_id as rec_id, event_id as sample_id, epoch_us(ts) as t_us, value/100 as tx, (event_id % 1000)/100.0::double as ty, 1.6683::double + (event_id % 7)*0.01::double as tz, ((event_id*7 + 3) % 17 - 8)/8.0::double + 0.01 as a, ((event_id*5 + 1) % 13 - 6)/6.0::double as b, ((event_id*3 + 2) % 11 - 5)/5.0::double as c, ((event_id*11 + 4) % 19 - 9)/9.0::double as e from events where event_type <> 'purchase'))",
     "px_frames": "select user_id as rec_id, event_id as frame_id, epoch_us(ts)*1000 + event_id % 1000 as t_ns, value/100000 as exposure_s, 1.0::double + event_id % 4 as gain, 'camera-rgb' as camera_label from events where event_type = 'purchase'",
@@ -49,7 +49,8 @@ def observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibration(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(4).select(F.concat(F.lit("cam"), "id").alias("camera_serial"), F.concat(F.lit("slam-"), "id").alias("label"), (0.01 * F.col("id")).alias("cam_tx"), F.lit(300.0).alias("f"), F.lit(256.0).alias("cx"), F.lit(256.0).alias("cy"))
+    cameras = _read(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("id")).distinct()  # those that observations name
+    return cameras.select(F.concat(F.lit("cam"), "id").alias("camera_serial"), F.concat(F.lit("slam-"), "id").alias("label"), (0.01 * F.col("id")).alias("cam_tx"), F.lit(300.0).alias("f"), F.lit(256.0).alias("cx"), F.lit(256.0).alias("cy"))
 
 
 def trajectory(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import color
 from wayfold.functions import geometry as g
-from wayfold.operators import metrics, quality, quantiles, spatial
+from wayfold.operators import metrics, neighbours, quality, quantiles, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -312,13 +314,24 @@ c as (select id, min(root) as component from w group by id), s as (select compon
 select count(*) as n_holes, coalesce(max(n), 0) as largest from s"""
 
 
-@query(f"@{PATH}, n as (select p.uid, floor(p.px*2/0.1) as i, floor(p.py/0.1) as j, p.pz, sqrt(min((p.px*2-h.x)**2+(p.py-h.y)**2)) as d from px_points p, path h group by all), c as (select count(*) filter (d <= 0.75 and pz < 0.15) as floor_band, count(*) filter (d <= 0.75 and pz >= 0.15) as above, count(*) filter (d > 0.75) as far, count(distinct (i, j)) filter (d <= 0.75) as cells from n) select floor_band, above, far, round(floor_band/greatest(1, floor_band + above)::double, 6) as share, round(floor_band/greatest(0.01, cells*0.01), 5) as per_m2 from c", "px_points", "px_traj")
+EYE, BAND, BUFFER, CELL = 0.3, 0.5, 0.75, 0.25
+A18 = f"@h as (select sample_id as pid, tx*20 as x, ty as y, tz as z from px_traj), s as (select px*2 as x, py as y, pz as z from px_points), q as (select distinct x, y from s), n as (select q.x, q.y, min(struct_pack(d2 := (q.x-h.x)*(q.x-h.x) + (q.y-h.y)*(q.y-h.y), pid := h.pid, z := h.z)) as m from q, h group by q.x, q.y), k as (select sqrt(m.d2) <= {BUFFER} as near, abs(s.z - (m.z - {EYE})) <= {BAND} as low from s join n using (x, y)), c as (select count(*) filter (near and low) as floor_band, count(*) filter (near and not low) as above, count(*) filter (not near) as far from k), w as (select count(*) as cells from (select distinct floor(x/{CELL}) + u as i, floor(y/{CELL}) + v as j from (select distinct x, y from h), range(-3, 4) a(u), range(-3, 4) b(v) where sqrt(((floor(x/{CELL}) + u + 0.5)*{CELL} - x)*((floor(x/{CELL}) + u + 0.5)*{CELL} - x) + ((floor(y/{CELL}) + v + 0.5)*{CELL} - y)*((floor(y/{CELL}) + v + 0.5)*{CELL} - y)) <= {BUFFER})) select floor_band, above, far, round(floor_band/greatest(1, floor_band + above)::double, 6) as share, cells, round(floor_band/(cells*{CELL}*{CELL}), 5) as per_m2 from c, w"
+
+
+@query(A18, "px_points", "px_traj")
 def A18_floor_band(spark, d):
-    """Points by the path in the floor's band and above, points far from it, the band's share, and its points per square metre of cells of 10 cm."""
-    near = J08_F15_F16_path_distance(spark, d).select("uid", "near")
-    rows = px.points(spark, d).join(near, "uid")
-    cells = rows.where("near").select(spatial.cell(F.col("px") * 2, 0.1).alias("i"), spatial.cell(F.col("py"), 0.1).alias("j")).distinct().agg(F.count("*").alias("cells"))
-    low = F.col("pz") < 0.15
-    counts = rows.agg(F.count_if(F.col("near") & low).alias("floor_band"), F.count_if(F.col("near") & ~low).alias("above"), F.count_if(~F.col("near")).alias("far"))
+    """Points by the path within a band about the floor under their nearest pose, others near it, points far from it; the band's share of those near, and its points per square metre of walked cells."""
+    poses = px.trajectory(spark, d).select(F.col("sample_id").alias("id"), (F.col("tx") * 20).alias("x"), F.col("ty").alias("y"), F.col("tz").alias("pose"))
+    p = px.points(spark, d).select(F.col("uid").alias("id"), (F.col("px") * 2).alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
+    places = spatial.keep(p.groupBy("x", "y").agg(F.min("id").alias("id")))
+    near = neighbours.Index(poses, neighbours.Points(["x", "y"]), ["pose"]).nearest(places).select("x", "y", F.sqrt("d2").alias("d"), "pose")
+    by, low = F.col("d") <= BUFFER, F.abs(F.col("z") - (F.col("pose") - EYE)) <= BAND
+    counts = p.join(near, ["x", "y"]).agg(F.count_if(by & low).alias("floor_band"), F.count_if(by & ~low).alias("above"), F.count_if(~by).alias("far"))
+    # walked cells: those with their centre within reach of a pose
+    n = math.ceil(BUFFER / CELL)
+    steps = F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in range(-n, n + 1) for v in range(-n, n + 1)))
+    cells = poses.select("x", "y").distinct().select("x", "y", F.inline(steps)).select("x", "y", (spatial.cell(F.col("x"), CELL) + F.col("u")).alias("i"), (spatial.cell(F.col("y"), CELL) + F.col("v")).alias("j"))
+    dx, dy = (F.col("i") + 0.5) * CELL - F.col("x"), (F.col("j") + 0.5) * CELL - F.col("y")
+    walked = cells.where(F.sqrt(dx * dx + dy * dy) <= BUFFER).select("i", "j").distinct().agg(F.count("*").alias("cells"))
     band, above = F.col("floor_band"), F.col("above")
-    return counts.join(F.broadcast(cells)).select("floor_band", "above", "far", F.round(band / F.greatest(F.lit(1), band + above).cast("double"), 6).alias("share"), F.round(band / F.greatest(F.lit(0.01), F.col("cells") * 0.01), 5).alias("per_m2"))
+    return counts.join(walked).select("floor_band", "above", "far", F.round(band / F.greatest(F.lit(1), band + above).cast("double"), 6).alias("share"), "cells", F.round(F.try_divide(band.cast("double"), F.col("cells") * CELL * CELL), 5).alias("per_m2"))

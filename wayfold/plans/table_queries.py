@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators import quality, sequence, spatial
+from wayfold.operators import asof, quality, sequence, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -71,10 +71,14 @@ def ORC5_dataset_diff(spark, d):
     return quality.difference(o, m, ["k"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"@g as (select max(gap) as gap from (select t_us - lag(t_us) over (partition by rec_id order by t_us) as gap from px_traj)) select 'frames' as rule, count(*) > 0 as ok from px_frames union all select 'one intrinsics', count(distinct f) = 1 from px_calib union all select 'unique frames', count(*) = count(distinct (rec_id, frame_id)) from px_frames union all select 'known serials', count(*) = 0 from px_obs anti join px_calib using (camera_serial) union all select 'exposure', count(*) filter (exposure_s <= 0) = 0 from px_frames union all select 'camera model', count(*) filter (camera_label <> 'camera-rgb') = 0 from px_frames union all select 'time gap', gap <= 5000 from g union all select 'readout', count(*) filter (f is null) = 0 from px_calib", "px_frames", "px_calib", "px_obs", "px_traj")
+@query(f"@v as (select distinct t_us as q from px_obs), b as (select v.q, t.t_us as bt from v asof left join px_track t on v.q >= t.t_us), n as (select b.*, t.t_us as nt from b asof left join px_track t on b.q < t.t_us), g as (select max(least(coalesce(q - bt, 1000000000000000000), coalesce(nt - q, 1000000000000000000))) as gap from n) select 'frames' as rule, count(*) > 0 as ok from px_frames union all select 'one intrinsics', count(distinct f) = 1 from px_calib union all select 'unique frames', count(*) = count(distinct (rec_id, frame_id)) from px_frames union all select 'known serials', count(*) = 0 from px_obs anti join px_calib using (camera_serial) union all select 'exposure', count(*) filter (exposure_s <= 0) = 0 from px_frames union all select 'camera model', count(*) filter (camera_label <> 'camera-rgb') = 0 from px_frames union all select 'time gap', gap <= 1000 from g union all select 'gap of a year', gap <= 31536000000000 from g union all select 'readout', count(*) filter (f is null) = 0 from px_calib", "px_frames", "px_calib", "px_obs", "px_track")
 def F21_ORC3_checks(spark, d):
-    f, c, o, t = px.frames(spark, d), px.calibration(spark, d), px.observations(spark, d), px.trajectory(spark, d)
-    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("rec_id").orderBy("t_us"))
+    """The time gap is the greatest distance of a view to its nearest sample."""
+    f, c, o = px.frames(spark, d), px.calibration(spark, d), px.observations(spark, d)
+    views = o.select(F.col("t_us").alias("q"), F.lit(0).alias("k")).distinct()
+    track = px.track(spark, d).select("t_us", F.lit(0).alias("k"), F.lit(0).alias("one"))
+    near = asof.nearest(F.col("q"))["t"]
+    gap = asof.neighbours(views, track, ["k"], "q", "t_us", "one", asof.width(views, ["k"], "q")).select(F.abs(near - F.col("q")).alias("gap"))
     return quality.checked(
         {
             "frames": f.agg((F.count("*") > 0).alias("ok")),
@@ -83,7 +87,8 @@ def F21_ORC3_checks(spark, d):
             "known serials": o.join(c, "camera_serial", "left_anti").agg((F.count("*") == 0).alias("ok")),
             "exposure": f.agg((F.count_if(F.col("exposure_s") <= 0) == 0).alias("ok")),
             "camera model": f.agg((F.count_if(F.col("camera_label") != "camera-rgb") == 0).alias("ok")),
-            "time gap": t.select(gap.alias("gap")).agg((F.max("gap") <= 5000).alias("ok")),
+            "time gap": gap.agg((F.max("gap") <= 1000).alias("ok")),
+            "gap of a year": gap.agg((F.max("gap") <= 31_536_000_000_000).alias("ok")),
             "readout": c.agg((F.count_if(F.col("f").isNull()) == 0).alias("ok")),
         }
     )
