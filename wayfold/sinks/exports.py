@@ -252,13 +252,32 @@ def images(pixels: DataFrame, folder: str) -> DataFrame:
 
 
 def visibility(lists: DataFrame, path: str, n_views: int) -> None:
-    """``<views, points>`` as 64-bit numbers, then for each point by id its count and views as 32-bit numbers."""
+    """``<views, points>`` as 64-bit numbers, then for each point by id its count and views as 32-bit numbers.
+
+    Tasks sort a range of points each and pack them; the driver joins the packed batches, one at a time.
+    """
     n = lists.count()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = batch.column(0)
+            first = views.offsets.to_numpy().astype(np.int64)
+            counts = np.diff(first)
+            out = np.empty(len(counts) + first[-1] - first[0], "<u4")
+            own = first[:-1] - first[0] + np.arange(len(counts))
+            out[own] = counts
+            rest = np.ones(len(out), bool)
+            rest[own] = False
+            out[rest] = views.values.to_numpy()[first[0] : first[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["content"])
+
+    views = F.coalesce(F.sort_array("views"), F.array()).cast("array<long>").alias("views")
+    ranged = lists.select("point", views).repartitionByRange("point").sortWithinPartitions("point").select("views")
     part = Path(f"{path}.partial")
     with part.open("wb") as out:
         out.write(np.array([n_views, n], "<u8").tobytes())
-        for r in lists.orderBy("point").select(F.sort_array("views").alias("views")).toLocalIterator():  # a partition at a time
-            out.write(np.array([len(r["views"]), *r["views"]], "<u4").tobytes())
+        for r in ranged.mapInArrow(packed, "content binary").toLocalIterator():
+            out.write(r["content"])
     os.replace(part, path)
 
 
