@@ -151,3 +151,14 @@ def test_exports(spark, tmp_path):
     exports.sparse_depth(points, str(tmp_path / "depth"))
     assert spark.read.parquet(str(tmp_path / "depth")).count() == 2
     assert np.isclose(points.agg(F.sum("u")).first()[0], 2.5)
+
+
+def test_visibility_is_packed_in_order(spark, tmp_path):
+    rows = [(7, [3, 1]), (2, []), (5, None), (1, [4]), (9, [2, 2, 0])]
+    lists = spark.createDataFrame(rows, "point long, views array<long>").repartition(3)
+    exports.visibility(lists, f"{tmp_path}/seen.bin", 6)
+    data = (tmp_path / "seen.bin").read_bytes()
+    assert np.frombuffer(data[:16], "<u8").tolist() == [6, 5]
+    assert np.frombuffer(data[16:], "<u4").tolist() == [1, 4, 0, 0, 2, 1, 3, 3, 0, 2, 2]
+    exports.visibility(lists.limit(0), f"{tmp_path}/none.bin", 0)
+    assert np.frombuffer((tmp_path / "none.bin").read_bytes(), "<u8").tolist() == [0, 0]
