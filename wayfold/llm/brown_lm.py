@@ -51,7 +51,7 @@ class Settings:
     endings: int = 16_384  #: types of all other words
     lexicon: int = 1 << 20  #: words whose counts are held as arrays, at most
     ranges: int = 128  #: parts of the bigram table, rounded up to a power of two
-    gain: float = 1e-3  #: exchange ends when a turn of all types adds less than this share of the log likelihood above that of one class
+    gain: float = 4e-3  #: exchange ends when a turn of all types adds less than this share of the log likelihood above that of one class
     weight: float = 16.0  #: of the class distribution in a class's transitions
 
     @property
@@ -385,7 +385,7 @@ def exchange(table: DataFrame, lexicon: Lexicon, settings: Settings) -> np.ndarr
     """The class of each type: a start that deals words by their frequency and endings by hash, then steps that move the types of a part of the ranges each, a quarter of them at first.
 
     Ranges of one step move by the counts before it, so a step may lose likelihood. Such a step is taken back; where most steps of a
-    turn are, the parts are halved, down to single ranges. Exchange ends when a turn of all parts adds less than ``settings.gain`` of the likelihood.
+    turn are, the parts are halved, down to those that lie apart in storage. Exchange ends when a turn of all parts adds less than ``settings.gain`` of the likelihood.
     """
     n = 1 + settings.types + settings.endings
     of_type = 1 + (mix(np.arange(n, dtype=np.uint64)) % np.uint64(max(1, settings.classes - 1))).astype(np.int64)
@@ -407,7 +407,7 @@ def exchange(table: DataFrame, lexicon: Lexicon, settings: Settings) -> np.ndarr
                     of_type, classes, now = tried, there, new
                 else:
                     refused += 1
-        if 2 * refused >= parts_ and 2 * parts_ <= settings.ranges_:
+        if 2 * refused >= parts_ and 2 * parts_ <= min(PARTS, settings.ranges_):
             parts_ *= 2
         elif now <= first + settings.gain * now:
             return of_type
