@@ -6,7 +6,6 @@ Files lie in the folder that the cluster shares (spark.checkpoint.dir).
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +41,6 @@ def folder(spark: SparkSession) -> str:
     return f"{spatial.shared(spark)}/files/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def local(path: str) -> str:
-    """The same place for the driver's own writers, which write to mounted folders only."""
-    if not path.startswith("file:") and "://" in path:
-        raise ValueError("files of one piece need a shared folder that is mounted (file:)")
-    where = Path("/" + path.removeprefix("file:").lstrip("/"))
-    where.parent.mkdir(parents=True, exist_ok=True)
-    return str(where)
-
-
 def part(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet")
 
@@ -137,7 +127,7 @@ def SRC09_SNK03_splats(spark, d):
     rest = F.array(*(F.lit(float(i)).cast("float") for i in range(24)))
     rows = px.splats(spark, d).select("gid", *(F.col(c).cast("float").alias(c) for c in "xyz"), F.col("opacity_logit").cast("float").alias("opacity"), F.array(*[F.lit(0.5).cast("float")] * 3).alias("f_dc"), rest.alias("f_rest"), F.array(*(F.col(f"s{i}").cast("float") for i in range(3))).alias("scale"), F.array(*(F.lit(v).cast("float") for v in (1.0, 0.0, 0.0, 0.0))).alias("rot"))
     numbered = spatial.dense_ids(rows, ["gid"], "place")
-    exports.splats(rows, local(f"{path}/s.ply"), 2)
+    exports.splats(rows, f"{path}/s.ply", 2)
     back = ply.splats(spark, f"{path}/s.ply").withColumnRenamed("gid", "place").join(numbered.select("place", "gid"), "place")
     return back.select("gid", F.round(F.col("x").cast("double"), 4).alias("x"), r(F.col("opacity").cast("double"), 4).alias("opacity"), r(F.col("scale")[0].cast("double"), 4).alias("scale"), F.col("f_rest")[7].cast("double").alias("tenth"), "sh_degree")
 
@@ -149,8 +139,8 @@ def SNK03_filtered_splats(spark, d):
     one = lambda *v: F.array(*(F.lit(x).cast("float") for x in v))
     rows = px.splats(spark, d).select("gid", *(F.col(c).cast("float").alias(c) for c in "xyz"), F.lit(0.0).cast("float").alias("opacity"), one(0.5, 0.5, 0.5).alias("f_dc"), one().cast("array<float>").alias("f_rest"), one(0.1, 0.1, 0.1).alias("scale"), one(1.0, 0.0, 0.0, 0.0).alias("rot"))
     numbered = spatial.dense_ids(rows.select("gid"), ["gid"], "place")
-    exports.splats(rows, local(f"{path}/s.ply"), 2)
-    exports.filtered_splats(numbered.where("gid % 3 = 0").select(F.col("place").alias("gid")), f"{path}/s.ply", local(f"{path}/t.ply"))
+    exports.splats(rows, f"{path}/s.ply", 2)
+    exports.filtered_splats(numbered.where("gid % 3 = 0").select(F.col("place").alias("gid")), f"{path}/s.ply", f"{path}/t.ply")
     again = spatial.dense_ids(rows.where("gid % 3 = 0").select(F.col("gid").alias("own")), ["own"], "gid")
     return ply.splats(spark, f"{path}/t.ply").join(again, "gid").select(F.col("own").alias("gid"), F.round(F.col("x").cast("double"), 4).alias("x"), "sh_degree")
 
@@ -158,7 +148,7 @@ def SNK03_filtered_splats(spark, d):
 @query("select f.fid, a.vid as a, round(a.x::float::double, 4) as ax, round(c.z::float::double, 4) + 0.0 as cz from (select *, row_number() over (order by fid) - 1 as place from px_face) f join px_vertex a on a.vid = f.a join px_vertex c on c.vid = f.c", "px_vertex", "px_face")
 def SRC10_SNK03_mesh(spark, d):
     path, f = folder(spark), px.faces(spark, d)
-    exports.mesh(px.vertices(spark, d), f, local(f"{path}/m.ply"))
+    exports.mesh(px.vertices(spark, d), f, f"{path}/m.ply")
     v, t = ply.mesh(spark, f"{path}/m.ply")
     places = spatial.dense_ids(f.select(F.col("fid").alias("own")), ["own"], "fid")
     corner = lambda k: v.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz"))
@@ -172,7 +162,7 @@ def SRC11_SNK03_cloud(spark, d):
     path = folder(spark)
     red = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("z") + 0.5))
     rows = spatial.dense_ids(px.cloud(spark, d), ["id"], "place").select(F.col("place").alias("id"), "x", "y", "z", red.alias("r"), F.lit(0.5).alias("g"), F.lit(1.0).alias("b"))
-    exports.cloud(rows, local(f"{path}/c.ply"))
+    exports.cloud(rows, f"{path}/c.ply")
     kept = rows.where(F.abs((F.col("r") * 255) % 1 - 0.5) > 1e-6).select("id")
     return ply.cloud(spark, f"{path}/c.ply", 3).join(kept, "id", "left_semi").select("id", r(F.col("x"), 4).alias("x"), F.round("r", 4).alias("r"))
 
@@ -192,7 +182,7 @@ def SRC13_SNK11_images(spark, d):
     """Images with an alpha channel, written as PNG files and read again."""
     path, rows = folder(spark), px.images(spark, d)
     alpha = rows.where("c = 0").select("img", F.lit(3).alias("c"), "y", "x", F.col("mask").cast("double").alias("v"))
-    exports.images(rows.select("img", F.col("c").cast("int").alias("c"), "y", "x", F.col("gt").alias("v")).unionAll(alpha), local(f"{path}/x").removesuffix("/x"))
+    exports.images(rows.select("img", F.col("c").cast("int").alias("c"), "y", "x", F.col("gt").alias("v")).unionAll(alpha), path)
     return captures.images(spark, path).select("img", F.col("c").cast("long").alias("c"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("v", 6).alias("v"), "mask")
 
 
@@ -231,7 +221,7 @@ def SRC18_latest_iteration(spark, d):
 def SNK04_visibility(spark, d):
     path = folder(spark)
     o = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 500).alias("point"), (F.col("l_suppkey") % 40).alias("view")).distinct()
-    exports.visibility(o.groupBy("point").agg(F.collect_list("view").alias("views")), local(f"{path}/v.bin"), 40)
+    exports.visibility(o.groupBy("point").agg(F.collect_list("view").alias("views")), f"{path}/v.bin", 40)
     return exports.visibility_rows(spark, f"{path}/v.bin").select("place", "n", "views", "first", "points")
 
 
@@ -252,7 +242,7 @@ def SNK06_report(spark, d):
     path = folder(spark)
     floor = px.points(spark, d).agg(F.count("*").alias("points"), F.round(F.avg("pz"), 4).alias("height")).select(F.struct("*").alias("floor"))
     row = floor.join(F.broadcast(px.observations(spark, d).agg(F.count_distinct("camera_serial").alias("views"))))
-    value = exports.report(row, local(f"{path}/report.json"))
+    value = exports.report(row, f"{path}/report.json")
     exports.text(spark.createDataFrame([(x,) for x in exports.markdown(value, "Report").splitlines()], "value string"), f"{path}/md")
     cells = F.split("value", r" *\| *")
     return spark.read.text(f"{path}/md").where("value LIKE '| %' AND value NOT LIKE '| metric%'").select(cells[1].alias("metric"), cells[2].cast("double").alias("value"))
@@ -302,7 +292,7 @@ def SRC17_SNK09_volume_package(spark, d):
     lists = lambda *c: F.array(*(F.col(x).cast("float") if isinstance(x, str) else F.lit(x).cast("float") for x in c))
     rows = px.splats(spark, d).select("gid", *(F.col(c).cast("float").alias(c) for c in "xyz"), F.col("opacity_logit").cast("float").alias("opacity"), lists("s0", "s1", "s2").alias("scale"), lists(1.0, 0.0, 0.0, 0.0).alias("rot"), lists(0.5, 0.5, 0.5).alias("f_dc"))
     for n in ("a", "b"):
-        exports.volume(rows, local(f"{path}/{n}.zip"), b"#usda 1.0")
+        exports.volume(rows, f"{path}/{n}.zip", b"#usda 1.0")
     e = package.entries(spark, f"{path}/*.zip")
     whole = e.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",").alias("names"), F.max(F.when(F.col("name") == "volume.bin", F.col("sha256"))).alias("sha")).agg(F.first("names").alias("names"), (F.count_distinct("sha") == 1).alias("same"))
     numbered = spatial.dense_ids(px.splats(spark, d).select("gid", "s0"), ["gid"], "row")
@@ -370,7 +360,7 @@ def P35_picture_sizes(spark, d):
 def SNK10_mesh_package(spark, d):
     """A package of layers: the root first, all data at multiples of 64 bytes; the mesh layer's faces are read back."""
     path = folder(spark)
-    exports.usd_mesh(px.vertices(spark, d), px.faces(spark, d), local(f"{path}/m.usdz"))
+    exports.usd_mesh(px.vertices(spark, d), px.faces(spark, d), f"{path}/m.usdz")
     e = package.entries(spark, f"{path}/m.usdz")
     whole = e.agg(F.bool_and(F.col("at") % 64 == 0).alias("aligned"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",").alias("names"))
     listed = F.split(F.regexp_extract(F.col("content").cast("string"), r"faceVertexIndices = \[([^\]]*)\]", 1), ", ")

@@ -6,11 +6,14 @@ kinds of values that payloads have are packed: maps, lists, strings, bytes, whol
 
 from __future__ import annotations
 
+import functools
 import gzip
 import hashlib
 import io
+import math
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,20 +90,78 @@ def fields(raw: bytes) -> dict:
     return {k: np.frombuffer(v["data"], v["dtype"]).reshape(v["shape"]) if isinstance(v, dict) and "dtype" in v else v for k, v in unpack(gzip.decompress(raw)).items()}
 
 
-def zipped(entries: dict[str, bytes]) -> bytes:
-    """Entries in their order, stored as they are, each at a multiple of 64 bytes, all at one fixed time."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, data in entries.items():
-            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
-            begin = out.tell() + 30 + len(name.encode())
-            pad = -begin % 64
-            if 0 < pad < 4:
-                pad += 64
-            if pad:  # an extra field of zeros moves the data
-                info.extra = struct.pack("<HH", 0x1986, pad - 4) + b"\0" * (pad - 4)
-            z.writestr(info, data)
-    return out.getvalue()
+#: The opening of a gzip stream without a name and a time.
+GZIP = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+#: Sizes of entries and of a whole package lie below this.
+MOST = 1 << 32
+_TURNED = 0xEDB88320  # fixed value: the polynomial of zip's and gzip's check sums, lowest power in the highest bit
+crc = zlib.crc32
+
+
+def opened(n: int) -> bytes:
+    """The opening of a map of ``n`` fields."""
+    return _head(dict, n)
+
+
+def array_head(shape: list[int]) -> bytes:
+    """What lies before an array's half floats; they follow as they are."""
+    size = 2 * math.prod(shape)
+    if size >= MOST:
+        raise ValueError("an array of a payload holds less than 4 GiB")
+    return _head(dict, 3) + pack("dtype") + pack("<f2") + pack("shape") + pack(shape) + pack("data") + _head(bytes, size)
+
+
+def stored(data: bytes, last: bool = False) -> bytes:
+    """A block of a deflate stream without compression: at most 65,535 bytes after five others."""
+    return struct.pack("<BHH", last, len(data), len(data) ^ 0xFFFF) + data
+
+
+def _product(a: int, b: int) -> int:
+    """Of two remainders of the check sum's polynomial."""
+    out = 0
+    for i in range(31, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ (_TURNED if b & 1 else 0)
+    return out
+
+
+@functools.lru_cache(maxsize=4096)
+def _shift(n: int) -> int:
+    """The remainder that moves a check sum over ``n`` more bytes."""
+    out, square = 1 << 31, 1 << 23
+    while n:
+        out = _product(out, square) if n & 1 else out
+        square, n = _product(square, square), n >> 1
+    return out
+
+
+def joined(sums: list[tuple[int, int]]) -> tuple[int, int]:
+    """(length, check sum) of parts one after another, from each one's own."""
+    size, value = 0, 0
+    for n, own in sums:
+        size, value = size + n, _product(_shift(n), value) ^ own
+    return size, value
+
+
+def layout(entries: list[tuple[str, int, int]]) -> tuple[list[bytes], bytes]:
+    """What lies before the data of each entry (name, size, check sum) and what ends the package.
+
+    Entries are stored as they are, in their order, each at a multiple of 64 bytes, all at one fixed time.
+    """
+    heads, central, at = [], b"", 0
+    for name, size, check in entries:
+        raw = name.encode()
+        pad = -(at + 30 + len(raw)) % 64
+        pad += 64 if 0 < pad < 4 else 0
+        extra = struct.pack("<HH", 0x1986, pad - 4) + b"\0" * (pad - 4) if pad else b""  # a field of zeros moves the data
+        shared = struct.pack("<HHHHHIIIHH", 20, 0 if name.isascii() else 0x800, 0, 0, 0x21, check, size % MOST, size % MOST, len(raw), len(extra))
+        heads.append(b"PK\x03\x04" + shared + raw + extra)
+        central += b"PK\x01\x02" + struct.pack("<H", 20) + shared + struct.pack("<HHHII", 0, 0, 0, 0, at % MOST) + raw + extra
+        at += len(heads[-1]) + size
+    if at + len(central) >= MOST:
+        raise ValueError("a package holds less than 4 GiB")
+    return heads, central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), len(central), at, 0)
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:

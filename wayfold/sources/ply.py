@@ -10,17 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.sources.store import length, part
+
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
 
 
-def parse(data: bytes) -> dict[str, np.ndarray]:
-    """Elements by name, as structured arrays; lists must have the same length in all rows (triangles do)."""
-    head, mark, body = data.partition(b"end_header\n")
-    if not mark:
-        head, _, body = data.partition(b"end_header\r\n")
+def _opened(data: bytes) -> tuple[bytes, bool, list[tuple[str, int, list]]]:
+    """(header, whether the body is text, elements with their properties) of a file's first bytes."""
+    mark = re.search(rb"end_header\r?\n", data)
+    head = data[: mark.end()] if mark else data
     lines = head.decode("ascii", "replace").splitlines()
     plain = "format ascii 1.0" in lines
-    if not lines or lines[0] != "ply" or not (plain or "format binary_little_endian 1.0" in lines):
+    if not lines or lines[0] != "ply" or not mark or not (plain or "format binary_little_endian 1.0" in lines):
         raise ValueError("not an ASCII or binary little-endian PLY file")
     elements: list[tuple[str, int, list]] = []
     for line in lines:
@@ -31,8 +32,15 @@ def parse(data: bytes) -> dict[str, np.ndarray]:
             elements[-1][2].append((word[4], TYPES[word[2]], TYPES[word[3]]))
         elif word[:1] == ["property"]:
             elements[-1][2].append((word[2], TYPES[word[1]]))
+    return head, plain, elements
+
+
+def parse(data: bytes) -> dict[str, np.ndarray]:
+    """Elements by name, as structured arrays; lists must have the same length in all rows (triangles do)."""
+    head, plain, elements = _opened(data)
+    body = memoryview(data)[len(head) :]
     if plain:
-        return _plain(elements, body)
+        return _plain(elements, bytes(body))
     out, at = {}, 0
     for name, n, fields in elements:
         shape = []
@@ -81,13 +89,12 @@ def _plain(elements: list[tuple[str, int, list]], body: bytes) -> dict[str, np.n
     return out
 
 
-def filtered(data: bytes, element: str, kept: np.ndarray) -> bytes:
-    """The file with only the rows ``kept`` of one element; all other elements and all properties stay."""
-    rows = {}
-    for name, e in parse(data).items():
-        e = e[kept] if name == element else e
-        rows[name] = e[[f for f in e.dtype.names if not (f.endswith("_n") and f[:-2] in e.dtype.names)]]
-    return encode(rows)
+def opening(path: str) -> tuple[bytes, list[tuple[str, int, list]], int]:
+    """(header, elements, where the rows begin) of a binary file with vertices, from its first bytes."""
+    head, plain, elements = _opened(part(path, 0, min(length(path), 1 << 20)))
+    if plain or "vertex" not in [e[0] for e in elements]:
+        raise ValueError("not a binary PLY file with vertices")
+    return head, elements, len(head)
 
 
 def header(elements: list[tuple[str, np.dtype, int]]) -> bytes:
@@ -102,23 +109,6 @@ def header(elements: list[tuple[str, np.dtype, int]]) -> bytes:
     return "\n".join([*lines, "end_header\n"]).encode()
 
 
-def encode(elements: dict[str, np.ndarray]) -> bytes:
-    """The file of structured arrays; a field with a shape becomes a list."""
-    blobs = []
-    for rows in elements.values():
-        shape = []
-        for f in rows.dtype.names:
-            kind = rows.dtype[f]
-            shape += [(f"{f}_n", "u1"), (f, kind.base.newbyteorder("<"), kind.shape)] if kind.shape else [(f, kind.newbyteorder("<"))]
-        packed = np.zeros(len(rows), shape)
-        for f in rows.dtype.names:
-            packed[f] = rows[f]
-            if rows.dtype[f].shape:
-                packed[f"{f}_n"] = rows.dtype[f].shape[0]
-        blobs.append(packed.tobytes())
-    return header([(name, rows.dtype, len(rows)) for name, rows in elements.items()]) + b"".join(blobs)
-
-
 def numbered(names: list[str], prefix: str) -> list[str]:
     """Columns of a prefix by their number: f_rest_2 comes before f_rest_10."""
     found = [n for n in names if re.fullmatch(rf"{re.escape(prefix)}\d+", n)]
