@@ -214,6 +214,56 @@ def pinhole_map(x: Column, y: Column, camera: list[float], k: list[float]) -> tu
     return fx * (u * radial + 2 * k[2] * u * v + k[3] * (r2 + 2 * u * u)) + cx, fy * (v * radial + k[2] * (r2 + 2 * v * v) + 2 * k[3] * u * v) + cy
 
 
+def bent(u: Column, v: Column, k: Vector) -> tuple[Column, Column]:
+    """Normalised coordinates under two radial (k[0], k[1]) and two tangential (k[2], k[3]) terms."""
+    r2 = u * u + v * v
+    radial = 1 + r2 * (k[0] + r2 * k[1])
+    return u * radial + 2 * k[2] * u * v + k[3] * (r2 + 2 * u * u), v * radial + k[2] * (r2 + 2 * v * v) + 2 * k[3] * u * v
+
+
+def straightened(u: Column, v: Column, k: Vector, steps: int = 12) -> Column:
+    """The struct (u, v) that :func:`bent` takes to the given place, by Newton steps from that place on.
+
+    Null where the steps don't end at such a place, as beyond a fold of the distortion.
+    """
+
+    def step(at: Column, _: Column) -> Column:
+        x, y = at["u"], at["v"]
+        r2 = x * x + y * y
+        slope, cross_ = 2 * (k[0] + 2 * k[1] * r2), 2 * (k[2] * x + k[3] * y)
+        radial = 1 + r2 * (k[0] + r2 * k[1])
+        a, b, d = radial + x * x * slope + 2 * k[2] * y + 6 * k[3] * x, x * y * slope + cross_, radial + y * y * slope + 6 * k[2] * y + 2 * k[3] * x
+        e, f = (p - q for p, q in zip(bent(x, y, k), (u, v), strict=True))
+        det = a * d - b * b
+        return F.struct((x - F.try_divide(d * e - b * f, det)).alias("u"), (y - F.try_divide(a * f - b * e, det)).alias("v"))
+
+    def settled(at: Column) -> Column:
+        x, y = bent(at["u"], at["v"], k)
+        return F.when((F.abs(x - u) <= 1e-9 * (1 + F.abs(u))) & (F.abs(y - v) <= 1e-9 * (1 + F.abs(v))), at)
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(u.cast("double").alias("u"), v.cast("double").alias("v")), step)
+    return F.transform(F.array(last), settled)[0]
+
+
+def fisheye_pixel(ray: Vector, focal: Column, centre: Vector, k: Vector, p: Vector, s: Vector) -> tuple[Column, Column]:
+    """Where a direction lies in a fisheye picture; null unless it points forward.
+
+    The angle from the axis is bent by six odd powers ``k``, then two tangential ``p`` and four thin prism terms ``s`` are added.
+    """
+    r = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1])
+    angle = F.atan2(r, ray[2])
+    t2 = angle * angle
+    series = k[5]
+    for x in (*k[4::-1], F.lit(1.0)):
+        series = x + t2 * series
+    scale = F.when(r > 0, angle * series / r).otherwise(F.try_divide(F.lit(1.0), ray[2]))
+    u, v = scale * ray[0], scale * ray[1]
+    r2 = u * u + v * v
+    along = 2 * (u * p[0] + v * p[1])
+    moved = u + u * along + p[0] * r2 + r2 * (s[0] + r2 * s[1]), v + v * along + p[1] * r2 + r2 * (s[2] + r2 * s[3])
+    return tuple(F.when(ray[2] > 0, focal * x + c) for x, c in zip(moved, centre, strict=True))
+
+
 def rotation_between(a: Vector, b: Vector) -> Vector:
     """Nine numbers that turn the unit vector a into b by the smallest angle; the identity where they are parallel, in either sense."""
     v = cross(a, b)

@@ -80,11 +80,7 @@ def squared_mask(df: DataFrame, keys: list[str], width: int, side: int) -> DataF
 
 def remapped(image: DataFrame, asked: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, id, value): linear samples of ``image`` (keys, y, x, value) at ``asked`` (keys, id, u, v); zero beyond the border."""
-    a, b = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
-    corner = lambda i, j: F.struct((F.floor("u") + i).alias("x"), (F.floor("v") + j).alias("y"), ((a if i else 1 - a) * (b if j else 1 - b)).alias("w"))
-    taps = asked.select(*keys, "id", F.inline(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))))
-    found = taps.join(image.select(*keys, "y", "x", value), [*keys, "y", "x"], "left")
-    return found.groupBy(*keys, "id").agg(F.sum(F.col("w") * F.coalesce(value, F.lit(0.0))).alias(value))
+    return tiles.sampled(image, asked.select(*keys, "id", "u", "v"), keys, [value]).select(*keys, "id", value)
 
 
 def scale_invariant(df: DataFrame, image: list[str]) -> DataFrame:

@@ -86,6 +86,38 @@ def sums(df: DataFrame, image: list[str], values: list[str], halo: int, apply: F
     return _dealt(df, image, own, values, halo, side).applyInArrow(run, schema).groupBy(*image).agg(F.sum("n").alias("n"), *(F.sum(r).alias(r) for r in results))
 
 
+def sampled(df: DataFrame, asked: DataFrame, image: list[str], values: list[str], side: int = SIDE) -> DataFrame:
+    """``asked`` (image, u, v and more) with linear samples of ``values`` of ``df`` (image, y, x, values) at column u and row v.
+
+    A place goes to the tile it lies in, which has a halo of one pixel, so neither pixels nor places are sent once for each of
+    the four. Pixels that don't exist count as zero; a place without u or v gets zeros.
+    """
+    kinds = dict(asked.dtypes)
+    own = [c for c in asked.columns if c not in image]
+    tile = lambda c: F.coalesce(F.floor(F.col(c) / side).cast("long"), F.lit(-2).cast("long"))
+    places = asked.withColumn("_ty", tile("v")).withColumn("_tx", tile("u")).groupBy(*image, "_ty", "_tx")
+
+    def run(key: tuple, pixels_: pa.Table, found: pa.Table) -> pa.Table:
+        top, left = (key[len(image) + i].as_py() * side - 1 for i in (0, 1))
+        u, v = (found.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "uv")
+        there = np.isfinite(u) & np.isfinite(v)
+        u, v = np.where(there, u, left), np.where(there, v, top)
+        j, i = np.floor(u).astype(np.int64), np.floor(v).astype(np.int64)
+        a, b = u - j, v - i
+        out = [found.column(c) for c in (*image, *own)]
+        for name in values:
+            grid = np.zeros((side + 3, side + 3))
+            if len(pixels_):
+                grid[pixels_.column("y").to_numpy() - top, pixels_.column("x").to_numpy() - left] = pixels_.column(name).to_numpy()
+            i0, j0 = i - top, j - left
+            value = (1 - b) * ((1 - a) * grid[i0, j0] + a * grid[i0, j0 + 1]) + b * ((1 - a) * grid[i0 + 1, j0] + a * grid[i0 + 1, j0 + 1])
+            out.append(pa.array(np.where(there, value, 0.0)))
+        return pa.Table.from_arrays(out, [*image, *own, *values])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*image, *own)), *(f"`{v}` double" for v in values)])
+    return _dealt(df, image, [], values, 1, side).cogroup(places).applyInArrow(run, schema)
+
+
 def separable(grid: np.ndarray, weights: list[float]) -> np.ndarray:
     """Sums with the same weights along both axes; the result lacks the halo."""
     n = len(weights)

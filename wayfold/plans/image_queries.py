@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import color
 from wayfold.functions import geometry as g
-from wayfold.operators import metrics
+from wayfold.operators import metrics, rectify
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -174,6 +174,43 @@ def P26_pinhole_map(spark, d):
     return resampled(spark, d, *g.pinhole_map(F.col("x"), F.col("y"), [20.0, 21.0, 15.5, 15.5], [0.1, -0.02, 0.003, -0.0004]))
 
 
+def P26_pinhole_rectified(spark, d):
+    """Pictures under the optimal matrix of their own camera, with a mask of what is inside."""
+    k = F.array(0.1 - 0.02 * (F.col("img") % 3), F.lit(-0.02), F.lit(0.003), F.lit(-0.0004))
+    cameras = px.image_ids(spark, d).select("img", *(F.lit(v).alias(c) for c, v in (("fx", 20.0), ("fy", 21.0), ("cx", 15.5), ("cy", 15.5), ("width", 32), ("height", 32))), k.alias("k"))
+    found = rectify.pinhole(px.images(spark, d).where("c = 0"), cameras, ["img"], ["gt"])
+    return found.select("img", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("gt", 5).alias("value"), "mask")
+
+
+QUERIES["P26_pinhole_rectified"] = P26_pinhole_rectified
+#: The border is straightened by plain repetition here, by Newton steps in the operator.
+ORACLE_SQL["P26_pinhole_rectified"] = f"""with recursive px_img as ({px.SQL['px_img']}), cam as (select distinct img, 0.1::double - 0.02::double*(img % 3) as k1 from px_img),
+s(side, a0, a1, b0, b1) as (values ('left', 0, 0, 0, 1), ('right', 1, 0, 0, 1), ('top', 0, 1, 0, 0), ('bottom', 0, 1, 1, 0)),
+p as (select k1, side, i, ((a0 + a1*i/8.0::double)*31 - 15.5)/20 as x, ((b0 + b1*i/8.0::double)*31 - 15.5)/21 as y from (select distinct k1 from cam), s, range(9) r(i)),
+it as (select k1, side, i, x, y, x as u, y as v, 0 as n from p union all
+  select k1, side, i, x, y, (x - (2*0.003*u*v - 0.0004*(u*u+v*v + 2*u*u)))/(1 + k1*(u*u+v*v) - 0.02*(u*u+v*v)**2), (y - (0.003*(u*u+v*v + 2*v*v) - 2*0.0004*u*v))/(1 + k1*(u*u+v*v) - 0.02*(u*u+v*v)**2), n + 1 from it where n < 80),
+e as (select k1, max(u) filter (side = 'left') as x0, min(u) filter (side = 'right') as x1, max(v) filter (side = 'top') as y0, min(v) filter (side = 'bottom') as y1 from it where n = 80 group by k1),
+q as (select img, y, x, k1, x0 + x*(x1 - x0)/31 as u, y0 + y*(y1 - y0)/31 as v from cam join e using (k1), range(32) a(y), range(32) b(x)),
+t as (select img, y, x, 20*(u*(1 + k1*(u*u+v*v) - 0.02*(u*u+v*v)**2) + 2*0.003*u*v - 0.0004*(u*u+v*v + 2*u*u)) + 15.5 as u, 21*(v*(1 + k1*(u*u+v*v) - 0.02*(u*u+v*v)**2) + 0.003*(u*u+v*v + 2*v*v) - 2*0.0004*u*v) + 15.5 as v from q),
+f as (select img, y, x, floor(u) as x0, floor(v) as y0, u - floor(u) as a, v - floor(v) as b from t),
+k as (select img, y, x, x0 + dx as sx, y0 + dy as sy, (case when dx = 1 then a else 1 - a end)*(case when dy = 1 then b else 1 - b end) as w from f, range(2) q(dx), range(2) z(dy))
+select k.img, k.y, k.x, round(sum(w*coalesce(i.gt, 0)), 5) as value, floor(round(255*sum(case when i.gt is null then 0 else w end), 6))::int as mask from k left join px_img i on i.c = 0 and i.img = k.img and i.x = k.sx and i.y = k.sy group by all"""
+
+
+#: Fixed parameters of a fisheye camera: six radial, two tangential and four thin prism terms.
+LENS = {"k": [0.05, -0.01, 0.002, 0.0, 0.0, 0.0001], "p": [0.001, -0.002], "s": [0.0005, 0.0001, -0.0004, 0.0]}
+
+
+@query("@q as (select img, y, x, (x - 11.5)/14 as a, (y - 11.5)/14 as b, 18.0::double + img % 2 as f from (select distinct img from px_img), range(24) r(y), range(24) s(x)), n as (select *, sqrt(a*a+b*b) as r, atan(sqrt(a*a+b*b)) as t from q), g as (select *, t*(1 + 0.05*t**2 - 0.01*t**4 + 0.002*t**6 + 0.0001*t**12)/r as k from n), h as (select img, y, x, f, k*a as u, k*b as v, (k*a)**2 + (k*b)**2 as r2 from g), t as (select img, y, x, f*(u + 2*u*(0.001*u - 0.002*v) + 0.001*r2 + 0.0005*r2 + 0.0001*r2*r2) + 15.5 as u, f*(v + 2*v*(0.001*u - 0.002*v) - 0.002*r2 - 0.0004*r2) + 15.5 as v from h), m as (select *, case when u >= 0 and u <= 31 and v >= 0 and v <= 31 then 1 else 0 end as inside from t), c as (select *, floor(u) as x0, floor(v) as y0, u - floor(u) as a, v - floor(v) as b from m), k as (select c.*, x0 + dx as sx, y0 + dy as sy, (case when dx = 1 then a else 1 - a end)*(case when dy = 1 then b else 1 - b end) as w from c, range(2) q(dx), range(2) z(dy)) select k.img, k.y, k.x, inside*round(sum(w*coalesce(i.gt, 0)), 5) as value, (inside*floor(round(sum(w*coalesce(case when i.gt is not null then 255*(1 - ((sx-15.5)**2 + (sy-15.5)**2)/2000) end, 0)), 6)))::int as vignette, 255*inside as mask, (inside*floor(round(255*v/31, 6)))::int as row from k left join px_img i on i.c = 0 and i.img = k.img and i.x = k.sx and i.y = k.sy group by k.img, k.y, k.x, inside, v", "px_img")
+def K11_fisheye_rectified(spark, d):
+    """Fisheye pictures as a linear camera sees them, with their vignette, mask and rows of read-out."""
+    fixed = [F.lit(v).alias(c) for c, v in (("cx", 15.5), ("cy", 15.5), ("width", 32), ("height", 32))]
+    cameras = px.image_ids(spark, d).select("img", (18.0 + F.col("img") % 2).alias("f"), *fixed, *(F.array(*map(F.lit, v)).alias(c) for c, v in LENS.items()))
+    vignette = 255 * (1 - ((F.col("x") - 15.5) ** 2 + (F.col("y") - 15.5) ** 2) / 2000)
+    found = rectify.fisheye(px.images(spark, d).where("c = 0").withColumn("vignette", vignette), cameras, ["img"], ["gt", "vignette"], 14.0, 24)
+    return found.select("img", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.round("gt", 5).alias("value"), F.floor(F.round("vignette", 6)).cast("int").alias("vignette"), "mask", "row")
+
+
 @query("@d as (select img, y, x, 1 + gt as z, (1+gt)*(x-15.5)/30 as wx, (1+gt)*(y-15.5)/30 as wy from px_img where c = 0), n as (select d.*, (ry.wx-ly.wx) as ax, (ry.wy-ly.wy) as ay, (ry.z-ly.z) as az, (rx.wx-lx.wx) as bx, (rx.wy-lx.wy) as by_, (rx.z-lx.z) as bz from d left join d rx on rx.img=d.img and rx.y=d.y and rx.x=d.x+1 left join d lx on lx.img=d.img and lx.y=d.y and lx.x=d.x-1 left join d ry on ry.img=d.img and ry.x=d.x and ry.y=d.y+1 left join d ly on ly.img=d.img and ly.x=d.x and ly.y=d.y-1), c as (select img, y, x, ay*bz-az*by_ as nx, az*bx-ax*bz as ny, ax*by_-ay*bx as nz from n) select img, y, x, coalesce(round(nx/sqrt(nx*nx+ny*ny+nz*nz), 5), 0) + 0.0 as nx, coalesce(round(ny/sqrt(nx*nx+ny*ny+nz*nz), 5), 0) + 0.0 as ny, coalesce(round(nz/sqrt(nx*nx+ny*ny+nz*nz), 5), 0) + 0.0 as nz from c", "px_img")
 def P24_W11_depth_to_normal(spark, d):
     z = 1 + gt()
