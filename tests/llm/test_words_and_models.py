@@ -5,6 +5,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from wayfold.llm import _words, brown_lm, quality_classifier
@@ -197,3 +198,47 @@ def test_quality(spark):
     assert {r.predicted for r in quality_classifier.score(docs, one).collect()} == {1}
     none = quality_classifier.fit(docs, labels.limit(0))
     assert {r.score for r in quality_classifier.score(docs, none).collect()} == {0.5}
+
+
+def test_quality_against_a_plain_version(spark):
+    rng = random.Random(9)
+    words = ["river", "walks", "valley", "spring", "people", "stone", "winter", "paper", "light", "garden"]
+    text = lambda bad: " ".join(rng.choice(words[5 * (rng.random() < (0.75 if bad else 0.25)) :][:5]) + rng.choice(["", "s", "ing"]) for _ in range(rng.randrange(40, 300)))
+    rows = [(i, text(i % 3 == 0), 7) for i in range(240)] + [(300, "é" * 700, 7), (301, "", 7), (302, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")  # a column of the labels' name
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(240)], "doc_id long, quality int")
+    settings = quality_classifier.Settings(dict_bytes=4096)
+    model = quality_classifier.fit(docs, labels, settings)
+    found = {r.doc_id: r for r in quality_classifier.score(docs, model).collect()}
+
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    of = dict((i, (t or "").encode()) for i, t, _ in rows)
+    sides = [[of[i] for i in order if (i % 3 != 0) == good] for good in (True, False)]
+    made = [zstandard.train_dictionary(4096, x[::2]).as_bytes() for x in sides]
+
+    def size(t, dictionary):
+        one = zstandard.ZstdCompressionDict(dictionary)
+        return sum(len(zstandard.ZstdCompressor(level=3, dict_data=one, write_content_size=False, write_dict_id=False).compress(t[i : i + 256])) for i in range(0, len(t), 256))
+
+    plain = {i: (size(t, made[1]) - size(t, made[0])) / (size(t, made[1]) + size(t, made[0])) if t else 0.0 for i, t in of.items()}
+    assert all(abs(found[i].difference - x) < 1e-12 for i, x in plain.items())
+    # the fit: no neighbour has a greater likelihood of the rows that the dictionaries have not seen
+    seen = [(next(plain[i] for i in of if of[i] == t), y, n / len(x[1::2])) for x, y, n in ((sides[0], 1, 160), (sides[1], 0, 80)) for t in x[1::2]]
+    total = sum(w for *_, w in seen) / len(seen)
+    likely = lambda a, b: sum(w / total * -math.log1p(math.exp(-(a + b * x) if y else a + b * x)) for x, y, w in seen) - 0.5e-3 * b * b
+    best = likely(model.intercept, model.slope)
+    assert model.slope > 1 and all(likely(model.intercept + i, model.slope + j) < best + 1e-9 for i, j in ((0.05, 0), (-0.05, 0), (0, 0.5), (0, -0.5), (0.05, 0.5), (-0.05, -0.5), (0.05, -0.5)))
+    assert all(abs(found[i].score - 1 / (1 + math.exp(-model.intercept - model.slope * x))) < 1e-12 for i, x in plain.items())
+
+
+def test_quality_sample_by_class_and_too_little_text(spark):
+    # one id of class 0 comes a thousand times; class 1 keeps its rows
+    docs = spark.createDataFrame([(1, f"bad {i}") for i in range(1000)] + [(i, f"a good text of its own {i}") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)] + [(i, 1) for i in range(2, 12)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="too little labelled text"):
+        model = quality_classifier.fit(docs, labels, quality_classifier.Settings(sample=10))
+    assert {round(r.score, 9) for r in quality_classifier.score(docs, model).collect()} == {0.5}  # ten rows of each
+    asked = quality_classifier.fit(docs, labels, quality_classifier.Settings(sample=10, dictionaries="content"))
+    assert asked.raw and asked.good.startswith(b"a good text") and asked.bad.startswith(b"bad")
+    with pytest.raises(ValueError, match="no kind of dictionary"):
+        quality_classifier.fit(docs, labels, quality_classifier.Settings(dictionaries="other"))

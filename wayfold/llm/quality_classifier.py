@@ -7,13 +7,13 @@ rows that the dictionaries have not seen turns it into the probability of the go
 
 The fit reads the whole texts of a bounded sample (``Settings.sample`` labelled rows a class, chosen by hash);
 scoring reads every whole text. ``Settings.dictionaries`` names the kind: "trained" by zstandard's trainer, or
-"content", the sample's text itself. The trainer needs more text than a few short rows have: where it refuses, the fit warns
-and uses "content", and ``Model.raw`` says so.
+"content", the sample's text itself. One never stands in for the other.
 
 Cases: null text counts as empty and has the feature 0. Labels that are null or neither 0 nor 1
-are ignored, repeated equal labels count once. Without a label of one class every score is the
-share of good labels among the sampled ones (0.5 without labels). Repeated and tied rows are scored alike;
-extra columns are ignored; an empty table gives an empty result.
+are ignored, repeated equal labels count once; an id with both labels counts for both. Without a label of one class, or where the
+trainer refuses because there is too little text (the fit warns), every score is the share of good labels among the sampled ones
+(0.5 without labels). Ids that hash alike are taken by id, rows of one id by the hash of their text. Repeated and tied rows are scored
+alike; extra columns are ignored, a column ``quality`` of the documents too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,15 +76,18 @@ def difference(text: bytes, compressors: list[zstandard.ZstdCompressor], block:
     return (bad - good) / (bad + good)
 
 
-def _dictionaries(good: list[bytes], bad: list[bytes], settings: Settings) -> tuple[bytes, bytes, bool]:
-    """Two dictionaries and whether they are plain content."""
+def _dictionaries(good: list[bytes], bad: list[bytes], settings: Settings) -> tuple[bytes, bytes] | None:
+    """Two dictionaries of the kind that the settings name; none where the trainer has too little text."""
     size = settings.dict_bytes
-    if settings.dictionaries == "trained":
-        try:
-            return tuple(zstandard.train_dictionary(size, x).as_bytes() for x in (good, bad)) + (False,)
-        except zstandard.ZstdError as refused:
-            warnings.warn(f"too little labelled text to train dictionaries ({refused}); its content is used", stacklevel=2)
-    return tuple((b"\n".join(x) or b" " * 8)[-size:].rjust(8) for x in (good, bad)) + (True,)
+    if settings.dictionaries == "content":
+        return tuple((b"\n".join(x) or b" " * 8)[-size:].rjust(8) for x in (good, bad))
+    if settings.dictionaries != "trained":
+        raise ValueError(f"{settings.dictionaries} is no kind of dictionary: trained or content")
+    try:
+        return tuple(zstandard.train_dictionary(size, x).as_bytes() for x in (good, bad))
+    except zstandard.ZstdError as refused:
+        warnings.warn(f"too little labelled text to train dictionaries ({refused}): all scores are the share of good labels", stacklevel=2)
+        return None
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -111,16 +114,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         chosen = one if chosen is None else chosen.unionAll(one)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # 2 * sample ids at most
-    kept = {0: [], 1: []}
-    # repeated ids may bring more rows than ids: the sample's bound holds for rows
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * settings.sample).toLocalIterator():
-        kept[r["quality"]].append(r["text"].encode())
-    good, bad = kept[1], kept[0]
-    if not good or not bad:
-        share = (len(good) or 0.5 * (not bad)) / max(1, len(good) + len(bad))
+    # repeated ids may bring more rows than ids: the sample's bound holds for the rows of each class
+    good, bad = ([r["text"].encode() for r in rows.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(settings.sample).toLocalIterator()] for q in (1, 0))
+    found = _dictionaries(good[::2], bad[::2], settings) if good and bad else None
+    if found is None:
+        share = len(good) / (len(good) + len(bad)) if good or bad else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(b" " * 8, b" " * 8, True, float(np.log(share / (1 - share))), 0.0, settings)
-    a, b, raw = _dictionaries(good[::2], bad[::2], settings)
+    (a, b), raw = found, settings.dictionaries == "content"
     model = Model(a, b, raw, 0.0, 0.0, settings)
     by = model.compressors()
     seen = [(difference(t, by, settings.block), q, len(x)) for q, x in ((1, good[1::2] or good), (0, bad[1::2] or bad)) for t in x]
