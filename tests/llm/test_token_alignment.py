@@ -78,6 +78,19 @@ def test_in_small_portions(spark, rows, monkeypatch):
     assert result(spark, rows, most=5) == want(rows)
 
 
+def test_parts_that_earlier_texts_end_with():
+    aligned = token_alignment.Aligned(A, B)
+    later = ["two  spaces", "indented:\n        x = 1", "ends\n  again", "ends\n \n lines", "a tab\t  \n", " " * 7, "x" + " " * 17]
+    for i in range(20):  # what an empty text leaves behind depends on the order of a set
+        aligned.clear()
+        assert aligned.chunked(["", f"word{i}"])[0] == []
+        aligned.chunked(["ends\n", f"tab{i}\t", "\n"])
+        for text, own in zip(later, aligned.chunked(later), strict=True):
+            g = plainly(text)
+            assert aligned.stats[own].sum(axis=0).tolist() == [sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), sum(len(a) * len(b) for a, b in g)]
+            assert b"".join(aligned.text[w] for w in own) == "".join(f"{','.join(map(str, a))}|{','.join(map(str, b))};" for a, b in g).encode()
+
+
 def test_components_of_any_graph():
     rng = np.random.default_rng(4)
     for _ in range(50):

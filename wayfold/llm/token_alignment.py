@@ -101,6 +101,7 @@ class Aligned:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}  # -1: its tokens don't give it back
+        self.loose: set[str] = set()  # odd parts seen; some are chunks as well, where a text ends with them
         self.text: list[bytes] = []
         self.stats = np.zeros((1 << 16, 4), np.int64)
         self.ptr = np.zeros((1 << 16) + 1, np.int64)
@@ -173,16 +174,18 @@ class Aligned:
 
     def chunked(self, texts: list[str]) -> list[list[int]]:
         """The numbers of each text's chunks; none where its tokens don't give it back."""
-        cut = [t.split(" ") for t in texts]
-        new = set().union(*cut).difference(self.number)
-        loose = {w for w in new if _bpe.odd(w)}
+        cut = [t.split(" ") if t else [] for t in texts]
+        found = set().union(*cut)
+        new = found.difference(self.number)
+        self.loose.update(w for w in new if _bpe.odd(w))
+        loose = self.loose & found  # known ones, too, belong to their neighbours
         if loose:
             cut = [x if loose.isdisjoint(x) else _bpe.chunks(x) for x in cut]
             new = set().union(*cut).difference(self.number)
         self.learn(list(new))
         get, out = self.number.__getitem__, []
         for text, x in zip(texts, cut, strict=True):
-            own = list(map(get, x)) if text else []
+            own = list(map(get, x))
             if -1 in own:  # decided by the whole text
                 if text not in self.number:
                     self.learn([text])
