@@ -72,3 +72,15 @@ def test_patterns_use_every_piece_once_and_refine():
 
 def test_empty_table(docs):
     assert packing.pack(docs.where("doc_id < 0"), VOCABULARY).collect() == []
+
+
+def test_letters_need_the_merges_alone():
+    made = packing.words_of(public_tokenizers.path("word_bpe_49k.json"))
+    assert made is packing.words_of(public_tokenizers.path("word_bpe_49k.json"))  # tasks of a worker share it
+    texts = ["", " Straße, ÀÉÎ. ªº µm Word. word, WORD", "don't re's ll0 a.b. x,, .", "İstanbul Σας ŉ ﬁ 日本 été", "a\x1cb word", "<|endoftext|> zzqxj ÿÿ ß."]
+    for _ in range(2):
+        want = made.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert made.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
+    small = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), most=3)
+    for t, e in zip(texts * 2, want * 2, strict=True):
+        assert small.encode([t]) == [np.array(e.ids, "<u4").tobytes()]

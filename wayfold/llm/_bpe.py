@@ -7,6 +7,7 @@ a space behind another character, so neither tokenizer ever merges across a cut.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ TOGETHER = 1000
 
 def odd(part: str) -> bool:
     """Whether a part between spaces is empty or has white space at an end, so that its neighbours belong to it."""
-    return not part or part[0].isspace() or part[-1].isspace()
+    return not part or part.strip() != part
 
 
 def chunks(parts: list[str]) -> list[str]:
@@ -32,6 +33,19 @@ def chunks(parts: list[str]) -> list[str]:
     return out
 
 
+def recalled(now: dict[str, bytes], old: dict[str, bytes], cut: list[list[str]]) -> tuple[list[list[bytes | None]], set[str]]:
+    """What a memo of two generations has for each text's words, None where nothing, and the words it lacks."""
+    got = [list(map(now.get, x)) for x in cut]
+    new = {w for x, g in zip(cut, got, strict=True) if None in g for w, v in zip(x, g, strict=True) if v is None}
+    now.update({w: old[w] for w in new if w in old})
+    return got, new.difference(now) if old else new
+
+
+def joined(now: dict[str, bytes], words: list[str], got: list[bytes | None]) -> bytes:
+    """The ids of a text, once the words that ``got`` lacks are known."""
+    return b"".join([now[w] if v is None else v for w, v in zip(words, got, strict=True)] if None in got else got)
+
+
 def byte_values() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -47,6 +61,23 @@ def tokenizer(vocabulary: str):  # noqa: ANN201  the library is imported in task
     return made
 
 
+def lettered(word: str) -> bool:
+    """Whether a word has letters alone, of blocks that are letters by every version of Unicode."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
+def of_letters(made) -> Callable[[str], list[int]]:  # noqa: ANN001
+    """``made``'s ids of words of letters alone by its merges only: its pattern makes each, with a space before it or not, one pre-token.
+    Line feeds before the words mark the cuts."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    own = Tokenizer(made.model)
+    own.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    letters = {b: c for c, b in byte_values().items()} | {ord("\n"): " "}
+    table = "".join(letters[b] for b in range(256))
+    return lambda t: own.encode_batch_fast([codecs.charmap_decode(t.encode(), "strict", table)[0]], add_special_tokens=False)[0].ids
+
+
 def token_bytes(made) -> list[bytes]:  # noqa: ANN001
     """The bytes of each id of a byte-level vocabulary; added tokens stand for their own text."""
     values, names = byte_values(), made.get_vocab(with_added_tokens=True)

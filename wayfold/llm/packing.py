@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm import _bpe
 from wayfold.llm._shared import keep, small_batches
 
 #: Separators that Python splits at and the vocabulary's white space does not contain.
@@ -54,59 +56,71 @@ class WordIds:
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stops = {c: self._ids([c])[0] for c in ".,"}
+        self.of_letters = _bpe.of_letters(self.tokenizer)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(names.values()) + 1, bool)
+        self.is_end[[i for name, i in names.items() if name.endswith("</w>")]] = True
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 and self.tokenizer.encode(f"a {_MARK} b", add_special_tokens=False).ids.count(mark[0]) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, word: str) -> bool:
-        if word not in self.now and word in self.old:
-            self.now[word] = self.old[word]
-        return word in self.now
-
     def _learn(self, new: list[str]) -> None:
         """Ids of new words; those of Latin-1 words from their lower case without a last full stop or comma.
 
         The vocabulary lowers letters itself, and such a stop after a letter is always a token of its own.
+        What is left of most is letters alone, which need neither its normalizer nor its pattern.
         """
-        bases, todo = [], {}
-        for w in new:
-            latin = w.isascii() or max(w) <= "\xff"
-            c = w.lower() if latin else w
-            stop = latin and len(c) > 1 and c[-1] in self.stops and c[-2].isalpha()
-            base = c[:-1] if stop else c
-            bases.append((w, base, self.stops[c[-1]] if stop else b""))
-            if base not in todo and not self._known(base):
-                todo[base] = None
-        plain = [w for w in todo if _MARK not in w] if self.mark is not None else []
-        for i in range(0, len(plain), 4000):
-            some = plain[i : i + 4000]
+        now, old, stops = self.now, self.old, self.stops
+        latin = [w for w in new if w.isascii() or max(w) <= "\xff"]
+        lower = " ".join(latin).lower().split(" ") if latin else []
+        bases = [c[:-1] if c[-1] in stops and c[-2:-1].isalpha() else c for c in lower]
+        todo = set(bases)
+        if len(latin) < len(new):
+            todo.update(set(new).difference(latin))
+        letters, other = [], []
+        for w in todo.difference(now):
+            if w in old:
+                now[w] = old[w]
+            else:
+                (letters if w.isalpha() and (w.isascii() or max(w) <= "\xff") else other).append(w)
+        for i in range(0, len(letters), 500):
+            some = letters[i : i + 500]
+            ids = np.array(self.of_letters("\n".join(some)), "<u4")
+            self._keep(some, ids, np.flatnonzero(self.is_end[ids]) + 1, 0)
+        plain = [w for w in other if _MARK not in w] if self.mark is not None else []
+        for i in range(0, len(plain), 500):
+            some = plain[i : i + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                self.now[w] = raw[4 * start : 4 * end]
-                start = end + 1
-        other = [w for w in todo if _MARK in w] if self.mark is not None else list(todo)
-        self.now.update(zip(other, self._ids(other), strict=True))
-        for w, base, stop in bases:
-            self.now[w] = self.now[base] + stop
+            self._keep(some, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
+        rest = [w for w in other if _MARK in w] if self.mark is not None else other
+        now.update(zip(rest, self._ids(rest), strict=True))
+        for w, c, base in zip(latin, lower, bases, strict=True):
+            if c is not base:
+                now[w] = now[base] + stops[c[-1]]
+            elif w != c:
+                now[w] = now[c]
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        """Remember the words' ids, which end at ``ends``; ``gap`` ids lie between two words."""
+        raw, upto = ids.tobytes(), (4 * ends).tolist()
+        self.now.update(zip(words, [raw[s:e] for s, e in zip([0, *(e + 4 * gap for e in upto[:-1])], upto, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.now) > self.most:
             self.old, self.now = self.now, {}
-        words = [None if _ODD.search(t) else t.split() for t in texts]
-        now, old, new = self.now, self.old, []
-        for w in set().union(*(x for x in words if x)).difference(now):
-            if w in old:
-                now[w] = old[w]
-            else:
-                new.append(w)
-        self._learn(new)
-        get = now.__getitem__
-        return [self._ids([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, words, strict=True)]
+        words = [[] if _ODD.search(t) else t.split() for t in texts]
+        got, new = _bpe.recalled(self.now, self.old, words)
+        self._learn(list(new))
+        return [_bpe.joined(self.now, x, g) if x else self._ids([t])[0] if t else b"" for t, x, g in zip(texts, words, got, strict=True)]
+
+
+@lru_cache(1)
+def words_of(vocabulary: str) -> WordIds:
+    """One for each worker process, so that a task knows what earlier ones have learned."""
+    return WordIds(vocabulary, 600_000)
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end: int = 0) -> DataFrame:
@@ -115,7 +129,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end: int = 0) ->
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = WordIds(vocabulary), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        words, part, seen = words_of(vocabulary), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
