@@ -101,3 +101,14 @@ def test_empty_table(spark, docs, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_files.write(docs.where("start > 1"), path, VOCABULARY)
     assert token_files.read(spark, path).collect() == []
+
+
+def test_letters_need_the_merges_alone():
+    texts = ["", " Straße, ÀÉÎ. ªº µm Word. word, WORD", "don't re's ll0 a.b. x,, .", "x İstanbul Σας ŉ ﬁ 日本 été", "a\x1cb  word\n\nends\n", "x ends\n  ends\n .", "<|endoftext|> zzqxj ÿÿ ß."]
+    made = token_files.Texts(public_tokenizers.path("byte_bpe_50k.json"), most=3)
+    own, calls = made._of_letters, []
+    made._of_letters = lambda t: calls.append(t) or own(t)
+    for some in (texts, texts[::-1], *([t] for t in texts)):
+        want = made.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        assert made.encode(some) == [np.array(e.ids, "<u4").tobytes() for e in want]
+    assert " ÀÉÎ" in calls[0] and "日" not in "".join(calls)

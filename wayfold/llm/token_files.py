@@ -63,17 +63,18 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     level = np.zeros(held.shape, np.int8)
     level[:, :BLOCK] = _LEVEL[held[:, :BLOCK]] if held.max() < len(_LEVEL) else np.searchsorted(_LIMITS, held[:, :BLOCK], "right")
     # a selector that fits has more ids than all later ones, and these fit as well: only blocks where one fits need the one before it
-    place, last = np.arange(held.shape[1], dtype=np.int16), len(SELECTORS) - 1
+    last = len(SELECTORS) - 1
     chosen = np.where(level[:, :BLOCK] < last, np.int8(last), np.int8(0))
     every = min(last, int(level.max()) + 1)
     if every < last:
         chosen[:] = every
     some = np.arange(blocks)
     for s in range(every - 1, 0, -1):
-        over = level[some] > s - 1
-        beyond = np.where(over, place, np.int16(held.shape[1]))
-        beyond = np.minimum.accumulate(beyond[:, ::-1], axis=1)[:, ::-1][:, :BLOCK]
-        fits = beyond - place[:BLOCK] >= _COUNT[s]
+        over, n_seen = level[some] > s - 1, 1  # any too wide among the next n_seen
+        while n_seen < _COUNT[s]:
+            more = min(n_seen, int(_COUNT[s]) - n_seen)
+            over, n_seen = over[:, :-more] | over[:, more:], n_seen + more
+        fits = ~over[:, :BLOCK]
         own = chosen[some]
         own[fits] = s
         chosen[some] = own
@@ -142,23 +143,32 @@ class Texts:
         self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        own = _bpe.of_letters(self.tokenizer)
+        self._of_letters = lambda t: own(t.replace(" ", "\n ")[1:])
+        self._of_text = lambda t: self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids
         self.stops = dict(zip(".,", self._whole([".", ","]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, found: list[str]) -> None:
-        """Ids of new chunks; a full stop or comma behind a letter is a token of its own."""
-        base = [w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in found]
-        new = list({w for w in base if w not in self.now})
-        raw, bounds = _bpe.encode_chunks(new, lambda t: self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, self.sizes)
-        bounds = (4 * bounds).tolist()
-        raw = raw.astype("<u4").tobytes()
-        for w, s, e in zip(new, bounds, bounds[1:], strict=False):
-            self.now[w] = raw[s:e]
+        """Ids of new chunks; a full stop or comma behind a letter is a token of its own, and words of letters need no pattern."""
+        now, old, stops = self.now, self.old, self.stops
+        base = [w[:-1] if w[-1:] in stops and w[-2:-1].isalpha() else w for w in found]
+        letters, other = [], []
+        for w in set(base).difference(now):
+            if w in old:
+                now[w] = old[w]
+            else:
+                (letters if _bpe.lettered(w) else other).append(w)
+        for new, ids in ((letters, self._of_letters), (other, self._of_text)):
+            raw, bounds = _bpe.encode_chunks(new, ids, self.sizes)
+            bounds = (4 * bounds).tolist()
+            raw = raw.astype("<u4").tobytes()
+            now.update(zip(new, [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], strict=False))
         for w, b in zip(found, base, strict=True):
-            if len(w) != len(b):
-                self.now[w] = self.now[b] + self.stops[w[-1]]
+            if w is not b:
+                now[w] = now[b] + stops[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -166,19 +176,16 @@ class Texts:
             self.old, self.now = self.now, {}
         now, old = self.now, self.old
         cut = [t.split(" ") for t in texts]
-        new = []
-        for w in set().union(*(x[1:] for x in cut)).difference(now):
-            if w in old:
-                now[w] = old[w]
-            else:
-                new.append(w)
+        heads, cut = [x[0] for x in cut], [x[1:] for x in cut]
+        got, new = _bpe.recalled(now, old, cut)
         loose = {w for w in new if _bpe.odd(w)}
-        if loose or any(_bpe.odd(x[0]) for x in cut):
-            cut = [_bpe.chunks(x) if _bpe.odd(x[0]) or not loose.isdisjoint(x) else x for x in cut]
-            new = list(set().union(*(x[1:] for x in cut)).difference(now))
-        self._learn(new)
-        get = now.__getitem__
-        return [head + b"".join(map(get, x[1:])) for head, x in zip(self._whole([x[0] for x in cut]), cut, strict=True)]
+        again = [i for i, (h, x) in enumerate(zip(heads, cut, strict=True)) if _bpe.odd(h) or loose and not loose.isdisjoint(x)]
+        if again:
+            for i in again:
+                heads[i], *cut[i] = _bpe.chunks([heads[i], *cut[i]])
+            got, new = _bpe.recalled(now, old, cut)
+        self._learn(list(new))
+        return [head + _bpe.joined(now, x, g) for head, x, g in zip(self._whole(heads), cut, got, strict=True)]
 
 
 @lru_cache(1)
