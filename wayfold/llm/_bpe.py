@@ -37,8 +37,9 @@ def recalled(now: dict[str, bytes], old: dict[str, bytes], cut: list[list[str]])
     """What a memo of two generations has for each text's words, None where nothing, and the words it lacks."""
     got = [list(map(now.get, x)) for x in cut]
     new = {w for x, g in zip(cut, got, strict=True) if None in g for w, v in zip(x, g, strict=True) if v is None}
-    now.update({w: old[w] for w in new if w in old})
-    return got, new.difference(now) if old else new
+    moved = {w: old[w] for w in new if w in old}
+    now.update(moved)
+    return got, new.difference(moved)
 
 
 def joined(now: dict[str, bytes], words: list[str], got: list[bytes | None]) -> bytes:

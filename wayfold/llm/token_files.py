@@ -154,21 +154,22 @@ class Texts:
     def _learn(self, found: list[str]) -> None:
         """Ids of new chunks; a full stop or comma behind a letter is a token of its own, and words of letters need no pattern."""
         now, old, stops = self.now, self.old, self.stops
-        base = [w[:-1] if w[-1:] in stops and w[-2:-1].isalpha() else w for w in found]
-        letters, other = [], []
-        for w in set(base).difference(now):
-            if w in old:
-                now[w] = old[w]
-            else:
-                (letters if _bpe.lettered(w) else other).append(w)
+        stopped = {w: w[:-1] for w in found if w[-1:] in stops and w[-2:-1].isalpha()}
+        todo = set(found).difference(stopped)
+        for b in set(stopped.values()).difference(todo):
+            if b in old:
+                now[b] = old[b]
+            elif b not in now:
+                todo.add(b)
+        letters = [w for w in todo if w.isalpha() and (w.isascii() or _bpe.lettered(w))]
+        other = list(todo.difference(letters))
         for new, ids in ((letters, self._of_letters), (other, self._of_text)):
             raw, bounds = _bpe.encode_chunks(new, ids, self.sizes)
             bounds = (4 * bounds).tolist()
             raw = raw.astype("<u4").tobytes()
             now.update(zip(new, [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], strict=False))
-        for w, b in zip(found, base, strict=True):
-            if w is not b:
-                now[w] = now[b] + stops[w[-1]]
+        for w, b in stopped.items():
+            now[w] = now[b] + stops[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -178,7 +179,7 @@ class Texts:
         cut = [t.split(" ") for t in texts]
         heads, cut = [x[0] for x in cut], [x[1:] for x in cut]
         got, new = _bpe.recalled(now, old, cut)
-        loose = {w for w in new if _bpe.odd(w)}
+        loose = {w for w in new if not w.isalpha() and _bpe.odd(w)}
         again = [i for i, (h, x) in enumerate(zip(heads, cut, strict=True)) if _bpe.odd(h) or loose and not loose.isdisjoint(x)]
         if again:
             for i in again:
