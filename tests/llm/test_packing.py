@@ -1,11 +1,14 @@
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from wayfold.llm import packing
+from wayfold.llm._shared import lent
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", None, "Hello, World! it's 2024 0 00 a0b", " \t\n ", "É Ñ ß é İ Σας ΟΔΟΣ áb", "x" * 3000, "a\x1cb \x1f c", "der the 10.000 words, " * 700, "<|endoftext|> plain", "same", "same", " nbsp wide\u0085line", "Stop. stop, STOP., it's. 9. É. ß, µ. ... ,. a.b. İ. Σας."]
@@ -84,3 +87,24 @@ def test_letters_need_the_merges_alone():
     small = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), most=3)
     for t, e in zip(texts * 2, want * 2, strict=True):
         assert small.encode([t]) == [np.array(e.ids, "<u4").tobytes()]
+
+
+def test_workers_give_up_what_they_know_when_no_task_asks_for_it(spark):
+    def kept(batches):
+        import time
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packing.words_of.cache_info().currsize])], ["n"])
+            with lent(packing.words_of, VOCABULARY, idle=0.3) as words:
+                assert words.encode(["a b"]) == words.encode(["a b"])
+            with lent(packing.words_of, VOCABULARY, idle=0.3) as again:
+                time.sleep(0.6)  # a task that has it keeps it
+                yield pa.RecordBatch.from_arrays([pa.array([packing.words_of.cache_info().currsize + 2 * (again is words)])], ["n"])
+            time.sleep(0.6)
+            yield pa.RecordBatch.from_arrays([pa.array([packing.words_of.cache_info().currsize])], ["n"])
+
+    assert [r.n for r in spark.range(1, numPartitions=1).mapInArrow(kept, "n long").collect()][1:] == [3, 0]
+    packing.pieces(spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1), VOCABULARY).collect()
+    found = lambda batches: (pa.RecordBatch.from_arrays([pa.array([packing.words_of.cache_info().currsize])], ["n"]) for _ in batches)
+    time.sleep(2)
+    assert {r.n for r in spark.range(8, numPartitions=8).mapInArrow(found, "n long").collect()} == {0}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -47,6 +48,30 @@ def released() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_waiting: dict[Callable, threading.Timer] = {}
+
+
+@contextmanager
+def lent(make: Callable, *given: object, idle: float = 1.5) -> Iterator:
+    """What ``make``, an ``lru_cache`` of one, has for this worker process, so that a task finds what earlier ones have learned.
+
+    It is given up once no task has asked for it for ``idle`` seconds: workers outlive the job, and later ones need their memory.
+    """
+    if before := _waiting.pop(make, None):
+        before.cancel()
+    try:
+        yield make(*given)
+    finally:
+        _waiting[make] = timer = threading.Timer(idle, _given_up, [make])
+        timer.daemon = True
+        timer.start()
+
+
+def _given_up(make: Callable) -> None:
+    make.cache_clear()
+    released()
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new name in the shared folder, which all executors reach."""
     return f"{spatial.shared(spark)}/wayfold/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

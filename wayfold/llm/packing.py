@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm import _bpe
-from wayfold.llm._shared import keep, small_batches
+from wayfold.llm._shared import keep, lent, small_batches
 
 #: Separators that Python splits at and the vocabulary's white space does not contain.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -119,7 +119,7 @@ class WordIds:
 
 @lru_cache(1)
 def words_of(vocabulary: str) -> WordIds:
-    """One for each worker process, so that a task knows what earlier ones have learned."""
+    """One for each worker process while tasks ask for it, by ``lent``."""
     return WordIds(vocabulary, 600_000)
 
 
@@ -129,22 +129,23 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end: int = 0) ->
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, seen = words_of(vocabulary), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            rows: list[tuple] = []
-            texts = batch.column(1)
-            for lo in range(0, len(texts), 32):
-                some = [t or "" for t in texts[lo : lo + 32].to_pylist()]
-                for doc, ids in zip(batch.column(0)[lo : lo + 32].to_pylist(), words.encode(some), strict=True):
-                    ids += tail
-                    for i in range(0, len(ids), 4 * size):
-                        piece = ids[i : i + 4 * size]
-                        n = len(piece) // 4
-                        rows.append((doc, i // (4 * size), i // 4, n, zlib.crc32(piece), part, int(seen[n])))
-                        seen[n] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (1, 5) else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+        with lent(words_of, vocabulary) as words:
+            for batch in batches:
+                rows: list[tuple] = []
+                texts = batch.column(1)
+                for lo in range(0, len(texts), 32):
+                    some = [t or "" for t in texts[lo : lo + 32].to_pylist()]
+                    for doc, ids in zip(batch.column(0)[lo : lo + 32].to_pylist(), words.encode(some), strict=True):
+                        ids += tail
+                        for i in range(0, len(ids), 4 * size):
+                            piece = ids[i : i + 4 * size]
+                            n = len(piece) // 4
+                            rows.append((doc, i // (4 * size), i // 4, n, zlib.crc32(piece), part, int(seen[n])))
+                            seen[n] += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (1, 5) else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
