@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 from collections import Counter
 from dataclasses import replace
@@ -44,6 +45,37 @@ def scored(spark):
     return df, model, brown_lm.score(df, model, F.col("held")).collect()
 
 
+@pytest.mark.parametrize("held", [[], [0], [2**64 - 1], [0, 1, 2, 3, 2**63, 2**63 + 1, 2**64 - 2, 2**64 - 1], list(range(5, 4000, 3)), [x * 0x9E3779B97F4A7C15 % 2**64 for x in range(3000)]])
+def test_words_are_found_by_leading_bits(held):
+    held = np.array(sorted(held), np.uint64)
+    lexicon = brown_lm.Lexicon(held, np.ones(len(held), np.int64), np.full(len(held), -1))
+    asked = np.concatenate([held, held + np.uint64(1), held - np.uint64(1), np.array([0, 7, 2**63, 2**64 - 1], np.uint64)])
+    at, there = lexicon.find(asked)
+    assert there.tolist() == [x in set(held.tolist()) for x in asked.tolist()]
+    assert (held[at[there]] == asked[there]).all()
+    assert pickle.loads(pickle.dumps(lexicon)).lookup is None  # tasks make their own
+
+
+def test_order_by_part_and_key():
+    rng = np.random.default_rng(1)
+    for parts in (1, 7, 70_000):
+        part, key = rng.integers(0, parts, 5000), rng.permutation(5000)
+        for k in (key, None):
+            order, bounds = brown_lm._by_part(part, parts, k)
+            assert order.tolist() == np.lexsort((np.arange(5000) if k is None else k, part)).tolist()
+            assert bounds.tolist() == np.searchsorted(np.sort(part), np.arange(parts + 1)).tolist()
+
+
+def test_counts_do_not_depend_on_how_many_words_are_gathered(spark, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in corpus(40)], "text string").coalesce(1)
+    rows = lambda: sorted(tuple(r) for r in brown_lm.word_counts(df, SMALL).collect())
+    whole = rows()
+    monkeypatch.setattr(_words, "portions", lambda texts: ((i, [(t or "").encode()]) for i, t in enumerate(texts)))
+    monkeypatch.setattr(brown_lm, "GATHERED", 10)
+    assert rows() == whole
+    assert sum(n for *_, n in whole) == sum(len(t.split()) for t in corpus(40))
+
+
 def test_base_scores_and_counts(scored):
     df, model, rows = scored
     texts = {r.doc_id: r.text for r in df.collect()}

@@ -42,6 +42,8 @@ from wayfold.llm._words import Words, mix, portions, words
 
 #: Parts of the bigram table that lie apart in storage.
 PARTS = 16
+#: Words that a task gathers before it counts them.
+GATHERED = 2_500_000
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,35 @@ class Settings:
         return 1 << max(0, self.ranges - 1).bit_length()
 
 
+class Lookup:
+    """Where each range of leading bits begins in sorted hashes: spread evenly, a range has few of them."""
+
+    def __init__(self, sorted_hash: np.ndarray) -> None:
+        self.hash, bits = sorted_hash, min(24, 1 + max(1, len(sorted_hash)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        held = np.bincount((sorted_hash >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.concatenate([[0], np.cumsum(held)[:-1]]).astype(np.int32)
+        self.most = int(held.max(initial=0))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the sorted hashes and whether each is there."""
+        if not len(self.hash):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        last = len(self.hash) - 1
+        at = np.minimum(self.start[(h >> self.shift).astype(np.int64)], last).astype(np.int64)
+        seen = self.hash[at]
+        there = seen == h
+        left = np.flatnonzero(seen < h)
+        for _ in range(1, self.most):
+            if not len(left):
+                break
+            next_ = np.minimum(at[left] + 1, last)
+            seen, own = self.hash[next_], h[left]
+            at[left], there[left] = next_, seen == own
+            left = left[seen < own]
+        return at, there
+
+
 @dataclass
 class Lexicon:
     """The most frequent words: sorted hashes, counts, types (-1: by the ending)."""
@@ -68,6 +99,16 @@ class Lexicon:
     count: np.ndarray
     type: np.ndarray
     own: np.ndarray | None = None  #: classes
+    lookup: Lookup | None = None  #: made in each task that needs it
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes and whether each is there."""
+        if self.lookup is None:
+            self.lookup = Lookup(self.hash)
+        return self.lookup.find(h)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lookup": None}
 
 
 @dataclass
@@ -93,7 +134,7 @@ def endings(w: Words, n: int) -> np.ndarray:
 
 
 def _find(sorted_hash: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted hashes and whether each is there."""
+    """For few hashes: places in the sorted hashes and whether each is there."""
     if not len(sorted_hash):
         return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     at = np.minimum(np.searchsorted(sorted_hash, h), len(sorted_hash) - 1)
@@ -102,7 +143,7 @@ def _find(sorted_hash: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def types_of(w: Words, lexicon: Lexicon, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's type, its place in the lexicon, and whether it is there; type 0 is the end."""
-    at, there = _find(lexicon.hash, w.hash)
+    at, there = lexicon.find(w.hash)
     own = np.where(there, lexicon.type[at] if len(lexicon.type) else -1, -1)
     return np.where(own >= 0, own, 1 + settings.types + endings(w, settings.endings)), at, there
 
@@ -117,6 +158,15 @@ def _with_ends(values: np.ndarray, w: Words, end: int) -> tuple[np.ndarray, np.n
     return out, ends
 
 
+def _by_part(part: np.ndarray, parts_: int, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by part, and by ``key`` inside one (None: as they come), and where each part begins, with the end."""
+    first = np.argsort(key) if key is not None else None
+    if parts_ <= 1 << 16:
+        part = part.astype(np.uint16)  # sorted by its digits
+    at = np.argsort(part if first is None else part[first], kind="stable")
+    return at if first is None else first[at], np.append(0, np.cumsum(np.bincount(part, minlength=parts_)))
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -133,9 +183,7 @@ class Tally:
     def __init__(self, most: int) -> None:
         self.most, self.held, self.keys, self.counts = most, 0, [], []
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
@@ -143,9 +191,6 @@ class Tally:
             self.keys, self.counts = ([x] for x in _merged(self.keys, self.counts))
             self.held = len(self.keys[0])
 
-    def full(self) -> bool:
-        return self.held > self.most and len(self.keys) == 1
-
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         out = _merged(self.keys, self.counts)
         self.held, self.keys, self.counts = 0, [], []
@@ -156,25 +201,22 @@ def word_counts(train: DataFrame, settings: Settings) -> DataFrame:
     """(h, ending, n) for every distinct training word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, by_hash = Tally(400_000), {}
-        ending: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            h, n = tally.take()
-            hashes, which = (np.concatenate(x) for x in zip(*ending, strict=True)) if ending else (h, h)
-            ending.clear()
-            by_hash.clear()
-            order = np.argsort(hashes, kind="stable")
-            at = order[np.searchsorted(hashes, h, sorter=order)] if len(h) else order
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(which[at].astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "ending", "n"])
+            hashes, which = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+            held.clear()
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(hashes)))
+            return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(which[order[first]]), pa.array(n.astype(np.int64))], ["h", "ending", "n"])
 
         for batch in batches:
             for _, some in portions(batch.column(0).to_pylist()):
                 w = words(some)
-                h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-                tally.add(h, n)
-                ending.append((h, endings(w, settings.endings)[first]))
-                if tally.full() or sum(len(x[0]) for x in ending) > 1_000_000:
+                held.append((w.hash, endings(w, settings.endings).astype(np.int32)))
+                if sum(len(x[0]) for x in held) > GATHERED:
                     yield flush()
         yield flush()
         released()
@@ -216,16 +258,16 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
     ranges = settings.ranges_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(600_000)
+        held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, n = tally.take()
+            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else _merged([], [])
+            held.clear()
             a, b = keys >> 32, keys & 0xFFFFFFFF
             for way, (x, y) in enumerate(((a, b), (b, a))):
-                part = x % ranges
-                order = np.argsort(part, kind="stable")
-                bounds = np.searchsorted(part[order], np.arange(ranges + 1))
-                both = ((x << 32) | y)[order], n[order]
+                k = (x << 32) | y
+                order, bounds = _by_part(x % ranges, ranges, None if way == 0 else k)  # sorted ones merge fast
+                both = k[order], n[order]
                 for r in range(ranges):
                     k, c = (v[bounds[r] : bounds[r + 1]] for v in both)
                     if len(k):
@@ -238,8 +280,8 @@ def bigrams(train: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame
                 t, ends = _with_ends(types_of(w, lexicon, settings)[0], w, 0)
                 before = np.concatenate([[0], t[:-1]])
                 before[ends[:-1] + 1] = 0
-                tally.add((before << 32) | t)
-                if tally.full():
+                held.append((before << 32) | t)
+                if sum(map(len, held)) > GATHERED:
                     yield from flush()
         yield from flush()
         released()
@@ -436,8 +478,7 @@ def assigned(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, table: DataFr
             h, cell = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             part = (mix(h) % np.uint64(ranges)).astype(np.int64)
-            order = np.lexsort((h, part))
-            bounds = np.searchsorted(part[order], np.arange(ranges + 1))
+            order, bounds = _by_part(part, ranges, h)
             some = np.flatnonzero(np.diff(bounds))
             blobs = [[x[order[bounds[r] : bounds[r + 1]]].tobytes() for r in some] for x in (h, cell.astype("<u4"))]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], ["range", "words", "cells"])
