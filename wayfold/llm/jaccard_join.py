@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm._shared import BLOB_ROWS, keep, small_batches
+from wayfold.llm._shared import BLOB_ROWS, keep, released, small_batches
 from wayfold.llm._shared import parts as dealt
 from wayfold.llm._words import mix, portions, shingles, words
 from wayfold.llm.components import components
@@ -173,6 +173,7 @@ def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
             if found:
                 n, node = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "key", "n", "node"])
+        released()
 
     return keep(docs.select("doc_id", "text", "key").mapInArrow(run, "doc_id long, key long, n long, node long"), "classes")
 
@@ -191,6 +192,7 @@ def _heads(docs: DataFrame, counts: np.ndarray, settings: Settings) -> DataFrame
             if rows:
                 kinds = (pa.int64(), pa.float32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["node", "central", "head", "mark"])
+        released()
 
     made = docs.select("text").mapInArrow(run, "node long, central float, head binary, mark binary")
     return keep(made.groupBy("node").agg(F.first("central").alias("central"), F.first("head").alias("head"), F.first("mark").alias("mark")), "heads")
@@ -223,6 +225,8 @@ def _groups(heads: DataFrame, settings: Settings) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from out(held)
+        held.clear()
+        released()
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -246,6 +250,8 @@ def _groups(heads: DataFrame, settings: Settings) -> DataFrame:
                     leads.append(int(doc[a + int(central[a:b].argmax())]))
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array(leads, pa.int64())], ["docs", "lead"])
+        held.clear()
+        released()
 
     sent = heads.select("node", "central", "head").mapInArrow(deal, "part long, token binary, doc binary, central binary")
     made = sent.repartition(ranges, "part").mapInArrow(group, "docs binary, lead long")
@@ -288,6 +294,7 @@ def _wanted(docs: DataFrame, ids: DataFrame, counts: np.ndarray, settings: Setti
             if rows:
                 kinds = (pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "heads", "held"])
+        released()
 
     made = docs.select("text").mapInArrow(run, "doc_id long, heads binary, held binary").groupBy("doc_id").agg(F.first("heads").alias("heads"), F.first("held").alias("held"))
     return keep(made.join(ids, "doc_id", "left_semi"), "sets")
@@ -361,6 +368,8 @@ def _matched(pairs: DataFrame, held_: DataFrame, per_block: int, prepare: Callab
                     found.append((doc, np.array(near, "<i8").tobytes()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.binary()), strict=True)], ["a", "partners"])
+        held.clear()
+        released()
 
     asks = pairs.mapInArrow(split, "doc_id long, part long, partners binary").join(held_, "doc_id").select("part", F.lit(1).alias("kind"), "doc_id", "held", "partners")
     have = held_.mapInArrow(place, "doc_id long, part long, held binary").select("part", F.lit(0).alias("kind"), "doc_id", "held", F.lit(None).cast("binary").alias("partners"))
