@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,3 +113,46 @@ def test_letters_need_the_merges_alone():
         want = made.tokenizer.encode_batch_fast(some, add_special_tokens=False)
         assert made.encode(some) == [np.array(e.ids, "<u4").tobytes() for e in want]
     assert " ÀÉÎ" in calls[0] and "日" not in "".join(calls)
+
+
+class Asked(dict):
+    """A memo that counts what it is asked for."""
+
+    n = 0
+
+    def get(self, *given):
+        self.n += 1
+        return super().get(*given)
+
+
+def test_words_that_repeat_are_looked_up_once():
+    made = token_files.Texts(VOCABULARY)
+    made.now = Asked()
+    texts = ["the same, the words\nand the lines"] * 500
+    assert np.frombuffer(made.encode(texts)[499], "<u4").tolist() == ids_of(texts[0])
+    assert 0 < made.now.n < 20
+
+
+def test_lines_and_marks_need_the_merges_alone():
+    made = token_files.Texts(VOCABULARY)
+    made._of_text = lambda t: pytest.fail(f"the pattern is asked for {t!r}")
+    text = "First words!!\nNext ends$$$ of a line).\nLast, they"
+    assert np.frombuffer(made.encode([text])[0], "<u4").tolist() == ids_of(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["\n", " ", "\n\n", "\n\n\n", "\t", "\r\n", "\xa0", "\x1d", " ", "a", "Über", "it's", "'ll", ".", "!!", "$$$$", "'", "7", "½", "日", "_", "·", "é", "<|endoftext|>"]), max_size=14).map("".join), min_size=1, max_size=4))
+def test_lines_and_marks_are_encoded_as_the_whole(texts):
+    for ids, text in zip(CHUNKED.encode(texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)
+
+
+@pytest.mark.parametrize("most", [1, 700, 1 << 20])
+def test_portions_have_every_row_in_turn(most):
+    rows = [(i, ["x" * (i * 37 % 500), None, ""][i % 3]) for i in range(100)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[lo : lo + 7]], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for lo in range(0, 100, 7)]
+    found = list(_bpe.gathered(iter([batches[0].slice(0, 0), *batches]), most))
+    assert [(r["doc_id"], r["text"]) for t in found for r in t.to_pylist()] == rows
+    assert all(len(t) == 1 or sum(len(x or "") + 64 for x in t["text"].to_pylist()) <= most + 64 for t in found)
+    assert _bpe.strings(found[0]["text"]).to_pylist() == [t or "" for _, t in rows[: len(found[0])]]
+    assert list(_bpe.gathered(iter([]))) == []

@@ -8,12 +8,18 @@ a space behind another character, so neither tokenizer ever merges across a cut.
 from __future__ import annotations
 
 import codecs
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: New chunks that are encoded together as one text.
 TOGETHER = 1000
+#: Bytes of text that are cut together: a word that repeats in them is looked up once.
+PORTION = 1 << 22
+#: Marks that are neither letters nor digits nor white space; the apostrophe, which begins contractions, is left out.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def odd(part: str) -> bool:
@@ -47,6 +53,49 @@ def joined(now: dict[str, bytes], words: list[str], got: list[bytes | None]) ->
     return b"".join([now[w] if v is None else v for w, v in zip(words, got, strict=True)] if None in got else got)
 
 
+def ended(word: str) -> str:
+    """The word without up to three marks of ASCII at its end, which behind a letter are one pre-token of their own."""
+    base = word.rstrip(_MARKS)
+    return base if 0 < len(word) - len(base) < 4 and base[-1:].isalpha() else word
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int = PORTION) -> Iterator[pa.Table]:
+    """The rows of all batches in turn, by about ``most`` bytes of the texts in column 1; a longer text comes alone."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            if size and size + n > most:
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, size, at = [], 0, i
+            size += n + 64  # rows without text count too
+        held.append(batch.slice(at))
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def strings(texts: list[str | None] | pa.Array | pa.ChunkedArray) -> pa.Array:
+    """Texts as one array, null ones empty."""
+    one = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    return pc.fill_null(one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one, "")
+
+
+def numbered(cut: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts of all lists, the number of each part in turn, and where each list's begin, with the end."""
+    bounds, made = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+    return made.dictionary.to_pylist(), made.indices.to_numpy(), bounds - bounds[0]
+
+
+def taken(values: list[bytes], index: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The values that ``index`` names, joined from each bound to the next."""
+    if not len(index):
+        return [b""] * (len(bounds) - 1)
+    made = pa.array(values, pa.large_binary()).take(pa.array(index))
+    _, ends, data = made.buffers()
+    ends, raw = np.frombuffer(ends, np.int64, len(index) + 1)[bounds].tolist(), memoryview(data or b"")
+    return [raw[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)]
+
+
 def byte_values() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -92,26 +141,26 @@ def lengths(tokens: list[bytes]) -> np.ndarray:
     return np.array([len(t) for t in tokens], np.int64)
 
 
-def encode_chunks(found: list[str], encode: Callable[[str], list[int]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunks(found: list[str], encode: Callable[[str], list[int]], sizes: np.ndarray, space: str = " ") -> tuple[np.ndarray, np.ndarray]:
     """Ids of the chunks, each behind a space, and where each chunk's begin, with the end; many are encoded as one text.
 
     ``sizes`` has the bytes of each id; ``encode`` gets the text with its first space. A chunk has no ids if
-    its tokens don't end with it.
+    its tokens don't end with it. With an empty ``space``, spaces in the text are only cuts.
     """
     if not found:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
     if len(found) > TOGETHER:
-        made = [encode_chunks(found[i : i + TOGETHER], encode, sizes) for i in range(0, len(found), TOGETHER)]
+        made = [encode_chunks(found[i : i + TOGETHER], encode, sizes, space) for i in range(0, len(found), TOGETHER)]
     else:
-        ids = np.array(encode(f" {' '.join(found)}"), np.int64)
+        ids = np.array(encode(space + " ".join(found)), np.int64)
         ends = np.cumsum(sizes[ids])
-        want = np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in found])
+        want = np.cumsum([len(space) + (len(w) if w.isascii() else len(w.encode())) for w in found])
         at = np.searchsorted(ends, want)
         if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
             return ids, np.append(0, at + 1)
         if len(found) == 1:
             return np.zeros(0, np.int64), np.zeros(2, np.int64)
         half = len(found) // 2  # find the one that its tokens don't give back
-        made = [encode_chunks(some, encode, sizes) for some in (found[:half], found[half:])]
+        made = [encode_chunks(some, encode, sizes, space) for some in (found[:half], found[half:])]
     before = np.cumsum([0, *(len(x) for x, _ in made)])
     return np.concatenate([x for x, _ in made]), np.concatenate([[0], *(b[1:] + n for (_, b), n in zip(made, before, strict=False))])

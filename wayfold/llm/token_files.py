@@ -22,6 +22,7 @@ files, and reading it gives no rows. Strings of special tokens in a text are ord
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -135,7 +137,11 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 class Texts:
-    """Ids of whole texts by a byte-level vocabulary; those of chunks are kept, in two generations of bounded size."""
+    """Ids of whole texts by a byte-level vocabulary; those of chunks are kept, in two generations of bounded size.
+
+    A chunk is remembered as it is if a space comes before it, and behind a space if none does. A line feed between two
+    characters other than white space is a token run of its own: it begins a chunk too, which is remembered with it.
+    """
 
     def __init__(self, vocabulary: str, most: int = 600_000) -> None:
         self.tokenizer = _bpe.tokenizer(vocabulary)
@@ -143,50 +149,97 @@ class Texts:
         self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
+        self.feed = self._whole(["\n"])[0]
         own = _bpe.of_letters(self.tokenizer)
         self._of_letters = lambda t: own(t.replace(" ", "\n ")[1:])
+        self._of_first = lambda t: own(t.replace(" ", "\n"))
         self._of_text = lambda t: self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids
-        self.stops = dict(zip(".,", self._whole([".", ","]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, found: list[str]) -> None:
-        """Ids of new chunks; a full stop or comma behind a letter is a token of its own, and words of letters need no pattern."""
-        now, old, stops = self.now, self.old, self.stops
-        stopped = {w: w[:-1] for w in found if w[-1:] in stops and w[-2:-1].isalpha()}
-        todo = set(found).difference(stopped)
-        for b in set(stopped.values()).difference(todo):
-            if b in old:
-                now[b] = old[b]
-            elif b not in now:
-                todo.add(b)
-        letters = [w for w in todo if w.isalpha() and (w.isascii() or _bpe.lettered(w))]
-        other = list(todo.difference(letters))
-        for new, ids in ((letters, self._of_letters), (other, self._of_text)):
-            raw, bounds = _bpe.encode_chunks(new, ids, self.sizes)
+        """Ids of new chunks, by the pattern's own cuts: at line feeds between two other characters and before marks behind a last letter.
+        Words of letters alone need no pattern."""
+        now, old, todo, seen = self.now, self.old, list(found), set(found)
+        fed, lines, marked, letters, first, other = [], [], [], [], [], []
+
+        def want(w: str) -> str:
+            if w not in now and w not in seen:
+                seen.add(w)
+                todo.append(w)
+            return w
+
+        for w in todo:  # which grows
+            if w in old:
+                now[w] = old[w]
+            elif w.isalpha():
+                (letters if w.isascii() or _bpe.lettered(w) else other).append(w)
+            elif w[0] == "\n":
+                fed.append((w, want(f" {w[1:]}")))
+            elif "\n" in w and (cut := _by_line(w)):
+                lines.append((w, [want(x) for x in cut[::2]], cut[1::2]))
+            elif (base := _bpe.ended(w)) is not w:
+                marked.append((w, want(base), w[len(base) :]))
+            else:
+                (first if w[0] == " " and _bpe.lettered(w[1:]) else other).append(w)
+        spaced = [w for w in other if w[0] != " "]
+        for new, ids, space in ((letters, self._of_letters, " "), ([w[1:] for w in first], self._of_first, ""), (spaced, self._of_text, " ")):
+            raw, bounds = _bpe.encode_chunks(new, ids, self.sizes, space)
             bounds = (4 * bounds).tolist()
             raw = raw.astype("<u4").tobytes()
-            now.update(zip(new, [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], strict=False))
-        for w, b in stopped.items():
-            now[w] = now[b] + stops[w[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            now.update(zip(new if space else first, [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], strict=False))
+        if len(spaced) < len(other):
+            bare = [w for w in other if w[0] == " "]
+            now.update(zip(bare, self._whole([w[1:] for w in bare]), strict=True))
+        if ends := list({e for _, _, e in marked}.difference(self.ends)):
+            self.ends.update(zip(ends, self._whole(ends), strict=True))
+        for w, base, end in marked:
+            now[w] = now[base] + self.ends[end]
+        for w, rest in fed:
+            now[w] = self.feed + now[rest]
+        feeds = {x: self._whole([x[:-1]])[0] + self.feed for x in {x for _, _, gaps in lines for x in gaps}}  # of many the last stands apart
+        for w, some, gaps in lines:
+            now[w] = now[some[0]] + b"".join([feeds[x] + now[y] for x, y in zip(gaps, some[1:], strict=True)])
+
+    def encode(self, texts: list[str] | pa.Array | pa.ChunkedArray) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.now) > self.most:
+        found = _bpe.strings(texts)
+        words, index, bounds = _bpe.numbered(pc.split_pattern(pc.replace_substring(found, "\n", " \n"), " "))
+        got = list(map(self.now.get, words))
+        loose = np.zeros(len(words), bool)
+        loose[[k for k, v in enumerate(got) if v is None and not words[k].isalpha() and _bpe.odd(words[k].removeprefix("\n"))]] = True
+        heads = [words[k] for k in index[bounds[:-1]].tolist()]
+        again = set((np.searchsorted(bounds, np.flatnonzero(loose[index]), "right") - 1).tolist())
+        again.update(i for i, h in enumerate(heads) if _bpe.odd(h))
+        more: dict[str, int] = {}
+        pieces, at, sizes = [], 0, np.diff(bounds)
+        for i in sorted(again):
+            heads[i], *own = _bpe.chunks(found[i].as_py().split(" "))
+            pieces += [index[at : bounds[i]], np.array([0, *(more.setdefault(w, len(words) + len(more)) for w in own)], index.dtype)]
+            at, sizes[i] = bounds[i + 1], 1 + len(own)
+        index, bounds = np.concatenate([*pieces, index[at:]]), np.concatenate([[0], np.cumsum(sizes)])
+        index[bounds[:-1]] = [more.setdefault(f" {h}", len(words) + len(more)) for h in heads]
+        words += more
+        got += map(self.now.get, more)
+        used = np.bincount(index, minlength=len(words)).tolist()
+        lacking = [k for k, v in enumerate(got) if v is None and used[k]]
+        if len(self.now) + len(lacking) > self.most:
             self.old, self.now = self.now, {}
-        now, old = self.now, self.old
-        cut = [t.split(" ") for t in texts]
-        heads, cut = [x[0] for x in cut], [x[1:] for x in cut]
-        got, new = _bpe.recalled(now, old, cut)
-        loose = {w for w in new if not w.isalpha() and _bpe.odd(w)}
-        again = [i for i, (h, x) in enumerate(zip(heads, cut, strict=True)) if _bpe.odd(h) or loose and not loose.isdisjoint(x)]
-        if again:
-            for i in again:
-                heads[i], *cut[i] = _bpe.chunks([heads[i], *cut[i]])
-            got, new = _bpe.recalled(now, old, cut)
-        self._learn(list(new))
-        return [head + _bpe.joined(now, x, g) for head, x, g in zip(self._whole(heads), cut, got, strict=True)]
+        self._learn([words[k] for k in lacking])
+        for k in lacking:
+            got[k] = self.now[words[k]]
+        return _bpe.taken(got, index, bounds)
+
+
+def _by_line(word: str) -> list[str] | None:
+    """What line feeds cut, as it is remembered, and the line feeds between; nothing where other white space touches them."""
+    cut = re.split("(\n+)", word)
+    if not all(cut) or any(x[-1].isspace() for x in cut[:-1:2]) or any(x[0].isspace() for x in cut[2::2]):
+        return None
+    cut[2::2] = [f" {x}" for x in cut[2::2]]
+    return cut
 
 
 @lru_cache(1)
@@ -252,12 +305,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, files: int
         texts, out = None, None
         part, name = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.s8b"
         tail = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for rows in _bpe.gathered(batches):
             texts, out = texts or texts_of(vocabulary), out or _Writer(path, name)
-            ids, found = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(found), 128):
-                for doc_id, own in zip(ids[lo : lo + 128], texts.encode([t or "" for t in found[lo : lo + 128].to_pylist()]), strict=True):
-                    out.add(doc_id, own + tail)
+            for doc_id, own in zip(rows.column(0).to_pylist(), texts.encode(rows.column(1)), strict=True):
+                out.add(doc_id, own + tail)
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs]), pa.array([n_ids])], ["part", "file", "n_docs", "n_ids"])
