@@ -5,6 +5,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from wayfold.llm import packing
@@ -108,3 +110,38 @@ def test_workers_give_up_what_they_know_when_no_task_asks_for_it(spark):
     found = lambda batches: (pa.RecordBatch.from_arrays([pa.array([packing.words_of.cache_info().currsize])], ["n"]) for _ in batches)
     time.sleep(2)
     assert {r.n for r in spark.range(8, numPartitions=8).mapInArrow(found, "n long").collect()} == {0}
+
+
+class Asked(dict):
+    """A memo that counts what it is asked for."""
+
+    n = 0
+
+    def get(self, *given):
+        self.n += 1
+        return super().get(*given)
+
+
+def test_words_that_repeat_are_looked_up_once():
+    made = packing.WordIds(VOCABULARY)
+    made.now = Asked()
+    texts = ["the same, the words\nand the lines"] * 500
+    assert np.frombuffer(made.encode(texts)[499], "<u4").tolist() == reference(texts[0])[:-1]
+    assert 0 < made.now.n < 20
+
+
+def test_marks_need_the_merges_alone():
+    made = packing.WordIds(VOCABULARY)
+    assert made.encode(["stop!! Stop$$$ stop). Éa; $$$ stop!?"])
+    assert {"stop", "éa"} <= set(made.now) and {"!!", "$$$", ").", ";"} <= set(made.ends) and "stop!?" in made.now
+
+
+SMALL, WHOLE = packing.WordIds(VOCABULARY, most=3), Tokenizer.from_file(VOCABULARY)
+WHOLE.encode_special_tokens = True
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["\n", " ", "\t", "\r\n", "\xa0", "\x1d", "\u2028", "\x0b", "a", "Über", "it's", "'ll", ".", "!!", "$$$$", "'", "0", "7", "½", "日", "Σ", "İ", "_", "·", "=", "e\u0301", "\u0338", "<|endoftext|>"]), max_size=14).map("".join), min_size=1, max_size=4))
+def test_any_white_space_and_marks(texts):
+    for ids, text in zip(SMALL.encode(texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids

@@ -39,20 +39,6 @@ def chunks(parts: list[str]) -> list[str]:
     return out
 
 
-def recalled(now: dict[str, bytes], old: dict[str, bytes], cut: list[list[str]]) -> tuple[list[list[bytes | None]], set[str]]:
-    """What a memo of two generations has for each text's words, None where nothing, and the words it lacks."""
-    got = [list(map(now.get, x)) for x in cut]
-    new = {w for x, g in zip(cut, got, strict=True) if None in g for w, v in zip(x, g, strict=True) if v is None}
-    moved = {w: old[w] for w in new if w in old}
-    now.update(moved)
-    return got, new.difference(moved)
-
-
-def joined(now: dict[str, bytes], words: list[str], got: list[bytes | None]) -> bytes:
-    """The ids of a text, once the words that ``got`` lacks are known."""
-    return b"".join([now[w] if v is None else v for w, v in zip(words, got, strict=True)] if None in got else got)
-
-
 def ended(word: str) -> str:
     """The word without up to three marks of ASCII at its end, which behind a letter are one pre-token of their own."""
     base = word.rstrip(_MARKS)

@@ -18,13 +18,13 @@ become many pieces.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +32,6 @@ from pyspark.sql import functions as F
 from wayfold.llm import _bpe
 from wayfold.llm._shared import keep, lent, small_batches
 
-#: Separators that Python splits at and the vocabulary's white space does not contain.
-_ODD = re.compile("[\x1c-\x1f]")
-
-
 #: Encoded between words to tell them apart: a digit is always a token of its own.
 _MARK = "0"
 
@@ -55,7 +51,7 @@ class WordIds:
         self.most = most
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.stops = {c: self._ids([c])[0] for c in ".,"}
+        self.ends: dict[str, bytes] = {}
         self.of_letters = _bpe.of_letters(self.tokenizer)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(names.values()) + 1, bool)
@@ -67,15 +63,15 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of new words; those of Latin-1 words from their lower case without a last full stop or comma.
+        """Ids of new words; those of Latin-1 words from their lower case without marks behind a last letter.
 
-        The vocabulary lowers letters itself, and such a stop after a letter is always a token of its own.
+        The vocabulary lowers letters itself, and such marks are always a token run of their own.
         What is left of most is letters alone, which need neither its normalizer nor its pattern.
         """
-        now, old, stops = self.now, self.old, self.stops
+        now, old = self.now, self.old
         latin = [w for w in new if w.isascii() or max(w) <= "\xff"]
         lower = " ".join(latin).lower().split(" ") if latin else []
-        bases = [c[:-1] if c[-1] in stops and c[-2:-1].isalpha() else c for c in lower]
+        bases = [c if c.isalpha() else _bpe.ended(c) for c in lower]
         todo = set(bases)
         if len(latin) < len(new):
             todo.update(set(new).difference(latin))
@@ -96,9 +92,11 @@ class WordIds:
             self._keep(some, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
         rest = [w for w in other if _MARK in w] if self.mark is not None else other
         now.update(zip(rest, self._ids(rest), strict=True))
+        if ends := list({c[len(b) :] for c, b in zip(lower, bases, strict=True) if c is not b}.difference(self.ends)):
+            self.ends.update(zip(ends, self._ids(ends), strict=True))
         for w, c, base in zip(latin, lower, bases, strict=True):
             if c is not base:
-                now[w] = now[base] + stops[c[-1]]
+                now[w] = now[base] + self.ends[c[len(base) :]]
             elif w != c:
                 now[w] = now[c]
 
@@ -107,14 +105,17 @@ class WordIds:
         raw, upto = ids.tobytes(), (4 * ends).tolist()
         self.now.update(zip(words, [raw[s:e] for s, e in zip([0, *(e + 4 * gap for e in upto[:-1])], upto, strict=True)], strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array | pa.ChunkedArray) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.now) > self.most:
+        words, index, bounds = _bpe.numbered(pc.ascii_split_whitespace(_bpe.strings(texts)))
+        got = [self.now.get(w) if w else b"" for w in words]  # none beside white space at an end
+        lacking = [k for k, v in enumerate(got) if v is None]
+        if len(self.now) + len(lacking) > self.most:
             self.old, self.now = self.now, {}
-        words = [[] if _ODD.search(t) else t.split() for t in texts]
-        got, new = _bpe.recalled(self.now, self.old, words)
-        self._learn(list(new))
-        return [_bpe.joined(self.now, x, g) if x else self._ids([t])[0] if t else b"" for t, x, g in zip(texts, words, got, strict=True)]
+        self._learn([words[k] for k in lacking])
+        for k in lacking:
+            got[k] = self.now[words[k]]
+        return _bpe.taken(got, index, bounds)
 
 
 @lru_cache(1)
@@ -132,18 +133,15 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end: int = 0) ->
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         tail = np.array([end], "<u4").tobytes()
         with lent(words_of, vocabulary) as words:
-            for batch in batches:
+            for found in _bpe.gathered(batches):
                 rows: list[tuple] = []
-                texts = batch.column(1)
-                for lo in range(0, len(texts), 32):
-                    some = [t or "" for t in texts[lo : lo + 32].to_pylist()]
-                    for doc, ids in zip(batch.column(0)[lo : lo + 32].to_pylist(), words.encode(some), strict=True):
-                        ids += tail
-                        for i in range(0, len(ids), 4 * size):
-                            piece = ids[i : i + 4 * size]
-                            n = len(piece) // 4
-                            rows.append((doc, i // (4 * size), i // 4, n, zlib.crc32(piece), part, int(seen[n])))
-                            seen[n] += 1
+                for doc, ids in zip(found.column(0).to_pylist(), words.encode(found.column(1)), strict=True):
+                    ids += tail
+                    for i in range(0, len(ids), 4 * size):
+                        piece = ids[i : i + 4 * size]
+                        n = len(piece) // 4
+                        rows.append((doc, i // (4 * size), i // 4, n, zlib.crc32(piece), part, int(seen[n])))
+                        seen[n] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k in (1, 5) else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
 
