@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import color
 from wayfold.functions import geometry as g
-from wayfold.operators import metrics, rectify
+from wayfold.operators import metrics, rectify, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -227,7 +227,7 @@ def J23_bilinear(spark, d):
     corner = lambda i, j: F.struct((F.col("x0") + i).alias("x"), (F.col("y0") + j).alias("y"), ((F.col("a") if i else 1 - F.col("a")) * (F.col("b") if j else 1 - F.col("b"))).alias("w"))
     k = q.select("id", "img", F.inline(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))))
     raster = px.images(spark, d).where("c = 0").select("img", "x", "y", "gt")
-    return k.join(raster, ["img", "x", "y"]).groupBy("id").agg(F.round(F.sum(F.col("w") * gt()), 6).alias("depth"))
+    return k.join(spatial.many(raster), ["img", "x", "y"]).groupBy("id").agg(F.round(F.sum(F.col("w") * gt()), 6).alias("depth"))
 
 
 @query("select img // 4 as frame, c, y, x, img % 4 as rs, round(pred, 6) as v from px_img where img % 4 = round_even(y/31.0*3, 0)::bigint", "px_img")
