@@ -44,3 +44,8 @@ def test_depths_at_places_of_images(spark, folder):
     rows, wanted = answers(spark, folder, "J23_bilinear")
     assert [r[0] for r in rows] == [r[0] for r in wanted]
     assert [r[1] for r in rows] == pytest.approx([r[1] for r in wanted], abs=1e-5)
+
+
+def test_masks_are_resampled(spark, folder):
+    rows, wanted = answers(spark, folder, "K12_mask_erosion")
+    assert rows == wanted
