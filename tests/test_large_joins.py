@@ -49,3 +49,10 @@ def test_depths_at_places_of_images(spark, folder):
 def test_masks_are_resampled(spark, folder):
     rows, wanted = answers(spark, folder, "K12_mask_erosion")
     assert rows == wanted
+
+
+@pytest.mark.parametrize("name", ["P26_fisheye_map"])
+def test_pictures_are_resampled(spark, folder, name):
+    rows, wanted = answers(spark, folder, name)
+    assert [r[:3] for r in rows] == [r[:3] for r in wanted]
+    assert all(r[3:] == pytest.approx(w[3:], abs=2e-5) for r, w in zip(rows, wanted, strict=True))

@@ -78,9 +78,10 @@ def squared_mask(df: DataFrame, keys: list[str], width: int, side: int) -> DataF
     return have.join(F.broadcast(asked), "from").groupBy(*keys, "y", "x").agg((F.sum(F.col("w") * F.col("mask")) > 0.5).cast("int").alias("mask"))
 
 
-def remapped(image: DataFrame, asked: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, id, value): linear samples of ``image`` (keys, y, x, value) at ``asked`` (keys, id, u, v); zero beyond the border."""
-    return tiles.sampled(image, asked.select(*keys, "id", "u", "v"), keys, [value]).select(*keys, "id", value)
+def remapped(image: DataFrame, asked: DataFrame, keys: list[str], value: str, show: list[str] | None = None) -> DataFrame:
+    """(keys, id, value, and the columns ``show`` of ``asked``): linear samples of ``image`` (keys, y, x, value) at ``asked`` (keys, id, u, v and more); zero beyond the border."""
+    show = show or []
+    return tiles.sampled(image, asked.select(*keys, "id", *dict.fromkeys(["u", "v", *show])), keys, [value]).select(*keys, "id", value, *show)
 
 
 def scale_invariant(df: DataFrame, image: list[str]) -> DataFrame:

@@ -159,8 +159,8 @@ TAPS = "f as (select img, y, x, floor(u) as x0, floor(v) as y0, u - floor(u) as
 
 def resampled(spark, d, u: Column, v: Column) -> DataFrame:
     rows = px.images(spark, d).where("c = 0")
-    asked = rows.select("img", F.struct("y", "x").alias("id"), u.alias("u"), v.alias("v"))
-    found = metrics.remapped(rows, asked, ["img"], "gt").join(asked, ["img", "id"])
+    asked = rows.where("img IS NOT NULL").select("img", F.struct("y", "x").alias("id"), u.alias("u"), v.alias("v"))
+    found = metrics.remapped(rows, asked, ["img"], "gt", ["u", "v"])
     return found.select("img", "id.y", "id.x", r(F.col("u"), 5).alias("u"), r(F.col("v"), 5).alias("v"), F.round("gt", 6).alias("value"))
 
 
