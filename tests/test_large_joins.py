@@ -51,7 +51,7 @@ def test_masks_are_resampled(spark, folder):
     assert rows == wanted
 
 
-@pytest.mark.parametrize("name", ["P26_fisheye_map"])
+@pytest.mark.parametrize("name", ["P26_fisheye_map", "P26_pinhole_map"])
 def test_pictures_are_resampled(spark, folder, name):
     rows, wanted = answers(spark, folder, name)
     assert [r[:3] for r in rows] == [r[:3] for r in wanted]
