@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.plans import catalog
+from wayfold.operators import decimation
+from wayfold.plans import catalog, proxies
 
 
 @contextmanager
@@ -56,3 +57,15 @@ def test_pictures_are_resampled(spark, folder, name):
     rows, wanted = answers(spark, folder, name)
     assert [r[:3] for r in rows] == [r[:3] for r in wanted]
     assert all(r[3:] == pytest.approx(w[3:], abs=2e-5) for r, w in zip(rows, wanted, strict=True))
+
+
+def test_a_mesh_is_contracted(spark, folder):
+    rows, wanted = answers(spark, folder, "K08_decimation")
+    assert rows == wanted
+
+
+def test_forms_are_of_all_vertices(spark, folder):
+    faces = proxies.faces(spark, folder)
+    with held(spark, 4):
+        found = decimation.forms(faces, proxies.vertices(spark, folder)).count()
+    assert found == faces.select(F.explode(F.array("a", "b", "c"))).distinct().count()

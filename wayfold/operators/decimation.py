@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
-from wayfold.operators.spatial import keep
+from wayfold.operators.spatial import keep, many
 
 #: Vertices of a block, about; blocks as a power of two, at most; vertices of the sample for each block.
 BLOCK, DEPTH, SAMPLE = 8192, 14, 32
@@ -37,7 +37,7 @@ _VERTEX = ", ".join(["vid long", *(f"{c} double" for c in "xyz"), *(f"{c} double
 def with_corners(faces: DataFrame, vertices: DataFrame, columns: list[str]) -> DataFrame:
     """Faces (fid, a, b, c) with columns of their corners' vertices, named a<column>, b<column> and c<column>."""
     for k in "abc":
-        faces = faces.join(vertices.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in columns)), k)
+        faces = faces.join(many(vertices.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in columns))), k)
     return faces
 
 
@@ -65,7 +65,7 @@ def forms(faces: DataFrame, vertices: DataFrame, border: float = 1.0) -> DataFra
     single = single.withColumns({f"_u{c}": v for c, v in zip("xyz", up, strict=True)}).withColumn("_l", g.norm([F.col(f"_u{c}") for c in "xyz"])).where("_l > 0")
     standing = single.select(F.explode(F.array("u", "v")).alias("vid"), *of([F.col(f"_u{c}") / F.col("_l") for c in "xyz"], p, border))
     sums = flat.unionAll(standing).groupBy("vid").agg(*(F.sum(c).alias(c) for c in FORM))
-    return vertices.select("vid", "x", "y", "z").join(sums, "vid")
+    return many(vertices.select("vid", "x", "y", "z")).join(sums, "vid")
 
 
 def least(q: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

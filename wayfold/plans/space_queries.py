@@ -237,7 +237,7 @@ def triangles(spark, d) -> DataFrame:
     """Faces with the places of their corners."""
     rows, v = px.faces(spark, d), px.vertices(spark, d)
     for k in "abc":
-        rows = rows.join(v.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz")), k)
+        rows = rows.join(spatial.many(v.select(F.col("vid").alias(k), *(F.col(c).alias(k + c) for c in "xyz"))), k)
     corners = [[F.col(k + c) for c in "xyz"] for k in "abc"]
     return rows.withColumn("edge", g.longest_edge(*corners)).withColumn("area", g.triangle_area(*corners))
 
