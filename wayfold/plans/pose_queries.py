@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry as g
-from wayfold.operators import asof, sequence, spatial
+from wayfold.operators import asof, motion, sequence, spatial
 from wayfold.plans import proxies as px
 from wayfold.plans.proxies import with_views
 
@@ -440,13 +440,8 @@ MOVED = f"pts as (select uid % 500 as k, uid, px as x, py as y, pz + 6 as z from
 def A07_A32_A34_motion_percentiles(spark, d):
     """How far points move in the image between a sample's pose and the one before: each sample sees the points of its residue."""
     points = px.points(spark, d).select((F.col("uid") % 500).alias("k"), F.col("px").alias("x"), F.col("py").alias("y"), (F.col("pz") + 6).alias("z"))
-    rows = steps(spark, d).withColumn("k", F.col("sample_id") % 500).join(points, "k")
-    p = [F.col(c) for c in "xyz"]
-    now, before = ([F.col(f"{n}{i}") for i in range(3)] for n in ("c", "b"))
-    rows = rows.select("sample_id", *(c.alias(f"{n}{i}") for n, q in (("c", ""), ("b", "p_")) for i, c in enumerate(g.transform(*g.inverse(*pose(q)), p)))).where("c2 > 0.5 AND b2 > 0.5")
-    focal, centre = [F.lit(300.0)] * 2, [F.lit(0.0)] * 2
-    (u, v, _), (s, t, _) = g.project(now, focal, centre), g.project(before, focal, centre)
-    found = rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.percentile(F.greatest(F.abs(u - s), F.abs(v - t)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
+    rows = steps(spark, d).withColumn("k", F.col("sample_id") % 500)
+    found = motion.percentiles(rows, points, "k", "sample_id", g.inverse(*pose()), g.inverse(*pose("p_")), 300.0, 0.5, [0.25, 0.5, 0.75])
     return found.select("sample_id", "n", *(F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))))
 
 
